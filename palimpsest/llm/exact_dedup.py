@@ -50,7 +50,7 @@ def directory(keys: DataFrame, n_keys: int, capacity: int = CAPACITY) -> tuple[D
             break
         rest = rest.withColumn("prefix", prefix(F.col("key"), depth)).join(small(full.select("prefix")), "prefix", "left_semi").select("key")
         depth += 1
-    slots = F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.lit(depth) - F.col("local_depth")) - 1)
+    slots = F.expr(f"sequence(0L, shiftleft(1L, {depth} - local_depth) - 1)")
     first = F.expr(f"shiftleft(prefix, {depth} - local_depth)")
     return cut(buckets.select(first.alias("bucket"), "local_depth", F.explode(slots).alias("k")).select((F.col("bucket") + F.col("k")).alias("slot"), "bucket", "local_depth")), depth
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import missing
 
@@ -132,8 +133,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     missing(docs, "text")
     docs = docs.drop("lang_pred", "score", "rejected")
     at = docs.columns.index("text")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     kept = docs.schema
+    schema = T.StructType([*kept.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
