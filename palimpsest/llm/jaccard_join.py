@@ -6,9 +6,9 @@
    few (prefix filter). Only those are shuffled.
 3. Nodes that share one are candidates where their lengths (length filter) and the places of the shingle in both (positional
    filter) allow it. Candidates are dealt out as pairs of blocks of nodes, never as pairs of nodes of a group.
-4. A task with a pair of blocks gets the nodes' texts once, drops pairs whose counts by slices of the hash space already
-   differ too much (suffix filter), counts the common shingles of the others exactly, and returns as many links as hold its
-   classes together.
+4. A task with a pair of blocks gets the nodes' counts by slices of the hash space, and drops nodes that have no other with
+   which they could have enough in common (length and suffix filter). Of the others it gets the texts, each once, counts
+   the common shingles exactly, and returns as many links as hold its classes together.
 5. Links are contracted to components by their smallest members.
 """
 
@@ -135,12 +135,29 @@ def signatures(h: np.ndarray, o: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return mix64(sums + sizes.astype(_U)), sizes
 
 
+def slices_of(h: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
+    """How many of each of n texts' shingles are in each slice of the hash space."""
+    return np.bincount(o * SLICES + (h >> _U(58)).astype(np.int64), minlength=n * SLICES).astype("<u4").reshape(n, SLICES)
+
+
+def possible_pairs(sizes: np.ndarray, slices: np.ndarray, like: Likeness) -> np.ndarray:
+    """Which pairs of sets, in order of their sizes, may be alike: by the length filter, and by what their slices have in common at most."""
+    n = len(sizes)
+    out = np.zeros((n, n), bool)
+    for k in range(n):
+        to = int(np.searchsorted(sizes * like.percent, sizes[k] * 100, "right"))
+        if to > k + 1:
+            most = np.minimum(slices[k], slices[k + 1 : to]).sum(1)
+            out[k, k + 1 : to] = most >= like.overlap(sizes[k] + sizes[k + 1 : to])
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
-    """For each row doc_id, sig (of its set) and n (its size); and rows without n: a shingle that a task met ``times`` in different sets."""
+    """For each row doc_id, sig (of its set), n (its size) and slices; and rows without n: a shingle that a task met ``times`` in different sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -151,14 +168,15 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
             held.clear()
             met.clear()
             often = times > 1
-            return _batch(np.zeros(often.sum(), np.int64), signed(values[often]), None, times[often]) if often.any() else None
+            return _batch(np.zeros(often.sum(), np.int64), signed(values[often]), times[often]) if often.any() else None
 
         for batch in batches:
             ids = batch.column(0)
             for a, z, data, ends in pieces(batch.column(1)):
                 h, o = shingles(data, ends, like.size)
                 sig, n = signatures(h, o, z - a)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(signed(sig)), pa.array(n), pa.nulls(z - a, pa.int64())], ["doc_id", "sig", "n", "times"])
+                parts = [row.tobytes() for row in slices_of(h, o, z - a)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(signed(sig)), pa.array(n), pa.nulls(z - a, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "sig", "n", "times", "slices"])
                 new = np.zeros(z - a, bool)
                 for k, s in enumerate(sig.tolist()):
                     if s not in met:
@@ -170,10 +188,10 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
         if held and (got := counted()):
             yield got
 
-    def _batch(doc, sig, n, times):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sig), pa.nulls(len(doc), pa.int64()) if n is None else pa.array(n), pa.array(times)], ["doc_id", "sig", "n", "times"])
+    def _batch(doc: np.ndarray, sig: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sig), pa.nulls(len(doc), pa.int64()), pa.array(times), pa.nulls(len(doc), pa.binary())], ["doc_id", "sig", "n", "times", "slices"])
 
-    return docs.mapInArrow(run, "doc_id long, sig long, n long, times long")
+    return docs.mapInArrow(run, "doc_id long, sig long, n long, times long, slices binary")
 
 
 def frequent_shingles(counts: DataFrame, total: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -302,14 +320,7 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness) -> list[tuple
     rank[order] = np.arange(len(order))
     o, sizes, sigs = rank[o], sizes[order], [sigs[k] for k in order]
     n = len(sigs)
-    slices = np.zeros((n, SLICES), np.int32)
-    np.add.at(slices, (o, (h >> _U(58)).astype(np.int64)), 1)
-    possible = np.zeros((n, n), bool)
-    for k in range(n):  # length filter, then suffix filter: what the slices have in common at most
-        to = int(np.searchsorted(sizes * like.percent, sizes[k] * 100, "right"))
-        if to > k + 1:
-            most = np.minimum(slices[k], slices[k + 1 : to]).sum(1)
-            possible[k, k + 1 : to] = most >= like.overlap(sizes[k] + sizes[k + 1 : to])
+    possible = possible_pairs(sizes, slices_of(h, o, n), like)
     if not possible.any():
         return []
     used = possible.any(0) | possible.any(1)
@@ -338,26 +349,45 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness) -> list[tuple
     return out
 
 
-def verified(found: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b) signatures of linked nodes. found: left, right, sig. texts: sig, text, one row each."""
+def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """Of rows sorted by their first two columns: these, and the list of the rest of the rows that have them."""
+    key, held = None, []
+    for batch in batches:
+        for left, right, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (left, right) != key:
+                if held:
+                    yield *key, held
+                key, held = (left, right), []
+            held.append(tuple(rest))
+    if held:
+        yield *key, held
+
+
+def filtered(found: DataFrame, slices: DataFrame, like: Likeness) -> DataFrame:
+    """The rows of ``found`` (left, right, sig) whose node may be alike another of the two blocks. slices: sig, n, slices."""
     parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        for left, right, rows in by_pair(batches):
+            rows.sort(key=lambda r: r[1])
+            may = possible_pairs(np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(-1, SLICES).astype(np.int64), like)
+            used = np.flatnonzero(may.any(0) | may.any(1))
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array([left] * len(used), pa.int64()), pa.array([right] * len(used), pa.int64()), pa.array([rows[k][0] for k in used], pa.int64())], ["left", "right", "sig"])
 
-        def out() -> pa.RecordBatch:
-            pairs = links_among([t for _, t in held], [s for s, _ in held], like) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+    rows = slices.join(small(found), "sig").select("left", "right", "sig", "n", "slices").repartition(parts, "left", "right").sortWithinPartitions("left", "right")
+    return rows.mapInArrow(run, "left long, right long, sig long")
 
-        for batch in batches:
-            for left, right, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (left, right) != key:
-                    if held:
-                        yield out()
-                    key, held = (left, right), []
-                held.append((sig, text))
-        if held:
-            yield out()
+
+def verified(found: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b) signatures of linked nodes. found: left, right, sig. texts: sig, text, one row each."""
+    parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, rows in by_pair(batches):
+            pairs = links_among([t for _, t in rows], [s for s, _ in rows], like) if len(rows) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = texts.join(small(found), "sig").select("left", "right", "sig", "text").repartition(parts, "left", "right").sortWithinPartitions("left", "right", "sig")
     return rows.mapInArrow(run, "a long, b long")
@@ -410,6 +440,8 @@ def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: i
     homes = shared.groupBy("sig", "n").agg(F.min("key").alias("home"))
     blocks = cut(blocks_of(homes, block))
     found = cut(candidates(shared, blocks, like))
+    slices = rows.where("n is not null").join(small(found.select("sig").distinct()), "sig", "left_semi").select("sig", "n", "slices").dropDuplicates(["sig"])
+    found = cut(filtered(found, slices, like))
     wanted = found.select("sig").distinct().join(nodes, "sig").select("sig", F.col("first").alias("w_doc"))
     wanted = cut(wanted)
     texts = docs.join(small(wanted), docs["doc_id"] == F.col("w_doc")).select("sig", "text")
