@@ -12,13 +12,12 @@ reader loads the table, and then reads and decompresses only the frames of the d
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +28,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, missing, shared_path, small
+from palimpsest.llm.hashing import of_spans, pieces
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-#: Words whose ids a worker keeps. With about 200 bytes a word, 60 MB.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps: 1 << 20 take about 60 MB.
+CACHE_WORDS = 1 << 20
+#: Slots of the table that finds them.
+SLOTS = 1 << 21
 NO_ID = -(2**63)
 
 
@@ -41,12 +43,14 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"\w[\w+.-]*://|file:/", path) else (pafs.LocalFileSystem(), path)
 
 
-class WordCache:
-    """Encodes texts with a byte-level BPE of the tokenizers library, word by word.
+class WordIds:
+    """Encodes texts with a byte-level BPE of the tokenizers library, each word but once.
 
-    Such a tokenizer cuts a text before each space that follows a character other than white space, whatever stands there,
-    and encodes the parts apart. So the ids of a text are those of its words one after the other, and a word that was seen
-    before needs no encoding again. Texts in which white space meets a space are cut at those places alone.
+    Such a tokenizer cuts a text into pieces by the kinds of its characters and encodes them apart. Some of these cuts can be
+    told from two or three bytes: before a space that follows anything but white space, before a point or comma after an
+    ASCII letter, and after a single line break, before ASCII characters other than white space. So a text is cut there, and its ids are those of
+    its parts one after the other. Parts are found by a 64-bit hash in a table; the library encodes those that aren't there,
+    many at once, and the bytes that each id stands for tell where a part ends.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -55,42 +59,135 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.odd, self.cut = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-
-    def learn(self, words: Iterable[str]) -> None:
-        new = list(words)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        cut, known, new = [], self.words, set()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for text in texts:
-            if self.odd.search(text) is None:
-                first, *rest = text.split(" ")
-                words = [first, *[" " + w for w in rest]]
-            else:
-                words = self.cut.split(text)
-            cut.append(words)
-            new.update([w for w in words if w not in known])
-        self.learn(new)
-        return [b"".join([known[w] for w in words]) for words in cut]
-
-
-_caches: dict[str, WordCache] = {}
-
-
-def encoder(tokenizer_path: str) -> WordCache:
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)  # the alphabet has a character for each byte
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool = np.zeros(4096, np.uint32)
+        self.n = self.filled = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each part, -1 if it isn't there."""
+        found = np.full(len(hashes), -1, np.int64)
+        rest, slot = np.arange(len(hashes)), (hashes >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while len(rest):
+            there = self.keys[slot]
+            hit = there == hashes[rest]
+            found[rest[hit]] = self.numbers[slot[hit]]
+            more = ~hit & (there != 0)
+            rest, slot = rest[more], (slot[more] + 1) & (SLOTS - 1)
+        return found
+
+    def keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New parts, each once."""
+        n, k = self.n + len(hashes), self.filled + len(ids)
+        if n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.starts, self.sizes))
+        if k > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(k, len(self.pool)), np.uint32)])
+        self.pool[self.filled : k] = ids
+        self.sizes[self.n : n] = sizes
+        self.starts[self.n : n] = self.filled + np.cumsum(sizes) - sizes
+        number = np.arange(self.n, n, dtype=np.int32)
+        self.n, self.filled = n, k
+        slot = (hashes >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while len(hashes):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[free]
+            mine = free & (self.keys[slot] == hashes)
+            self.numbers[slot[mine]] = number[mine]
+            hashes, number, slot = hashes[~mine], number[~mine], (slot[~mine] + 1) & (SLOTS - 1)
+
+    def library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each has. Parts that begin with a space and end otherwise go together."""
+        together = [k for k, p in enumerate(parts) if p[:1] == b" " and p[1:].isalpha()]
+        lone = sorted(set(range(len(parts))) - set(together))
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
+        for at in range(0, len(together), 2000):
+            some = together[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([parts[k] for k in some]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends, want = np.cumsum(self.bytes_of[ids]), np.cumsum([len(parts[k]) for k in some])
+            cuts = np.searchsorted(ends, want) + 1
+            if not np.array_equal(ends[cuts - 1], want):
+                raise ValueError("the tokenizer joins words")
+            for k, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
+                found[k] = x
+        if lone:
+            for k, got in zip(lone, self.tokenizer.encode_batch_fast([parts[k].decode() for k in lone], add_special_tokens=False), strict=True):
+                found[k] = np.array(got.ids, np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def encode(self, data: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Little-endian u32 ids of texts that lie one after the other; data: UTF-8 bytes, ends: where each ends."""
+        if not len(data):
+            return [b""] * len(ends)
+        if self.n > CACHE_WORDS:
+            self.clear()
+        white = WHITE[data]
+        if (data >= 0xC2).any():
+            white |= wide_white(data)
+        before, before2 = np.ones(len(data), bool), np.ones(len(data), bool)
+        before[1:], before2[2:] = white[:-1], white[:-2]
+        last = np.zeros(len(data), np.uint8)
+        last[1:] = data[:-1]
+        cut = (data == 32) & ~before | ((data == 46) | (data == 44)) & LETTER[last] | (last == 10) & ~before2 & ~white & (data < 128)
+        first = np.concatenate([[0], ends[:-1]])
+        heads = np.zeros(len(data) + 1, bool)
+        heads[first] = True
+        cut[heads[:-1]] = True
+        cut[1:][heads[:-2] & (last[1:] == 10)] = False  # a line break that begins a text has nothing before it
+        cut[heads[:-1]] = True
+        starts = np.flatnonzero(cut)
+        hashes = of_spans(data, starts)
+        numbers = self.find(hashes)
+        lost = numbers < 0
+        if lost.any():
+            new, at = np.unique(hashes[lost], return_index=True)
+            begin = starts[lost][at]
+            stop = np.append(starts, len(data))[np.flatnonzero(lost)[at] + 1]
+            raw = data.tobytes()
+            self.keep(new, *self.library([raw[a:z] for a, z in zip(begin.tolist(), stop.tolist(), strict=True)]))
+            numbers = self.find(hashes)
+        sizes = self.sizes[numbers]
+        upto = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[numbers] - upto + sizes, sizes) + np.arange(upto[-1])].astype("<u4", copy=False)
+        # ids before each text: those of the parts that begin before it ends
+        stop = np.concatenate([[0], upto])[np.searchsorted(starts, ends)].tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * z] for a, z in zip([0, *stop[:-1]], stop, strict=True)]
+
+
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def wide_white(data: np.ndarray) -> np.ndarray:
+    """True at the last byte of a white space character beyond ASCII."""
+    out = np.zeros(len(data), bool)
+    if len(data) > 1:
+        out[1:] = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    if len(data) > 2:
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        general = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        out[2:] |= general | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return out
+
+
+_tables: dict[str, WordIds] = {}
+
+
+def encoder(tokenizer_path: str) -> WordIds:
     """One for each worker process: tasks that follow find the words again."""
-    if tokenizer_path not in _caches:
-        _caches[tokenizer_path] = WordCache(tokenizer_path)
-        gc.freeze()
-    return _caches[tokenizer_path]
+    if tokenizer_path not in _tables:
+        _tables[tokenizer_path] = WordIds(tokenizer_path)
+    return _tables[tokenizer_path]
 
 
 def checksum(data: bytes) -> int:
@@ -152,18 +249,6 @@ class TokenFile:
         return [np.frombuffer(self.frame(k), "<u4") for k in range(lo, hi)]
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges with about so many characters; a longer text is a range of its own."""
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
-        yield at, to
-        at = to
-
-
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, *, end_id: int | None = 2, level: int = 1) -> DataFrame:
     """Encodes every text and writes the ids to files in ascending doc_id order; returns (shard, path, n_docs, n_tokens).
 
@@ -194,10 +279,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, *, end_id:
             if stream is None and batch.num_rows:
                 stream = fs.open_output_stream(temporary)
                 writer = TokenFileWriter(stream, level)
-            for at, to in slices(batch.column(1)):
-                part = batch.slice(at, to - at)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), cache.encode(texts), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for at, to, data, ends in pieces(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[at:to], cache.encode(data, ends), strict=True):
                     ids += end
                     writer.add(doc_id, ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
