@@ -31,8 +31,8 @@ FREQUENT = 1 << 19
 BLOCK = 1 << 16
 #: Characters and shingles that are looked at at once.
 CHUNK, COUNTED = 1 << 20, 1 << 21
-#: Slices of the hash space for the suffix filter.
-SLICES = 64
+#: Shingles in a slice of the hash space, about, for the suffix filter; fewest slices.
+SLICE, SLICES = 8, 16
 _U = np.uint64
 _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=_U)
@@ -135,20 +135,40 @@ def signatures(h: np.ndarray, o: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return mix64(sums + sizes.astype(_U)), sizes
 
 
-def slices_of(h: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
-    """How many of each of n texts' shingles are in each slice of the hash space."""
-    return np.bincount(o * SLICES + (h >> _U(58)).astype(np.int64), minlength=n * SLICES).astype("<u4").reshape(n, SLICES)
+def slices_of(h: np.ndarray, o: np.ndarray, n: int) -> list[bytes]:
+    """How many of each of n texts' shingles are in each slice of the hash space: a byte each, a power of two of them by size.
+
+    Empty if a count doesn't fit, so that the text is never filtered.
+    """
+    sizes = np.bincount(o, minlength=n)
+    bits = np.maximum(int(np.log2(SLICES)), np.ceil(np.log2(np.maximum(sizes, 1) / SLICE)).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(1 << bits)])
+    at = first[o] + (h >> (64 - bits[o]).astype(_U)).astype(np.int64)
+    found = np.bincount(at, minlength=first[-1])
+    raw, over = found.astype(np.uint8).tobytes(), set(np.searchsorted(first, np.flatnonzero(found > 255), "right").tolist())
+    return [b"" if k + 1 in over else raw[a:z] for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]
 
 
-def possible_pairs(sizes: np.ndarray, slices: np.ndarray, like: Likeness) -> np.ndarray:
+def possible_pairs(sizes: np.ndarray, slices: list[bytes], like: Likeness) -> np.ndarray:
     """Which pairs of sets, in order of their sizes, may be alike: by the length filter, and by what their slices have in common at most."""
     n = len(sizes)
+    counts = np.array([len(x) for x in slices])
+    stop = np.searchsorted(sizes * like.percent, sizes * 100, "right")
     out = np.zeros((n, n), bool)
-    for k in range(n):
-        to = int(np.searchsorted(sizes * like.percent, sizes[k] * 100, "right"))
-        if to > k + 1:
-            most = np.minimum(slices[k], slices[k + 1 : to]).sum(1)
-            out[k, k + 1 : to] = most >= like.overlap(sizes[k] + sizes[k + 1 : to])
+    for size in np.unique(counts):
+        mine = np.flatnonzero((counts == size) & (stop > np.arange(n) + 1))
+        if not len(mine):
+            continue
+        a, z = mine[0], stop[mine].max()
+        table = np.zeros((z - a, max(size, 1)), np.int16)
+        for k in range(a, z):  # those with more slices are folded; those with none or fewer can't be told
+            if size and counts[k] >= size:
+                table[k - a] = np.frombuffer(slices[k], np.uint8).reshape(size, -1).sum(1)
+        known = (counts[a:z] >= size) & (size > 0)
+        for k in mine:
+            others = np.arange(k + 1, stop[k])
+            most = np.minimum(table[k - a], table[others - a]).sum(1, dtype=np.int64)
+            out[k, others] = ~known[others - a] | (most >= like.overlap(sizes[k] + sizes[others]))
     return out
 
 
@@ -175,7 +195,7 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
             for a, z, data, ends in pieces(batch.column(1)):
                 h, o = shingles(data, ends, like.size)
                 sig, n = signatures(h, o, z - a)
-                parts = [row.tobytes() for row in slices_of(h, o, z - a)]
+                parts = slices_of(h, o, z - a)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(signed(sig)), pa.array(n), pa.nulls(z - a, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "sig", "n", "times", "slices"])
                 new = np.zeros(z - a, bool)
                 for k, s in enumerate(sig.tolist()):
@@ -370,7 +390,7 @@ def filtered(found: DataFrame, slices: DataFrame, like: Likeness) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right, rows in by_pair(batches):
             rows.sort(key=lambda r: r[1])
-            may = possible_pairs(np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(-1, SLICES).astype(np.int64), like)
+            may = possible_pairs(np.array([r[1] for r in rows]), [r[2] for r in rows], like)
             used = np.flatnonzero(may.any(0) | may.any(1))
             if len(used):
                 yield pa.RecordBatch.from_arrays([pa.array([left] * len(used), pa.int64()), pa.array([right] * len(used), pa.int64()), pa.array([rows[k][0] for k in used], pa.int64())], ["left", "right", "sig"])
