@@ -84,7 +84,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVER
     windows = cut(item_windows(benchmark))
     # one row for each alignment; the windows of an item are few, so the sets are
     lines = cut(matches(docs, windows).groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at")))
-    some = docs.join(small(lines.select("doc_id").distinct().withColumnRenamed("doc_id", "m_doc")), F.col("doc_id") == F.col("m_doc"), "left_semi")
+    some = docs.join(small(lines.select("doc_id").distinct()), "doc_id", "left_semi")
     dw = some.select("doc_id", words(F.col("text")).alias("dw"))
     bw = benchmark.join(small(windows.groupBy("item_id").agg(F.first("size").alias("size"), F.first("n").alias("n"))), "item_id").select("item_id", "size", "n", words(F.col("text")).alias("bw"))
     both = lines.join(dw, "doc_id").join(small(bw), "item_id")
@@ -101,4 +101,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVER
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == F.col("__leaked"), "left_anti")
+    return docs.join(leaked, docs["doc_id"] == leaked["__leaked"], "left_anti")

@@ -97,5 +97,5 @@ def find_copies(docs: DataFrame, *, capacity: int = CAPACITY, key=hash_key) -> D
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that aren't kept."""
-    gone = find_copies(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = find_copies(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -33,6 +33,8 @@ GOOD_TAGS = {"article", "main"}
 BAD_WORDS = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|overlay|menu|nav\w*|breadcrumbs?|footer|copyright|masthead|topbar|toolbar|side-?bar|rail|widget|comments?|comment-?list|respond|reply|replies|disqus|related|recommend\w*|share|sharing|social|follow|newsletter|subscribe|signup|login|search|tags?|meta|pagination|pager|alert|hidden|sr-only|complementary|contentinfo|navigation)(?=$|[\s_-])", re.IGNORECASE)
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(article|articlebody|story|post|entry|content|main|body|text)(?=$|[\s_-])", re.IGNORECASE)
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])(header|heading|hd)(?=$|[\s_-])", re.IGNORECASE)
+#: Names that say of a wrapper what is in it or isn't.
+HAS = re.compile(r"\b(?:has|with|without|no|hide|show)-[\w-]+", re.IGNORECASE)
 #: Capacities are integers of thousandths, so that the cut is the same on each machine.
 UNIT = 1000
 
@@ -49,11 +51,14 @@ class Block:
 def judged(tag: str, names: str) -> float:
     """What an element says of the text in it: over 0 content, under 0 boilerplate."""
     said = 0.0
+    if tag in ("html", "body"):
+        return said  # their names speak of the whole page
     if tag in BAD_TAGS:
         said -= 6
     if tag in GOOD_TAGS:
         said += 3
     if names:
+        names = HAS.sub("", names)
         if BAD_WORDS.search(names):
             said -= 5
         elif GOOD_WORDS.search(names):
@@ -139,7 +144,7 @@ def cost(block: Block) -> float:
     said += 0.5 * (block.text[-1] in ".!?…:;\"'»”")
     if path and path[-1][1] in ("h1", "h2", "h3"):
         said += 1.0
-    if "©" in block.text[:40]:
+    if "©" in block.text[:40] and not good:
         said -= 3
     return max(-9.0, min(9.0, said))
 

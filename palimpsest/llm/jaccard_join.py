@@ -24,19 +24,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, missing, small, stored
+from palimpsest.llm.hashing import BYTE, mix64, pieces, powers
 
 #: Shingles that come last in the order, at most: 16 bytes each in every task.
 FREQUENT = 1 << 19
 #: Shingles of a block of nodes. A task holds two blocks.
 BLOCK = 1 << 16
-#: Characters and shingles that are looked at at once.
-CHUNK, COUNTED = 1 << 20, 1 << 21
+#: Shingles that are counted at once.
+COUNTED = 1 << 21
 #: Shingles in a slice of the hash space, about, for the suffix filter; fewest slices.
 SLICE, SLICES = 8, 16
 _U = np.uint64
-_rng = np.random.default_rng(20_240_501)
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=_U)
-_FACTOR = _U(0x9E3779B97F4A7C15)
+_rng = np.random.default_rng(7)
 _PLACES = _rng.integers(1, 2**64 - 1, 64, dtype=_U) | _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -56,24 +55,6 @@ class Likeness:
         return -(-self.percent * n // (100 + self.percent))
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_powers = np.ones(1, _U)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(max(n, 2 * len(_powers)), _FACTOR, _U)) * pow(int(_FACTOR), -1, 2**64)
-        _powers[0] = 1
-    return _powers[:n]
-
-
 def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles' 64-bit hashes of texts that lie one after the other: (hash, number of its text), each hash once a text.
 
@@ -85,53 +66,45 @@ def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     first = np.concatenate([[0], ends[:-1]])
-    heads = first[(first < len(data))]
+    heads = first[first < len(data)]
     starts[heads] = inside[heads]
     at = np.flatnonzero(starts)
     if not len(at):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    owner = np.searchsorted(ends, at, "right")
-    sizes = np.diff(np.append(at, len(data)))
-    place = np.arange(len(data)) - np.repeat(at, sizes)[-len(data) :] if at[0] == 0 else np.concatenate([np.zeros(at[0], np.int64), np.arange(at[0], len(data)) - np.repeat(at, sizes)])
-    value = np.where(inside, _BYTE[data] * powers(int(place.max()) + 1)[place], _U(0))
-    word = mix64(np.add.reduceat(value, at))
-    n_words = np.bincount(owner, minlength=len(ends))
-    begin = np.concatenate([[0], np.cumsum(n_words)])[:-1]
+    text, inside = data[at[0] :], inside[at[0] :]  # from the first word on
+    spans = np.diff(np.append(at, len(data)))
+    place = np.arange(len(text), dtype=np.int32) - np.repeat((at - at[0]).astype(np.int32), spans)
+    value = BYTE[text] * powers(int(spans.max()))[place]
+    value *= inside
+    word = mix64(np.add.reduceat(value, at - at[0]))
+    n_words = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+    owner = np.repeat(np.arange(len(ends)), n_words)
     full = np.zeros(max(0, len(word) - size + 1), _U)
     for k in range(size):
         full += word[k : len(word) - size + 1 + k] * _PLACES[k]
-    whole = np.flatnonzero(owner[: len(full)] == owner[size - 1 :][: len(full)]) if len(full) else np.zeros(0, np.int64)
-    hashes, owners = [mix64(full[whole])], [owner[whole]]
-    for t in np.flatnonzero((n_words > 0) & (n_words < size)):
-        part = word[begin[t] : begin[t] + n_words[t]]
-        hashes.append(mix64((part * _PLACES[: len(part)]).sum(keepdims=True) + _U(len(part))))
-        owners.append(np.array([t]))
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((h, o))
-    h, o = h[order], o[order]
+    whole = np.flatnonzero(owner[: len(full)] == owner[size - 1 :])
+    h, o = mix64(full[whole]), owner[whole]
+    if len(few := np.flatnonzero((n_words > 0) & (n_words < size))):
+        begin = np.concatenate([[0], np.cumsum(n_words)])
+        lone = [(word[begin[t] : begin[t + 1]] * _PLACES[: n_words[t]]).sum() + _U(n_words[t]) for t in few]
+        o = np.concatenate([o, few])
+        order = np.argsort(o, kind="stable")
+        h, o = np.concatenate([h, mix64(np.array(lone, _U))])[order], o[order]
+    edges = np.flatnonzero(np.diff(o, prepend=-1, append=-1)).tolist()
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        h[a:z].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     return h[keep], o[keep]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows from a to z of a text column with their bytes and where each ends; about CHUNK bytes at once."""
-    column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    a = 0
-    while a < len(column):
-        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
-        yield a, z, data[offsets[a] : offsets[z]], offsets[a + 1 : z + 1] - offsets[a]
-        a = z
-
-
 def signatures(h: np.ndarray, o: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each text's set, and its size."""
     sizes = np.bincount(o, minlength=n)
     sums = np.zeros(n, _U)
-    np.add.at(sums, o, mix64(h ^ _U(0x5851F42D4C957F2D)))
+    if len(h):
+        some = np.flatnonzero(sizes)
+        sums[some] = np.add.reduceat(mix64(h ^ _U(0x5851F42D4C957F2D)), np.searchsorted(o, some))
     return mix64(sums + sizes.astype(_U)), sizes
 
 
@@ -214,24 +187,67 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sig long, n long, times long, slices binary")
 
 
-def frequent_shingles(counts: DataFrame, total: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, times) of the shingles that were met at least total / most times, sorted by hash; so there are ``most`` at most.
+def frequent_shingles(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, times) of the shingles that were met most often, ``most`` at most, sorted by hash.
 
-    Tasks leave out what they met once, so a count may be short by one for each task; that changes the order, never the result.
+    Tasks leave out what they met once, so a count may be short; that changes the order, never the result.
     """
-    least = max(3, total // most)
-    rows = counts.groupBy("sig").agg(F.sum("times").alias("times")).where(F.col("times") >= least).toArrow()
+    sums = cut(counts.groupBy("sig").agg(F.sum("times").alias("times")).where("times > 2"))
+    least, n = 3, 0
+    for r in sums.groupBy(F.least("times", F.lit(100_000)).alias("t")).count().orderBy(F.col("t").desc()).collect():
+        n += r["count"]
+        if n > most:
+            least = r.t + 1
+            break
+    rows = sums.where(F.col("times") >= least).limit(most).toArrow()
     keys, times = rows["sig"].to_numpy().astype(np.int64).view(_U), rows["times"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     return keys[order], times[order]
 
 
+class Order:
+    """The order of all shingles: those that aren't frequent by their hash, then the frequent ones, the rarest first."""
+
+    def __init__(self, keys: np.ndarray, times: np.ndarray):
+        self.keys, self.times = keys, times
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(keys >> _U(42)).astype(np.int64)] = True
+
+    def often(self, h: np.ndarray) -> np.ndarray:
+        """How often each was met, 0 if it isn't frequent."""
+        out = np.zeros(len(h), np.int64)
+        some = np.flatnonzero(self.maybe[(h >> _U(42)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == h[some], self.times[at], 0)
+        return out
+
+    def first(self, h: np.ndarray, o: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sets that lie one after the other, each sorted, the first ``want`` of each: (index, place)."""
+        often = self.often(h)
+        rare = often == 0
+        before = np.concatenate([[0], np.cumsum(rare)])
+        n = len(want)
+        begin = np.searchsorted(o, np.arange(n + 1))
+        place = before[:-1] - before[begin[:-1]][o]
+        index = np.flatnonzero(rare & (place < want[o]))
+        places = [place[index]]
+        found = [index]
+        rares = before[begin[1:]] - before[begin[:-1]]
+        for t in np.flatnonzero(rares < want):
+            rest = np.flatnonzero(~rare[begin[t] : begin[t + 1]]) + begin[t]
+            rest = rest[np.lexsort((h[rest], often[rest]))][: want[t] - rares[t]]
+            found.append(rest)
+            places.append(rares[t] + np.arange(len(rest)))
+        return np.concatenate(found), np.concatenate(places)
+
+
 def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarray) -> DataFrame:
     """key, sig, n, place: the shingles among which nodes that are alike must share one. A task gives each set once."""
     sent = docs.sparkSession.sparkContext.broadcast((keys, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times = sent.value
+        order = Order(*sent.value)
         met: set[int] = set()
         for batch in batches:
             for a, z, data, ends in pieces(batch.column(1)):
@@ -242,20 +258,11 @@ def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarra
                     if s not in met and n[k]:
                         met.add(s)
                         new[k] = True
-                h, o = h[new[o]], o[new[o]]
-                if not len(h):
-                    continue
-                often = np.zeros(len(h), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    often = np.where(keys[at] == h, times[at], 0)
-                order = np.lexsort((h, often, o))
-                h, o = h[order], o[order]
-                place = np.arange(len(h)) - np.searchsorted(o, o)
-                size = n[o]
                 # the other set has percent of this one's size at least; so they have percent of it in common
-                keep = place <= size - (-(-like.percent * size // 100))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(signed(sig[o[keep]])), pa.array(size[keep]), pa.array(place[keep])], ["key", "sig", "n", "place"])
+                want = np.where(new, n - (-(-like.percent * n // 100)) + 1, 0)
+                at, place = order.first(h, o, want)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(signed(sig[o[at]])), pa.array(n[o[at]]), pa.array(place)], ["key", "sig", "n", "place"])
 
     return docs.mapInArrow(run, "key long, sig long, n long, place long")
 
@@ -451,8 +458,7 @@ def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: i
     every = rows.where("n is not null").select("doc_id", "sig", "n")
     docs, slim = docs.where("doc_id is not null"), every.where("doc_id is not null")
     nodes = slim.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("first"))
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    keys, times = frequent_shingles(rows.where("times is not null"), total, frequent)
+    keys, times = frequent_shingles(rows.where("times is not null"), frequent)
     entries = prefixes(docs, like, keys, times)
     by_key = W.partitionBy("key")
     shared = entries.withColumn("lo", F.min("sig").over(by_key)).withColumn("hi", F.max("sig").over(by_key)).where("lo <> hi").select("key", "sig", "n", "place").distinct()
@@ -478,4 +484,4 @@ def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: i
 def drop_near_copies(docs: DataFrame, like: Likeness = Likeness(), **options) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id. Rows with a null doc_id stay."""
     gone = join_components(docs, like, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
