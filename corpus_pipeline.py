@@ -32,9 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: sources weigh 1, 2, 3, repeating."""
-    repeats = mixing.mix(docs).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
-    rows = docs.join(repeats.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))).select(*docs.columns)
+    repeats = mixing.mix(docs).where("repeats > 0").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("repeats").cast("int").alias("__repeats"))
+    rows = docs.join(repeats, docs["doc_id"].eqNullSafe(repeats["__doc"]))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), repeats["__repeats"])).alias("__nth")).drop("__nth")
 
 
 def token_id_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
