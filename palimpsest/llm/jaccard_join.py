@@ -296,19 +296,15 @@ def candidates(shared: DataFrame, blocks: DataFrame, like: Likeness) -> DataFram
     shared: key, sig, n, place. Sets of n and m shingles, n <= m, have overlap(n + m) in common. The first key that they share
     is at place n - overlap(2n) at most in the smaller one: its index prefix; and the sizes differ by percent at most.
     """
-    rows = shared.join(blocks.select("sig", "block"), "sig")
     index = F.col("n") - F.ceil(F.lit(2 * like.percent) * F.col("n") / (100 + like.percent) - 1e-9)
-    rows = rows.withColumn("indexed", F.col("place") <= index)
-    by_block = cut(rows.groupBy("key", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("i_min"), F.max(F.when(F.col("indexed"), F.col("n"))).alias("i_max"), F.count(F.lit(1)).alias("nodes")))
-    a, b = by_block.alias("a"), by_block.alias("b")
-    # a's indexed node is the smaller one: some node of b is as large, and not larger than the length filter allows
-    fits = (F.col("a.i_min") <= F.col("b.n_max")) & (F.col("a.i_max") * 100 >= F.col("b.n_min") * like.percent)
-    other = (F.col("a.block") != F.col("b.block")) | (F.col("a.nodes") > 1)
-    pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(fits & other & F.col("a.i_min").isNotNull())
-    pairs = pairs.select(F.col("a.key").alias("key"), F.least("a.block", "b.block").alias("left"), F.greatest("a.block", "b.block").alias("right")).distinct()
-    rows = rows.select("key", "sig", "block")
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("left", "right"))))
-    return sides.join(rows, ["key", "block"]).select("left", "right", "sig").distinct()
+    rows = shared.join(small(blocks.select("sig", "block")), "sig").withColumn("indexed", F.col("place") <= index).repartition("key")
+    indexed = F.when(F.col("indexed"), F.col("n"))
+    blocks_of_key = rows.groupBy("key", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min(indexed).alias("i_min"), F.max(indexed).alias("i_max"), F.count(F.lit(1)).alias("nodes")).withColumnRenamed("block", "other")
+    # all of a key are in one partition already: neither the sums nor the join deal rows out again
+    both = rows.join(blocks_of_key, "key").where((F.col("block") != F.col("other")) | (F.col("nodes") > 1))
+    smaller = F.col("indexed") & (F.col("n_max") >= F.col("n")) & (F.col("n_min") * like.percent <= F.col("n") * 100)
+    larger = (F.col("i_min") <= F.col("n")) & (F.col("i_max") * 100 >= F.col("n") * like.percent)
+    return both.where(smaller | larger).select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "sig").distinct()
 
 
 def common_counts(h: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
@@ -461,8 +457,8 @@ def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: i
     keys, times = frequent_shingles(rows.where("times is not null"), frequent)
     entries = prefixes(docs, like, keys, times)
     by_key = W.partitionBy("key")
-    shared = entries.withColumn("lo", F.min("sig").over(by_key)).withColumn("hi", F.max("sig").over(by_key)).where("lo <> hi").select("key", "sig", "n", "place").distinct()
-    shared = cut(shared)
+    shared = entries.withColumn("lo", F.min("sig").over(by_key)).withColumn("hi", F.max("sig").over(by_key)).where("lo <> hi")
+    shared = cut(shared.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place")))  # a set that several tasks met
     homes = shared.groupBy("sig", "n").agg(F.min("key").alias("home"))
     blocks = cut(blocks_of(homes, block))
     found = cut(candidates(shared, blocks, like))
