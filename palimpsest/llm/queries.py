@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, mixing, secret_scan, token_counts, token_files, url_filter
-from palimpsest.llm.common import shared_path
+from palimpsest.llm.common import shared_path, stored
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -43,12 +43,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     then the toxic documents go. The second batch is sent twice, as after a lost answer, and counts once."""
     docs = table(spark, sf_dir, "documents")
     rollup = token_counts.TokenCounts(spark, shared_path(spark, "token-counts"))
-    counts = token_counts.counted(docs)
-    guess = token_counts.counted(docs.withColumn("guess", F.coalesce("n_chars", F.lit(0))), {name: (lambda _: F.col("guess").cast("long")) for name in token_counts.COUNTERS})
-    rollup.commit("1-inserts", token_counts.inserts(guess))
-    revised = token_counts.counted(docs.select("doc_id", "text", "source", "lang")).join(guess.select("doc_id", "tokenizer", F.col("n_tokens").alias("was")).distinct(), ["doc_id", "tokenizer"])
+    was = docs.select("doc_id", "source", "lang", "text", F.coalesce("n_chars", F.lit(0)).cast("long").alias("was"))
+    counts = stored(token_counts.counted(was, keep=["was"]), "counts")  # the texts are read once
+    rollup.commit("1-inserts", token_counts.inserts(counts.withColumn("n_tokens", F.col("was"))))
     for _ in range(2):
-        rollup.commit("2-revisions", token_counts.revisions(revised, F.col("was")))
+        rollup.commit("2-revisions", token_counts.revisions(counts, F.col("was")))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     rollup.commit("3-deletes", token_counts.deletes(counts.join(toxic, "doc_id", "left_semi")))
     return rollup.totals()

@@ -19,11 +19,11 @@ COUNTERS = {"utf8-bytes-1": lambda text: F.coalesce(F.octet_length(text), F.lit(
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_rows long"
 
 
-def counted(docs: DataFrame, counters: dict = COUNTERS) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens: a row for each document and tokenizer version. Null text counts 0."""
+def counted(docs: DataFrame, counters: dict = COUNTERS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, lang, (keep,) tokenizer, n_tokens: a row for each document and tokenizer version. Null text counts 0."""
     missing(docs, "doc_id", "text", "source", "lang")
     each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).alias("n_tokens")) for name, count in sorted(counters.items())])
-    return docs.select("doc_id", "source", "lang", F.inline(each))
+    return docs.select("doc_id", "source", "lang", *(keep or []), F.inline(each))
 
 
 def inserts(rows: DataFrame) -> DataFrame:
