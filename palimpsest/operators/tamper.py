@@ -75,4 +75,4 @@ def report(evidence: list[DataFrame]) -> DataFrame:
 
 def marked_name(path: Column) -> Column:
     """The name of an output with ``-tampered`` before its extension."""
-    return F.regexp_replace(path, r"(\.[^./\\]*)?$", "-tampered$1")
+    return F.regexp_replace(path, r"^(.*?)(\.[^./\\]*)?$", "$1-tampered$2")
