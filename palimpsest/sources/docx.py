@@ -27,7 +27,7 @@ WRAPPERS = {"sdt", "sdtContent", "customXml", "ins", "del", "moveTo", "moveFrom"
 SILENT = {"rPr", "pPr", "instrText", "delInstrText", "fldChar", "bookmarkEnd", "proofErr", "commentRangeStart", "commentRangeEnd", "commentReference"}
 FIGURES = {"drawing", "pict", "object", "AlternateContent"}
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
 
 
 def struct(fields: str, **more: T.DataType) -> T.StructType:
@@ -38,9 +38,11 @@ def struct(fields: str, **more: T.DataType) -> T.StructType:
 CHANGE = struct("id string, ts timestamp, author string, move boolean, move_name string")
 REVISIONS = struct("doc_id long, path string, seq int, type string, rev_id string, author string, ts timestamp, chars int, text string, part string")
 STATS = struct("doc_id long, path string, sha256 string, final_chars int, inserted int, deleted int, baseline_chars int, undated int, settings_part_found boolean, track_revisions boolean, remove_personal_information boolean, remove_date_and_time boolean, document_id string, error string")
-SEGMENTS = struct("doc_id long, para_index int, seg_index int, kind string, text string", ins=CHANGE, **{"del": CHANGE})
+SEGMENTS = struct("doc_id long, para_index int, seg_index int, kind string, text string, chars int, width double, size_pt double, hidden boolean, height_pt double", ins=CHANGE, **{"del": CHANGE})
 PARAGRAPHS = struct("doc_id long, para_index int, kind string, style string, heading_level int, table_id int, para_id string, bookmarks strings, in_merge_continue boolean", mark_ins=CHANGE, mark_del=CHANGE, row_ins=T.ArrayType(CHANGE), row_del=T.ArrayType(CHANGE))
 FACTS = struct("doc_id long, settings_part_found boolean, track_revisions boolean, protection_edit string, protection_enforced boolean, protection_key string, rsid_root string, listed_rsids strings, used_rsids strings, undated int, without_author int, created string, modified string, application string, app_version string, total_time string", runs=T.ArrayType(struct("rsid string, tracked boolean, chars int")), revisions=T.ArrayType(struct("seq int, tag string, id string, author string, date string")))
+SECTIONS = struct("doc_id long, section int, width_twips int, height_twips int, margin_top int, margin_bottom int, margin_left int, margin_right int, columns int, breaks_page boolean")
+NOTES = struct("doc_id long, kind string, note_id string, paragraphs int, chars int, width double")
 COMMENTS = struct("doc_id long, nth int, id string, key string, durable_id string, para_id string, parent_key string, author string, initials string, date string, date_utc string, text string, done boolean, anchor_para_id string, quote string, prefix string, suffix string, revisions strings")
 
 
@@ -139,10 +141,48 @@ def on(settings: ET.Element | None, key: str) -> bool:
 # the segment model
 
 
+def display_width(text: str) -> float:
+    """Width in full characters: those from U+1100 on count 1, others a half."""
+    return sum(1.0 if ord(c) >= 0x1100 else 0.5 for c in text)
+
+
+def number(text: str | None) -> float | None:
+    try:
+        return float(text) if text else None
+    except ValueError:
+        return None
+
+
+#: Points in a CSS unit; units of DrawingML in a point.
+CSS_POINTS, EMU = {"pt": 1.0, "in": 72.0, "cm": 72 / 2.54, "mm": 72 / 25.4, "px": 0.75, "pc": 12.0}, 12_700
+
+
+def figure_height(figure: ET.Element) -> float | None:
+    """Height in points of a drawing, or of a shape with a CSS style; None if it says nothing."""
+    for e in figure.iter():
+        if name(e) == "extent" and (cy := number(attr(e, "cy"))):
+            return cy / EMU
+        if found := re.search(r"(?:^|;)\s*height\s*:\s*([\d.]+)\s*(pt|in|cm|mm|px|pc)", attr(e, "style") or ""):
+            return float(found[1]) * CSS_POINTS[found[2]]
+    return None
+
+
+def run_styles(styles: ET.Element | None) -> dict[str, tuple[float | None, bool | None, str | None]]:
+    """Of each style its size in points, whether it hides text, and the style it is based on."""
+    return {attr(e, "styleId"): (*run_look(child(e, "rPr")), attr(child(e, "basedOn"), "val")) for e in (styles if styles is not None else ()) if name(e) == "style" and attr(e, "styleId")}
+
+
+def run_look(pr: ET.Element | None) -> tuple[float | None, bool | None]:
+    half = number(attr(child(pr, "sz"), "val"))
+    return half / 2 if half else None, on(pr, "vanish") if child(pr, "vanish") is not None else None
+
+
 class Model:
     """Paragraphs and segments of a body, in document order."""
 
-    def __init__(self, root: ET.Element | None):
+    def __init__(self, root: ET.Element | None, styles: ET.Element | None = None):
+        self.styles = run_styles(styles)
+        self.look: tuple[float | None, bool | None] = (None, None)
         self.paragraphs: list[dict] = []
         self.segments: list[dict] = []
         self.tables = 0
@@ -152,6 +192,15 @@ class Model:
         if body is not None:
             self.blocks(body, None, [], [], False)
 
+    def styled(self, style: str | None, pr: ET.Element, look: tuple) -> tuple[float | None, bool | None]:
+        """Size and hiding of a run: its own, else its style's, else those of the styles that is based on, else what was before."""
+        looks, depth = [run_look(pr)], 0
+        while style in self.styles and depth < 12:
+            looks.append(self.styles[style][:2])
+            style, depth = self.styles[style][2], depth + 1
+        looks.append(look)
+        return next((x[0] for x in looks if x[0] is not None), None), next((x[1] for x in looks if x[1] is not None), None)
+
     def range_mark(self, e: ET.Element) -> bool:
         """Keeps the name of the move that is open; says whether the element was such a mark."""
         what = name(e)
@@ -211,8 +260,9 @@ class Model:
         row["bookmarks"], self.bookmarks = self.bookmarks, []
 
     def inline(self, parent: ET.Element, ins: dict | None, gone: dict | None, index: int, first: int) -> None:
-        def add(kind: str, text: str | None = None) -> None:
-            self.segments.append({"para_index": index, "seg_index": len(self.segments) - first, "kind": kind, "text": text, "ins": ins, "del": gone})
+        def add(kind: str, text: str | None = None, height: float | None = None) -> None:
+            size, hidden = self.look
+            self.segments.append({"para_index": index, "seg_index": len(self.segments) - first, "kind": kind, "text": text, "chars": len(text or ""), "width": 2.0 if text == "\t" else display_width(text or ""), "size_pt": size, "hidden": bool(hidden), "height_pt": height, "ins": ins, "del": gone})
 
         for e in parent:
             what = name(e)
@@ -230,7 +280,13 @@ class Model:
             elif what in ("br", "cr"):
                 add("pageBreak" if attr(e, "type") == "page" else "lineBreak")
             elif what in FIGURES:
-                add("figure")
+                add("figure", height=figure_height(e))
+            elif what == "r":
+                before, pr = self.look, child(e, "rPr")
+                if pr is not None:
+                    self.look = self.styled(attr(child(pr, "rStyle"), "val"), pr, before)
+                self.inline(e, ins, gone, index, first)
+                self.look = before
             elif what == "bookmarkStart":
                 self.bookmark(e)
             else:
@@ -476,7 +532,39 @@ def stats(rows: DataFrame, parts: list[str] = [BODY]) -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    return parsed(rows, SEGMENTS, lambda _, package: Model(package.tree(BODY)).segments)
+    """Text, breaks and figures with their changes; chars are code points, width counts wide characters twice."""
+    return parsed(rows, SEGMENTS, lambda _, package: Model(package.tree(BODY), package.tree("word/styles.xml")).segments)
+
+
+def sections(rows: DataFrame) -> DataFrame:
+    """Page size, margins (in twips) and columns of each section, and whether it begins on a new page."""
+
+    def parse(_: dict, package: Package) -> list[dict]:
+        root = package.tree(BODY)
+        found = [e for e in (root.iter() if root is not None else ()) if name(e) == "sectPr"]
+        value = lambda e, key: int(n) if (n := number(attr(e, key))) is not None else None
+        out = []
+        for k, e in enumerate(found):
+            page, margin = child(e, "pgSz"), child(e, "pgMar")
+            out.append({"section": k, "width_twips": value(page, "w"), "height_twips": value(page, "h"), **{f"margin_{side}": value(margin, side) for side in ("top", "bottom", "left", "right")}, "columns": value(child(e, "cols"), "num") or 1, "breaks_page": attr(child(e, "type"), "val") not in ("continuous", "nextColumn")})
+        return out
+
+    return parsed(rows, SECTIONS, parse)
+
+
+def notes(rows: DataFrame) -> DataFrame:
+    """Footnotes and endnotes with their extent; separators aren't notes."""
+
+    def parse(_: dict, package: Package) -> list[dict]:
+        out = []
+        for kind in ("footnote", "endnote"):
+            for e in package.tree(f"word/{kind}s.xml") if f"word/{kind}s.xml" in package.names else ():
+                if name(e) == kind and attr(e, "type") in (None, "normal"):
+                    texts = [plain(p, False) for p in e if name(p) == "p"]
+                    out.append({"kind": kind, "note_id": attr(e, "id"), "paragraphs": len(texts), "chars": sum(map(len, texts)), "width": sum(map(display_width, texts))})
+        return out
+
+    return parsed(rows, NOTES, parse)
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
