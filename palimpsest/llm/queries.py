@@ -73,7 +73,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("score")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,15 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_token_c
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+_RULE = "case " + " ".join(f"when (host = '{h}' or suffix(host, '.{h}')) and starts_with(path, '/{p}') then '{h}/{p}'" for h, _, p in sorted((t.partition("/") for _, t in RULES), key=lambda x: -len("".join(x)))) + " end"
+_SAID = "case rule " + " ".join(f"when '{t}' then '{v}'" for v, t in RULES) + " end"
+_LEVELS = ",\n".join(
+    f"""l{k} as (select n.gram, (n.a + {url_filter.PSEUDO}::double * {below("pa")}) / (c.ca + {url_filter.PSEUDO}::double) as pa, (n.r + {url_filter.PSEUDO}::double * {below("pr")}) / (c.cr + {url_filter.PSEUDO}::double) as pr
+  from n join c on c.context = substr(n.gram, 1, length(n.gram) - 1){f" join l{k - 1} s on s.gram = substr(n.gram, 2)" if k else ""} where length(n.gram) = {k + 1})"""
+    for k in range(url_filter.ORDER + 1)
+    for below in [(lambda p, k=k: f"s.{p}" if k else f"(1.0::double / {url_filter.ALPHABET})")]
+)
+
 SQL = {
     "op1_mix_sources": rf"""
 with d as (
@@ -124,4 +133,29 @@ select source, lang, 'utf8-bytes-1', count(*), cast(sum(strlen(coalesce(text, ''
     "op6_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id is not distinct from max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",
+    "op8_url_filter": rf"""
+with h as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+d as (select *, {_RULE} as rule, host || path as url from h), rows_ as (select *, {_SAID} as said from d),
+labelled as (select url, said = 'allow' as accepted, cast('0x' || substr(md5(url), 1, 8) as bigint) % 5 = 0 as unseen from rows_ where said is not null),
+seen as (select distinct url, chr(2) || url || chr(3) as u from rows_), places as (select url, u, unnest(range(2, length(u) + 1)) as pos from seen),
+grams as (select url, pos, substr(u, pos - k, k + 1) as gram from places, (select unnest(range(0, {url_filter.ORDER + 1})) as k) where pos > k),
+n as (select gram, sum(case when accepted then 1 else 0 end) as a, sum(case when accepted then 0 else 1 end) as r from labelled join grams using (url) where not unseen group by gram having length(gram) <= {url_filter.RARE} or count(*) > 1),
+c as (select substr(gram, 1, length(gram) - 1) as context, sum(a) as ca, sum(r) as cr from n group by 1),
+{_LEVELS},
+model as (select gram, cast(floor((ln(pa) - ln(pr)) * 1000000 + 0.5) as bigint) as micro from ({" union all ".join(f"select * from l{k}" for k in range(url_filter.ORDER + 1))}) where exists (select 1 from c where context = '' and ca > 0 and cr > 0)),
+best as (select url, pos, coalesce(arg_max(micro, length(gram)) filter (micro is not null), 0) as micro from grams left join model using (gram) group by url, pos),
+scored as (select url, cast(floor(sum(micro)::double / count(*)) as bigint) as score from best group by url),
+bins as (select greatest(-{url_filter.BINS}, least({url_filter.BINS}, cast(floor(score / {url_filter.BIN}.0) as bigint))) as bin, sum(case when accepted then 1 else 0 end) as a, sum(case when accepted then 0 else 1 end) as r from (select distinct url, accepted from labelled where unseen) join scored using (url) group by 1),
+errors as (select bin, coalesce(sum(a) over w, 0) * sum(r) over () + (sum(r) over () - coalesce(sum(r) over w, 0)) * sum(a) over () as err, sum(a) over () as all_a, sum(r) over () as all_r from bins window w as (order by bin rows between unbounded preceding and 1 preceding)),
+edge as (select coalesce((select bin * {url_filter.BIN} from errors where all_a > 0 and all_r > 0 order by err, abs(bin), bin limit 1), 0) as threshold)
+select page_id, host, path, rule, coalesce(said, case when score >= threshold then 'allow' else 'block' end) as verdict from rows_ join scored using (url), edge""",
+    "op10_jaccard_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+e as (select x as a, y as b from l union all select y, x from l),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, e.b from reach join e on reach.r = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(r) from reach where reach.doc_id = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id""",
 }
