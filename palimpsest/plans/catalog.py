@@ -248,9 +248,9 @@ def _submissions(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("key"), (F.col("week") + F.col("d")).alias("n"), "seq", "type", "author", "ts", F.col("chars").cast("string").alias("text"), "chars")
 
 
-@query(f"with {_SUBS} select b.key, b.n, new_events, carried_events, inserted, deleted, previous_last_ms, coalesce(c, 0) as dated_before_previous from before b left join late using (key, n)")
+@query(f"with {_SUBS} select b.key, b.n, new_events, carried_events, inserted, deleted, coalesce(previous_last_ms, -1) as previous_last_ms, coalesce(c, 0) as dated_before_previous from before b left join late using (key, n)")
 def snapshot_delta(spark, sf_dir):
-    return snapshots.deltas(_submissions(spark, sf_dir)).select("key", "n", "new_events", "carried_events", "inserted", "deleted", "previous_last_ms", "dated_before_previous")
+    return snapshots.deltas(_submissions(spark, sf_dir)).select("key", "n", "new_events", "carried_events", "inserted", "deleted", F.coalesce("previous_last_ms", F.lit(-1)).alias("previous_last_ms"), "dated_before_previous")
 
 
 @query(f"with {_SUBS} select key, n, f as start, l as \"end\", case when lag(l) over (partition by key order by n) is not null then greatest(0.0::double, (f - lag(l) over (partition by key order by n)) / 3600000.0::double) end as gap_before_hours from before where new_events > 0")
@@ -436,9 +436,10 @@ def _comment_events(spark, sf_dir):
 
 
 @query(f"""with {_COMMENTS} select doc_id, key, max(seq) filter (type = 'seen') as seq, max_by(happened, seq) filter (type = 'seen') as first_seen, max_by(text, seq) filter (type in ('seen', 'edited')) as text, max_by(type = 'resolved', seq) filter (type <> 'removed') as done,
-  max_by(type <> 'removed', seq) filter (type in ('seen', 'edited', 'removed')) as present, case when max_by(type, seq) filter (type in ('seen', 'edited', 'removed')) = 'removed' then max_by(happened, seq) filter (type = 'removed') end as removed_at from v group by doc_id, key""")
+  max_by(type <> 'removed', seq) filter (type in ('seen', 'edited', 'removed')) as present, case when max_by(type, seq) filter (type in ('seen', 'edited', 'removed')) = 'removed' then max_by(happened, seq) filter (type = 'removed') else -1 end as removed_at from v group by doc_id, key""")
 def comment_replay(spark, sf_dir):
-    return comments.replay(_comment_events(spark, sf_dir)).drop("receipt_at")
+    rows = comments.replay(_comment_events(spark, sf_dir)).drop("receipt_at")
+    return rows.withColumn("removed_at", F.coalesce("removed_at", F.lit(-1)))
 
 
 @query(f"""with {_COMMENTS}, st as (select doc_id, key, max_by(text, seq) filter (type in ('seen', 'edited')) as text, max_by(type = 'resolved', seq) filter (type <> 'removed') as done, max_by(type <> 'removed', seq) filter (type in ('seen', 'edited', 'removed')) as present from v group by doc_id, key),

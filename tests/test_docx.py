@@ -187,6 +187,7 @@ def test_integrity(spark):
 def test_lock_and_history():
     assert docx_edit.password_key("Example").to_bytes(4, "little").hex().upper() == "7EEDCE64" and docx_edit.password_key("") == 0
     assert docx_edit.password_key("123456789012345") == docx_edit.password_key("1234567890123456789")
+    # A salt and hash as a word processor wrote them
     salt = base64.b64decode("RgLp8iDWIxKFGIUl0I4aWA==")
     assert docx_edit.password_hash("Teacher2026", salt) == "OJG4rIAmgXYL7zhvrW9dAdhp+pDTHdJ2j03hTqy2VeMtmPSp7WcLXMwtYsx6YU/SFYqg740eNj5ax4Wq7v3fYg=="
     made = docx_edit.lock(docx(para(run("x")), settings('<w:zoom w:percent="100"/><w:defaultTabStop w:val="1"/>')), "pw", salt)
