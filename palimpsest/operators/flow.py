@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import millis, squeezed
 from palimpsest.operators.kinds import BULK_CHARS, in_corpus
-from palimpsest.operators.positions import visible
 from palimpsest.operators.sessions import HOUR_MS
 
 #: Fixed values of the heat: characters and changes at which a paragraph counts as fully edited.
@@ -29,16 +28,21 @@ def revisions(segments: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return rows.where("ts is not null").groupBy("doc_id", "type", "rev_id", "ts").agg(F.first("author").alias("author"), F.bool_or("move").alias("move"), F.sum("chars").alias("chars"))
 
 
-def flow_sessions(changes: DataFrame, hours: float = 1.0, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """doc_id, session, start, end, changes: gap sessions of the changes within the period (inclusive), which is cut out first."""
+def session_times(changes: DataFrame, hours: float = 1.0, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """doc_id, ts, session, changes (at that time): gap sessions of the changes within the period (inclusive), which is cut out first."""
     if start is not None:
         changes = changes.where(F.col("ts") >= start)
     if end is not None:
         changes = changes.where(F.col("ts") <= end)
-    w = W.partitionBy("doc_id").orderBy("ts", "type", "rev_id")
+    rows = changes.groupBy("doc_id", "ts").agg(F.count(F.lit(1)).alias("changes"))
+    w = W.partitionBy("doc_id").orderBy("ts")
     first = millis(F.col("ts")) - millis(F.lag("ts").over(w)) > F.lit(max(0.0, hours) * HOUR_MS)
-    rows = changes.withColumn("__first", F.coalesce(first.cast("int"), F.lit(0))).withColumn("session", F.sum("__first").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    return rows.groupBy("doc_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("changes"))
+    return rows.withColumn("__first", F.coalesce(first.cast("int"), F.lit(0))).withColumn("session", F.sum("__first").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("__first")
+
+
+def flow_sessions(times: DataFrame) -> DataFrame:
+    """doc_id, session, start, end, changes of the sessions."""
+    return times.groupBy("doc_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.sum("changes").alias("changes"))
 
 
 def relocations(segments: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def relocations(segments: DataFrame) -> DataFrame:
     return side("ins", "del").unionByName(side("del", "ins"))
 
 
-def touches_of(segments: DataFrame, sessions: DataFrame, moved: DataFrame) -> DataFrame:
+def touches_of(segments: DataFrame, times: DataFrame, moved: DataFrame) -> DataFrame:
     """A row for each text segment, its insertion or deletion, and the session in which that was made."""
     text = segments.where("kind = 'text'").withColumn("chars", F.length("text"))
     parts = []
@@ -67,7 +71,7 @@ def touches_of(segments: DataFrame, sessions: DataFrame, moved: DataFrame) -> Da
         c = F.col(kind)
         parts.append(text.where(c.isNotNull() & c["ts"].isNotNull()).select("doc_id", "para_index", "seg_index", "chars", F.lit(kind).alias("type"), c["id"].alias("rev_id"), c["ts"].alias("ts"), c["author"].alias("author"), F.coalesce(c["move"], F.lit(False)).alias("move"), c["move_name"].alias("move_name")))
     rows = parts[0].unionByName(parts[1])
-    rows = rows.join(sessions.select("doc_id", "session", "start", "end"), "doc_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")))
+    rows = rows.join(times.select("doc_id", "ts", "session"), ["doc_id", "ts"])  # each time is in one session
     m = moved.select("doc_id", "type", "para_index", "rev_id", "ts", F.lit(True).alias("relocated"))
     return rows.join(m, ["doc_id", "type", "para_index", "rev_id", "ts"], "left").withColumn("relocated", F.coalesce("relocated", F.lit(False)) & ~F.col("move"))
 
@@ -78,10 +82,17 @@ def visible_chars(segments: DataFrame, paragraphs: DataFrame, at: DataFrame) ->
     A paragraph is there if a segment or its mark shows, the table rows around it do too (row_ins, row_del), and its cell
     isn't the continuation of one above (in_merge_continue).
     """
-    segs = segments.join(at, "doc_id").where(visible(F.col("ins"), F.col("del"), F.col("at_ms")))
-    segs = segs.select("doc_id", "at_ms", "para_index", F.when(F.col("kind") == "text", F.length("text")).otherwise(0).alias("chars"))
-    marks = paragraphs.join(at, "doc_id").where(visible(F.col("mark_ins"), F.col("mark_del"), F.col("at_ms"))).select("doc_id", "at_ms", "para_index", F.lit(0).alias("chars"))
-    rows = segs.unionByName(marks).groupBy("doc_id", "at_ms", "para_index").agg(F.sum("chars").alias("chars"))
+    always = F.lit(-(2**62)).cast("long")
+    span = lambda ins, gone, n: ("doc_id", "para_index", F.coalesce(millis(ins["ts"]), always).alias("from"), F.when(gone.isNotNull(), F.coalesce(millis(gone["ts"]), always)).alias("to"), n.cast("long").alias("n"))
+    spans = segments.select(*span(F.col("ins"), F.col("del"), F.when(F.col("kind") == "text", F.length("text")).otherwise(0)))
+    spans = spans.unionByName(paragraphs.select(*span(F.col("mark_ins"), F.col("mark_del"), F.lit(0)))).where("to is null or to > from")
+    step = lambda t, sign: F.struct(F.col(t).alias("t"), (sign * F.col("n")).alias("chars"), F.lit(sign).alias("pieces"))
+    steps = spans.select("doc_id", "para_index", F.inline(F.filter(F.array(step("from", 1), step("to", -1)), lambda x: x["t"].isNotNull())))
+    asked = paragraphs.select("doc_id", "para_index").join(at, "doc_id").select("doc_id", "para_index", F.col("at_ms").alias("t"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("pieces"), F.lit(1).alias("ask"))
+    # what came and went up to each time: one pass over both in order, not a join of segments and times
+    upto = W.partitionBy("doc_id", "para_index").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, 0)
+    both = steps.withColumn("ask", F.lit(0)).unionByName(asked).withColumns({"chars": F.sum("chars").over(upto), "pieces": F.sum("pieces").over(upto)})
+    rows = both.where("ask = 1 and pieces > 0").select("doc_id", F.col("t").alias("at_ms"), "para_index", "chars")
     if "row_ins" not in paragraphs.columns:
         return rows
     around = paragraphs.select("doc_id", "para_index", "row_ins", "row_del", "in_merge_continue")
@@ -168,13 +179,13 @@ def units(paragraphs: DataFrame, starts: DataFrame, ends: DataFrame, heat_rows:
     return rows.withColumn("intensity", intensity).drop("high", "heat")
 
 
-def links(touches: DataFrame, moved: DataFrame, sessions: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def links(touches: DataFrame, moved: DataFrame, times: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """doc_id, session, from_unit, to_unit, kind (move or relocate), chars: where text went within a session."""
     moves = touches.where("move").withColumn("name", F.coalesce("move_name", "rev_id"))
     came = moves.where("type = 'ins'").groupBy("doc_id", "session", "name").agg(F.collect_set("para_index").alias("to"), F.sum("chars").alias("chars"))
     left = moves.where("type = 'del'").groupBy("doc_id", "session", "name").agg(F.collect_set("para_index").alias("from"))
     by_name = came.join(left, ["doc_id", "session", "name"]).select("doc_id", "session", "from", "to", F.lit("move").alias("kind"), "chars", F.lit(0).alias("__order"))
-    here = moved.join(sessions.select("doc_id", "session", "start", "end"), "doc_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end"))).withColumn("__plain", squeezed(F.col("text")))
+    here = moved.join(times.select("doc_id", "ts", "session"), ["doc_id", "ts"]).withColumn("__plain", squeezed(F.col("text")))
     a = here.where("type = 'ins'").select("doc_id", "session", "para_index", "rev_id", "ts", F.col("__plain").alias("n"), F.length("text").alias("chars"))
     d = here.where("type = 'del'").select("doc_id", "session", F.col("para_index").alias("d_para"), F.col("__plain").alias("dn"))
     same = a.join(d, ["doc_id", "session"]).where(F.col("n").contains(F.col("dn")) | F.col("dn").contains(F.col("n")))
@@ -188,15 +199,16 @@ def links(touches: DataFrame, moved: DataFrame, sessions: DataFrame, paragraphs:
 
 def build(segments: DataFrame, paragraphs: DataFrame, *, hours: float = 1.0, bulk_chars: int = BULK_CHARS, highlights: DataFrame | None = None, start: Column | None = None, end: Column | None = None) -> dict[str, DataFrame]:
     """sessions, heat, totals, units and links of the documents."""
-    sessions = flow_sessions(revisions(segments, paragraphs), hours, start, end)
+    dated = session_times(revisions(segments, paragraphs), hours, start, end)
+    sessions = flow_sessions(dated)
     moved = relocations(segments)
-    touches = touches_of(segments, sessions, moved)
+    touches = touches_of(segments, dated, moved)
     times = sessions.select("doc_id", "session", (millis(F.col("start")) - 1).alias("s_ms"), millis(F.col("end")).alias("e_ms"))
     at = times.select("doc_id", F.explode(F.array("s_ms", "e_ms")).alias("at_ms")).distinct()
     there = visible_chars(segments, paragraphs, at)
     state = lambda c: there.join(times.select("doc_id", "session", F.col(c).alias("at_ms")), ["doc_id", "at_ms"]).select("doc_id", "session", "para_index", "chars")
     heat_rows = heat(touches, state("e_ms"), bulk_chars, highlights)
-    return {"sessions": sessions, "heat": heat_rows, "totals": session_totals(heat_rows), "units": units(paragraphs, state("s_ms"), state("e_ms"), heat_rows), "links": links(touches, moved, sessions, paragraphs)}
+    return {"sessions": sessions, "heat": heat_rows, "totals": session_totals(heat_rows), "units": units(paragraphs, state("s_ms"), state("e_ms"), heat_rows), "links": links(touches, moved, dated, paragraphs)}
 
 
 def paint(heat_rows: DataFrame, categories: DataFrame, bulk_chars_column: str = "bulk_chars") -> DataFrame:

@@ -419,7 +419,7 @@ def unit_changes(spark, sf_dir):
   select doc_id, session, case when a % 10 >= 6 then 't' || a // 10 else 'p' || a end as from_unit, case when b % 10 >= 6 then 't' || b // 10 else 'p' || b end as to_unit, 'move' as kind, cast(sum(chars) as bigint) as chars from q group by 1, 2, 3, 4""")
 def flow_links(spark, sf_dir):
     segs, paras = adapters.segments(_rev(spark, sf_dir))
-    parts = flow.flow_sessions(flow.revisions(segs, paras), 6)
+    parts = flow.session_times(flow.revisions(segs, paras), 6)
     touches = flow.touches_of(segs, parts, flow.relocations(segs).limit(0))
     return flow.links(touches, flow.relocations(segs).limit(0), parts, paras)
 

@@ -47,7 +47,7 @@ def segments(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     change = F.struct(F.col("rev_id").alias("id"), "ts", "author", (F.col("seq") % 5 == 0).alias("move"), F.when(F.col("seq") % 5 == 0, F.concat(F.lit("m"), F.col("seq") % 50)).alias("move_name"))
     none = F.lit(None).cast("struct<id:string,ts:timestamp,author:string,move:boolean,move_name:string>")
     ins = F.col("type") == "ins"
-    segs = changes.select("doc_id", para.alias("para_index"), F.col("seq").alias("seg_index"), F.lit("text").alias("kind"), F.substring(F.repeat(F.md5("rev_id"), 40), F.lit(1), F.col("chars").cast("int")).alias("text"), F.when(ins, change).otherwise(none).alias("ins"), F.when(~ins, change).otherwise(none).alias("del"))
+    segs = changes.select("doc_id", para.alias("para_index"), F.col("seq").alias("seg_index"), F.lit("text").alias("kind"), F.rpad(F.md5("rev_id"), F.col("chars").cast("int"), F.md5("rev_id")).alias("text"), F.when(ins, change).otherwise(none).alias("ins"), F.when(~ins, change).otherwise(none).alias("del"))
     paras = segs.select("doc_id", "para_index").distinct().select("doc_id", "para_index", F.when(F.col("para_index") % 10 >= 6, F.floor(F.col("para_index") / 10).cast("int")).alias("table_id"), none.alias("mark_ins"), none.alias("mark_del"))
     return segs, paras
 
