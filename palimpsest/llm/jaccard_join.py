@@ -28,8 +28,8 @@ from palimpsest.llm.hashing import BYTE, mix64, pieces, powers
 
 #: Shingles that come last in the order, at most: 16 bytes each in every task.
 FREQUENT = 1 << 19
-#: Shingles of a block of nodes. A task holds two blocks.
-BLOCK = 1 << 16
+#: Shingles of a block of nodes, and the most nodes of one. A task holds two blocks.
+BLOCK, NODES = 1 << 16, 256
 #: Shingles that are counted at once.
 COUNTED = 1 << 21
 #: Shingles in a slice of the hash space, about, for the suffix filter; fewest slices.
@@ -268,7 +268,7 @@ def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarra
 
 
 def blocks_of(nodes: DataFrame, weight: int = BLOCK) -> DataFrame:
-    """sig, n, block: nodes with the same first key and about the same size lie together, a block has about ``weight`` shingles.
+    """sig, n, block: nodes with the same first key and about the same size lie together, a block has about ``weight`` shingles, and at most NODES nodes.
 
     nodes: sig, n, home. Ranges of them go to tasks, and each task cuts its own.
     """
@@ -281,9 +281,10 @@ def blocks_of(nodes: DataFrame, weight: int = BLOCK) -> DataFrame:
         for batch in batches:
             out = []
             for n in batch.column(1).to_pylist():
-                if held and held + n > weight:
+                size = max(n, weight // NODES)
+                if held and held + size > weight:
                     block, held = block + 1, 0
-                held += n
+                held += size
                 out.append(block)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["sig", "n", "block"])
 
