@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, missing, small, stored
+from palimpsest.llm.common import cut, in_short_batches, missing, small, stored
 from palimpsest.llm.hashing import BYTE, mix64, pieces, powers
 
 #: Shingles that come last in the order, at most: 16 bytes each in every task.
 FREQUENT = 1 << 19
 #: Shingles of a block of nodes, and the most nodes of one. A task holds two blocks.
 BLOCK, NODES = 1 << 16, 256
-#: Shingles that are counted at once.
-COUNTED = 1 << 21
+#: Bytes of text that are looked at at once, and shingles that are counted at once.
+CHUNK, COUNTED = 1 << 19, 1 << 21
 #: Shingles in a slice of the hash space, about, for the suffix filter; fewest slices.
 SLICE, SLICES = 8, 16
 _U = np.uint64
@@ -157,15 +157,18 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch | None:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
             held.clear()
             met.clear()
+            values.sort()
+            edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+            times = np.diff(edges)
             often = times > 1
-            return _batch(np.zeros(often.sum(), np.int64), signed(values[often]), times[often]) if often.any() else None
+            return _batch(np.zeros(often.sum(), np.int64), signed(values[edges[:-1][often]]), times[often]) if often.any() else None
 
         for batch in batches:
             ids = batch.column(0)
-            for a, z, data, ends in pieces(batch.column(1)):
+            for a, z, data, ends in pieces(batch.column(1), CHUNK):
                 h, o = shingles(data, ends, like.size)
                 sig, n = signatures(h, o, z - a)
                 parts = slices_of(h, o, z - a)
@@ -250,7 +253,7 @@ def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarra
         order = Order(*sent.value)
         met: set[int] = set()
         for batch in batches:
-            for a, z, data, ends in pieces(batch.column(1)):
+            for a, z, data, ends in pieces(batch.column(1), CHUNK):
                 h, o = shingles(data, ends, like.size)
                 sig, n = signatures(h, o, z - a)
                 new = np.zeros(z - a, bool)
@@ -450,7 +453,7 @@ def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: i
     nothing, component_id is null. Rows that repeat: linked like any others. An empty table gives none. Other columns aren't read.
     """
     missing(docs, "doc_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = in_short_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     rows = stored(sets_of(docs, like), "shingle-sets")
     every = rows.where("n is not null").select("doc_id", "sig", "n")
     docs, slim = docs.where("doc_id is not null"), every.where("doc_id is not null")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import missing
+from palimpsest.llm.common import in_short_batches, missing
 
 DIMS = 4096
 #: Labelled rows that the fit reads at most: so many a language, and so many in all.
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 more = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*kept.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return in_short_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, missing, shared_path, small
+from palimpsest.llm.common import cut, in_short_batches, missing, shared_path, small
 from palimpsest.llm.hashing import of_spans, pieces
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -291,7 +291,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, *, end_id:
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{out}/shard-{shard:07d}.zst"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = in_short_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return cut(rows.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"))
 
 
