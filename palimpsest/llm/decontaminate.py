@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations alone.
 
 Words become templates: numbers, names (words with a capital first letter) and units turn into typed placeholders, other
-words into lower case. Windows of template words of the benchmark are hash-joined with those of the documents. Along each
-alignment of a document with an item the slots must be consistent: a value of the item always stands for the same value of
-the document and the other way round. So a question asked again with other numbers and names is found, and a text that
-merely has the same shape isn't.
+words into lower case. Windows of template words of the benchmark are hash-joined with those of the documents, and so are,
+with ``any_case``, windows of the words as they are, in lower case. Along each alignment of a document with an item the
+slots must be consistent: a value of the item stands for one value of the document and the other way round, that of most
+places; windows with another value there don't count. So a question asked again with other numbers and names is found, and
+a text that merely has the same shape isn't.
 """
 
 from __future__ import annotations
@@ -35,44 +36,74 @@ def is_slot(word: Column) -> Column:
     return template(word).isin(NUMBER, NAME, UNIT)
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of the value, which is computed once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _windows(hashes: Column, size: Column | int) -> Column:
     """Hashes of the windows of ``size`` words; none if there are fewer words."""
     n = F.size(hashes) - size + 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, size)))).otherwise(F.array().cast("array<long>"))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, size, hash, n: the windows of the items that have enough literal words; items shorter than a window have one, all of it.
+def item_windows(benchmark: DataFrame, *, any_case: bool = False) -> DataFrame:
+    """item_id, at, size, hash, enough, n, n_all: the windows of the items; items shorter than a window have one, all of it.
 
-    Items without a window aren't looked for: those under four words, and those that are nearly all placeholders.
+    enough: whether the window has enough literal words to be looked for as a template; n: how many of the item's have, n_all:
+    how many windows it has. With ``any_case`` each window is also there as its words in lower case, under the same ``at``.
+    Items without a window aren't looked for: those under four words, and without ``any_case`` those that are nearly all
+    placeholders.
     """
-    rows = benchmark.where("item_id is not null").select("item_id", F.transform(words(F.col("text")), template).alias("t")).where("size(t) >= 4")
+    raw = words(F.col("text"))
+    rows = benchmark.where("item_id is not null").select("item_id", F.transform(raw, template).alias("t"), F.transform(raw, F.lower).alias("low")).where("size(t) >= 4")
     rows = rows.withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
-    rows = rows.withColumn("w", F.transform(F.sequence(F.lit(0), F.size("t") - F.col("size")), lambda i: F.struct(i.alias("at"), F.slice(F.col("t"), i + 1, F.col("size")).alias("t"))))
     literal = lambda t: F.size(F.filter(t, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    rows = rows.withColumn("w", F.filter("w", lambda w: literal(w["t"]) >= F.least(F.lit(LITERAL), F.col("size") - 1)))
-    rows = rows.select("item_id", "size", F.size("w").alias("n"), F.explode("w").alias("w"))
-    return rows.select("item_id", "size", "n", F.col("w.at").alias("at"), F.xxhash64(F.transform(F.col("w.t"), lambda x: F.xxhash64(x))).alias("hash"))
-
-
-def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, item_id, at (in the item), shift (place in the document less that in the item): windows that both have."""
+    hashed = lambda t: F.xxhash64(F.transform(t, lambda x: F.xxhash64(x)))
+    each = lambda i: F.struct(i.alias("at"), F.slice(F.col("t"), i + 1, F.col("size")).alias("t"), F.slice(F.col("low"), i + 1, F.col("size")).alias("low"))
+    rows = rows.withColumn("w", F.transform(F.sequence(F.lit(0), F.size("t") - F.col("size")), each))
+    rows = rows.withColumn("w", F.transform("w", lambda w: w.withField("enough", literal(w["t"]) >= F.least(F.lit(LITERAL), F.col("size") - 1))))
+    rows = rows.select("item_id", "size", F.size(F.filter("w", lambda w: w["enough"])).alias("n"), F.size("w").alias("n_all"), F.explode("w").alias("w"))
+    hashes = F.when(F.col("w.enough"), F.array(hashed(F.col("w.t")))).otherwise(F.array().cast("array<long>"))
+    if any_case:
+        hashes = F.array_union(hashes, F.array(hashed(F.col("w.low"))))
+    return rows.select("item_id", "size", "n", "n_all", F.col("w.at").alias("at"), F.col("w.enough").alias("enough"), F.explode(hashes).alias("hash"))
+
+
+def matches(docs: DataFrame, windows: DataFrame, *, any_case: bool = False) -> DataFrame:
+    """doc_id, item_id, at (in the item), enough, shift (place in the document less that in the item): windows that both have."""
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # WINDOW, and less for short items: 5 at most
-    rows = docs.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(template(x))).alias("h"))
-    each = [rows.select("doc_id", F.posexplode(_windows(F.col("h"), s)).alias("place", "hash")).withColumn("size", F.lit(s)) for s in sizes]
+    if any_case:  # a window without a placeholder is the same both ways, and is there once
+        hashes = _let(words(F.col("text")), lambda w: F.struct(F.transform(w, lambda x: F.xxhash64(template(x))).alias("h"), F.transform(w, lambda x: F.xxhash64(F.lower(x))).alias("low")))
+        rows = docs.select("doc_id", hashes.alias("h"))
+        pair = lambda t, low, i: F.when(t == low, F.array(F.struct(i.alias("place"), t.alias("hash")))).otherwise(F.array(F.struct(i.alias("place"), t.alias("hash")), F.struct(i.alias("place"), low.alias("hash"))))
+        both = lambda s: F.flatten(F.zip_with(_windows(F.col("h.h"), s), F.transform(_windows(F.col("h.low"), s), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda t, x: pair(t, x["x"], x["i"])))
+        each = [rows.select("doc_id", F.explode(both(s)).alias("w")).select("doc_id", "w.place", "w.hash").withColumn("size", F.lit(s)) for s in sizes]
+    else:
+        rows = docs.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(template(x))).alias("h"))
+        each = [rows.select("doc_id", F.posexplode(_windows(F.col("h"), s)).alias("place", "hash")).withColumn("size", F.lit(s)) for s in sizes]
     if not each:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("shift")).limit(0)
+        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(True).alias("enough"), F.lit(0).alias("shift")).limit(0)
     found = each[0]
     for more in each[1:]:
         found = found.unionByName(more)
-    return found.join(small(windows.drop("n")), ["hash", "size"]).select("doc_id", "item_id", "at", (F.col("place") - F.col("at")).alias("shift"))
+    return found.join(small(windows.drop("n", "n_all")), ["hash", "size"]).select("doc_id", "item_id", "at", "enough", (F.col("place") - F.col("at")).alias("shift"))
+
+
+def _most(pairs: Column) -> Column:
+    """Of pairs (b, d), those that stand for each other in most places: each b and each d is in one of them at most."""
+    votes = F.transform(F.array_distinct(pairs), lambda p: F.struct(F.size(F.filter(pairs, lambda q: q == p)).alias("n"), (p["b"] == p["d"]).alias("same"), p["b"].alias("b"), p["d"].alias("d")))
+    best = _let(votes, lambda v: F.filter(v, lambda p: ~F.exists(v, lambda q: ((q["b"] == p["b"]) | (q["d"] == p["d"])) & (q > p))))
+    return F.transform(best, lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, any_case: bool = False) -> DataFrame:
     """(doc_id, item_id, covered, exact) of each document that has at least ``coverage`` of an item's windows.
 
-    covered: share of the item's windows found along alignments whose slots are consistent; exact: whether all slots there
-    have the item's own values, case aside. Whole texts of all documents.
+    covered: share of the item's windows found along alignments, without those whose slots differ from the rest; of all
+    windows or of those with enough literal words, whichever is more. exact: whether all slots in them have the item's own
+    values, case aside. Whole texts of all documents. any_case: words that differ in case alone are the same, in texts
+    and items in capitals too.
 
     Null or empty text: nothing found. Null doc_id or item_id: not looked at. Rows with the same doc_id count as one
     document, and so do items with the same item_id. An empty table gives no rows. Clashing columns aren't read.
@@ -81,21 +112,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVER
     missing(benchmark, "item_id", "text")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     benchmark = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    windows = cut(item_windows(benchmark))
+    windows = cut(item_windows(benchmark, any_case=any_case))
     # one row for each alignment; the windows of an item are few, so the sets are
-    lines = cut(matches(docs, windows).groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at")))
+    lines = cut(matches(docs, windows, any_case=any_case).groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("at", "enough")).alias("at")))
     some = docs.join(small(lines.select("doc_id").distinct()), "doc_id", "left_semi")
     dw = some.select("doc_id", words(F.col("text")).alias("dw"))
-    bw = benchmark.join(small(windows.groupBy("item_id").agg(F.first("size").alias("size"), F.first("n").alias("n"))), "item_id").select("item_id", "size", "n", words(F.col("text")).alias("bw"))
+    bw = benchmark.join(small(windows.groupBy("item_id").agg(*[F.first(x).alias(x) for x in ("size", "n", "n_all")])), "item_id").select("item_id", "size", "n", "n_all", words(F.col("text")).alias("bw"))
     both = lines.join(dw, "doc_id").join(small(bw), "item_id")
-    inside = F.sort_array(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("size") - 1)))))
-    pairs = F.transform(inside, lambda i: F.struct(F.lower(F.get(F.col("bw"), i)).alias("b"), F.lower(F.get(F.col("dw"), i + F.col("shift"))).alias("d"), is_slot(F.get(F.col("bw"), i)).alias("slot")))
-    both = both.withColumn("slots", F.array_distinct(F.filter(pairs, lambda p: p["slot"] & p["d"].isNotNull())))
-    n = F.size("slots")
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda p: p["b"]))) == n) & (F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))) == n)
-    good = both.where(one_to_one).withColumn("exact", F.forall("slots", lambda p: p["b"] == p["d"]))
-    found = good.groupBy("doc_id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_set("at")))) / F.max("n")).alias("covered"), F.min("exact").alias("exact"))
-    return found.where(F.col("covered") >= coverage)
+    # the words of the item and those of the document at the same places
+    pair = lambda b, d: F.struct(F.lower(b).alias("b"), F.lower(d).alias("d"), is_slot(b).alias("slot"), F.coalesce(template(b) == template(d), F.lit(False)).alias("like"))
+    pairs = F.transform("bw", lambda b, i: F.when(i + F.col("shift") >= 0, pair(b, F.get(F.col("dw"), i + F.col("shift")))).otherwise(pair(b, F.lit(None).cast("string"))))
+    both = both.select("doc_id", "item_id", "n", "n_all", "size", F.array_sort("at").alias("at"), pairs.alias("p"))
+    slots = lambda p: F.transform(F.filter(p, lambda x: x["slot"] & x["d"].isNotNull()), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
+    inside = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["at"], a["at"] + F.col("size") - 1))))
+    # a window counts if its words are the same throughout, or alike with slots that the rest agrees with
+    same = lambda p: F.forall(p, lambda x: x["b"].eqNullSafe(x["d"]))
+    agrees = lambda p, most: F.forall(p, lambda x: x["like"]) & (F.size(F.array_except(slots(p), most)) == 0)
+    window = lambda a, most: _let(F.slice(F.col("p"), a["at"] + 1, F.col("size")), lambda p: F.struct(a["at"].alias("at"), a["enough"].alias("enough"), same(p).alias("same"), agrees(p, most).alias("agrees")))
+    counted = _let(_most(slots(F.transform(inside, lambda i: F.get(F.col("p"), i)))), lambda most: F.filter(F.transform("at", lambda a: window(a, most)), lambda w: w["same"] | w["agrees"]))
+    good = both.select("doc_id", "item_id", "n", "n_all", counted.alias("w"))
+    places = F.transform("w", lambda w: F.struct(w["at"].alias("at"), w["enough"].alias("enough")))
+    exact = F.min(F.when(F.size("w") > 0, F.forall("w", lambda w: w["same"]))).alias("exact")
+    found = good.groupBy("doc_id", "item_id").agg(F.flatten(F.collect_set(places)).alias("w"), F.max("n").alias("n"), F.max("n_all").alias("n_all"), exact)
+    found = found.withColumn("w", F.array_distinct("w"))
+    share = F.size(F.filter("w", lambda w: w["enough"])) / F.when(F.col("n") > 0, F.col("n"))
+    if any_case:
+        share = F.greatest(share, F.size("w") / F.col("n_all"))
+    return found.select("doc_id", "item_id", share.alias("covered"), "exact").where(F.col("covered") >= coverage)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

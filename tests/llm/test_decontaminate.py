@@ -38,3 +38,16 @@ def test_against_plain_search(spark):
     docs, items = (queries.table(spark, sf, t).collect() for t in ("documents", "benchmark"))
     want = {(x.doc_id, i.item_id) for x in docs for i in items if x.text and i.text in x.text}
     assert want and {(r.doc_id, r.item_id) for r in queries.op9_decontaminate(spark, sf).collect()} == want
+
+
+def test_other_case_and_one_other_slot(spark, tmp_path):
+    title = "What Is The Tallest Mountain Of The Northern Alps And Its Neighbour"
+    one_off = ITEM.replace("gives 5", "gives 7")  # 7 stands for 7 and for 5
+    docs = [(1, f"{FILL} {ITEM.upper()}"), (2, f"{FILL} {ITEM.lower()} {FILL}"), (3, f"{FILL} {title} {FILL}"), (4, f"{title.lower()} {FILL}"), (5, f"{FILL} {one_off}"), (6, FILL)]
+    items = [(10, ITEM), (11, title)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r for r in queries.op9_decontaminate(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(1, 10), (2, 10), (3, 11), (4, 11), (5, 10)}
+    assert all(got[k].exact and got[k].covered == 1 for k in ((1, 10), (2, 10), (3, 11), (4, 11)))
+    assert 0.5 <= got[5, 10].covered < 1
