@@ -2,7 +2,8 @@
 
 A text becomes a vector of hashed byte n-grams, weighted by TF-IDF and normalised. Each language has several centroids, found
 by spherical k-means over its labelled texts. A text gets the language of the centroid with the largest cosine, and is
-rejected if it is further from all of them than labelled texts ever were.
+rejected if it is much further from all of them than labelled texts of its length in that language are: below a share of
+their low quantile. Length counts in different n-grams, since the cosine grows with them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ DIMS = 4096
 #: Labelled rows that the fit reads at most: so many a language, and so many in all.
 ROWS_PER_LANG, ROWS = 400, 8000
 CENTROIDS = 4
-#: A text is rejected below this share of the least cosine among the labelled texts of the fit.
+#: A text is rejected below this share of the low quantile of the cosine among the labelled texts of the fit.
 SLACK = 0.5
+#: That quantile; labelled texts that it takes, by language and length, else by length; lengths, in powers of two.
+QUANTILE, ENOUGH, LENGTHS = 0.01, 20, 13
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes to what n-grams see: ASCII letters small, other ASCII as one space, bytes of other characters as they are.
@@ -49,6 +52,8 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     floor: float
+    #: The floor by language and length (see ``length_of``), where there are labelled texts enough; ``floor`` where there aren't.
+    floors: np.ndarray | None = None
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         x = np.log1p(rows) * self.idf
@@ -59,14 +64,31 @@ class Model:
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         with_letters = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
         if with_letters and self.langs:
-            cosines = self.vectors(np.stack([counts(texts[k]) for k in with_letters])) @ self.centroids.T
-            for k, row in zip(with_letters, cosines, strict=True):
+            rows = np.stack([counts(texts[k]) for k in with_letters])
+            cosines = self.vectors(rows) @ self.centroids.T
+            for k, row, length in zip(with_letters, cosines, length_of(rows).tolist(), strict=True):
                 at = int(row.argmax())
                 score = float(min(1.0, max(0.0, row[at])))
-                out[k] = (self.langs[self.owner[at]], score, score < self.floor)
+                out[k] = (self.langs[self.owner[at]], score, score < (self.floor if self.floors is None else self.floors[self.owner[at], length]))
         return out
 
 
+def length_of(rows: np.ndarray) -> np.ndarray:
+    """The number of different n-grams of each row of counts, as a power of two rounded down."""
+    return np.log2(np.maximum(1, (rows > 0).sum(1))).astype(np.int64)
+
+
+def floors(cosines: np.ndarray, lang: np.ndarray, length: np.ndarray, n_langs: int, slack: float, least: float) -> np.ndarray:
+    """The floor by language and length. Lengths with too few labelled texts have that of the next shorter one, the shortest ``least``."""
+    out = np.full((n_langs, LENGTHS), least)
+    for j in range(n_langs):
+        for k in range(LENGTHS):
+            mine = cosines[(lang == j) & (length == k)]
+            some = mine if len(mine) >= ENOUGH else cosines[length == k]
+            out[j, k] = slack * float(np.quantile(some, QUANTILE)) if len(some) >= ENOUGH else out[j, k - 1] if k else least
+    return out
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from a start that is the same on each run: the mean's nearest vector, then each time the furthest."""
     chosen = [int((x @ x.mean(0)).argmax())]
@@ -119,7 +141,10 @@ def fit(labelled: DataFrame, *, rows_per_lang: int = ROWS_PER_LANG, rows: int =
         found.append(k_means(x, k))
         owners += [j] * k
     model.owner, model.centroids = np.array(owners), np.concatenate(found).astype(np.float32)
-    model.floor = slack * float((model.vectors(everything) @ model.centroids.T).max(1).min())
+    nearest = (model.vectors(everything) @ model.centroids.T).max(1)
+    model.floor = slack * float(nearest.min())
+    lang_of = np.repeat(np.arange(len(langs)), [len(by_lang[x]) for x in langs])
+    model.floors = floors(nearest, lang_of, length_of(everything), len(langs), slack, model.floor)
     return model
 
 

@@ -32,3 +32,16 @@ def test_far_texts_are_rejected(spark):
 def test_counts_see_the_whole_text():
     a, b = lang_id.counts("abc " * 5000), lang_id.counts("abc " * 5000 + "xyz")
     assert a.sum() < b.sum() and np.abs(a - b).sum() > 0
+
+
+def test_unseen_latin_languages_and_junk_are_rejected(spark):
+    model = lang_id.fit(queries.table(spark, DIR, "documents"))
+    rng = np.random.default_rng(1)
+    far = [
+        "Suomen kielessä on monta sijamuotoa ja sanat taipuvat niiden mukaan, joten lauseen järjestys on melko vapaa. Kirjasto on avoinna joka päivä.",
+        "A magyar nyelvben a szavak végéhez ragok járulnak, ezért a mondat szórendje elég szabad. A könyvtár minden nap nyitva tart.",
+        "Książki stoją na półkach w bibliotece, a czytelnicy przychodzą tu codziennie po południu. Rzeka płynie przez miasto.",
+        "".join(rng.choice(list("asdfghjkl qwertyuiop"), 300)),
+        "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 400)),
+    ]
+    assert [rejected for _, _, rejected in model.predict(far)] == [True] * len(far)
