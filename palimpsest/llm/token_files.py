@@ -51,14 +51,19 @@ class WordIds:
     ASCII letter, and after a single line break, before ASCII characters other than white space. So a text is cut there, and its ids are those of
     its parts one after the other. Parts are found by a 64-bit hash in a table; the library encodes those that aren't there,
     many at once, and the bytes that each id stands for tell where a part ends.
+
+    A special token in a text gets its own id, as the library has it, or is spelled out with ``spell_special``.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, *, spell_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_special
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            if token.lstrip or token.rstrip or token.single_word or re.search(r"[\s.,]", token.content):
+                raise ValueError(f"a cut could fall at the added token {token.content!r}")
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
@@ -186,7 +191,7 @@ _tables: dict[str, WordIds] = {}
 def encoder(tokenizer_path: str) -> WordIds:
     """One for each worker process: tasks that follow find the words again."""
     if tokenizer_path not in _tables:
-        _tables[tokenizer_path] = WordIds(tokenizer_path)
+        _tables[tokenizer_path] = WordIds(tokenizer_path, spell_special=False)
     return _tables[tokenizer_path]
 
 

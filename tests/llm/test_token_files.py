@@ -70,3 +70,19 @@ def test_file_format(spark, odd):
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_files.TokenFile(path + ".broken").frame(0)
     assert token_files.TokenFile(path + ".broken").frame(1) == file.frame(1)
+
+
+def test_special_tokens_as_the_plain_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(queries.tokenizer_path()), random.Random(5)
+    parts = ["a", " ", "  ", "\n", ".", ",", "'s", "<|endoftext|>", " the", "\t", "é", "<|endoftext", "\u00a0"]
+    texts = ["end.<|endoftext|> Next", "<|endoftext|>", "x\n<|endoftext|>\ny", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(500))]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [437, 13, 50256, 7406]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r in queries.op2_token_files(spark, str(tmp_path)).orderBy("doc_id").collect():
+        ids = np.array([*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, queries.END_ID], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), texts[r.doc_id]
+        start += len(ids)
+    assert start
