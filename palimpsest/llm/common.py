@@ -15,12 +15,19 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder of our own if all runs on this machine; on a cluster that raises, since each
+    executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
     return at.rstrip("/")
 
 

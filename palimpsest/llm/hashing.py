@@ -1,4 +1,7 @@
-"""64-bit hashes of many short byte strings at once."""
+"""64-bit hashes of many short byte strings at once.
+
+Equal hashes are a hint, not a proof: who needs one compares bytes, or a second hash, beside them.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +12,10 @@ import pyarrow as pa
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_501)
-#: A random number for each byte value, and the factor for each place.
-BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=U)
-FACTOR = U(0x9E3779B97F4A7C15)
-_powers = np.ones(1, U)
+#: A random number for each byte value.
+BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=U) | U(1)
+GOLDEN = U(0x9E3779B97F4A7C15)
+_places = np.ones(0, U)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -22,19 +25,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> np.ndarray:
-    """FACTOR to the power of 0, 1, 2, ..."""
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(max(n, 2 * len(_powers), 1024), FACTOR, U)) * U(pow(int(FACTOR), -1, 2**64))
-    return _powers[:n]
+def places(n: int) -> np.ndarray:
+    """A random factor for each place 0, 1, 2, ...: splitmix64's stream, the same in each process.
+
+    Powers of one number won't do: with them the sums of words like "abba baab ..." and their complements are equal modulo 2^64.
+    """
+    global _places
+    if n > len(_places):
+        _places = mix64(np.arange(1, max(n, 2 * len(_places), 1024) + 1, dtype=U) * GOLDEN) | U(1)
+    return _places[:n]
 
 
 def of_spans(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The hash of each span of ``data``; spans begin at ``starts`` (the first at 0) and fill it."""
     sizes = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, sizes)
-    return mix64(np.add.reduceat(BYTE[data] * powers(int(sizes.max()))[place], starts) + sizes.astype(U))
+    return mix64(np.add.reduceat(BYTE[data] * places(int(sizes.max()))[place], starts) + sizes.astype(U))
 
 
 def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

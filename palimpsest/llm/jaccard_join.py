@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, in_short_batches, missing, small, stored
-from palimpsest.llm.hashing import BYTE, mix64, pieces, powers
+from palimpsest.llm.hashing import BYTE, mix64, pieces, places
 
 #: Shingles that come last in the order, at most: 16 bytes each in every task.
 FREQUENT = 1 << 19
@@ -74,7 +74,7 @@ def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     text, inside = data[at[0] :], inside[at[0] :]  # from the first word on
     spans = np.diff(np.append(at, len(data)))
     place = np.arange(len(text), dtype=np.int32) - np.repeat((at - at[0]).astype(np.int32), spans)
-    value = BYTE[text] * powers(int(spans.max()))[place]
+    value = BYTE[text] * places(int(spans.max()))[place]
     value *= inside
     word = mix64(np.add.reduceat(value, at - at[0]))
     n_words = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))

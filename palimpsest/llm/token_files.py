@@ -33,6 +33,8 @@ from palimpsest.llm.hashing import of_spans, pieces
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Words whose ids a worker keeps: 1 << 20 take about 60 MB.
 CACHE_WORDS = 1 << 20
+#: Bytes of words, so that a few very long ones don't fill the memory.
+CACHE_BYTES = 1 << 25
 #: Slots of the table that finds them.
 SLOTS = 1 << 21
 NO_ID = -(2**63)
@@ -49,18 +51,17 @@ class WordIds:
     Such a tokenizer cuts a text into pieces by the kinds of its characters and encodes them apart. Some of these cuts can be
     told from two or three bytes: before a space that follows anything but white space, before a point or comma after an
     ASCII letter, and after a single line break, before ASCII characters other than white space. So a text is cut there, and its ids are those of
-    its parts one after the other. Parts are found by a 64-bit hash in a table; the library encodes those that aren't there,
-    many at once, and the bytes that each id stands for tell where a part ends.
+    its parts one after the other. Parts are found by a 64-bit hash in a table and compared with what is kept there byte by
+    byte; the library encodes those that aren't there, many at once, and the bytes that each id stands for tell where a part ends.
 
-    A special token in a text gets its own id, as the library has it, or is spelled out with ``spell_special``.
+    A special token in a text gets its own id, as the library has it.
     """
 
-    def __init__(self, tokenizer_path: str, *, spell_special: bool = True):
+    def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = spell_special
         for token in self.tokenizer.get_added_tokens_decoder().values():
             if token.lstrip or token.rstrip or token.single_word or re.search(r"[\s.,]", token.content):
                 raise ValueError(f"a cut could fall at the added token {token.content!r}")
@@ -73,8 +74,9 @@ class WordIds:
     def clear(self) -> None:
         self.keys, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool = np.zeros(4096, np.uint32)
-        self.n = self.filled = 0
+        self.begins, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.bytes = np.zeros(4096, np.uint32), np.zeros(4096, np.uint8)
+        self.n = self.filled = self.held = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each part, -1 if it isn't there."""
@@ -88,18 +90,24 @@ class WordIds:
             rest, slot = rest[more], (slot[more] + 1) & (SLOTS - 1)
         return found
 
-    def keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New parts, each once."""
-        n, k = self.n + len(hashes), self.filled + len(ids)
+    def keep(self, parts: list[bytes]) -> np.ndarray:
+        """Encodes new parts and keeps their ids and bytes; returns their numbers."""
+        ids, sizes = self.library(parts)
+        raw, lengths = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
+        n, k, b = self.n + len(parts), self.filled + len(ids), self.held + len(raw)
         if n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.starts, self.sizes))
-        if k > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(k, len(self.pool)), np.uint32)])
-        self.pool[self.filled : k] = ids
-        self.sizes[self.n : n] = sizes
-        self.starts[self.n : n] = self.filled + np.cumsum(sizes) - sizes
-        number = np.arange(self.n, n, dtype=np.int32)
-        self.n, self.filled = n, k
+            self.starts, self.sizes, self.begins, self.lengths = (_longer(x, n) for x in (self.starts, self.sizes, self.begins, self.lengths))
+        self.pool, self.bytes = _longer(self.pool, k), _longer(self.bytes, b)
+        self.pool[self.filled : k], self.bytes[self.held : b] = ids, raw
+        for at, size, begin, many in ((self.starts, self.sizes, self.filled, sizes), (self.begins, self.lengths, self.held, lengths)):
+            size[self.n : n] = many
+            at[self.n : n] = begin + np.cumsum(many) - many
+        numbers = np.arange(self.n, n)
+        self.n, self.filled, self.held = n, k, b
+        return numbers
+
+    def enter(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        """Puts parts into the table, each hash once."""
         slot = (hashes >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
         while len(hashes):
             free = self.keys[slot] == 0
@@ -108,6 +116,11 @@ class WordIds:
             self.numbers[slot[mine]] = number[mine]
             hashes, number, slot = hashes[~mine], number[~mine], (slot[~mine] + 1) & (SLOTS - 1)
 
+    def others(self, data: np.ndarray, starts: np.ndarray, spans: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which parts are others than those kept under their numbers, by their bytes."""
+        kept = np.repeat(self.begins[numbers] - starts, spans) + np.arange(len(data))
+        return np.maximum.reduceat(self.bytes.take(kept, mode="clip") != data, starts) | (self.lengths[numbers] != spans)
+
     def library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all parts, and how many each has. Parts that begin with a space and end otherwise go together."""
         together = [k for k, p in enumerate(parts) if p[:1] == b" " and p[1:].isalpha()]
@@ -131,7 +144,7 @@ class WordIds:
         """Little-endian u32 ids of texts that lie one after the other; data: UTF-8 bytes, ends: where each ends."""
         if not len(data):
             return [b""] * len(ends)
-        if self.n > CACHE_WORDS:
+        if self.n > CACHE_WORDS or self.held > CACHE_BYTES:
             self.clear()
         white = WHITE[data]
         if (data >= 0xC2).any():
@@ -148,16 +161,15 @@ class WordIds:
         cut[1:][heads[:-2] & (last[1:] == 10)] = False  # a line break that begins a text has nothing before it
         cut[heads[:-1]] = True
         starts = np.flatnonzero(cut)
+        spans = np.diff(np.append(starts, len(data)))
         hashes = of_spans(data, starts)
         numbers = self.find(hashes)
-        lost = numbers < 0
-        if lost.any():
+        if (lost := numbers < 0).any():
             new, at = np.unique(hashes[lost], return_index=True)
-            begin = starts[lost][at]
-            stop = np.append(starts, len(data))[np.flatnonzero(lost)[at] + 1]
-            raw = data.tobytes()
-            self.keep(new, *self.library([raw[a:z] for a, z in zip(begin.tolist(), stop.tolist(), strict=True)]))
+            self.enter(new, self.keep(_cut_out(data, starts, spans, np.flatnonzero(lost)[at])))
             numbers = self.find(hashes)
+        if (other := self.others(data, starts, spans, numbers)).any():  # another part has this hash
+            numbers[other] = self.keep(_cut_out(data, starts, spans, np.flatnonzero(other)))
         sizes = self.sizes[numbers]
         upto = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.starts[numbers] - upto + sizes, sizes) + np.arange(upto[-1])].astype("<u4", copy=False)
@@ -167,6 +179,16 @@ class WordIds:
         return [raw[4 * a : 4 * z] for a, z in zip([0, *stop[:-1]], stop, strict=True)]
 
 
+def _longer(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
+def _cut_out(data: np.ndarray, starts: np.ndarray, spans: np.ndarray, which: np.ndarray) -> list[bytes]:
+    raw = memoryview(data)
+    return [bytes(raw[a : a + n]) for a, n in zip(starts[which].tolist(), spans[which].tolist(), strict=True)]
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LETTER = np.zeros(256, bool)
@@ -191,7 +213,7 @@ _tables: dict[str, WordIds] = {}
 def encoder(tokenizer_path: str) -> WordIds:
     """One for each worker process: tasks that follow find the words again."""
     if tokenizer_path not in _tables:
-        _tables[tokenizer_path] = WordIds(tokenizer_path, spell_special=False)
+        _tables[tokenizer_path] = WordIds(tokenizer_path)
     return _tables[tokenizer_path]
 
 
@@ -297,7 +319,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, *, end_id:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{out}/shard-{shard:07d}.zst"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     docs = in_short_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    rows = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # with the hash, rows of one doc_id or without one don't all go to one file
+    rows = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return cut(rows.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"))
 
 

@@ -12,9 +12,7 @@ from palimpsest.llm import queries, token_files
 def tokenizer():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(queries.tokenizer_path())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def test_word_table_gives_the_librarys_ids(tokenizer):
@@ -86,3 +84,29 @@ def test_special_tokens_as_the_plain_library_has_them(spark, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), texts[r.doc_id]
         start += len(ids)
     assert start
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_parts_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.hashing import of_spans, pieces
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    morse = [thue_morse(n, letters) for n in (1024, 4096) for letters in ("ab", "ba")]
+    texts = [*morse, "one two three", "two three one two", " ".join(morse), "x", "<|endoftext|> one", "", "two"]
+
+    def check(table):
+        for _ in range(2):
+            got = [ids for _, _, data, ends in pieces(pa.array(texts), 3000) for ids in table.encode(data, ends)]
+            for text, ids in zip(texts, got, strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:40]
+
+    check(token_files.WordIds(queries.tokenizer_path()))
+    hashes = {int(of_spans(np.frombuffer(t.encode(), np.uint8), np.zeros(1, np.int64))[0]) for t in morse}
+    assert len(hashes) == len(morse)
+    monkeypatch.setattr(token_files, "of_spans", lambda data, starts: of_spans(data, starts) & np.uint64(0x300000) | np.uint64(1))
+    check(token_files.WordIds(queries.tokenizer_path()))  # four hashes for all
