@@ -1,15 +1,19 @@
 """N-gram Jaccard join: all documents whose sets of word shingles are alike, without comparing all with all.
 
-1. ``sets_of`` hashes each text's shingles. Documents with the same set are one node from here on; shingles that occur
-   often are counted over all documents.
+1. ``sets_of`` hashes each text's shingles. Documents with the same set are one node from here on (two hashes of the set
+   must be equal, 128 bits); shingles that occur often are counted over all documents.
 2. Each node orders its shingles by one order for all, the rare first. Nodes that are alike share a shingle among the first
    few (prefix filter). Only those are shuffled.
-3. Nodes that share one are candidates where their lengths (length filter) and the places of the shingle in both (positional
-   filter) allow it. Candidates are dealt out as pairs of blocks of nodes, never as pairs of nodes of a group.
-4. A task with a pair of blocks gets the nodes' counts by slices of the hash space, and drops nodes that have no other with
-   which they could have enough in common (length and suffix filter). Of the others it gets the texts, each once, counts
-   the common shingles exactly, and returns as many links as hold its classes together.
-5. Links are contracted to components by their smallest members.
+3. Nodes of keys that very many share are linked first, block by block; then one node of each component goes on to the next
+   round. So a large group of near copies soon is one component, and its blocks needn't meet.
+4. Nodes of different components that share a key are candidates where their lengths (length filter), the index prefix of the
+   smaller one and what can follow after the places of the key in both (positional filter) allow it. Candidates are dealt
+   out as pairs of blocks of nodes, never as pairs of nodes of a group.
+5. A task with a pair of blocks gets the nodes' counts by slices of the hash space, and drops nodes that have no other with
+   which they could have enough in common (length and suffix filter; the suffix filter bounds what the whole sets share by
+   what their slices do). Of the others it gets the texts, each once, counts the common shingles by hash, compares the
+   shingles themselves before it links, and returns as many links as hold its classes together.
+6. Links are contracted to components by their smallest members.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from palimpsest.llm.hashing import BYTE, mix64, pieces, places
 FREQUENT = 1 << 19
 #: Shingles of a block of nodes, and the most nodes of one. A task holds two blocks.
 BLOCK, NODES = 1 << 16, 256
+#: A key that more nodes have than this is hot: its nodes are linked in rounds before pairs of blocks are made.
+HOT = 1024
 #: Bytes of text that are looked at at once, and shingles that are counted at once.
 CHUNK, COUNTED = 1 << 19, 1 << 21
 #: Shingles in a slice of the hash space, about, for the suffix filter; fewest slices.
@@ -98,14 +104,30 @@ def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     return h[keep], o[keep]
 
 
-def signatures(h: np.ndarray, o: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each text's set, and its size."""
+def signatures(h: np.ndarray, o: np.ndarray, n: int, twins: np.ndarray | None = None, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each text's set, a second one that confirms it, and the set's size.
+
+    twins: hashes that different sets have; those sets go by the two hashes' exclusive or. Fewer ``bits`` of the first are for tests.
+    """
     sizes = np.bincount(o, minlength=n)
-    sums = np.zeros(n, _U)
-    if len(h):
-        some = np.flatnonzero(sizes)
-        sums[some] = np.add.reduceat(mix64(h ^ _U(0x5851F42D4C957F2D)), np.searchsorted(o, some))
-    return mix64(sums + sizes.astype(_U)), sizes
+    found = []
+    for salt in (_U(0x5851F42D4C957F2D), _U(0x2545F4914F6CDD1D)):
+        sums = np.zeros(n, _U)
+        if len(h):
+            some = np.flatnonzero(sizes)
+            sums[some] = np.add.reduceat(mix64(h ^ salt), np.searchsorted(o, some))
+        found.append(mix64(sums + sizes.astype(_U)))
+    sig, check = found
+    sig = sig >> _U(64 - bits)
+    if twins is not None and len(twins):
+        sig = np.where(np.isin(sig, twins), sig ^ check, sig)
+    return sig, check, sizes
+
+
+def shingle_set(text: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = text.lower().split()
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
 
 
 def slices_of(h: np.ndarray, o: np.ndarray, n: int) -> list[bytes]:
@@ -149,8 +171,10 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
-    """For each row doc_id, sig (of its set), n (its size) and slices; and rows without n: a shingle that a task met ``times`` in different sets."""
+def sets_of(docs: DataFrame, like: Likeness, bits: int = 64) -> DataFrame:
+    """For each row doc_id, sig (of its set), check (a second hash), n (its size) and slices; and rows without n: a shingle that a task met ``times`` in different sets."""
+
+    names = ["doc_id", "sig", "check", "n", "times", "slices"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -170,9 +194,9 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
             ids = batch.column(0)
             for a, z, data, ends in pieces(batch.column(1), CHUNK):
                 h, o = shingles(data, ends, like.size)
-                sig, n = signatures(h, o, z - a)
+                sig, check, n = signatures(h, o, z - a, bits=bits)
                 parts = slices_of(h, o, z - a)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(signed(sig)), pa.array(n), pa.nulls(z - a, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "sig", "n", "times", "slices"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(signed(sig)), pa.array(signed(check)), pa.array(n), pa.nulls(z - a, pa.int64()), pa.array(parts, pa.binary())], names)
                 new = np.zeros(z - a, bool)
                 for k, s in enumerate(sig.tolist()):
                     if s not in met:
@@ -185,9 +209,18 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
             yield got
 
     def _batch(doc: np.ndarray, sig: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sig), pa.nulls(len(doc), pa.int64()), pa.array(times), pa.nulls(len(doc), pa.binary())], ["doc_id", "sig", "n", "times", "slices"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sig), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(times), pa.nulls(len(doc), pa.binary())], names)
+
+    return docs.mapInArrow(run, "doc_id long, sig long, check long, n long, times long, slices binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, sig long, n long, times long, slices binary")
+def twin_hashes(sets: DataFrame, most: int = 100_000) -> np.ndarray:
+    """The hashes that more than one set has, told by the second hash and the size: for 10^11 sets, some 300 are to be expected."""
+    found = sets.groupBy("sig").agg(F.min("check").alias("c"), F.max("check").alias("d"), F.min("n").alias("n"), F.max("n").alias("m"))
+    rows = found.where("c <> d or n <> m").select("sig").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} hashes stand for more than one set")
+    return np.sort(np.array([r.sig for r in rows], np.int64).view(_U))
 
 
 def frequent_shingles(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +278,11 @@ class Order:
         return np.concatenate(found), np.concatenate(places)
 
 
-def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarray) -> DataFrame:
-    """key, sig, n, place: the shingles among which nodes that are alike must share one. A task gives each set once."""
+def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarray, twins: np.ndarray | None = None, bits: int = 64) -> DataFrame:
+    """key, sig, n, place, known: the shingles among which nodes that are alike must share one. A task gives each set once.
+
+    known: the shingle is frequent, so more than one set is known to have it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((keys, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +291,7 @@ def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarra
         for batch in batches:
             for a, z, data, ends in pieces(batch.column(1), CHUNK):
                 h, o = shingles(data, ends, like.size)
-                sig, n = signatures(h, o, z - a)
+                sig, _, n = signatures(h, o, z - a, twins, bits)
                 new = np.zeros(z - a, bool)
                 for k, s in enumerate(sig.tolist()):
                     if s not in met and n[k]:
@@ -265,9 +301,9 @@ def prefixes(docs: DataFrame, like: Likeness, keys: np.ndarray, times: np.ndarra
                 want = np.where(new, n - (-(-like.percent * n // 100)) + 1, 0)
                 at, place = order.first(h, o, want)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(signed(sig[o[at]])), pa.array(n[o[at]]), pa.array(place)], ["key", "sig", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(signed(sig[o[at]])), pa.array(n[o[at]]), pa.array(place), pa.array(order.often(h[at]) > 0)], ["key", "sig", "n", "place", "known"])
 
-    return docs.mapInArrow(run, "key long, sig long, n long, place long")
+    return docs.mapInArrow(run, "key long, sig long, n long, place long, known boolean")
 
 
 def blocks_of(nodes: DataFrame, weight: int = BLOCK) -> DataFrame:
@@ -291,24 +327,66 @@ def blocks_of(nodes: DataFrame, weight: int = BLOCK) -> DataFrame:
                 out.append(block)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["sig", "n", "block"])
 
-    return nodes.repartitionByRange(parts, "home", "n").sortWithinPartitions("home", "n", "sig").select("sig", "n").mapInArrow(run, "sig long, n long, block long")
+    return nodes.repartitionByRange(parts, "home", "n", "sig").sortWithinPartitions("home", "n", "sig").select("sig", "n").mapInArrow(run, "sig long, n long, block long")
+
+
+def shared_keys(entries: DataFrame) -> DataFrame:
+    """key, sig, n, place of the keys that more than one set has.
+
+    Keys known to be shared are dealt out with a part of the set's hash, so that a hot one doesn't end in one task.
+    """
+    entries = entries.withColumn("salt", F.when(F.col("known"), F.pmod("sig", F.lit(997)) + 1).otherwise(0))
+    by_key = W.partitionBy("key", "salt")
+    rows = entries.withColumn("lo", F.min("sig").over(by_key)).withColumn("hi", F.max("sig").over(by_key)).where("salt > 0 or lo <> hi")
+    return rows.groupBy("key", "salt", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place")).drop("salt")  # a set that several tasks met
 
 
 def candidates(shared: DataFrame, blocks: DataFrame, like: Likeness) -> DataFrame:
-    """(left, right, sig): the pairs of blocks in which nodes share a key, and the nodes that do.
+    """(left, right, sig): the pairs of blocks in which nodes of different components share a key, and the nodes that do.
 
-    shared: key, sig, n, place. Sets of n and m shingles, n <= m, have overlap(n + m) in common. The first key that they share
-    is at place n - overlap(2n) at most in the smaller one: its index prefix; and the sizes differ by percent at most.
+    shared: key, sig, n, place, root (the node's component so far). Sets of n and m shingles, n <= m, have overlap(n + m) in
+    common. The first key that they share is at place n - overlap(2n) at most in the smaller one: its index prefix; the sizes
+    differ by percent at most; and after its places i and j there is still room for the overlap: min(n - i, m - j) at least.
     """
     index = F.col("n") - F.ceil(F.lit(2 * like.percent) * F.col("n") / (100 + like.percent) - 1e-9)
-    rows = shared.join(small(blocks.select("sig", "block")), "sig").withColumn("indexed", F.col("place") <= index).repartition("key")
+    rows = shared.join(small(blocks.select("sig", "block")), "sig").withColumn("indexed", F.col("place") <= index)
     indexed = F.when(F.col("indexed"), F.col("n"))
-    blocks_of_key = rows.groupBy("key", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min(indexed).alias("i_min"), F.max(indexed).alias("i_max"), F.count(F.lit(1)).alias("nodes")).withColumnRenamed("block", "other")
-    # all of a key are in one partition already: neither the sums nor the join deal rows out again
-    both = rows.join(blocks_of_key, "key").where((F.col("block") != F.col("other")) | (F.col("nodes") > 1))
+    sums = [f(c).alias(a) for f, c, a in ((F.min, "n", "n_min"), (F.max, "n", "n_max"), (F.min, indexed, "i_min"), (F.max, indexed, "i_max"), (F.max, F.col("n") - F.col("place"), "room"), (F.min, "root", "r_min"), (F.max, "root", "r_max"))]
+    blocks_of_key = rows.groupBy("key", "block").agg(*sums).withColumnRenamed("block", "other")
+    both = rows.join(blocks_of_key, "key").where((F.col("r_min") != F.col("root")) | (F.col("r_max") != F.col("root")))
     smaller = F.col("indexed") & (F.col("n_max") >= F.col("n")) & (F.col("n_min") * like.percent <= F.col("n") * 100)
     larger = (F.col("i_min") <= F.col("n")) & (F.col("i_max") * 100 >= F.col("n") * like.percent)
-    return both.where(smaller | larger).select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "sig").distinct()
+    need = F.ceil(F.lit(like.percent) * (F.col("n") + F.col("n_min")) / (100 + like.percent) - 1e-9)
+    room = F.least(F.col("n") - F.col("place"), F.col("room")) >= need
+    return both.where((smaller | larger) & room).select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "sig").distinct()
+
+
+def links_in_rounds(rows: DataFrame, link, block: int = BLOCK) -> DataFrame:
+    """(a, b) links among the nodes of hot keys. rows: key, sig, n. link: gives the links of (left, right, sig).
+
+    Each round puts one node of each component of a key, at first each node, into blocks, and links within blocks alone: a
+    group of n near copies leaves n / NODES nodes for the next. It ends where that no longer halves them; what isn't linked by
+    then is left to the pairs of blocks.
+    """
+    rows, edges = cut(rows.select("key", "sig", "n", F.col("sig").alias("root"))), None
+    before = rows.count()
+    while True:
+        some = rows.groupBy("key", "root").agg(F.min("sig").alias("sig"), F.min_by("n", "sig").alias("n"))
+        blocks = cut(blocks_of(some.withColumnRenamed("key", "home"), block)).select("block", "sig").distinct()
+        found = blocks.join(blocks.groupBy("block").count().where("count > 1").select("block"), "block", "left_semi")
+        new = link(found.select(F.col("block").alias("left"), F.col("block").alias("right"), "sig"))
+        edges = cut(new if edges is None else edges.unionByName(new))
+        rows = cut(with_roots(rows.drop("root"), components(edges)))
+        now = rows.select("key", "root").distinct().count()
+        if 2 * now > before:
+            return edges
+        before = now
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with root: the component of the node, or the node itself."""
+    roots = roots.select(F.col("node").alias("sig"), F.col("root").alias("r"))
+    return rows.join(small(roots), "sig", "left").withColumn("root", F.coalesce("r", "sig")).drop("r")
 
 
 def common_counts(h: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
@@ -333,12 +411,15 @@ def common_counts(h: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def links_among(texts: list[str], sigs: list[int], like: Likeness) -> list[tuple[int, int]]:
-    """Links that hold the classes of these texts together; at most one less than there are texts."""
+def links_among(texts: list[str], sigs: list[int], like: Likeness, twins: np.ndarray | None = None, bits: int = 64) -> list[tuple[int, int]]:
+    """Links that hold the classes of these texts together; at most one less than there are texts.
+
+    Shingles of one hash make sets look more alike, never less; so where the hashes say alike, the shingles have the last word.
+    """
     data = [t.encode() for t in texts]
     ends = np.cumsum([len(d) for d in data])
     h, o = shingles(np.frombuffer(b"".join(data), np.uint8), ends, like.size)
-    sig, sizes = signatures(h, o, len(texts))
+    sig, _, sizes = signatures(h, o, len(texts), twins, bits)
     sizes[signed(sig) != np.array(sigs)] = 0  # another row with the same doc_id
     mine = sizes[o] > 0
     h, o = h[mine], o[mine]
@@ -361,6 +442,15 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness) -> list[tuple
     hold = 100 * both >= like.percent * (sizes[x] + sizes[y] - both)
     root = list(range(n))
     out = []
+    sets: dict[int, set] = {}
+
+    def alike(*pair: int) -> bool:
+        for k in pair:
+            if k not in sets:
+                sets[k] = shingle_set(data[order[k]], like.size)
+        a, b = (sets[k] for k in pair)
+        common = len(a & b)
+        return 100 * common >= like.percent * (len(a) + len(b) - common)
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -370,7 +460,7 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness) -> list[tuple
 
     for a, b in zip(x[hold].tolist(), y[hold].tolist(), strict=True):
         ra, rb = find(a), find(b)
-        if ra != rb:
+        if ra != rb and alike(a, b):
             root[max(ra, rb)] = min(ra, rb)
             out.append((sigs[a], sigs[b]))
     return out
@@ -406,13 +496,13 @@ def filtered(found: DataFrame, slices: DataFrame, like: Likeness) -> DataFrame:
     return rows.mapInArrow(run, "left long, right long, sig long")
 
 
-def verified(found: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+def verified(found: DataFrame, texts: DataFrame, like: Likeness, twins: np.ndarray | None = None, bits: int = 64) -> DataFrame:
     """(a, b) signatures of linked nodes. found: left, right, sig. texts: sig, text, one row each."""
     parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, rows in by_pair(batches):
-            pairs = links_among([t for _, t in rows], [s for s, _ in rows], like) if len(rows) > 1 else []
+            pairs = links_among([t for _, t in rows], [s for s, _ in rows], like, twins, bits) if len(rows) > 1 else []
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -445,34 +535,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: int = FREQUENT, block: int = BLOCK, hot: int = HOT, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``, over whole texts.
 
     Documents are linked if their sets of shingles are alike; component_id is the smallest doc_id that links reach, the
     document itself included. Null text, or one without words: no shingles, linked with nothing. Null doc_id: linked with
     nothing, component_id is null. Rows that repeat: linked like any others. An empty table gives none. Other columns aren't read.
+    The other options change the cost, never the result.
     """
     missing(docs, "doc_id", "text")
     docs = in_short_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    rows = stored(sets_of(docs, like), "shingle-sets")
+    rows = stored(sets_of(docs, like, bits), "shingle-sets")
+    twins = twin_hashes(rows.where("n > 0"))
+    if len(twins):
+        rows = rows.withColumn("sig", F.when(F.col("n").isNotNull() & F.col("sig").isin(signed(twins).tolist()), F.col("sig").bitwiseXOR(F.col("check"))).otherwise(F.col("sig")))
     every = rows.where("n is not null").select("doc_id", "sig", "n")
     docs, slim = docs.where("doc_id is not null"), every.where("doc_id is not null")
     nodes = slim.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("first"))
     keys, times = frequent_shingles(rows.where("times is not null"), frequent)
-    entries = prefixes(docs, like, keys, times)
-    by_key = W.partitionBy("key")
-    shared = entries.withColumn("lo", F.min("sig").over(by_key)).withColumn("hi", F.max("sig").over(by_key)).where("lo <> hi")
-    shared = cut(shared.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place")))  # a set that several tasks met
+
+    def link(found: DataFrame) -> DataFrame:
+        found = cut(found)
+        slices = rows.where("n is not null").join(small(found.select("sig").distinct()), "sig", "left_semi").select("sig", "n", "slices").dropDuplicates(["sig"])
+        found = cut(filtered(found, slices, like))
+        wanted = cut(found.select("sig").distinct().join(nodes, "sig").select("sig", F.col("first").alias("w_doc")))
+        texts = docs.join(small(wanted), docs["doc_id"] == F.col("w_doc")).select("sig", "text")
+        return verified(found, texts, like, twins, bits)
+
+    shared = cut(shared_keys(prefixes(docs, like, keys, times, twins, bits)))
+    many = cut(shared.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    early = None if many.isEmpty() else links_in_rounds(shared.join(small(many), "key", "left_semi"), link, block)
+    if early is None:
+        shared = shared.withColumn("root", F.col("sig"))
+    else:  # keys whose nodes are in one component have nothing more to say
+        shared = cut(with_roots(shared, components(early)))
+        open_keys = shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        shared = cut(shared.join(small(open_keys), "key", "left_semi"))
     homes = shared.groupBy("sig", "n").agg(F.min("key").alias("home"))
     blocks = cut(blocks_of(homes, block))
-    found = cut(candidates(shared, blocks, like))
-    slices = rows.where("n is not null").join(small(found.select("sig").distinct()), "sig", "left_semi").select("sig", "n", "slices").dropDuplicates(["sig"])
-    found = cut(filtered(found, slices, like))
-    wanted = found.select("sig").distinct().join(nodes, "sig").select("sig", F.col("first").alias("w_doc"))
-    wanted = cut(wanted)
-    texts = docs.join(small(wanted), docs["doc_id"] == F.col("w_doc")).select("sig", "text")
-    edges = verified(found, texts, like)
-    roots = components(edges)
+    edges = link(candidates(shared, blocks, like))
+    roots = components(edges if early is None else edges.unionByName(early))
     firsts = nodes.groupBy("sig").agg(F.min("first").alias("first"))
     linked = roots.join(firsts, F.col("node") == F.col("sig")).groupBy("root").agg(F.min("first").alias("least"))
     linked = cut(roots.join(linked, "root").select(F.col("node").alias("sig"), "least"))

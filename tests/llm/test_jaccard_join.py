@@ -37,7 +37,7 @@ def got(docs, like, **options):
 
 
 @pytest.mark.parametrize("like", [j.Likeness(4, 85), j.Likeness(), j.Likeness(1, 60)])
-@pytest.mark.parametrize("options", [{}, {"frequent": 2, "block": 40}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 2, "block": 40}, {"hot": 3, "block": 60, "bits": 3}])
 def test_against_all_pairs(near, like, options):
     rows = [(r.doc_id, r.text) for r in near.collect()]
     assert got(near, like, **options) == plain(rows, like)
@@ -101,3 +101,37 @@ def test_components(spark):
     alone = {a for a, b in edges if a == b}
     assert all(got[k] == find(k) for k in root if k not in alone or k in got)
     assert j.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_whose_sums_are_equal_modulo_a_power_of_two(spark):
+    """Thue-Morse words and their complements, in shingles and in whole sets."""
+    morse = {n: "".join("ab"[bin(k).count("1") % 2] for k in range(n)) for n in (1024, 2048, 4096)}
+    other = str.maketrans("ab", "ba")
+    texts = [t for w in morse.values() for t in (f"one two {w} three", f"one two {w.translate(other)} three", w, w.translate(other))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for like in (j.Likeness(4, 85), j.Likeness()):
+        assert got(docs, like) == plain(list(enumerate(texts)), like)
+
+
+def test_shingles_have_the_last_word(monkeypatch):
+    """With one hash for all shingles, sets of one size look alike."""
+    monkeypatch.setattr(j, "mix64", lambda x: x * j._U(0) + j._U(7))
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r"]
+    h, o = j.shingles(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([len(t) for t in texts]), 5)
+    sigs = [int(x) for x in j.signed(j.signatures(h, o, 3)[0])]
+    assert len(set(sigs)) == 1
+    assert j.links_among(texts, sigs, j.Likeness()) == []
+
+
+def test_a_hot_group_is_linked_in_rounds(spark):
+    """Near copies that all share a key, with strangers that share it too."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(600):
+        text = list(base)
+        text[rng.randrange(10, 60)] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    rows += [(1000 + k, " ".join(base[:12] + [f"s{k}_{i}" for i in range(50)])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, j.Likeness(4, 85), hot=50, block=1200) == plain(rows, j.Likeness(4, 85))
