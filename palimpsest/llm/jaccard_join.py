@@ -35,7 +35,7 @@ FREQUENT = 1 << 19
 #: Shingles of a block of nodes, and the most nodes of one. A task holds two blocks.
 BLOCK, NODES = 1 << 16, 256
 #: A key that more nodes have than this is hot: its nodes are linked in rounds before pairs of blocks are made.
-HOT = 1024
+HOT = 1 << 12
 #: Bytes of text that are looked at at once, and shingles that are counted at once.
 CHUNK, COUNTED = 1 << 19, 1 << 21
 #: Shingles in a slice of the hash space, about, for the suffix filter; fewest slices.
@@ -362,22 +362,20 @@ def candidates(shared: DataFrame, blocks: DataFrame, like: Likeness) -> DataFram
 
 
 def links_in_rounds(rows: DataFrame, link, block: int = BLOCK) -> DataFrame:
-    """(a, b) links among the nodes of hot keys. rows: key, sig, n. link: gives the links of (left, right, sig).
+    """(a, b) links among the nodes of hot keys. rows: key, sig, n. link: gives the links of (left, right, sig), each from the least node of a class.
 
-    Each round puts one node of each component of a key, at first each node, into blocks, and links within blocks alone: a
-    group of n near copies leaves n / NODES nodes for the next. It ends where that no longer halves them; what isn't linked by
-    then is left to the pairs of blocks.
+    Each round puts the nodes of a key into blocks and links within blocks alone; of what is linked, the least goes on to the
+    next round. So a group of n near copies leaves n / NODES nodes. It ends where that no longer halves them; what isn't linked
+    by then is left to the pairs of blocks.
     """
-    rows, edges = cut(rows.select("key", "sig", "n", F.col("sig").alias("root"))), None
+    rows, edges = cut(rows.select("key", "sig", "n")), None
     before = rows.count()
     while True:
-        some = rows.groupBy("key", "root").agg(F.min("sig").alias("sig"), F.min_by("n", "sig").alias("n"))
-        blocks = cut(blocks_of(some.withColumnRenamed("key", "home"), block)).select("block", "sig").distinct()
-        found = blocks.join(blocks.groupBy("block").count().where("count > 1").select("block"), "block", "left_semi")
-        new = link(found.select(F.col("block").alias("left"), F.col("block").alias("right"), "sig"))
-        edges = cut(new if edges is None else edges.unionByName(new))
-        rows = cut(with_roots(rows.drop("root"), components(edges)))
-        now = rows.select("key", "root").distinct().count()
+        blocks = cut(blocks_of(rows.withColumnRenamed("key", "home"), block)).select("block", "sig").distinct()
+        new = cut(link(blocks.select(F.col("block").alias("left"), F.col("block").alias("right"), "sig")))
+        edges = new if edges is None else edges.unionByName(new)
+        rows = cut(rows.join(small(new.select(F.col("b").alias("sig")).distinct()), "sig", "left_anti").select("key", "sig", "n"))
+        now = rows.count()
         if 2 * now > before:
             return edges
         before = now
@@ -412,7 +410,7 @@ def common_counts(h: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
 
 
 def links_among(texts: list[str], sigs: list[int], like: Likeness, twins: np.ndarray | None = None, bits: int = 64) -> list[tuple[int, int]]:
-    """Links that hold the classes of these texts together; at most one less than there are texts.
+    """Links that hold the classes of these texts together, from the least signature of each to the others.
 
     Shingles of one hash make sets look more alike, never less; so where the hashes say alike, the shingles have the last word.
     """
@@ -441,7 +439,6 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness, twins: np.nda
     both = common[at[x], at[y]].astype(np.int64)
     hold = 100 * both >= like.percent * (sizes[x] + sizes[y] - both)
     root = list(range(n))
-    out = []
     sets: dict[int, set] = {}
 
     def alike(*pair: int) -> bool:
@@ -462,8 +459,10 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness, twins: np.nda
         ra, rb = find(a), find(b)
         if ra != rb and alike(a, b):
             root[max(ra, rb)] = min(ra, rb)
-            out.append((sigs[a], sigs[b]))
-    return out
+    least: dict[int, int] = {}
+    for k in range(n):
+        least[find(k)] = min(sigs[k], least.get(find(k), sigs[k]))
+    return [(least[find(k)], sigs[k]) for k in range(n) if sigs[k] != least[find(k)]]
 
 
 def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
@@ -568,13 +567,14 @@ def join_components(docs: DataFrame, like: Likeness = Likeness(), *, frequent: i
     if early is None:
         shared = shared.withColumn("root", F.col("sig"))
     else:  # keys whose nodes are in one component have nothing more to say
-        shared = cut(with_roots(shared, components(early)))
+        early = components(early)
+        shared = cut(with_roots(shared, early))
         open_keys = shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         shared = cut(shared.join(small(open_keys), "key", "left_semi"))
     homes = shared.groupBy("sig", "n").agg(F.min("key").alias("home"))
     blocks = cut(blocks_of(homes, block))
     edges = link(candidates(shared, blocks, like))
-    roots = components(edges if early is None else edges.unionByName(early))
+    roots = components(edges if early is None else edges.unionByName(early.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     firsts = nodes.groupBy("sig").agg(F.min("first").alias("first"))
     linked = roots.join(firsts, F.col("node") == F.col("sig")).groupBy("root").agg(F.min("first").alias("least"))
     linked = cut(roots.join(linked, "root").select(F.col("node").alias("sig"), "least"))
