@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast when their number has been counted and each row is a few numbers or a short key.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts in a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +54,13 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast if the counted rows are within the bound; else a shuffled join does it. Give it tables that are cheap to count."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, *texts: str) -> DataFrame:
+    """Broadcast if the counted rows are within the bound, and the bytes of the columns ``texts`` within BROADCAST_BYTES; else a
+    shuffled join does it. Give it tables that are cheap to count; columns of any length must be named."""
+    if texts:
+        size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0)))
+        found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("size")).first()
+        return F.broadcast(df) if found.n <= rows and found.size <= BROADCAST_BYTES else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
