@@ -46,3 +46,57 @@ def test_extract(spark):
     got = h.extract(pages).collect()
     assert sorted((repr(r.page_id), r.n_chars) for r in got) == sorted([("1", 68), ("1", 68), ("2", 0), ("None", 0)]) and all(len(r.text) == r.n_chars for r in got)
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def price(side, terminal, edges):
+    return sum(max(0, t) for t, s in zip(terminal, side, strict=True) if not s) + sum(max(0, -t) for t, s in zip(terminal, side, strict=True) if s) + sum(w for (a, b), w in edges.items() if side[a] != side[b])
+
+
+def test_cut_with_labels_set_ahead_is_minimal():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randrange(1, 10)
+        terminal = [rng.randrange(-50, 51) for _ in range(n)]
+        edges = {(a, b): rng.randrange(1, 40) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.35}
+        assert price(h.minimum_cut(terminal, edges), terminal, edges) == min(price(x, terminal, edges) for x in itertools.product([False, True], repeat=n))
+
+
+LONG = "The river rises in the hills, and it runs through three towns before it meets the sea."
+
+
+def test_the_cut_flips_labels_to_the_right_ones():
+    """Without class names: short lines among paragraphs, and a sentence in a menu, are told by what is around them."""
+    page = f"<body><div><div><a href=a>Home</a></div><div><a href=b>All of our news, every day.</a> Yes, here.</div><div><a href=c>Help</a></div><div><a href=d>Shop</a></div></div><div><p>{LONG} {LONG}<p>{LONG}<p>So it is<p>{LONG} {LONG}<p>12 km</p><p>{LONG}</p></div></body>"
+    blocks = h.blocks_of(page)
+    terminal, edges = h.problem(blocks)
+    labels = h.minimum_cut(terminal, edges)
+    alone = {b.text for b, t in zip(blocks, terminal, strict=True) if t > 0}
+    kept = {b.text for b, k in zip(blocks, labels, strict=True) if k}
+    assert "So it is" not in alone and "12 km" not in alone
+    assert h.main_text(page) == f"{LONG} {LONG} {LONG} So it is {LONG} {LONG} 12 km {LONG}" and "Help" not in kept
+    assert price(labels, terminal, edges) == min(price(x, terminal, edges) for x in itertools.product([False, True], repeat=len(blocks)))
+
+
+def test_labels_of_whole_pages_against_brute_force():
+    import pyarrow.parquet as pq
+
+    seen = 0
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist() + [PAGE]:
+        blocks = h.blocks_of(html or "")
+        if 0 < len(blocks) <= 13:
+            terminal, edges = h.problem(blocks)
+            assert price(h.cut_labels(blocks), terminal, edges) == min(price(x, terminal, edges) for x in itertools.product([False, True], repeat=len(blocks)))
+            seen += 1
+            if seen == 12:
+                break
+    assert seen
+
+
+def test_time_grows_with_the_length_alone():
+    import time
+
+    for piece, times in (("<a ", 350_000), ("<div>", 100_000), ('<a "b" ', 150_000), ('<p class="x>', 80_000), ("<!-- ", 200_000), ("</p><div>a", 30_000)):
+        for end in ("", '">'):
+            began = time.perf_counter()
+            h.main_text(piece * times + end)
+            assert time.perf_counter() - began < 10, piece  # quadratic ones took minutes
