@@ -134,12 +134,12 @@ select source, lang, 'utf8-bytes-1', count(*), cast(sum(strlen(coalesce(text, ''
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id is not distinct from max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",
     "op8_url_filter": rf"""
-with h as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
-d as (select *, {_RULE} as rule, host || path as url from h), rows_ as (select *, {_SAID} as said from d),
+with h as (select page_id, coalesce(url, '') as url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+d as (select *, {_RULE} as rule from h), rows_ as (select *, {_SAID} as said from d),
 labelled as (select url, said = 'allow' as accepted, cast('0x' || substr(md5(url), 1, 8) as bigint) % 5 = 0 as unseen from rows_ where said is not null),
 seen as (select distinct url, chr(2) || url || chr(3) as u from rows_), places as (select url, u, unnest(range(2, length(u) + 1)) as pos from seen),
 grams as (select url, pos, substr(u, pos - k, k + 1) as gram from places, (select unnest(range(0, {url_filter.ORDER + 1})) as k) where pos > k),
-n as (select gram, sum(case when accepted then 1 else 0 end) as a, sum(case when accepted then 0 else 1 end) as r from labelled join grams using (url) where not unseen group by gram having length(gram) <= {url_filter.RARE} or count(*) > 1),
+n as (select gram, sum(case when accepted then 1 else 0 end) as a, sum(case when accepted then 0 else 1 end) as r from labelled join grams using (url) where not unseen group by gram),
 c as (select substr(gram, 1, length(gram) - 1) as context, sum(a) as ca, sum(r) as cr from n group by 1),
 {_LEVELS},
 model as (select gram, cast(floor((ln(pa) - ln(pr)) * 1000000 + 0.5) as bigint) as micro from ({" union all ".join(f"select * from l{k}" for k in range(url_filter.ORDER + 1))}) where exists (select 1 from c where context = '' and ca > 0 and cr > 0)),

@@ -1,6 +1,6 @@
 """URL filters: rules, and for the rest the ratio of two character language models, in DataFrame operations alone.
 
-The urls that rules allow or block train one smoothed variable-order Markov model each. A character is judged after the
+The whole urls that rules allow or block train one smoothed variable-order Markov model each. A character is judged after the
 longest context that either model has seen with it; a url's score is the mean difference of the two log-likelihoods,
 compared with a threshold calibrated on labelled urls that the models didn't see. Differences are rounded to millionths,
 so sums are exact in any order.
@@ -15,8 +15,6 @@ from palimpsest.llm.common import cut, missing, small
 
 #: Characters of context, at most; counts of pseudo-characters that the shorter context adds; size of the alphabet.
 ORDER, PSEUDO, ALPHABET = 4, 4.0, 128
-#: Longer n-grams than this must occur twice, so that what is broadcast stays small.
-RARE = 3
 MICRO = 1_000_000
 #: Millionths in a bin of the calibration's histogram; scores count as at most so many bins from 0.
 BIN, BINS = 10_000, 2000
@@ -59,7 +57,7 @@ def train(labelled: DataFrame) -> DataFrame:
     labelled: url, accepted. All rows are counted. With one class alone or none: no rows, and scores are 0.
     """
     n = grams(labelled, "accepted").groupBy("gram").agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r"))
-    n = cut(n.where((F.length("gram") <= RARE) | (F.col("a") + F.col("r") > 1)))
+    n = cut(n)
     contexts = n.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
     contexts = cut(contexts)
     model = lower = None
@@ -78,17 +76,27 @@ def train(labelled: DataFrame) -> DataFrame:
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """(url, score) for each distinct url: the mean over its characters, in millionths, rounded down."""
-    urls = urls.select("url").distinct()
-    seen = grams(urls, "url").join(small(model), "gram", "left")
-    best = seen.groupBy("url", "pos").agg(F.max(F.when(F.col("micro").isNotNull(), F.struct(F.length("gram"), "micro"))).alias("best"))
-    return best.groupBy("url").agg(F.floor(F.sum(F.coalesce("best.micro", F.lit(0))) / F.count(F.lit(1))).cast("long").alias("score"))
+    """(url, score) for each distinct url: the mean over its characters, in millionths, rounded down.
+
+    A character and the ORDER before it are a window. The same windows come again and again, so each is looked up in the model
+    once, after the longest context that is there; urls then meet windows, one row a character.
+    """
+    parts = max(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), urls.sparkSession.sparkContext.defaultParallelism)
+    # short rows of which each becomes a hundred: so many partitions, whatever their bytes
+    urls = urls.select("url").repartition(parts, "url").distinct()
+    at = urls.withColumn("u", F.concat(F.lit("\u0002"), F.col("url"), F.lit("\u0003"))).withColumn("pos", F.explode(F.sequence(F.lit(2), F.length("u"))))
+    window = F.substring(F.col("u"), F.greatest(F.col("pos") - ORDER, F.lit(1)), F.least(F.col("pos"), F.lit(ORDER + 1)))
+    at = at.select("url", window.alias("window"))
+    ends = F.array(*[F.when(F.length("window") > k, F.substring(F.col("window"), F.length("window") - k, F.lit(k + 1))) for k in range(ORDER + 1)])
+    known = at.select("window").distinct().select("window", F.explode(F.filter(ends, lambda g: g.isNotNull())).alias("gram")).join(small(model), "gram")
+    best = cut(known.groupBy("window").agg(F.max_by("micro", F.length("gram")).alias("micro")))
+    return at.join(small(best), "window", "left").groupBy("url").agg(F.floor(F.coalesce(F.sum("micro"), F.lit(0)) / F.count(F.lit(1))).cast("long").alias("score"))
 
 
 def calibrate(scored: DataFrame) -> int:
     """The threshold with the least sum of the two classes' error rates, from a histogram of scores: accept from it on.
 
-    scored: score, accepted. Of equal thresholds the one nearest to 0. Without rows of both classes: 0.
+    scored: score, accepted. Scores beyond BINS bins from 0 are told apart no further here; urls are judged by their own. Of equal thresholds the one nearest to 0. Without rows of both classes: 0.
     """
     bin_of = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") / BIN)))
     rows = scored.groupBy(bin_of.cast("int").alias("bin")).agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r")).orderBy("bin").collect()  # 4001 rows at most
@@ -106,15 +114,16 @@ def calibrate(scored: DataFrame) -> int:
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score for each row of ``pages``.
 
-    Null url, or none with ``://``: host and path are empty, no rule fits, and the models judge the empty text. Rows that
+    Rules see host and path, the models the whole url. Null url, or none with ``://``: host and path are empty and no rule fits;
+    a null url is judged as the empty text. Rows that
     repeat: each. Null page_id: stays null. An empty table gives none. Other columns aren't read. Where a rule fits, score
     is null. If rules don't label both classes, what they don't decide is allowed.
     """
     missing(pages, "page_id", "url")
     url = F.col("url").cast("string")
-    rows = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url"))
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = cut(rows.withColumns({"rule": rule, "said": said}).withColumn("url", F.concat("host", "path")))
+    rows = cut(rows.withColumns({"rule": rule, "said": said}))
     labelled = rows.where("said is not null").select("url", (F.col("said") == "allow").alias("accepted"))
     unseen = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % 5 == 0  # a fifth of the labelled urls is for the calibration
     model = train(labelled.where(~unseen))
