@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import in_short_batches, missing
 
 DIMS = 4096
-#: Labelled rows that the fit reads at most: so many a language, and so many in all.
-ROWS_PER_LANG, ROWS = 400, 8000
+#: Labelled rows that the fit reads: at most so many a language, and with many languages fewer of each, so many in all; but
+#: LEAST of each language if it has them. Languages at most: more is an error.
+ROWS_PER_LANG, ROWS, LEAST, LANGS = 400, 8000, 20, 5000
 CENTROIDS = 4
 #: A text is rejected below this share of the low quantile of the cosine among the labelled texts of the fit.
 SLACK = 0.5
@@ -105,29 +106,34 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, *, rows_per_lang: int = ROWS_PER_LANG, rows: int = ROWS, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
-    """Fits on a bounded sample of (doc_id, text, lang): the rows with the smallest hashes of their ids, by language.
+    """Fits on a bounded sample of (doc_id, text, lang): of each language the rows with the smallest hashes of id and text.
 
-    What comes to the driver is a vector of 4096 numbers for each of at most ``rows`` rows. Rows without text or language
-    aren't used. Languages are counted over all rows.
+    What comes to the driver is a vector of 4096 numbers for each of about 1.2 times ``rows`` rows; LEAST a language are taken
+    however many languages there are. Rows without text or language aren't used; rows that repeat count once. Ties of the
+    hash: one of them. Different rows are counted over all, to 2 %. No labelled rows: a model that says ``und``.
     """
     missing(labelled, "doc_id", "text", "lang")
     labelled = labelled.where("lang is not null and text is not null")
-    totals = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy("count", "lang", ascending=False).limit(rows // 10).collect()}
+    row = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(7))
+    totals = {r.lang: max(1, r.n) for r in labelled.groupBy("lang").agg(F.approx_count_distinct(row, 0.02).alias("n")).limit(LANGS + 1).collect()}
+    if len(totals) > LANGS:
+        raise ValueError(f"over {LANGS} languages")
     if not totals:
         return Model([], np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), 0.0)
-    each = min(rows_per_lang, rows // len(totals))
+    each = max(LEAST, min(rows_per_lang, rows // len(totals)))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 1.2 * each / n + 20 / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share).withColumn("draw", draw)
+    draw = F.pmod(row, F.lit(1 << 30)) / float(1 << 30)
+    # each language has its own threshold, so that rare ones keep their rows; about 1.2 * each + 20 rows of a language pass it
+    sample = labelled.select("lang", "text", draw.alias("draw")).where(F.col("draw") < share).dropDuplicates(["lang", "draw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [counts(t).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(2)], ["lang", "counts", "draw"])
 
-    got = sample.select("lang", "text", "draw").mapInArrow(run, "lang string, counts binary, draw double").orderBy("draw").limit(2 * rows).collect()
+    got = sample.mapInArrow(run, "lang string, counts binary, draw double").collect()
     by_lang: dict[str, list[np.ndarray]] = {}
-    for r in got:
+    for r in sorted(got, key=lambda r: r.draw):
         if len(by_lang.setdefault(r.lang, [])) < each:
             by_lang[r.lang].append(np.frombuffer(bytes(r.counts), np.uint32).astype(np.float32))
     langs = sorted(by_lang)
@@ -172,6 +178,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return in_short_batches(docs).mapInArrow(run, schema)
 
 
+def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that are rejected, null and empty texts among them. All columns stay, whatever they are called."""
+    missing(docs, "text")
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield part.filter(pa.array([not rejected for _, _, rejected in model.predict(part.column(at).to_pylist())], pa.bool_()))
+
+    return in_short_batches(docs).mapInArrow(run, docs.schema).toDF(*names)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of the documents that is never learned from; false for a null id, which isn't learned from either."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -45,3 +45,37 @@ def test_unseen_latin_languages_and_junk_are_rejected(spark):
         "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 400)),
     ]
     assert [rejected for _, _, rejected in model.predict(far)] == [True] * len(far)
+
+
+def plain_counts(text):
+    kept = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in (" " + text.lower() + " ").encode())
+    while b"  " in kept:
+        kept = kept.replace(b"  ", b" ")
+    found = {}
+    for n in (1, 2, 3):
+        for k in range(len(kept) - n + 1):
+            code = int.from_bytes(kept[k : k + n], "big") + (n << 24)
+            bucket = (code * 2654435761 & 0xFFFFFFFF) >> 20
+            found[bucket] = found.get(bucket, 0) + 1
+    return found
+
+
+def test_against_plain_cosines(spark):
+    """The query's rows against loops over n-grams, weights and centroids."""
+    docs = queries.table(spark, DIR, "documents")
+    model = lang_id.fit(docs.where(~lang_id.held_out(docs["doc_id"])))
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, DIR).collect()}
+    for r in docs.where("length(text) < 900").orderBy("doc_id").limit(25).collect():
+        x = {k: float(np.log1p(n) * model.idf[k]) for k, n in plain_counts(r.text).items()}
+        length = sum(v * v for v in x.values()) ** 0.5
+        cosines = [sum(v * float(c[k]) for k, v in x.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(cosines[best] - got[r.doc_id].score) < 1e-4
+        assert got[r.doc_id].lang_pred in {model.langs[model.owner[k]] for k in range(len(cosines)) if cosines[k] > cosines[best] - 1e-4}
+
+
+def test_rare_languages_and_copies(spark):
+    """A thousand languages of some rows each are all learned, one row a million times over counts once."""
+    rows = [(k, f"w{k % 1000}x language text {k % 1000}", f"l{k % 1000}") for k in range(3000)] + [(7, "again and again", "l7")] * 500
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 1000
