@@ -19,9 +19,9 @@ from palimpsest.llm.common import cut, missing, small, word_count
 LEVELS, BITS = 4, 15
 
 
-def hash60(doc_id: Column) -> Column:
-    """The first 60 bits of the md5 of the id as text; null counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def hash60(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the md5 of the id as text; without an id, of the text itself, null as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def cyclic_weight(rank: Column) -> Column:
@@ -68,25 +68,50 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", F.col("bucket").alias("edge"), (F.col("over") - F.col("rest") <= F.col("rest") - F.col("under")).alias("keep_edge"))
 
 
-def mix(docs: DataFrame, *, weight: Callable[[Column], Column] = cyclic_weight, budget: float = 1.0, most: float = 3.0) -> DataFrame:
-    """How often each document goes into the mix.
+def plan_of(slim: DataFrame, *, weight: Callable[[Column], Column] = cyclic_weight, budget: float = 1.0, most: float = 3.0) -> DataFrame:
+    """A row a source: mix_source, source_size, target, whole, edge, keep_edge. slim: source, size, h."""
+    plan = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weight, budget, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = cut(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    edges = thresholds(slim, plan).withColumnRenamed("source", "e_source")
+    plan = plan.join(edges, F.col("source").eqNullSafe(F.col("e_source")), "left").withColumnRenamed("source", "mix_source")
+    return cut(plan.select("mix_source", "source_size", "target", "whole", "edge", "keep_edge"))
+
+
+def repeats_of(h: Column, whole: Column, edge: Column, keep_edge: Column) -> Column:
+    """How often a row is taken, by its hash and the thresholds of its source."""
+    return whole + F.coalesce((h < edge) | ((h == edge) & keep_edge), F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """How often each document goes into the mix. Options: weight, budget, most, as in ``source_targets``.
 
     Reads doc_id, text and source; returns doc_id, source, size (words), source_size, target, repeats and taken, a row for
     each row of ``docs``. A source whose target is t times its size gives floor(t) copies of each document, and one more of
     those under its threshold, so no document is taken more than ceil(most) times. Sources differ from their targets by
-    half a document at most.
+    half of what is taken or left together at most: a document, or the rows that share its id.
 
-    Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Null doc_id: hashed as the empty
-    text. Rows with the same doc_id are taken alike. No rows: no rows. Other columns aren't read.
+    Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Null doc_id: hashed by its text.
+    Rows with the same doc_id are taken alike, and so are those without one that have the same text. No rows: no rows.
+    Other columns aren't read.
     """
     missing(docs, "doc_id", "text", "source")
-    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")))
-    plan = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weight, budget, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = cut(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    edges = thresholds(slim, plan).withColumnRenamed("source", "e_source")
-    plan = plan.join(edges, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source").withColumnRenamed("source", "p_source")
-    rows = slim.join(small(plan), F.col("source").eqNullSafe(F.col("p_source")))
-    more = F.coalesce((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("keep_edge")), F.lit(False)).cast("long")
-    rows = rows.withColumn("repeats", F.col("whole") + more)
+    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h")))
+    rows = slim.join(small(plan_of(slim, **options)), F.col("source").eqNullSafe(F.col("mix_source")))
+    rows = rows.withColumn("repeats", repeats_of(*[F.col(c) for c in ("h", "whole", "edge", "keep_edge")]))
     return rows.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` says, 0 times too: a filter on the row's own hash, nothing but numbers is shuffled.
+
+    Odd rows as in ``mix``. All columns stay, whatever they are called.
+    """
+    missing(docs, "doc_id", "text", "source")
+    h = hash60(docs["doc_id"], docs["text"])
+    slim = cut(docs.select(docs["source"], word_count(docs["text"]).alias("size"), h.alias("h")))
+    plan = plan_of(slim, **options)
+    plan = small(plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("mix_source", "whole", "edge", "keep_edge")]))
+    times = repeats_of(h, *[F.col(f"__mix_{c}") for c in ("whole", "edge", "keep_edge")])
+    rows = docs.join(plan, docs["source"].eqNullSafe(F.col("__mix_mix_source"))).withColumn("__mix_times", times).where("__mix_times > 0")
+    return rows.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

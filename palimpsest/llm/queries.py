@@ -108,7 +108,7 @@ SQL = {
     "op1_mix_sources": rf"""
 with d as (
   select doc_id, source, cast({_WORDS} as bigint) as size,
-    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), text, '')), 1, 15) as bigint) as h
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (select *, cast((row_number() over (order by source asc nulls last) - 1) % 3 + 1 as double) as weight, source_size * 3.0::double as cap from s),
