@@ -4,7 +4,7 @@ import tempfile
 from pathlib import Path
 
 import pytest
-from files import docx, ins, para, run
+from files import change, docx, para
 
 from palimpsest import cli
 
@@ -14,8 +14,8 @@ def folder():
     root = Path(tempfile.mkdtemp(prefix="spark-"))
     for n in (1, 2):
         (root / f"round{n}" / "ann").mkdir(parents=True)
-        body = para(ins("x" * 200, "2024-01-01T10:00:00Z", id=1), run(" and ")) + (para(ins("more", "2024-01-02T10:00:00Z", id=2)) if n == 2 else "")
-        (root / f"round{n}" / "ann" / "paper.docx").write_bytes(docx(body))
+        body = [para(change("ins", "2024-01-01T10:00:00Z", "x" * 200, number=1), " and "), para(change("ins", "2024-01-02T10:00:00Z", "more", number=2))]
+        (root / f"round{n}" / "ann" / "paper.docx").write_bytes(docx(*body[:n]))
     (root / "round2" / "~$paper.docx").write_bytes(b"open")
     return root
 

@@ -1,8 +1,10 @@
 import base64
+import itertools
+import random
 from datetime import datetime, timezone
 
 import pytest
-from files import attrs, dele, docx, gone, ins, mark, para, run, settings, table
+from files import NO_PART, change, docx, kept_settings, para, run, table, w, written
 from pyspark.sql import functions as F
 
 from palimpsest.operators import flow, integrity, positions, snapshots, tamper, versions
@@ -21,15 +23,15 @@ T = [t + "Z" for t in TIMES]
 @pytest.fixture(scope="module")
 def history():
     """A document with each kind of change."""
-    return docx("".join([
-        para(run("One "), ins("two ", T[0]), ins("always "), f"<w:ins {attrs(T[0])}><w:del {attrs(T[2])}>{gone('brief ')}</w:del></w:ins>", dele("old", T[1])),
-        para(mark("ins", T[1]), run("Split")), para(run("here")),
-        para(mark("del", T[2]), dele("Removed", T[2])), para(run("Kept")),
-        f"<w:tbl><w:tr><w:tc>{para(run('A'))}</w:tc></w:tr><w:tr><w:trPr><w:ins {attrs(T[3])}/></w:trPr><w:tc>{para(mark('ins', T[3]), ins('B', T[3]))}</w:tc></w:tr></w:tbl>",
-        para(run("Bold", props=f"<w:rPr><w:b/><w:rPrChange {attrs(T[1])}><w:rPr><w:i/></w:rPr></w:rPrChange></w:rPr>")),
-        para(mark("moveFrom", T[4]), f"<w:moveFromRangeStart w:id='1' w:name='m'/><w:moveFrom {attrs(T[4])}>{gone('Went')}</w:moveFrom><w:moveFromRangeEnd w:id='1'/>"),
-        para(mark("moveTo", T[4]), f"<w:moveToRangeStart w:id='2' w:name='m'/><w:moveTo {attrs(T[4])}>{run('Went')}</w:moveTo><w:moveToRangeEnd w:id='2'/>"), para(run("End")),
-    ]))
+    cell = lambda *inside, **more: w("tc", para(*inside, **more))
+    bold = run("Bold", look=[w("b"), change("rPrChange", T[1], w("rPr", w("i")))])
+    went = lambda kind, name: para(w(f"{kind}RangeStart", id=name, name="m"), change(kind, T[4], "Went"), w(f"{kind}RangeEnd", id=name), mark=(kind, T[4]))
+    return docx(
+        para("One ", change("ins", T[0], "two "), change("ins", None, "always "), change("ins", T[0], change("del", T[2], "brief ")), change("del", T[1], "old")),
+        para("Split", mark=("ins", T[1])), para("here"), para(change("del", T[2], "Removed"), mark=("del", T[2])), para("Kept"),
+        w("tbl", w("tr", cell("A")), w("tr", w("trPr", change("ins", T[3])), cell(change("ins", T[3], "B"), mark=("ins", T[3])))),
+        para(bold), went("moveFrom", 1), went("moveTo", 2), para("End"),
+    )
 
 
 VERSIONS = {
@@ -61,7 +63,7 @@ def test_versions(spark, history):
 
 
 def test_events_and_stats(spark, history):
-    files = table(spark, [history, b"no zip", docx(para(run("x")), None)])
+    files = table(spark, [history, b"no zip", docx(para("x"), settings=NO_PART)])
     events = source.revisions(files).orderBy("doc_id", "seq").collect()
     assert [(e.type, e.text) for e in events] == [("ins", "two "), ("ins", "brief "), ("del", "old"), ("ins", ""), ("del", "brief "), ("del", ""), ("del", "Removed"), ("ins", ""), ("ins", ""), ("ins", "B")]
     assert all(a.ts <= b.ts for a, b in zip(events, events[1:], strict=False))
@@ -72,7 +74,7 @@ def test_events_and_stats(spark, history):
 
 
 def test_u16_lengths_and_tabs(spark):
-    body = para(f"<w:ins {attrs(T[0])}><w:r><w:t>😀a</w:t><w:tab/><w:br/></w:r></w:ins>")
+    body = para(change("ins", T[0], run("😀a", w("tab"), w("br"))))
     e = source.revisions(table(spark, [docx(body)])).first()
     assert e.chars == 5 and e.text == "😀a\t\n"
 
@@ -127,8 +129,6 @@ def plain_places(rows):
 
 
 def test_edit_places():
-    import random
-
     rng = random.Random(11)
     for _ in range(150):
         rows, dates = [], {}
@@ -143,41 +143,44 @@ def test_edit_places():
         assert got == plain_places(rows)
 
 
-LOCK = '<w:documentProtection w:edit="trackedChanges" w:enforcement="1" w:hash="H" w:salt="S"/>'
-
-
-def kept(track=True, lock=LOCK, root="00AA0001", rsids=("00AA0001", "00AA0002", "00BB0001")):
-    return settings(f"{'<w:trackRevisions/>' if track else ''}{lock}<w:rsids><w:rsidRoot w:val='{root}'/>".replace("'", '"') + "".join(f'<w:rsid w:val="{r}"/>' for r in rsids) + "</w:rsids>")
+def kept(tracks=True, lock="same", root="00AA0001", rsids=("00AA0002",)):
+    """Settings as facts: whether changes are tracked, what became of the lock, of which file the sessions are."""
+    how = {"same": dict(enforcement="1", hash="H"), "off": dict(enforcement="0", hash="H"), "other": dict(enforcement="1", hash="I")}
+    lock = [w("documentProtection", edit="trackedChanges", salt="S", **how[lock])] if lock != "none" else []
+    return kept_settings(*([w("trackRevisions")] if tracks else []), *lock, w("rsids", w("rsidRoot", val=root), *[w("rsid", val=r) for r in (root, *rsids)]))
 
 
 def test_tamper(spark):
-    title = para(run("Title", "00AA0002"))
-    mine = title + para(ins("My text", T[0], rsid="00BB0001"))
-    template = docx(title, kept(rsids=("00AA0001", "00AA0002")))
-    cases = [
-        (mine, kept(), "", ""),
-        (mine, kept(lock=""), "lockReleased", ""),
-        (mine, kept(lock=LOCK.replace('enforcement="1"', 'enforcement="0"')), "lockReleased", "lockReleased"),
-        (mine, kept(lock=LOCK.replace("H", "I")), "lockChanged", ""),
-        (mine + para(run("pasted", "00CC0001")), kept(track=False, lock=""), "trackingOff lockReleased untrackedText", "trackingOff"),
-        (mine + para(run("  ", "00CC0001")), kept(), "", ""),
-        (mine + para(dele("typed", T[1], rsid="00CC0001")), kept(), "untrackedText", ""),
-        (para(ins("Other", T[0], rsid="00DD0001")), kept(lock="", root="00DD0001", rsids=("00DD0001",)), "lockReleased notFromTemplate", ""),
-        (mine + para(ins("who", "", "")), kept(), "authorDateRemoved", "authorDateRemoved"),
-        (mine, None, "lockReleased", ""),
-    ]
-    facts = source.facts(table(spark, [docx(b, s) for b, s, _, _ in cases])).withColumn("template_id", F.lit(100).cast("long"))
-    templates = source.facts(table(spark, [template])).withColumn("doc_id", F.lit(100).cast("long"))
-    for k, rows in ((2, tamper.check(facts, templates)), (3, tamper.check(facts.drop("template_id")))):
-        found = {r.doc_id: " ".join(r.evidence) for r in tamper.report([rows]).collect()}
-        assert [found.get(i, "") for i in range(len(cases))] == [c[k] for c in cases]
+    """All combinations of facts, against what each fact by itself is evidence of."""
+    title = para(run("Title", rsid="00AA0002"))
+    facts_of = list(itertools.product([True, False], ["same", "none", "off", "other"], ["own", "foreign"], ["tracked", "typed", "blank", "taken"], [True, False]))
+    extra = {"tracked": change("ins", T[0], "My text", rsid="00BB0001"), "typed": run("pasted", rsid="00CC0001"), "blank": run("", rsid="00CC0001"), "taken": change("del", T[1], "typed", rsid="00CC0001")}
+    made, alone, against = [], [], []
+    for tracks, lock, root, text, named in facts_of:
+        root_id = "00AA0001" if root == "own" else "00DD0001"
+        signed = change("ins", T[0], "x", rsid="00BB0001") if named else change("ins", None, "x", by=None, rsid="00BB0001")
+        made.append(docx(title, para(extra[text], signed), settings=kept(tracks, lock, root_id)))
+        here = ({"trackingOff"} if not tracks else set()) | ({"authorDateRemoved"} if not named else set())
+        alone.append(here | ({"lockReleased"} if lock == "off" else set()))
+        tampered = {"none": {"lockReleased"}, "off": {"lockReleased"}, "other": {"lockChanged"}, "same": set()}[lock]
+        against.append(here | tampered | ({"notFromTemplate"} if root == "foreign" else set()) | ({"untrackedText"} if text in ("typed", "taken") else set()))
+    facts = source.facts(table(spark, made)).withColumn("template_id", F.lit(1000).cast("long"))
+    templates = source.facts(table(spark, [docx(title, settings=kept())])).withColumn("doc_id", F.lit(1000).cast("long"))
+    for want, rows in ((against, tamper.check(facts, templates)), (alone, tamper.check(facts.drop("template_id")))):
+        found = {r.doc_id: r.evidence for r in tamper.report([rows]).collect()}
+        for k, facts_k in enumerate(facts_of):
+            assert set(found.get(k, [])) == want[k], facts_k
+            assert found.get(k, []) == sorted(found.get(k, []), key=tamper.EVIDENCE.index)
+    bare = source.facts(table(spark, [docx(title, settings=NO_PART)])).withColumn("template_id", F.lit(1000).cast("long"))
+    assert [r.evidence for r in tamper.check(bare, templates).collect()] == ["lockReleased"]
     assert [r.n for r in spark.createDataFrame([("a/b.docx",)], "p string").select(tamper.marked_name(F.col("p")).alias("n")).collect()] == ["a/b-tampered.docx"]
 
 
 def test_integrity(spark):
     core = '<x xmlns:dcterms="d"><dcterms:created>2024-03-05T00:00:00Z</dcterms:created><dcterms:modified>2024-03-01T09:00:00Z</dcterms:modified></x>'
-    body = para(ins("a", T[0], id=5), ins("b", T[4], id=3), ins("c", id=5, author=""), f'<w:ins {attrs(T[2], id=9)}><w:del {attrs(T[0], id=10)}>{gone("x")}</w:del></w:ins>', run("y", "00EE0001"))
-    files = table(spark, [docx(body, kept(), {"docProps/core.xml": core, "docProps/app.xml": "<p><Application>App</Application></p>"})])
+    numbered = [change("ins", T[0], "a", number=5), change("ins", T[4], "b", number=3), change("ins", None, "c", by=None, number=5)]
+    body = para(*numbered, change("ins", T[2], change("del", T[0], "x", number=10), number=9), run("y", rsid="00EE0001"))
+    files = table(spark, [docx(body, settings=kept(), parts={"docProps/core.xml": core, "docProps/app.xml": "<p><Application>App</Application></p>"})])
     got = {r.item: r for r in integrity.check(source.facts(files), source.segments(files), F.lit("2024-06-01").cast("timestamp")).collect()}
     assert {k: r.observed for k, r in got.items()} == {"settings": False, "undated": True, "duplicateIds": True, "idOrder": True, "futureDates": True, "beforeCreated": True, "deletedBeforeInserted": True, "rsids": True, "application": None}
     assert got["undated"].details == {"revisions": "5", "undated": "1", "without_author": "1", "authors": "1"}
@@ -190,23 +193,25 @@ def test_lock_and_history():
     # A salt and hash as a word processor wrote them
     salt = base64.b64decode("RgLp8iDWIxKFGIUl0I4aWA==")
     assert docx_edit.password_hash("Teacher2026", salt) == "OJG4rIAmgXYL7zhvrW9dAdhp+pDTHdJ2j03hTqy2VeMtmPSp7WcLXMwtYsx6YU/SFYqg740eNj5ax4Wq7v3fYg=="
-    made = docx_edit.lock(docx(para(run("x")), settings('<w:zoom w:percent="100"/><w:defaultTabStop w:val="1"/>')), "pw", salt)
+    made = docx_edit.lock(docx(para("x"), settings=kept_settings(w("zoom", percent=100), w("defaultTabStop", val=1))), "pw", salt)
     xml = source.Package(made).text("word/settings.xml")
     assert xml.index("zoom") < xml.index("trackRevisions") < xml.index("documentProtection") < xml.index("defaultTabStop")
-    assert docx_edit.verify_lock(xml, "pw") is True and docx_edit.verify_lock(xml, "no") is False and docx_edit.verify_lock(settings(), "pw") is None
+    assert docx_edit.verify_lock(xml, "pw") is True and docx_edit.verify_lock(xml, "no") is False and docx_edit.verify_lock(written(kept_settings()), "pw") is None
     again = source.Package(docx_edit.lock(made)).text("word/settings.xml")
     assert again.count("documentProtection") == 1 and again.count("trackRevisions") == 1
-    fixed = source.Package(docx_edit.keep_history(docx(para(run("x")), settings("<w:removePersonalInformation/><w:removeDateAndTime/>")))).text("word/settings.xml")
+    fixed = source.Package(docx_edit.keep_history(docx(para("x"), settings=kept_settings(w("removePersonalInformation"), w("removeDateAndTime"))))).text("word/settings.xml")
     assert "remove" not in fixed and "trackRevisions" in fixed
 
 
 def test_comments(spark):
+    said = lambda number, para_id, text, **more: w("comment", para(text, w14__paraId=para_id), id=number, **more)
+    thread = lambda para_id, done, parent=None: w("w15:commentEx", w15__paraId=para_id, w15__paraIdParent=parent, w15__done=done)
     parts = {
-        "word/comments.xml": f'<w:comments {__import__("files").NS}><w:comment w:id="1" w:author="Rev" w:date="2024-03-01T08:00:00Z"><w:p w14:paraId="0000000a"><w:r><w:t>Why?</w:t></w:r></w:p></w:comment><w:comment w:id="2" w:author="Ann"><w:p w14:paraId="0000000B"><w:r><w:t>So</w:t></w:r></w:p></w:comment></w:comments>',
-        "word/commentsExtended.xml": f'<w15:commentsEx {__import__("files").NS}><w15:commentEx w15:paraId="0000000A" w15:done="0"/><w15:commentEx w15:paraId="0000000B" w15:paraIdParent="0000000A" w15:done="1"/></w15:commentsEx>',
-        "word/commentsIds.xml": f'<w16cid:commentsIds {__import__("files").NS}><w16cid:commentId w16cid:paraId="0000000A" w16cid:durableId="0000d001"/></w16cid:commentsIds>',
+        "word/comments.xml": w("comments", said(1, "0000000a", "Why?", author="Rev", date="2024-03-01T08:00:00Z"), said(2, "0000000B", "So", author="Ann")),
+        "word/commentsExtended.xml": w("w15:commentsEx", thread("0000000A", 0), thread("0000000B", 1, "0000000A")),
+        "word/commentsIds.xml": w("w16cid:commentsIds", w("w16cid:commentId", w16cid__paraId="0000000A", w16cid__durableId="0000d001")),
     }
-    body = para(run("before "), '<w:commentRangeStart w:id="1"/>', ins("quoted", T[0]), '<w:commentRangeEnd w:id="1"/><w:r><w:commentReference w:id="1"/></w:r>', run(" after"))
+    body = para("before ", w("commentRangeStart", id=1), change("ins", T[0], "quoted"), w("commentRangeEnd", id=1), w("r", w("commentReference", id=1)), " after")
     content = docx(body, parts=parts)
     a, b = source.comments(table(spark, [content])).orderBy("nth").collect()
     assert (a.key, a.quote, a.prefix, a.suffix, a.done) == ("d:0000D001", "quoted", "before ", " after\n", False)
@@ -219,17 +224,33 @@ def test_comments(spark):
 
 
 def test_submissions(spark):
-    """Four submissions: accepted and gone on with, carried over, typed without tracking, dated back."""
-    first = para(ins("Start here. ", "2024-05-01T10:00:00Z", rsid="00B1"), ins("More.", "2024-05-01T10:05:00Z", rsid="00B1"))
-    second = para(run("Start "), dele("here", "2024-05-10T09:00:00Z"), ins("there", "2024-05-10T09:00:10Z"), run(". More.")) + para(ins("Second part.", "2024-05-10T09:30:00Z"))
-    third = second + para(ins("Third part.", "2024-06-01T09:00:00Z"))
-    fourth = third + para(ins("Back in time.", "2024-05-20T09:00:00Z"))
-    events = source.revisions(table(spark, [docx(b) for b in (first, second, third, fourth)])).select(F.lit("k").alias("key"), (F.col("doc_id") + 1).cast("int").alias("n"), "seq", "type", "author", "ts", "text", "chars")
-    rows = snapshots.deltas(events).orderBy("n").collect()
-    assert [(r.new_events, r.carried_events, r.dated_before_previous) for r in rows] == [(2, 0, 0), (3, 0, 0), (1, 3, 0), (1, 4, 1)]
-    assert [r.n for r in snapshots.late_evidence(snapshots.deltas(events)).collect()] == [4]
-    gaps = [r.gap_before_hours for r in snapshots.sessions(snapshots.deltas(events)).orderBy("n").collect()]
-    assert gaps[0] is None and gaps[3] == 0
+    """Random histories: what each submission adds, keeps and dates back is known from how it was made."""
+    rng = random.Random(3)
+    minute = lambda k: f"2024-05-{1 + k // 1440:02d}T{k // 60 % 24:02d}:{k % 60:02d}:00Z"
+    rows, want, made = [], {}, []
+    for key in range(12):
+        seen, latest, last = [], None, 0
+        for n in range(1, 6):
+            new = []
+            for _ in range(rng.randrange(4)):
+                back = latest is not None and rng.random() < 0.3
+                last += rng.randrange(10, 300)
+                when = rng.randrange(max(1, latest - 5)) if back else max(last, (latest or 0) + 10)
+                new.append((when, f"text {key} {n} {rng.random()} ", rng.choice(["ins", "del"])))
+            shown = [x for x in seen if rng.random() < 0.7]  # the others were accepted or rejected
+            late = sum(latest is not None and x[0] < latest for x in new)
+            want[f"k{key}", n] = (len(new), len(shown), late)
+            rows.append((len(made), f"k{key}", n))
+            made.append(docx(para("Text. ", *[change(kind, minute(when), text) for when, text, kind in rng.sample(shown + new, len(shown + new))])))
+            seen += new
+            latest = max([latest or 0, *[x[0] for x in new]]) if new or latest is not None else None
+            last = max(last, latest or 0)
+    events = source.revisions(table(spark, made)).join(spark.createDataFrame(rows, "doc_id long, key string, n int"), "doc_id")
+    found = snapshots.deltas(events.select("key", "n", "seq", "type", "author", "ts", "text", "chars"))
+    got = {(r.key, r.n): (r.new_events, r.carried_events, r.dated_before_previous) for r in found.collect()}
+    assert got == {k: x for k, x in want.items() if x[0] + x[1]}  # a submission without changes has no row
+    assert {(r.key, r.n) for r in snapshots.late_evidence(found).collect()} == {k for k, x in want.items() if x[2]}
+    assert all(r.gap_before_hours is None or r.gap_before_hours >= 0 for r in snapshots.sessions(found).collect())
 
 
 def test_version_points(spark):
@@ -244,12 +265,10 @@ def test_version_points(spark):
 def test_flow(spark):
     day = lambda h, m=0: f"2024-04-01T{h:02d}:{m:02d}:00Z"
     text = "A sentence that is long enough to count as moved."
-    move = lambda kind, inner: f"<w:{kind}RangeStart w:id='7' w:name='mv'/><w:{kind} {attrs(day(14))}>{inner}</w:{kind}><w:{kind}RangeEnd w:id='7'/>"
-    body = "".join([
-        para(run("Base "), ins("typed", day(9)), ins("b" * 200, day(9, 30))), para(mark("del", day(11)), dele(text, day(11))), para(mark("ins", day(11, 5)), ins(text, day(11, 5))),
-        para(mark("moveFrom", day(14)), move("moveFrom", gone("going"))), para(mark("moveTo", day(14)), move("moveTo", run("going"))), para(run("still")),
-    ])
-    files = table(spark, [docx(body)])
+    moved = lambda kind: para(w(f"{kind}RangeStart", id=7, name="mv"), change(kind, day(14), "going"), w(f"{kind}RangeEnd", id=7), mark=(kind, day(14)))
+    lone = lambda kind, when: para(change(kind, when, text), mark=(kind, when))
+    body = [para("Base ", change("ins", day(9), "typed"), change("ins", day(9, 30), "b" * 200)), lone("del", day(11)), lone("ins", day(11, 5)), moved("moveFrom"), moved("moveTo"), para("still")]
+    files = table(spark, [docx(*body)])
     made = flow.build(source.segments(files), source.paragraphs(files))
     assert [(r.session, r.changes) for r in made["sessions"].orderBy("session").collect()] == [(0, 2), (1, 4), (2, 4)]
     units = {(r.session, r.unit): r.change for r in made["units"].collect()}
@@ -264,14 +283,17 @@ def test_flow(spark):
 
 
 def test_looks_sections_and_notes(spark):
-    import files as f
-
-    styles = f'<w:styles {f.NS}><w:style w:styleId="Base"><w:rPr><w:sz w:val="30"/></w:rPr></w:style><w:style w:styleId="Quiet"><w:basedOn w:val="Base"/><w:rPr><w:vanish/></w:rPr></w:style><w:style w:styleId="H"><w:name w:val="heading 2"/></w:style></w:styles>'
-    footnotes = f'<w:footnotes {f.NS}><w:footnote w:type="separator" w:id="0"><w:p/></w:footnote><w:footnote w:id="2">{para(run("見る"))}{para(run("ab"))}</w:footnote></w:footnotes>'
-    figure = '<w:r><w:drawing><wp:inline xmlns:wp="d"><wp:extent cx="1" cy="254000"/></wp:inline></w:drawing></w:r><w:r><w:pict><v:shape xmlns:v="v" style="width:2cm;height:1in"/></w:pict></w:r>'
-    section = '<w:sectPr><w:type w:val="continuous"/><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:left="1000"/><w:cols w:num="2"/></w:sectPr>'
-    body = para('<w:pPr><w:pStyle w:val="H"/></w:pPr>', run("a見", props='<w:rPr><w:rStyle w:val="Quiet"/></w:rPr>'), run("b", props='<w:rPr><w:rStyle w:val="Quiet"/><w:sz w:val="20"/><w:vanish w:val="0"/></w:rPr>'), run("c"), figure) + section
-    files = table(spark, [docx(body, parts={"word/styles.xml": styles, "word/footnotes.xml": footnotes})])
+    style = lambda id, *inside: w("style", *inside, styleId=id)
+    styles = w("styles", style("Base", w("rPr", w("sz", val=30))), style("Quiet", w("basedOn", val="Base"), w("rPr", w("vanish"))), style("H", w("name", val="heading 2")))
+    footnotes = w("footnotes", w("footnote", w("p"), type="separator", id=0), w("footnote", para("見る"), para("ab"), id=2))
+    extent, shape = w("wp:extent"), w("v:shape")
+    extent.attrib |= {"cx": "1", "cy": "254000"}
+    shape.set("style", "width:2cm;height:1in")
+    figure = [run(w("drawing", w("wp:inline", extent))), run(w("pict", shape))]
+    section = w("sectPr", w("type", val="continuous"), w("pgSz", w=11906, h=16838), w("pgMar", top=1440, left=1000), w("cols", num=2))
+    quiet = w("rStyle", val="Quiet")
+    body = [para(run("a見", look=[quiet]), run("b", look=[quiet, w("sz", val=20), w("vanish", val=0)]), "c", *figure, look=[w("pStyle", val="H")]), section]
+    files = table(spark, [docx(*body, parts={"word/styles.xml": styles, "word/footnotes.xml": footnotes})])
     got = source.segments(files).orderBy("seg_index").collect()
     assert [(s.text, s.size_pt, s.hidden, s.width, s.height_pt) for s in got] == [("a見", 15.0, True, 1.5, None), ("b", 10.0, False, 0.5, None), ("c", None, False, 0.5, None), (None, None, False, 0.0, 20.0), (None, None, False, 0.0, 72.0)]
     assert source.paragraphs(files).first().heading_level == 2
