@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, missing, small, stored
 
-#: Keys in a bucket. A bucket's entries take about 40 bytes a key.
-CAPACITY = 1 << 16
+#: Keys in a bucket, at least: more where the directory would get more than SLOTS slots otherwise.
+CAPACITY = 1 << 12
 #: Deeper than this a bucket isn't split; it just holds a longer list.
 DEEPEST = 40
 #: Rows of a key from which it is popular, at least; and popular keys, at most: with n rows, n / MOST_POPULAR have a key then.
@@ -37,7 +37,7 @@ def prefix(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth)
 
 
-def directory(keys: DataFrame, n_keys: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+def directory(keys: DataFrame, n_keys: int, capacity: int) -> tuple[DataFrame, int]:
     """(slot, bucket, local_depth) with a row for each slot, and the global depth. keys: key, each once.
 
     It starts at the depth at which buckets are about full; only keys of overfull buckets are counted again, one bit deeper.
@@ -75,18 +75,20 @@ def build_index(texts: DataFrame, popular: DataFrame, slots: DataFrame, depth: i
     many = texts.join(popular, "key", "left_semi").groupBy("key", "text").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     few = texts.join(popular, "key", "left_anti").select("key", "text", "doc_id", F.lit(1).cast("long").alias("n"))
     owned = in_bucket(few.unionByName(many), slots, depth).repartition("bucket")
-    # all of a bucket are with its owner: neither the chain nor its numbers deal rows out again
+    # all of a bucket are with its owner: neither the entries nor the chains deal rows out again
     entries = owned.groupBy("bucket", "local_depth", "key", "text").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     chains = entries.groupBy("bucket", "local_depth", "key").agg(F.count(F.lit(1)).alias("chain"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size"))
-    alone = chains.where("chain = 1").select("bucket", "local_depth", "key", F.lit(1).alias("nth"), "chain", "keep_id", "group_size", F.lit(None).cast("string").alias("text"))
-    chained = cut(chains.where("chain > 1").select("key", "chain"))
+    index = stored(chains, "hash-index").withColumn("nth", F.lit(1)).withColumn("text", F.lit(None).cast("string"))
+    chained = cut(index.where("chain > 1").select("bucket", "local_depth", "key", "chain"))
     if chained.isEmpty():
-        return stored(alone, "hash-index")
-    more = entries.join(small(chained), "key").withColumn("nth", F.row_number().over(W.partitionBy("bucket", "key").orderBy(F.col("keep_id").desc(), "text")))
-    return stored(alone.unionByName(more.select(alone.columns)), "hash-index")
+        return index
+    # the few keys whose texts differ: their entries hold the bytes that tell them apart
+    some = texts.join(small(chained), "key", "left_semi").groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    nth = F.row_number().over(W.partitionBy("key").orderBy(F.col("keep_id").desc(), "text"))
+    return index.where("chain = 1").unionByName(stored(some.join(small(chained), "key").withColumn("nth", nth), "hash-chains"))
 
 
-def find_copies(docs: DataFrame, *, capacity: int = CAPACITY, popular: int = POPULAR, key=hash_key) -> DataFrame:
+def find_copies(docs: DataFrame, *, capacity: int | None = None, popular: int = POPULAR, key=hash_key) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays: doc_id, keep_id, group_size, kept, text_sha256.
 
     Whole texts, compared byte by byte without any change; a row for each row of ``docs``. Null text counts as empty. A
@@ -100,7 +102,7 @@ def find_copies(docs: DataFrame, *, capacity: int = CAPACITY, popular: int = POP
     keys = cut(rows.groupBy("key").count())
     sums = keys.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
     often = keys.where(F.col("count") > max(popular, sums.rows // MOST_POPULAR)).select("key")
-    slots, depth = directory(keys.select("key"), sums["keys"], capacity)
+    slots, depth = directory(keys.select("key"), sums["keys"], capacity or max(CAPACITY, 4 * sums["keys"] // SLOTS))
     index = build_index(texts, often, slots, depth)
     entry = ["bucket", "key", "keep_id", "group_size"]
     alone, found = index.where("chain = 1").select(*entry), in_bucket(rows, slots, depth).drop("local_depth")
