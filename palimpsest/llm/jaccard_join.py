@@ -439,13 +439,13 @@ def links_among(texts: list[str], sigs: list[int], like: Likeness, twins: np.nda
     both = common[at[x], at[y]].astype(np.int64)
     hold = 100 * both >= like.percent * (sizes[x] + sizes[y] - both)
     root = list(range(n))
-    sets: dict[int, set] = {}
+    last: dict[int, set] = {}  # pairs come in order of their first, whose set is kept for the next
 
-    def alike(*pair: int) -> bool:
-        for k in pair:
-            if k not in sets:
-                sets[k] = shingle_set(data[order[k]], like.size)
-        a, b = (sets[k] for k in pair)
+    def alike(x: int, y: int) -> bool:
+        if x not in last:
+            last.clear()
+            last[x] = shingle_set(data[order[x]], like.size)
+        a, b = last[x], shingle_set(data[order[y]], like.size)
         common = len(a & b)
         return 100 * common >= like.percent * (len(a) + len(b) - common)
 

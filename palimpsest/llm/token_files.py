@@ -31,12 +31,14 @@ from palimpsest.llm.common import cut, in_short_batches, missing, shared_path, s
 from palimpsest.llm.hashing import of_spans, pieces
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-#: Words whose ids a worker keeps: 1 << 20 take about 60 MB.
-CACHE_WORDS = 1 << 20
+#: Words whose ids a worker keeps: 1 << 19 take about 30 MB.
+CACHE_WORDS = 1 << 19
 #: Bytes of words, so that a few very long ones don't fill the memory.
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 1 << 23
 #: Slots of the table that finds them.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
+#: Bytes of texts that are encoded at once, if no text is longer.
+CHUNK = 1 << 18
 NO_ID = -(2**63)
 
 
@@ -73,8 +75,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.keys, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.begins, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.starts, self.sizes, self.begins, self.lengths = (np.zeros(1024, np.int32) for _ in range(4))
         self.pool, self.bytes = np.zeros(4096, np.uint32), np.zeros(4096, np.uint8)
         self.n = self.filled = self.held = 0
 
@@ -307,7 +308,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, *, end_id:
                 stream = fs.open_output_stream(temporary)
                 writer = TokenFileWriter(stream, level)
             doc_ids = batch.column(0).to_pylist()
-            for at, to, data, ends in pieces(batch.column(1)):
+            for at, to, data, ends in pieces(batch.column(1), CHUNK):
                 for doc_id, ids in zip(doc_ids[at:to], cache.encode(data, ends), strict=True):
                     ids += end
                     writer.add(doc_id, ids)
