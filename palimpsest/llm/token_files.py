@@ -77,7 +77,7 @@ class WordIds:
         self.keys, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.starts, self.sizes, self.begins, self.lengths = (np.zeros(1024, np.int32) for _ in range(4))
         self.pool, self.bytes = np.zeros(4096, np.uint32), np.zeros(4096, np.uint8)
-        self.n = self.filled = self.held = 0
+        self.n = self.filled = self.held = self.entered = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each part, -1 if it isn't there."""
@@ -109,6 +109,7 @@ class WordIds:
 
     def enter(self, hashes: np.ndarray, number: np.ndarray) -> None:
         """Puts parts into the table, each hash once."""
+        self.entered += len(hashes)
         slot = (hashes >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
         while len(hashes):
             free = self.keys[slot] == 0
@@ -166,9 +167,11 @@ class WordIds:
         hashes = of_spans(data, starts)
         numbers = self.find(hashes)
         if (lost := numbers < 0).any():
-            new, at = np.unique(hashes[lost], return_index=True)
-            self.enter(new, self.keep(_cut_out(data, starts, spans, np.flatnonzero(lost)[at])))
-            numbers = self.find(hashes)
+            new, at, back = np.unique(hashes[lost], return_index=True, return_inverse=True)
+            kept = self.keep(_cut_out(data, starts, spans, np.flatnonzero(lost)[at]))
+            numbers[lost] = kept[back]
+            free = max(0, SLOTS * 3 // 4 - self.entered)  # a text may have more words than there are slots
+            self.enter(new[:free], kept[:free])
         if (other := self.others(data, starts, spans, numbers)).any():  # another part has this hash
             numbers[other] = self.keep(_cut_out(data, starts, spans, np.flatnonzero(other)))
         sizes = self.sizes[numbers]

@@ -110,3 +110,6 @@ def test_parts_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
     assert len(hashes) == len(morse)
     monkeypatch.setattr(token_files, "of_spans", lambda data, starts: of_spans(data, starts) & np.uint64(0x300000) | np.uint64(1))
     check(token_files.WordIds(queries.tokenizer_path()))  # four hashes for all
+    monkeypatch.setattr(token_files, "of_spans", of_spans)
+    monkeypatch.setattr(token_files, "SLOTS", 8)
+    check(token_files.WordIds(queries.tokenizer_path()))  # more words than slots
