@@ -204,20 +204,46 @@ def levels_by_insertion(spark, sf_dir):
     return kinds.with_levels(events, levels).select("doc_id", "seq", "kind", "level")
 
 
-@query()
+def _windows_sql(who: str) -> str:
+    """The insertions in order of time, numbered by document (and author)."""
+    return f"""with recursive {_REV}, p as (select r.doc_id, {who} as who, epoch_us(e.ts) as us, r.ms, r.seq, r.chars, r.seq * 37 % 5000 as lo, r.seq * 37 % 5000 + r.chars as hi, row_number() over (partition by r.doc_id, {who} order by r.ms, r.seq) as r
+    from rev r join events e on e.event_id = r.seq where r.type = 'ins' and r.chars > 0)"""
+
+
+_WINDOW_ROWS = """select doc_id, cast(row_number() over (partition by doc_id order by start, lo, who, k) - 1 as integer) as index, start // 1000 as start, inserted_chars, insert_count"""
+
+
+@query(f"""{_windows_sql("''")}, w as (select doc_id, who, r, 1 as k, [struct_pack(at := ms, lo := lo, hi := hi)] as open from p where r = 1
+  union all select doc_id, who, r, coalesce(hit, len(open) + 1), case when hit is null then list_append(open, struct_pack(at := ms, lo := lo, hi := hi)) else list_transform(open, lambda x, i: case when i = hit then struct_pack(at := x.at, lo := least(x.lo, lo), hi := greatest(x.hi, hi)) else x end) end
+    from (select p.*, open, list_position(list_transform(open, lambda x: p.ms - x.at <= 1800000 and greatest(0, p.lo - x.hi, x.lo - p.hi) <= 800), true) as hit from w join p on p.doc_id = w.doc_id and p.who = w.who and p.r = w.r + 1)),
+  g as (select p.doc_id, p.who, k, min(us) as start, min(lo) as lo, max(hi) as hi, cast(sum(chars) as bigint) as inserted_chars, count(*) as insert_count from p join w using (doc_id, who, r) group by 1, 2, 3)
+  {_WINDOW_ROWS}, cast(hi - lo as integer) as span_chars from g""")
 def windows_half_hour(spark, sf_dir):
-    """Windows of half an hour within 800 characters: order matters, so no SQL."""
+    """Windows of half an hour within 800 characters: the rows of a document in order of time, each to the first open window near it."""
     rows = windows.windows(adapters.placed(_rev(spark, sf_dir)), windows.WindowOptions(seconds=1800, chars=800))
     return rows.select("doc_id", "index", millis(F.col("start")).alias("start"), "inserted_chars", "insert_count", "span_chars")
 
 
-@query()
+@query(f"""{_windows_sql("r.author")}, w as (select doc_id, who, r, ms as since, 0 as k from p where r = 1
+  union all select p.doc_id, p.who, p.r, case when p.ms - since > 21600000 then p.ms else since end, k + case when p.ms - since > 21600000 then 1 else 0 end from w join p on p.doc_id = w.doc_id and p.who = w.who and p.r = w.r + 1),
+  g as (select p.doc_id, p.who, k, min(us) as start, min(lo) as lo, cast(sum(chars) as bigint) as inserted_chars, count(*) as insert_count from p join w using (doc_id, who, r) group by 1, 2, 3)
+  {_WINDOW_ROWS} from g""")
 def windows_by_time(spark, sf_dir):
     """Windows of six hours by author, without bounds on the place."""
     rows = windows.windows(adapters.placed(_rev(spark, sf_dir)), windows.WindowOptions(seconds=21_600, by_author=True))
     return rows.select("doc_id", "index", millis(F.col("start")).alias("start"), "inserted_chars", "insert_count")
 
 
+_REPEATED = f"""{_REV}, c as (select *, seq % 97 as k, seq % 5 = 0 as move, cast(seq % 40 as integer) as para_index from rev)"""
+
+
+@query(f"with {_REPEATED} select doc_id, seq from c i where type = 'ins' and not move and chars > 0 and not exists (select 1 from c d where d.doc_id = i.doc_id and d.type = 'del' and not d.move and d.k = i.k)")
+def window_candidates(spark, sf_dir):
+    """Insertions that windows are made of, where texts repeat: those whose text was deleted elsewhere in the document are out."""
+    rows = adapters.placed(_rev(spark, sf_dir)).withColumns({"text": adapters.repeated_text(F.col("seq")), "move": F.col("seq") % 5 == 0})
+    return windows.candidates(rows).select("doc_id", "seq")
+
+
 _WS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
@@ -408,7 +434,15 @@ def flow_totals(spark, sf_dir):
     return _flow(spark, sf_dir)["totals"]
 
 
-@query()
+_UNIT = "case when {0} % 10 >= 6 then 't' || {0} // 10 else 'p' || {0} end"
+
+
+@query(f"""with {_HEAT}, seen as (select st.doc_id, st.session, c.para_index, cast(sum(case when (c.type = 'ins' and c.ms <= e) or (c.type = 'del' and c.ms > e) then c.chars else 0 end) as bigint) as visible from ends st join c on c.doc_id = st.doc_id group by all),
+  z as (select s.doc_id, s.session, {_UNIT.format("s.para_index")} as unit, visible, coalesce(ins_chars, 0) as ins, coalesce(del_chars, 0) as del, coalesce(bulk_chars, 0) as bulk, coalesce(moved_in, 0) as come, coalesce(moved_out, 0) as gone,
+    case when coalesce(fine_chars, 0) > 0 then least(1.0::double, greatest(fine_chars / greatest(visible, 40)::double, fine_changes / 8.0::double)) else 0.0::double end as green, case when visible > 0 then least(1.0::double, coalesce(bulk_chars, 0) / visible::double) else 0.0::double end as orange from seen s left join h using (doc_id, session, para_index)),
+  u as (select doc_id, session, unit, sum(visible) as visible, sum(bulk) as bulk, sum(come) as come, sum(gone) as gone, greatest(0, sum(ins - bulk - come + del - gone)) as fine, max(greatest(green, orange)) as heat from z group by 1, 2, 3),
+  t as (select *, case when fine = 0 and bulk = 0 then case when come > 0 or gone > 0 then 'moved' else 'unchanged' end when bulk > 0 and bulk >= fine then 'bulk' else 'fine' end as change from u)
+  select doc_id, session, unit, change, false as added_by_bulk, case when change = 'bulk' then 'bulk' end as category, floor(case change when 'bulk' then least(1.0::double, bulk / greatest(visible, 1)::double) when 'fine' then heat else 1.0::double end * 1000000 + 0.5) / 1000000 as intensity from t""")
 def unit_changes(spark, sf_dir):
     return _flow(spark, sf_dir)["units"].select("doc_id", "session", "unit", "change", "added_by_bulk", "category", rounded(F.col("intensity"), 6).alias("intensity"))
 
@@ -418,10 +452,25 @@ def unit_changes(spark, sf_dir):
   p as (select i.doc_id, i.session, unnest(d.paras) as a, i.paras as bs, i.chars from i join d using (doc_id, session, name)), q as (select doc_id, session, a, unnest(bs) as b, chars from p)
   select doc_id, session, case when a % 10 >= 6 then 't' || a // 10 else 'p' || a end as from_unit, case when b % 10 >= 6 then 't' || b // 10 else 'p' || b end as to_unit, 'move' as kind, cast(sum(chars) as bigint) as chars from q group by 1, 2, 3, 4""")
 def flow_links(spark, sf_dir):
-    segs, paras = adapters.segments(_rev(spark, sf_dir))
+    return _links(*adapters.segments(_rev(spark, sf_dir)))
+
+
+def _links(segs, paras):
     parts = flow.session_times(flow.revisions(segs, paras), 6)
-    touches = flow.touches_of(segs, parts, flow.relocations(segs).limit(0))
-    return flow.links(touches, flow.relocations(segs).limit(0), parts, paras)
+    moved = flow.relocations(segs)
+    return flow.links(flow.touches_of(segs, parts, moved), moved, parts, paras)
+
+
+@query(f"""with {_REPEATED}, lagged as (select *, ms - lag(ms) over (partition by doc_id order by ms, type, rev_id) as gap from c),
+  f as (select *, 20 + k as n, cast(sum(case when gap > 21600000 then 1 else 0 end) over (partition by doc_id order by ms, type, rev_id rows unbounded preceding) as integer) as session from lagged),
+  m as (select doc_id, session, 'm' || seq % 50 as name, type, para_index, n from f where move), i as (select doc_id, session, name, sum(n) as n, list(distinct para_index) as paras from m where type = 'ins' group by 1, 2, 3), d as (select doc_id, session, name, list(distinct para_index) as paras from m where type = 'del' group by 1, 2, 3),
+  p as (select i.doc_id, i.session, unnest(d.paras) as a, i.paras as bs, i.n from i join d using (doc_id, session, name)),
+  q as (select doc_id, session, a, unnest(bs) as b, n, 0 as o from p union all select i.doc_id, i.session, d.para_index, i.para_index, i.n, 1 from f i join (select distinct doc_id, session, k, para_index from f where type = 'del' and not move) d on d.doc_id = i.doc_id and d.session = i.session and d.k = i.k where i.type = 'ins' and not i.move)
+  select doc_id, session, {_UNIT.format("a")} as from_unit, {_UNIT.format("b")} as to_unit, case min(o) when 0 then 'move' else 'relocate' end as kind, cast(sum(n) as bigint) as chars from q group by 1, 2, 3, 4""")
+def relocation_links(spark, sf_dir):
+    """Links of text that was deleted in one place and inserted in another in a session, where texts repeat, beside marked moves."""
+    segs, paras = adapters.segments(_rev(spark, sf_dir))
+    return _links(segs.withColumn("text", adapters.repeated_text(F.col("seg_index"))), paras)
 
 
 _COMMENTS = """e as (select user_id as key, cast(floor(user_id / 3) as bigint) as doc_id, event_id + 1 as seq, epoch_us(ts) // 1000 as happened, case event_type when 'view' then 'edited' when 'signup' then 'seen' when 'click' then 'resolved' when 'purchase' then 'reopened' else 'removed' end as type, cast(event_id as varchar) as text from events),
@@ -479,13 +528,16 @@ def docx_versions(spark, sf_dir):
     return positions.text_at(segs, paras).select("doc_id", "text")
 
 
-@query()
+@query("""with t as (select conv_id as doc_id, turn, role, coalesce(text, '') as text, role = 'assistant' as said, role = 'assistant' and turn % 3 = 0 as gone from conversations),
+  n as (select doc_id, count(*) filter (said) as revisions, count(*) filter (gone and text <> '') as twice, count(distinct turn) filter (said) as ids from t group by doc_id),
+  i as (select doc_id, unnest(['settings', 'undated', 'duplicateIds', 'idOrder', 'futureDates', 'beforeCreated', 'deletedBeforeInserted', 'rsids', 'application']) as item, revisions, twice, ids from n)
+  select doc_id, item, case when item = 'settings' then false when item in ('undated', 'futureDates') and revisions > 0 then false when item = 'duplicateIds' and revisions > 0 then ids < revisions when item = 'deletedBeforeInserted' and twice > 0 then false end as observed from i""")
 def docx_integrity(spark, sf_dir):
     files = adapters.conversation_files(table(spark, sf_dir, "conversations"))
     return integrity.check(docx.facts(files), docx.segments(files), F.lit("2026-01-01").cast("timestamp")).select("doc_id", "item", "observed")
 
 
-@query()
+@query("select distinct conv_id as doc_id, 'trackingOff' as evidence from conversations where conv_id % 2 <> 0")
 def docx_tamper(spark, sf_dir):
     facts = docx.facts(adapters.conversation_files(table(spark, sf_dir, "conversations")))
     return tamper.check(facts.withColumn("track_revisions", F.col("doc_id") % 2 == 0)).select("doc_id", "evidence")
@@ -499,3 +551,30 @@ def figure_targets(spark, sf_dir):
 @query("select 'k' || cast(json_extract(props, '$.k') as bigint) as key, count(*) as notes from events group by 1")
 def annotation_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(key(F.concat(F.lit("k"), F.get_json_object("props", "$.k"))).alias("key")).agg(F.count(F.lit(1)).alias("notes"))
+
+
+@query(f"""with {_buckets_sql('86400')}, p as (select doc_id, bucket, unnest(['chart:bar:fine:', 'chart:bar:bulk:', 'chart:bar:deleted:', 'chart:line:total:']) as k, unnest([fine, bulk, deleted, total_at_end]) as value from running),
+  t as (select doc_id, k || bucket as key, value from p where value <> 0 or k = 'chart:line:total:'),
+  n as (select event_id as nth, (case when event_type = 'error' then 'chart:bar:deleted:' else 'chart:bar:fine:' end) || event_id % 400 as key, case when event_id % 3 > 0 then event_type || ' ' || event_id end as tooltip, case when event_id % 5 = 1 then 'https://notes.example/' || event_id end as href from events),
+  a as (select key, coalesce(string_agg(tooltip, chr(10) order by nth), '') as tooltip, min_by(href, nth) filter (href is not null) as href from n group by key)
+  select doc_id, t.key, value, tooltip, href from t left join a on a.key = t.key""")
+def annotated_targets(spark, sf_dir):
+    """Parts of the chart with the notes that users attached: all tooltips, and the first link that is safe."""
+    n = F.col("event_id")
+    part = F.when(F.col("event_type") == "error", "chart:bar:deleted:").otherwise("chart:bar:fine:")
+    notes = table(spark, sf_dir, "events").select(n.alias("nth"), F.concat(part, n % 400).alias("target"), F.when(n % 3 > 0, F.concat_ws(" ", "event_type", n)).alias("tooltip"), F.when(n % 5 == 1, F.concat(F.lit("https://notes.example/"), n)).when(n % 5 == 0, F.concat(F.lit("javascript:"), n)).alias("href"))
+    return targets.annotated(targets.bucket_targets(_bucket_rows(spark, sf_dir, "day")), notes).select("doc_id", "key", "value", "tooltip", "href")
+
+
+@query(r"""with t as (select conv_id as doc_id, cast(turn as integer) as turn, role, coalesce(text, '') as text from conversations),
+  c as (select doc_id, 1704067200000 + turn * 60000 as ms from t where role = 'assistant' union select doc_id, 1704067200000 + turn * 60000 + 3600000 from t where role = 'assistant' and turn % 4 = 1),
+  s as (select doc_id, cast(sum(case when gap > 1800000 then 1 else 0 end) over (partition by doc_id order by ms rows unbounded preceding) as integer) as session from (select *, ms - lag(ms) over (partition by doc_id order by ms) as gap from c)),
+  p as (select *, last_value(case when role = 'user' then regexp_extract(text, '^([^\n]*)', 1) end ignore nulls) over (partition by doc_id order by turn rows unbounded preceding) as section, trim(regexp_replace(text, '{WS}', ' ', 'g')) as flat from t)
+  select p.doc_id, 'flow:' || session || ':p' || turn as key, session, turn as first_para, section, case when length(flat) > 40 then flat[1:40] || '…' else flat end as excerpt from p join (select distinct * from s) s on s.doc_id = p.doc_id""".replace("{WS}", _WS))
+def enriched_targets(spark, sf_dir):
+    """Parts of the flow figure with the section that each is in and the start of its text."""
+    said = table(spark, sf_dir, "conversations")
+    segs, paras = adapters.conversation_segments(said)
+    turns = adapters.conversation_paragraphs(said).withColumn("bookmark", F.lit(None).cast("string"))
+    parts = targets.flow_targets(flow.build(segs, paras, hours=0.5)["units"])
+    return targets.enriched(parts, targets.sections(turns), turns).select("doc_id", "key", "session", "first_para", "section", "excerpt")

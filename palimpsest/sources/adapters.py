@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Users that write one document together.
@@ -52,6 +52,11 @@ def segments(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segs, paras
 
 
+def repeated_text(seq: Column) -> Column:
+    """One of 97 texts of 20 to 116 characters, so that what is deleted here is inserted there."""
+    return F.rpad(F.md5((seq % 97).cast("string")), (20 + seq % 97).cast("int"), F.md5((seq % 97).cast("string")))
+
+
 def conversation_paragraphs(conversations: DataFrame) -> DataFrame:
     """Turns as paragraphs: doc_id, para_index, text, heading (the first line of what users ask)."""
     return conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("para_index"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("role") == "user", F.regexp_extract("text", r"^([^\n]*)", 1)).alias("heading"))
