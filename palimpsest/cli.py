@@ -15,10 +15,12 @@ from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators import buckets, classify, flow, kinds, positions, rules, scores, sessions, snapshots, tamper, versions
-from palimpsest.sources import docx, docx_edit, outputs
+from palimpsest.operators import buckets, classify, flow, integrity, kinds, positions, rules, scores, sessions, snapshots, tamper, targets, versions
+from palimpsest.sources import archive, docx, docx_edit, outputs
+from palimpsest.streaming.watch import watch_key
 
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86_400}
 
@@ -62,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("chart", "time buckets, or sessions with --gap")
     p.add_argument("--bucket", default="auto")
     p.add_argument("--gap", type=float, help="hours")
+    p.add_argument("--annotations", help="YAML or JSON with notes for parts of the figure")
     rule_options(p)
     p = command("flow", "sessions, heat, units and links")
     p.add_argument("--gap", type=float, default=1.0)
@@ -75,11 +78,13 @@ def parser() -> argparse.ArgumentParser:
     p = command("snapshot", "what each submission adds, and traces of tampering")
     p.add_argument("--template")
     p.add_argument("--key-depth", type=int, default=1)
+    p.add_argument("--archive", help="a folder to which new submissions are added; all that it holds are compared")
     p.add_argument("--no-tamper-check", action="store_true")
     p = command("versions", "the files as they were")
     p.add_argument("--at", type=moment, action="append")
     p.add_argument("--every", type=seconds)
     p.add_argument("--sessions", action="store_true")
+    p.add_argument("--format", choices=["docx", "txt"], default="docx")
     p.add_argument("--gap", type=float, default=1.0)
     return top
 
@@ -118,15 +123,21 @@ def classified(files: DataFrame, o: argparse.Namespace) -> tuple[DataFrame, clas
 def chart(spark: SparkSession, o: argparse.Namespace) -> None:
     files = docx.files(spark, o.input)
     events, result, found = classified(files, o)
+    more: dict[str, DataFrame] = {}
     if o.gap is not None:
         sessions.summaries(sessions.with_session(events, o.gap)).write.mode("overwrite").json(f"{o.out}/sessions")
     else:
         base = docx.stats(files).select("doc_id", F.col("baseline_chars").alias("baseline"))
         width = o.bucket if o.bucket in ("auto", *buckets.NAMED) else float(o.bucket)
-        buckets.scale(buckets.buckets(events, width, base)).write.mode("overwrite").json(f"{o.out}/buckets")
+        rows = buckets.buckets(events, width, base)
+        buckets.scale(rows).write.mode("overwrite").json(f"{o.out}/buckets")
+        notes = spark.createDataFrame(targets.notes_of(Path(o.annotations).read_text()) if o.annotations else [], targets.NOTES)
+        more["targets"] = targets.annotated(targets.bucket_targets(rows), notes).select("doc_id", "key", "bucket", "value", "tooltip", "href")
     placed = positions.final_positions(docx.segments(files), docx.paragraphs(files))
     windows = rules.with_level(classify.Context(placed).windows(found.window), found)
-    outputs.analysis_json(windows, result.highlights, found.name).write.mode("overwrite").json(f"{o.out}/analysis")
+    facts = docx.facts(files)
+    more |= {"integrity": integrity.check(facts, docx.segments(files), F.current_timestamp()), "tamper": tamper.check(facts)}
+    outputs.analysis_json(windows, result.highlights, found.name, **more).write.mode("overwrite").json(f"{o.out}/analysis")
 
 
 def run_flow(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -147,9 +158,15 @@ def score(spark: SparkSession, o: argparse.Namespace) -> None:
 
 def snapshot(spark: SparkSession, o: argparse.Namespace) -> None:
     files = docx.files(spark, o.input)
-    arrived = files.select("doc_id", "path", F.col("modified").alias("arrived"), F.sha2("content", 256).alias("sha256"), outputs.snapshot_key(F.col("path"), o.key_depth).alias("key"))
-    kept = snapshots.changed_files(arrived)
-    mine = files.join(kept.select("doc_id", "key", "n"), "doc_id")
+    keyed = outputs.snapshot_key(F.col("path"), o.key_depth).alias("key")
+    if o.archive:
+        archive.add(files.select("path", F.col("modified").alias("arrived"), "content", keyed), o.archive)
+        mine = archive.copies(spark, o.archive)
+        kept = mine.select("doc_id", "key", "n")
+    else:
+        arrived = files.select("doc_id", "path", F.col("modified").alias("arrived"), F.sha2("content", 256).alias("sha256"), keyed)
+        kept = snapshots.changed_files(arrived)
+        mine = files.join(kept.select("doc_id", "key", "n"), "doc_id")
     events = docx.revisions(mine).join(kept.select("doc_id", "key", "n"), "doc_id")
     deltas = snapshots.deltas(events)
     outputs.write_summary(deltas.drop("__first", "__last"), f"{o.out}/summary")
@@ -170,9 +187,18 @@ def run_versions(spark: SparkSession, o: argparse.Namespace) -> None:
     files = docx.files(spark, o.input)
     at = files.select("doc_id", F.explode(F.array(*[F.lit(x) for x in o.at])).alias("at")) if o.at else None
     points = versions.version_points(docx.revisions(files), at, o.every, o.gap if o.sessions else None)
-    made = docx_edit.versions(points.join(files.select("doc_id", "content"), "doc_id")).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("at_ms").cast("string")))
-    made.write.mode("overwrite").parquet(f"{o.out}/files")
-    points.write.mode("overwrite").json(f"{o.out}/manifest")
+    # a folder a document; of names of one second, later ones get -2, -3
+    name = F.concat(outputs.base_name(F.col("path")), F.lit("-"), F.date_format(F.timestamp_millis("at_ms"), "yyyyMMdd-HHmmss"))
+    named = points.join(files.select("doc_id", "path"), "doc_id").withColumns({"folder": watch_key(F.col("path")), "name": name})
+    twin = F.row_number().over(W.partitionBy("doc_id", "name").orderBy("at_ms", "label"))
+    named = named.withColumn("twin", twin).select("doc_id", "at_ms", "label", "changes", F.concat("folder", F.lit("/"), "name", F.when(F.col("twin") > 1, F.concat(F.lit("-"), "twin")).otherwise(""), F.lit(f".{o.format}")).alias("file"))
+    if o.format == "docx":
+        made = docx_edit.versions(points.join(files.select("doc_id", "content"), "doc_id")).select("doc_id", "at_ms", "label", "content")
+    else:
+        texts = positions.joined_text_at(docx.segments(files), docx.paragraphs(files), points.select("doc_id", "at_ms").distinct())
+        made = points.select("doc_id", "at_ms", "label").join(texts.select("doc_id", "at_ms", F.encode("text", "UTF-8").alias("content")), ["doc_id", "at_ms"])
+    written = archive.written_files(named.join(made, ["doc_id", "at_ms", "label"]).select("file", "content"), f"{o.out}/files")
+    named.join(written, "file").write.mode("overwrite").json(f"{o.out}/manifest")
 
 
 COMMANDS = {"chart": chart, "flow": run_flow, "score": score, "snapshot": snapshot, "versions": run_versions}

@@ -63,17 +63,27 @@ class Registry:
 
 
 class Context:
-    """What classifiers see: the positioned events, and windows by their options, each computed once."""
+    """What classifiers see: the positioned events, and windows by their options, each computed once.
 
-    def __init__(self, events: DataFrame):
+    ``redacted`` is what a classifier sees that may not read the document: the same, with empty texts. Its windows are those
+    of the whole events, since which insertions were moved is told by text.
+    """
+
+    def __init__(self, events: DataFrame, whole: Context | None = None):
         self.events = events
+        self._whole = whole
         self._windows: dict[WindowOptions, DataFrame] = {}
 
     def windows(self, options: WindowOptions) -> DataFrame:
+        if self._whole is not None:
+            return self._whole.windows(options)
         if options not in self._windows:
             self._windows[options] = windows(self.events, options)
         return self._windows[options]
 
+    def redacted(self) -> Context:
+        return Context(self.events.withColumn("text", F.lit("")), self)
+
 
 class Classifier(Protocol):
     id: str
@@ -133,18 +143,26 @@ def winning(highlights: DataFrame, categories: DataFrame) -> DataFrame:
 def run(classifiers: list[Classifier], context: Context, *, isolate: bool = False) -> Result:
     """All classifiers' highlights, in their order, and the winner of each insertion.
 
-    With ``isolate`` a classifier that raises gives no highlights and an entry in ``errors``, as one from elsewhere should.
+    With ``isolate``, for classifiers from elsewhere, one that raises gives no highlights and an entry in ``errors``, also if it
+    raises on rows only: its highlights are computed at once, into a checkpoint. One that lacks ``document_text`` sees no texts then.
     Categories are the built-in ones but bulk, and those of the classifiers.
     """
     registry = Registry([c for c in BUILT_IN if c.id != "bulk"])
     found, errors = [], {}
+    spark = context.events.sparkSession
+    if isolate and not spark.sparkContext.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at)
     for k, c in enumerate(classifiers):
         for category in c.categories:
             registry.register(category)
         try:
-            rows = c.classify(context).select(*HIGHLIGHT).withColumn("nth", F.lit(k))
+            seen = context.redacted() if isolate and not getattr(c, "document_text", False) else context
+            rows = c.classify(seen).select(*HIGHLIGHT).withColumn("nth", F.lit(k))
             if isolate:
-                rows = rows.limit(0).unionByName(rows)
+                rows = rows.checkpoint(eager=True)
         except Exception as e:
             if not isolate:
                 raise
@@ -152,7 +170,6 @@ def run(classifiers: list[Classifier], context: Context, *, isolate: bool = Fals
             errors[c.id] = str(e)
             continue
         found.append(rows)
-    spark = context.events.sparkSession
     highlights = found[0] if found else spark.createDataFrame([], "doc_id long, classifier string, category string, level string, event_ids array<string>, start timestamp, end timestamp, lo int, hi int, nth int")
     for rows in found[1:]:
         highlights = highlights.unionByName(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,3 +47,18 @@ def annotated(targets: DataFrame, notes: DataFrame) -> DataFrame:
     lines = F.transform(F.sort_array(F.collect_list(F.when(F.col("tooltip").isNotNull(), F.struct("nth", "tooltip")))), lambda x: x["tooltip"])
     by_part = notes.withColumn("safe", safe_href(F.col("href"))).groupBy(F.col("target").alias("key")).agg(F.array_join(lines, "\n").alias("tooltip"), F.min_by("safe", F.when(F.col("safe").isNotNull(), F.col("nth"))).alias("href"))
     return targets.join(by_part, "key", "left")
+
+
+NOTES = "nth int, target string, tooltip string, href string"
+
+
+def notes_of(text: str) -> list[tuple]:
+    """Rows of NOTES from an annotation file: YAML or JSON, a list of target, tooltip and href, alone or as ``annotations``."""
+    found = yaml.safe_load(text)
+    found = found.get("annotations") if isinstance(found, dict) else found
+    if not isinstance(found, list):
+        raise ValueError("annotations must be a list")
+    for k, x in enumerate(found):
+        if not isinstance(x, dict) or not isinstance(x.get("target"), str):
+            raise ValueError(f"annotation {k}: no target")
+    return [(k, x["target"], None if x.get("tooltip") is None else str(x["tooltip"]), None if x.get("href") is None else str(x["href"])) for k, x in enumerate(found)]

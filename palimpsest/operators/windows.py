@@ -98,26 +98,35 @@ def _by_time(rows: DataFrame, options: WindowOptions) -> DataFrame:
     return found.withColumn("window", F.dense_rank().over(W.partitionBy("doc_id").orderBy("__who", "__named", "window")))
 
 
+def nearest(windows: list, row: tuple, options: WindowOptions) -> int | None:
+    """Which of the windows (at, start, end, first paragraph, last one) is the first within the bounds on place of a row like them."""
+    _, start, end, p0, p1 = row
+    for k, w in enumerate(windows):
+        near = options.chars is None or max(0, start - w[2], w[1] - end) <= options.chars
+        if near and (options.paras is None or max(0, p0 - w[4], w[3] - p1) <= options.paras):
+            return k
+    return None
+
+
 def greedy(rows: list[tuple], options: WindowOptions) -> list[int]:
     """The window of each row (at, start, end, first paragraph, last one), in order of time: the first open one that is near, else a new one."""
-    windows: list[list] = []
-    out, first = [], 0
-    for at, start, end, p0, p1 in rows:
-        while first < len(windows) and at - windows[first][0] > options.seconds * 1000:
-            first += 1
-        for k in range(first, len(windows)):
-            w = windows[k]
-            near = options.chars is None or max(0, start - w[2], w[1] - end) <= options.chars
-            if near and (options.paras is None or max(0, p0 - w[4], w[3] - p1) <= options.paras):
-                if start < w[1]:
-                    w[1], w[3] = start, p0
-                if end > w[2]:
-                    w[2], w[4] = end, p1
-                out.append(k)
-                break
-        else:
-            windows.append([at, start, end, p0, p1])
-            out.append(len(windows) - 1)
+    kept: list[list] = []
+    out, closed = [], 0
+    for row in rows:
+        at, start, end, p0, p1 = row
+        while kept and at - kept[0][0] > options.seconds * 1000:
+            kept.pop(0)
+            closed += 1
+        k = nearest(kept, row, options)
+        if k is None:
+            kept.append(list(row))
+            k = len(kept) - 1
+        w = kept[k]
+        if start < w[1]:
+            w[1], w[3] = start, p0
+        if end > w[2]:
+            w[2], w[4] = end, p1
+        out.append(closed + k)
     return out
 
 

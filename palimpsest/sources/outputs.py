@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +16,18 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def analysis_json(windows: DataFrame, highlights: DataFrame, rule_set: str) -> DataFrame:
-    """doc_id, json: rules, windows with their levels in order, and highlights of each document."""
+def analysis_json(windows: DataFrame, highlights: DataFrame, rule_set: str, **more: DataFrame) -> DataFrame:
+    """doc_id, json: rules, windows with their levels in order, and highlights of each document, and a list for each table of ``more``."""
     w = windows.withColumns({"start": iso(F.col("start")), "end": iso(F.col("end"))}).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("index", *[c for c in windows.columns if c not in ("doc_id", "index")]))).alias("windows"))
     h = highlights.withColumns({"start": iso(F.col("start")), "end": iso(F.col("end"))}).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nth", "start", "classifier", "category", "level", "event_ids", "end", "lo", "hi"))).alias("highlights"))
     both = w.join(h, "doc_id", "full")
-    return both.select("doc_id", F.to_json(F.struct(F.lit(rule_set).alias("ruleSet"), "windows", "highlights")).alias("json"))
+    if more:
+        # a map has no order, so rows are sorted by their JSON; all tables take one shuffle
+        lines = reduce(DataFrame.union, [rows.select("doc_id", F.lit(name).alias("name"), F.to_json(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("line")) for name, rows in more.items()])
+        read = lambda kind: lambda x: F.from_json(x, kind)
+        listed = lambda name: F.sort_array(F.collect_list(F.when(F.col("name") == name, F.col("line"))))
+        both = both.join(lines.groupBy("doc_id").agg(*[F.transform(listed(name), read(rows.drop("doc_id").schema.simpleString())).alias(name) for name, rows in more.items()]), "doc_id", "full")
+    return both.select("doc_id", F.to_json(F.struct(F.lit(rule_set).alias("ruleSet"), "windows", "highlights", *more)).alias("json"))
 
 
 def score_json(doc_scores: DataFrame, top: DataFrame) -> DataFrame:

@@ -65,11 +65,15 @@ def comment_events(versions: DataFrame) -> DataFrame:
 
 
 def read_log(spark, path: str, schema: StructType | str) -> DataFrame:
-    """A log with a JSON object a line; a torn last line is left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """A log with a JSON object a line. A torn line, one that breaks off before its closing brace, is left out; any other line that
+    can't be read raises."""
+    schema = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).add("_torn", "string")
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
+    bad = F.raise_error(F.concat(F.lit("not a row of the log: "), "_torn")).cast("boolean")
+    return rows.where(F.when(F.col("_torn").isNull(), True).when(F.rtrim("_torn").endswith("}"), bad).otherwise(False)).drop("_torn")
 
 
 def new_versions(files: DataFrame, written: DataFrame | None = None) -> DataFrame:
     """Of a stream or table of files (path, content) each content once, without those that the tool wrote itself (sha256)."""
     rows = files.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["path", "sha256"])
-    return rows if written is None else rows.join(F.broadcast(written.select("sha256").distinct()), "sha256", "left_anti")
+    return rows if written is None else rows.join(written.select("sha256").distinct(), "sha256", "left_anti")
