@@ -1,7 +1,7 @@
 """Classifiers: events and windows in, highlights out; of several, the category with the highest priority wins an insertion.
 
 A classifier is any object with ``id``, ``version``, ``categories`` and ``classify(context) -> DataFrame`` of highlights:
-doc_id, classifier, category, level, event_ids, start, end, lo, hi.
+doc_id, classifier, category, level, event_ids, start, end, lo, hi. With ``document_text`` true it may read texts when isolated.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ class Classifier(Protocol):
 class Relocation:
     """Insertions whose text was deleted somewhere in the document at a known time."""
 
-    id, version, categories = "builtin.relocation", "1.0.0", []
+    id, version, categories, document_text = "builtin.relocation", "1.0.0", [], True
 
     def classify(self, context: Context) -> DataFrame:
         events = context.events.where(~F.coalesce("move", F.lit(False)) & F.col("ts").isNotNull())
@@ -107,7 +107,7 @@ class Relocation:
 class Rules:
     """Windows that have a level."""
 
-    id, version = "builtin.rules", "1.0.0"
+    id, version, document_text = "builtin.rules", "1.0.0", True
 
     def __init__(self, rules: RuleSet):
         self.rules = rules
