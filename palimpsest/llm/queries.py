@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, mixing, secret_scan, token_counts, token_files, url_filter
-from palimpsest.llm.common import shared_path, stored
+from palimpsest.llm import ball_tree, decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, mixing, secret_scan, sentencepiece_bpe, token_counts, token_files, url_filter, word_runs
+from palimpsest.llm.common import WORD, shared_path, stored
 
-TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+TOKENIZER, END_ID, PIECE_MODEL = "byte_bpe_50k.json", 2, "piece_bpe_32k.model"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -21,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +85,47 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"), jaccard_join.Likeness(size=4, percent=85))
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = ball_tree.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+    return ball_tree.with_inertia(rows, centroids)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(PIECE_MODEL)
+    back = sentencepiece_bpe.decode(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents whose h = crc32(doc_id) ends in 0 go on periodically from word a = g % n, g being h without that digit."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (3 + g % 8)).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.find(with_periods(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n", "")
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("m"), r.start.alias("start"), r.period.alias("period"), r.length.alias("length"))))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    more = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")] + [F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli")]
+    text = F.when(F.size("runs") > 0, F.concat("lines", F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *more, F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_token_counts, op4_secret_scan, op5_html_main_text, op6_exact_dedup, op7_language_id, op8_url_filter, op9_decontaminate, op10_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_token_counts, op4_secret_scan, op5_html_main_text, op6_exact_dedup, op7_language_id, op8_url_filter, op9_decontaminate, op10_jaccard_join, op11_ball_tree_clusters, op12_sentencepiece, op13_word_runs, pipeline)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -104,7 +138,25 @@ _LEVELS = ",\n".join(
     for below in [(lambda p, k=k: f"s.{p}" if k else f"(1.0::double / {url_filter.ALPHABET})")]
 )
 
+def _clusters(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """Plain k-means: each vector against each centroid, in each round."""
+    steps = []
+    for j in range(rounds + 1):
+        steps.append(f"""a{j} as (select rid, vec_id, x, c, d from (select v.rid, v.vec_id, v.x, m.c, cast(list_sum(list_transform(range(1, {dims} + 1), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i]))) as bigint) as d from v, c{j} m) qualify row_number() over (partition by rid order by d, c) = 1)""")
+        if j < rounds:
+            steps.append(f"""c{j + 1} as (select m.c, coalesce(n.x, m.x) as x from c{j} m left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as x from (select c, i, sum(x[i]) as s, count(*) as n from a{j}, (select unnest(range(1, {dims} + 1)) as i) group by c, i) group by c) n using (c))""")
+    steps = ",\n".join(steps)
+    return f"""
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda e: cast(floor({scale} * cast(e as double)) as bigint)) as x from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+c0 as (select row_number() over (order by sha256('{seed}:' || vec_id) nulls last, x) - 1 as c, x from v qualify c < {k}),
+{steps}
+select vec_id, cast(c as integer) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(m.x, ',')) as centroid_sha256 from (select vec_id, c, d from a{rounds}) join c{rounds} m using (c)"""
+
+
 SQL = {
+    "op11_ball_tree_clusters": _clusters(),
     "op1_mix_sources": rf"""
 with d as (
   select doc_id, source, cast({_WORDS} as bigint) as size,
