@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators.kinds import corpora, in_corpus
+from palimpsest.operators.kinds import with_moved
 from palimpsest.operators.rules import PRIORITY, RuleSet, with_level
 from palimpsest.operators.windows import WindowOptions, windows
 
@@ -100,7 +100,7 @@ class Relocation:
 
     def classify(self, context: Context) -> DataFrame:
         events = context.events.where(~F.coalesce("move", F.lit(False)) & F.col("ts").isNotNull())
-        found = events.where("type = 'ins'").join(corpora(events.where("type = 'del'"), ["ts", "seq"]), "doc_id").where(in_corpus(F.col("text"), F.col("corpus")))
+        found = with_moved(events).where("moved")
         return found.select("doc_id", F.lit(self.id).alias("classifier"), F.lit("moved").alias("category"), F.lit(None).cast("string").alias("level"), F.array("rev_id").alias("event_ids"), F.col("ts").alias("start"), F.col("ts").alias("end"), F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi"))
 
 

@@ -5,13 +5,17 @@ Works on segments and paragraphs as in ``positions``; lengths are code points.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.columns import millis, squeezed
-from palimpsest.operators.kinds import BULK_CHARS, in_corpus
+from palimpsest.functions.columns import millis
+from palimpsest.operators import containment
+from palimpsest.operators.kinds import BULK_CHARS
 from palimpsest.operators.sessions import HOUR_MS
+from palimpsest.sources.scratch import stored
 
 #: Fixed values of the heat: characters and changes at which a paragraph counts as fully edited.
 HEAT_CHARS, HEAT_CHANGES = 40, 8
@@ -54,11 +58,11 @@ def relocations(segments: DataFrame) -> DataFrame:
 
     def side(kind: str, other: str) -> DataFrame:
         mine = text.where(F.col(kind).isNotNull() & ~F.coalesce(F.col(f"{kind}.move"), F.lit(False)))
-        ordered = lambda *order: F.transform(F.sort_array(F.collect_list(F.struct(*order, "text"))), lambda p: p["text"])
-        pieces = mine.groupBy("doc_id", "para_index", F.col(f"{kind}.id").alias("rev_id"), F.col(f"{kind}.ts").alias("ts")).agg(F.array_join(ordered("seg_index"), "").alias("text"))
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("seg_index", "text"))), lambda p: p["text"])
+        pieces = mine.groupBy("doc_id", "para_index", F.col(f"{kind}.id").alias("rev_id"), F.col(f"{kind}.ts").alias("ts")).agg(F.array_join(ordered, "").alias("text"))
         theirs = text.where(F.col(other).isNotNull() & ~F.coalesce(F.col(f"{other}.move"), F.lit(False)) & F.col(kind).isNull())
-        corpus = theirs.groupBy("doc_id").agg(squeezed(F.array_join(ordered("para_index", "seg_index"), "")).alias("corpus"))
-        return pieces.join(corpus, "doc_id").where(in_corpus(F.col("text"), F.col("corpus"))).select("doc_id", F.lit(kind).alias("type"), "para_index", "rev_id", "ts", "text")
+        found = containment.with_contained(pieces, theirs, "__found", ["doc_id"], ["para_index", "seg_index"])
+        return found.where("__found").select("doc_id", F.lit(kind).alias("type"), "para_index", "rev_id", "ts", "text")
 
     return side("ins", "del").unionByName(side("del", "ins"))
 
@@ -185,30 +189,74 @@ def links(touches: DataFrame, moved: DataFrame, times: DataFrame, paragraphs: Da
     came = moves.where("type = 'ins'").groupBy("doc_id", "session", "name").agg(F.collect_set("para_index").alias("to"), F.sum("chars").alias("chars"))
     left = moves.where("type = 'del'").groupBy("doc_id", "session", "name").agg(F.collect_set("para_index").alias("from"))
     by_name = came.join(left, ["doc_id", "session", "name"]).select("doc_id", "session", "from", "to", F.lit("move").alias("kind"), "chars", F.lit(0).alias("__order"))
-    here = moved.join(times.select("doc_id", "ts", "session"), ["doc_id", "ts"]).withColumn("__plain", squeezed(F.col("text")))
-    a = here.where("type = 'ins'").select("doc_id", "session", "para_index", "rev_id", "ts", F.col("__plain").alias("n"), F.length("text").alias("chars"))
-    d = here.where("type = 'del'").select("doc_id", "session", F.col("para_index").alias("d_para"), F.col("__plain").alias("dn"))
-    same = a.join(d, ["doc_id", "session"]).where(F.col("n").contains(F.col("dn")) | F.col("dn").contains(F.col("n")))
-    same = same.groupBy("doc_id", "session", "para_index", "rev_id", "ts").agg(F.collect_set("d_para").alias("from"), F.first("chars").alias("chars"))
-    same = same.select("doc_id", "session", "from", F.array("para_index").alias("to"), F.lit("relocate").alias("kind"), "chars", F.lit(1).alias("__order"))
-    rows = by_name.unionByName(same).withColumn("f", F.explode("from")).withColumn("t", F.explode("to"))
+    here = moved.join(times.select("doc_id", "ts", "session"), ["doc_id", "ts"]).withColumn("id", containment.text_id(F.col("text")))
+    keys = ["doc_id", "session"]
+    a, d = here.where("type = 'ins'"), here.where("type = 'del'")
+    # each two texts of which one holds the other, whatever the number of their pieces
+    pairs = containment.containing(a, d, keys).unionByName(containment.containing(d, a, keys).select(*keys, F.col("other_id").alias("id"), F.col("id").alias("other_id"))).distinct()
+    came = a.groupBy(*keys, "id", F.col("para_index").alias("t")).agg(F.sum(F.length("text")).alias("chars"))
+    left = d.select(*keys, F.col("id").alias("other_id"), F.col("para_index").alias("f"))
+    same = pairs.join(left, [*keys, "other_id"]).select(*keys, "id", "f").distinct().join(came, [*keys, "id"])
+    by_name = by_name.withColumn("f", F.explode("from")).withColumn("t", F.explode("to")).drop("from", "to")
+    rows = by_name.unionByName(same.select(*keys, "f", "t", F.lit("relocate").alias("kind"), "chars", F.lit(1).alias("__order")))
     unit = lambda name: paragraphs.select("doc_id", F.col("para_index").alias(name), unit_key(F.col("table_id"), F.col("para_index")).alias(f"{name}_unit"))
     rows = rows.join(unit("f"), ["doc_id", "f"]).join(unit("t"), ["doc_id", "t"])
     return rows.groupBy("doc_id", "session", F.col("f_unit").alias("from_unit"), F.col("t_unit").alias("to_unit")).agg(F.min_by("kind", "__order").alias("kind"), F.sum("chars").cast("long").alias("chars"))
 
 
-def build(segments: DataFrame, paragraphs: DataFrame, *, hours: float = 1.0, bulk_chars: int = BULK_CHARS, highlights: DataFrame | None = None, start: Column | None = None, end: Column | None = None) -> dict[str, DataFrame]:
-    """sessions, heat, totals, units and links of the documents."""
-    dated = session_times(revisions(segments, paragraphs), hours, start, end)
-    sessions = flow_sessions(dated)
-    moved = relocations(segments)
-    touches = touches_of(segments, dated, moved)
-    times = sessions.select("doc_id", "session", (millis(F.col("start")) - 1).alias("s_ms"), millis(F.col("end")).alias("e_ms"))
-    at = times.select("doc_id", F.explode(F.array("s_ms", "e_ms")).alias("at_ms")).distinct()
-    there = visible_chars(segments, paragraphs, at)
-    state = lambda c: there.join(times.select("doc_id", "session", F.col(c).alias("at_ms")), ["doc_id", "at_ms"]).select("doc_id", "session", "para_index", "chars")
-    heat_rows = heat(touches, state("e_ms"), bulk_chars, highlights)
-    return {"sessions": sessions, "heat": heat_rows, "totals": session_totals(heat_rows), "units": units(paragraphs, state("s_ms"), state("e_ms"), heat_rows), "links": links(touches, moved, dated, paragraphs)}
+class Flow:
+    """sessions, heat, totals, units and links of documents. What several of them need is made once, when the first is asked for."""
+
+    def __init__(self, segments: DataFrame, paragraphs: DataFrame, hours: float, bulk_chars: int, highlights: DataFrame | None, start: Column | None, end: Column | None) -> None:
+        self.segments, self.paragraphs, self.bulk_chars, self.highlights = segments, paragraphs, bulk_chars, highlights
+        self.dated = session_times(revisions(segments, paragraphs), hours, start, end)
+        self.sessions = flow_sessions(self.dated)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, self[name]) for name in ("sessions", "heat", "totals", "units", "links")]
+
+    @functools.cached_property
+    def moved(self) -> DataFrame:
+        return stored(relocations(self.segments), "relocations")
+
+    @functools.cached_property
+    def touches(self) -> DataFrame:
+        return stored(touches_of(self.segments, self.dated, self.moved), "touches")
+
+    @functools.cached_property
+    def states(self) -> DataFrame:
+        """doc_id, session, para_index, s and e: the characters that a paragraph has where it is there at the session's start and end."""
+        times = self.sessions.select("doc_id", "session", F.explode(F.array(F.struct(F.lit("s").alias("which"), (millis(F.col("start")) - 1).alias("at_ms")), F.struct(F.lit("e").alias("which"), millis(F.col("end")).alias("at_ms")))).alias("t")).select("doc_id", "session", "t.*")
+        there = visible_chars(self.segments, self.paragraphs, times.select("doc_id", "at_ms").distinct()).join(times, ["doc_id", "at_ms"])
+        at = lambda which: F.max(F.when(F.col("which") == which, F.col("chars"))).alias(which)
+        return stored(there.groupBy("doc_id", "session", "para_index").agg(at("s"), at("e")), "states")
+
+    def state(self, which: str) -> DataFrame:
+        return self.states.where(F.col(which).isNotNull()).select("doc_id", "session", "para_index", F.col(which).alias("chars"))
+
+    @functools.cached_property
+    def heat(self) -> DataFrame:
+        return stored(heat(self.touches, self.state("e"), self.bulk_chars, self.highlights), "heat")
+
+    @functools.cached_property
+    def totals(self) -> DataFrame:
+        return session_totals(self.heat)
+
+    @functools.cached_property
+    def units(self) -> DataFrame:
+        return units(self.paragraphs, self.state("s"), self.state("e"), self.heat)
+
+    @functools.cached_property
+    def links(self) -> DataFrame:
+        return links(self.touches, self.moved, self.dated, self.paragraphs)
+
+
+def build(segments: DataFrame, paragraphs: DataFrame, *, hours: float = 1.0, bulk_chars: int = BULK_CHARS, highlights: DataFrame | None = None, start: Column | None = None, end: Column | None = None) -> Flow:
+    """sessions, heat, totals, units and links of the documents, by attribute or by name."""
+    return Flow(segments, paragraphs, hours, bulk_chars, highlights, start, end)
 
 
 def paint(heat_rows: DataFrame, categories: DataFrame, bulk_chars_column: str = "bulk_chars") -> DataFrame:

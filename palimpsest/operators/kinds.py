@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.columns import MOVED_LEAST, squeezed, u16_length
+from palimpsest.operators.containment import with_contained
 
 #: Fixed value: characters from which insertions of one author and time count as bulk.
 BULK_CHARS = 150
 
 
-def corpora(texts: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """The texts of each key without white space, one after the other: a match may span two of them."""
-    keys = keys or ["doc_id"]
-    parts = F.sort_array(F.collect_list(F.struct(*order, squeezed(F.col("text")).alias("__text"))))
-    return texts.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["__text"]), "").alias("corpus"))
-
-
-def in_corpus(text: Column, corpus: Column) -> Column:
-    """Whether a text, long enough, is in a corpus, white space aside."""
-    plain = squeezed(text)
-    return (u16_length(plain) >= MOVED_LEAST) & F.coalesce(corpus.contains(plain), F.lit(False))
-
-
 def with_moved(events: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``events`` with ``moved``: insertions whose text is among the document's deletions."""
-    deleted = corpora(events.where("type = 'del'"), order or ["ts", "seq"])
-    events = events.join(deleted, "doc_id", "left")
-    return events.withColumn("moved", (F.col("type") == "ins") & in_corpus(F.col("text"), F.col("corpus"))).drop("corpus")
+    """``events`` with ``moved``: insertions whose text is among the document's deletions, one after the other."""
+    return with_contained(events, events.where("type = 'del'"), "moved", ["doc_id"], order or ["ts", "seq"], looked_for=F.col("type") == "ins")
 
 
 def with_kinds(events: DataFrame, bulk_chars: int = BULK_CHARS) -> DataFrame:

@@ -7,14 +7,12 @@ Lengths are UTF-16 units.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import millis, u16_length
+from palimpsest.operators import dominance
 
 
 def visible(ins: Column, deleted: Column, at_ms: Column | None = None) -> Column:
@@ -101,98 +99,44 @@ def first_of(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
-class Sums:
-    """Prefix sums that change: a Fenwick tree."""
-
-    def __init__(self, n: int):
-        self.tree = [0] * (n + 1)
-
-    def add(self, k: int, x: int) -> None:
-        k += 1
-        while k < len(self.tree):
-            self.tree[k] += x
-            k += k & -k
-
-    def before(self, k: int) -> int:
-        total = 0
-        while k > 0:
-            total += self.tree[k]
-            k -= k & -k
-        return total
-
-
-def edit_places(rows: list[dict]) -> list[dict]:
-    """Where each dated change of one document was when it was made: after an insertion, just before a deletion.
-
-    rows: pieces in document order with para, n (length), ins_id, ins_ms, del_id, del_ms. Pieces come and go in order of
-    time; sums over the shown pieces and the paragraphs that exist give each place in logarithmic time.
-    """
-    paras = sorted({r["para"] for r in rows})
-    number = {p: k for k, p in enumerate(paras)}
-    first_piece = {}
-    for k, r in enumerate(rows):
-        first_piece.setdefault(number[r["para"]], k)
-    flips: dict[int, list[int]] = {}
-    asks: dict[int, dict[tuple[str, str], list[int]]] = {}
-    shown = [r["ins_id"] is None or r["ins_ms"] is None for r in rows]
-    for k, r in enumerate(rows):
-        if r["del_id"] is not None and r["del_ms"] is None:
-            shown[k] = False
-        for t in (r["ins_ms"] if r["ins_id"] is not None else None, r["del_ms"] if r["del_id"] is not None else None):
-            if t is not None:
-                flips.setdefault(t, []).append(k)
-        for kind, t in (("ins", 0), ("del", 1)):
-            if r[f"{kind}_id"] is not None and r[f"{kind}_ms"] is not None:
-                asks.setdefault(r[f"{kind}_ms"] - t, {}).setdefault((kind, r[f"{kind}_id"]), []).append(k)
-    chars, there, alive = Sums(len(rows)), Sums(len(paras)), [0] * len(paras)
-
-    def show(k: int, on: bool) -> None:
-        p = number[rows[k]["para"]]
-        chars.add(k, rows[k]["n"] if on else -rows[k]["n"])
-        alive[p] += 1 if on else -1
-        if alive[p] == (1 if on else 0):
-            there.add(p, 1 if on else -1)
-
-    for k, on in enumerate(shown):
-        if on:
-            show(k, True)
-    total = lambda: there.before(len(paras))
-    out = []
-    for t in sorted({*flips, *asks}):
-        for k in flips.get(t, []):
-            r = rows[k]
-            inserted = r["ins_id"] is None or r["ins_ms"] is None or r["ins_ms"] <= t
-            gone = r["del_id"] is not None and (r["del_ms"] is None or r["del_ms"] <= t)
-            if (inserted and not gone) != shown[k]:
-                shown[k] = not shown[k]
-                show(k, shown[k])
-        for (kind, rev), ks in asks.get(t, {}).items():
-            ends = []
-            for k in (ks[0], ks[-1]):
-                p = number[rows[k]["para"]]
-                nth = there.before(p)
-                if alive[p]:
-                    ends.append((nth, chars.before(k) + nth, rows[k]["n"] if shown[k] else 0, False))
-                elif there.before(p) == total():
-                    ends.append((max(0, nth - 1), max(0, chars.before(k) + nth - 1), 0, True))
-                else:
-                    ends.append((nth, chars.before(k) + nth, 0, True))
-            (p0, a, _, m0), (p1, z, n, m1) = ends
-            out.append({"type": kind, "rev_id": rev, "edit_start": a, "edit_end": z + n, "edit_start_para": p0, "edit_end_para": p1, "edit_start_missing": m0, "edit_end_missing": m1})
-    return out
-
-
 def edit_positions(segments: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """doc_id, type, rev_id and the place of each dated change in the document as it was then. One document is one task's work."""
-    rows = pieces(segments, paragraphs).select("doc_id", F.col("para_index").alias("para"), "seg_index", u16_length(F.col("text")).alias("n"), F.col("ins.id").alias("ins_id"), millis(F.col("ins.ts")).alias("ins_ms"), F.col("del.id").alias("del_id"), millis(F.col("del.ts")).alias("del_ms"))
-    schema = "doc_id long, type string, rev_id string, edit_start int, edit_end int, edit_start_para int, edit_end_para int, edit_start_missing boolean, edit_end_missing boolean"
+    """doc_id, type, rev_id and the place of each dated change in the document as it was then: after an insertion, just before a deletion.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["para", "seg_index"]).astype(object)
-        found = edit_places(pdf.where(pdf.notna(), None).to_dict("records"))
-        return pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")[1:]]).assign(doc_id=pdf["doc_id"].iloc[0])[[c.split()[0] for c in schema.split(", ")]]
-
-    return rows.groupBy("doc_id").applyInPandas(run, schema)
+    A piece shows from a time to another, so the characters before a place at a time are a sum over what came and went up to
+    then and lies before it: points in two orders. So are the paragraphs that are there, which come with their first piece
+    and go with their last. A change in a paragraph that isn't there is at the start of the next one, or at the document's end.
+    """
+    never, always = F.lit(2**62).cast("long"), F.lit(-(2**62)).cast("long")
+    rows = pieces(segments, paragraphs).select("doc_id", "para_index", "seg_index", u16_length(F.col("text")).cast("long").alias("n"), "ins", "del")
+    rows = rows.withColumns({"from": F.when(F.col("ins.ts").isNotNull(), millis(F.col("ins.ts"))).otherwise(always), "to": F.when(F.col("del").isNull(), never).otherwise(F.coalesce(millis(F.col("del.ts")), always))})
+    steps = rows.where(F.col("from") < F.col("to")).select("doc_id", "para_index", "seg_index", "n", F.inline(F.array(F.struct(F.col("from").alias("t"), F.lit(1).alias("sign")), F.struct(F.col("to").alias("t"), F.lit(-1).alias("sign")))))
+    chars = steps.where("n > 0").select("doc_id", "t", F.struct("para_index", "seg_index").alias("x"), (F.col("sign") * F.col("n")).alias("w"))
+    each_time = steps.groupBy("doc_id", "para_index", "t").agg(F.sum("sign").alias("sign"))
+    shown = F.sum("sign").over(W.partitionBy("doc_id", "para_index").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    there = each_time.select("doc_id", "para_index", "t", "sign", shown.alias("shown"))
+    there = there.select("doc_id", "t", F.col("para_index").alias("x"), ((F.col("shown") > 0).cast("int") - (F.col("shown") - F.col("sign") > 0).cast("int")).alias("w")).where("w <> 0")
+
+    change = lambda kind, before: F.struct(F.lit(kind).alias("type"), F.col(f"{kind}.id").alias("rev_id"), (millis(F.col(f"{kind}.ts")) - before).alias("at"))
+    dated = F.filter(F.array(change("ins", 0), change("del", 1)), lambda c: c["at"].isNotNull() & c["rev_id"].isNotNull())
+    at = F.struct("para_index", "seg_index", F.when((F.col("from") <= F.col("at")) & (F.col("at") < F.col("to")), F.col("n")).otherwise(0).alias("n"))
+    ends = rows.select("doc_id", "para_index", "seg_index", "n", "from", "to", F.inline(dated)).groupBy("doc_id", "type", "rev_id", "at").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    ends = ends.select("doc_id", "type", "rev_id", "at", F.inline(F.array(F.struct(F.lit("start").alias("end"), F.col("first").alias("p")), F.struct(F.lit("end").alias("end"), F.col("last").alias("p"))))).select("*", "p.*").drop("p")
+    key = F.struct("type", "rev_id", "at", "end")
+    before = dominance.sums(chars, ends.select("doc_id", key.alias("id"), F.col("at").alias("t"), F.struct("para_index", "seg_index").alias("x")), ["doc_id"])
+    asks = ends.select("doc_id", "at", "para_index", F.inline(F.array(F.struct(F.lit(0).alias("and_own"), key.alias("end")), F.struct(F.lit(1).alias("and_own"), key.alias("end")))))
+    paras = dominance.sums(there, asks.select("doc_id", F.struct("end", "and_own").alias("id"), F.col("at").alias("t"), (F.col("para_index") + F.col("and_own")).alias("x")), ["doc_id"])
+    nth = lambda own: F.max(F.when(F.col("id.and_own") == own, F.col("below")))
+    paras = paras.groupBy("doc_id", F.col("id.end").alias("id")).agg(nth(0).alias("nth"), nth(1).alias("with_own"), F.first("upto").alias("total"))
+    found = ends.withColumn("id", key).join(before.select("doc_id", "id", F.col("below").alias("chars")), ["doc_id", "id"]).join(paras, ["doc_id", "id"])
+    exists = F.col("with_own") > F.col("nth")
+    back = F.when(~exists & (F.col("nth") == F.col("total")), 1).otherwise(0)  # none follows: the end of the last one
+    place = F.struct(F.greatest(F.lit(0), F.col("nth") - back).cast("int").alias("para"), F.greatest(F.lit(0), F.col("chars") + F.col("nth") - back).cast("int").alias("at"), F.when(exists, F.col("n")).otherwise(0).cast("int").alias("n"), (~exists).alias("missing"))
+    pick = lambda end: F.max(F.when(F.col("end") == end, place))
+    both = found.groupBy("doc_id", "type", "rev_id", "at").agg(pick("start").alias("a"), pick("end").alias("z"))
+    return both.select(
+        "doc_id", "type", "rev_id", F.col("a.at").alias("edit_start"), (F.col("z.at") + F.col("z.n")).alias("edit_end"), F.col("a.para").alias("edit_start_para"),
+        F.col("z.para").alias("edit_end_para"), F.col("a.missing").alias("edit_start_missing"), F.col("z.missing").alias("edit_end_missing"),
+    )
 
 
 def attach(events: DataFrame, positions: DataFrame) -> DataFrame:

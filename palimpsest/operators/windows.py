@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import millis
-from palimpsest.operators.kinds import corpora, in_corpus
+from palimpsest.operators import dominance
+from palimpsest.operators.containment import with_contained
 
 
 @dataclasses.dataclass(frozen=True)
@@ -45,9 +46,9 @@ def time_resolution(events: DataFrame) -> DataFrame:
 def candidates(events: DataFrame) -> DataFrame:
     """Dated insertions with text that are no moves, and whose text wasn't deleted elsewhere; undated deletions count there too."""
     not_move = ~F.coalesce("move", F.lit(False))
-    deleted = corpora(events.where((F.col("type") == "del") & not_move), ["seq"])
+    deleted = events.where((F.col("type") == "del") & not_move)
     ins = events.where((F.col("type") == "ins") & not_move & F.col("ts").isNotNull() & (F.col("chars") > 0))
-    return ins.join(deleted, "doc_id", "left").where(~in_corpus(F.col("text"), F.col("corpus"))).drop("corpus")
+    return with_contained(ins, deleted, "__elsewhere", ["doc_id"], ["seq"]).where("not __elsewhere").drop("__elsewhere")
 
 
 def grouped(rows: DataFrame, options: WindowOptions) -> DataFrame:
@@ -63,22 +64,39 @@ def grouped(rows: DataFrame, options: WindowOptions) -> DataFrame:
     rows = rows.withColumns({"__at": millis(F.col("ts")), "__who": F.coalesce("author", F.lit("")) if options.by_author else F.lit(""), "__named": F.col("author").isNotNull() if options.by_author else F.lit(True)})
     if options.chars is None and options.paras is None:
         return _by_time(rows, options).drop("__at", "__who", "__named")
-    schema = "doc_id long, seq long, window long"
+    return _by_place(rows, options).drop("__at", "__who", "__named")
+
+
+def _in_order(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows of each document (and author) in order of time, side by side in one partition; a task holds a batch of them."""
     keys = ["doc_id", "__who", "__named"]
+    return rows.select(*keys, F.col("seq").cast("long"), "__at", *more).repartition(*keys).sortWithinPartitions(*keys, "__at", "seq")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__at", "seq"], kind="stable")
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "seq": pdf["seq"], "window": greedy(list(zip(pdf["__at"], pdf["start_offset"], pdf["end_offset"], pdf["start_para"], pdf["end_para"], strict=True)), options)})
 
-    found = rows.select(*keys, F.col("seq").cast("long"), "__at", "start_offset", "end_offset", "start_para", "end_para").groupBy(*keys).applyInPandas(run, schema)
+def _numbered(rows: DataFrame, found: DataFrame) -> DataFrame:
     found = rows.join(found, ["doc_id", "seq"])
-    return found.withColumn("window", F.dense_rank().over(W.partitionBy("doc_id").orderBy("__who", "__named", "window"))).drop("__at", "__who", "__named")
+    return found.withColumn("window", F.dense_rank().over(W.partitionBy("doc_id").orderBy("__who", "__named", "window")))
+
+
+def _by_place(rows: DataFrame, options: WindowOptions) -> DataFrame:
+    """Windows with bounds on the place: one pass over the sorted rows, with the open windows as state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, Greedy(options)
+        for pdf in batches:
+            out = []
+            for k in zip(*(pdf[c] for c in ("doc_id", "__who", "__named", "__at", "start_offset", "end_offset", "start_para", "end_para")), strict=True):
+                if k[:3] != key:
+                    key, state = k[:3], Greedy(options)
+                out.append(state.window(k[3:]))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": pdf["seq"], "window": out})
+
+    slim = _in_order(rows, "start_offset", "end_offset", "start_para", "end_para")
+    return _numbered(rows, slim.mapInPandas(run, "doc_id long, seq long, window long"))
 
 
 def _by_time(rows: DataFrame, options: WindowOptions) -> DataFrame:
     """Windows by time alone: a new one starts where the last one's first insertion is too long ago. One pass over the sorted rows."""
-    keys = ["doc_id", "__who", "__named"]
-    schema = "doc_id long, seq long, window long"
     most = options.seconds * 1000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,9 +111,7 @@ def _by_time(rows: DataFrame, options: WindowOptions) -> DataFrame:
                 out.append(number)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": pdf["seq"], "window": out})
 
-    slim = rows.select(*keys, F.col("seq").cast("long"), "__at").repartition(*keys).sortWithinPartitions(*keys, "__at", "seq")
-    found = rows.join(slim.mapInPandas(run, schema), ["doc_id", "seq"])
-    return found.withColumn("window", F.dense_rank().over(W.partitionBy("doc_id").orderBy("__who", "__named", "window")))
+    return _numbered(rows, _in_order(rows).mapInPandas(run, "doc_id long, seq long, window long"))
 
 
 def nearest(windows: list, row: tuple, options: WindowOptions) -> int | None:
@@ -108,26 +124,59 @@ def nearest(windows: list, row: tuple, options: WindowOptions) -> int | None:
     return None
 
 
-def greedy(rows: list[tuple], options: WindowOptions) -> list[int]:
-    """The window of each row (at, start, end, first paragraph, last one), in order of time: the first open one that is near, else a new one."""
-    kept: list[list] = []
-    out, closed = [], 0
-    for row in rows:
+class Greedy:
+    """Rows in order of time, each to the first open window that is near, else to a new one. Holds the open windows."""
+
+    def __init__(self, options: WindowOptions) -> None:
+        self.options, self.open, self.closed = options, [], 0
+
+    def window(self, row: tuple) -> int:
+        """The number of the window of a row (at, start, end, first paragraph, last one)."""
         at, start, end, p0, p1 = row
-        while kept and at - kept[0][0] > options.seconds * 1000:
-            kept.pop(0)
-            closed += 1
-        k = nearest(kept, row, options)
+        while self.open and at - self.open[0][0] > self.options.seconds * 1000:
+            self.open.pop(0)
+            self.closed += 1
+        k = nearest(self.open, row, self.options)
         if k is None:
-            kept.append(list(row))
-            k = len(kept) - 1
-        w = kept[k]
+            self.open.append(list(row))
+            k = len(self.open) - 1
+        w = self.open[k]
         if start < w[1]:
             w[1], w[3] = start, p0
         if end > w[2]:
             w[2], w[4] = end, p1
-        out.append(closed + k)
-    return out
+        return self.closed + k
+
+
+def greedy(rows: list[tuple], options: WindowOptions) -> list[int]:
+    """The window of each row, in order of time."""
+    state = Greedy(options)
+    return [state.window(row) for row in rows]
+
+
+def nearby(rows: DataFrame, events: DataFrame, seconds: float) -> DataFrame:
+    """doc_id, window, post_edit_chars, preceding_deleted_chars: what touches each window's range and came later, or was deleted shortly before.
+
+    What touches a range is all but what ends before and what starts behind it, so each is a sum over points in two orders:
+    one side's places, and time, downwards for what came later. A window's own insertions are in neither.
+    """
+    pool = events.where(~F.coalesce("move", F.lit(False)) & F.col("ts").isNotNull()).select("doc_id", "type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("chars").cast("long").alias("w"), F.col("start_offset").cast("long").alias("a"), F.col("end_offset").cast("long").alias("z"))
+    sides = lambda lo, hi: F.array(F.struct(F.lit("before").alias("side"), lo.alias("x")), F.struct(F.lit("behind").alias("side"), hi.alias("x")))
+    point = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("t"))
+    kinds = F.filter(F.array(point("later", -F.col("us")), point("deleted", F.col("us"))), lambda p: (p["kind"] == "later") | (F.col("type") == "del"))
+    points = pool.select("*", F.inline(kinds)).select("doc_id", "kind", "t", "w", F.inline(sides(F.col("z"), -F.col("a"))))
+    us = lambda ts: F.unix_micros(F.col(ts).cast("timestamp"))
+    early = F.ceil(millis(F.col("start")) - seconds * 1000).cast("long") * 1000 - 1
+    asks = rows.select("doc_id", "window", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.inline(F.array(
+        F.struct(F.lit("later").alias("kind"), (-us("end") - 1).alias("t"), F.lit(1).alias("sign")), F.struct(F.lit("deleted").alias("kind"), us("end").alias("t"), F.lit(1).alias("sign")),
+        F.struct(F.lit("deleted").alias("kind"), early.alias("t"), F.lit(-1).alias("sign")),
+    )))
+    asks = asks.select("doc_id", "kind", F.struct("window", "sign").alias("id"), "t", F.inline(sides(F.col("lo"), -F.col("hi"))))
+    found = dominance.sums(points, asks, ["doc_id", "kind", "side"])
+    # both sides say how much there is up to the time; that counts once
+    signed = F.col("id.sign") * (F.when(F.col("side") == "before", F.col("upto")).otherwise(0) - F.col("below"))
+    chars = lambda kind: F.sum(F.when(F.col("kind") == kind, signed).otherwise(0)).cast("long")
+    return found.groupBy("doc_id", F.col("id.window").alias("window")).agg(chars("later").alias("post_edit_chars"), chars("deleted").alias("preceding_deleted_chars"))
 
 
 def windows(events: DataFrame, options: WindowOptions = WindowOptions(by_author=True)) -> DataFrame:
@@ -146,14 +195,7 @@ def windows(events: DataFrame, options: WindowOptions = WindowOptions(by_author=
         F.size(F.array_distinct(F.flatten(F.collect_list("paras")))).alias("para_count"),
     )
     rows = rows.join(time_resolution(events), "doc_id")
-    pool = events.where(~F.coalesce("move", F.lit(False)) & F.col("ts").isNotNull()).select("doc_id", F.col("type").alias("o_type"), F.col("rev_id").alias("o_id"), F.col("ts").alias("o_ts"), F.col("chars").alias("o_chars"), F.col("start_offset").alias("o_start"), F.col("end_offset").alias("o_end"))
-    near = rows.select("doc_id", "window", "start", "end", "event_ids", "lo", "hi").join(pool, "doc_id")
-    near = near.where(touches(F.col("o_start"), F.col("o_end"), F.col("lo"), F.col("hi")) & ~((F.col("o_type") == "ins") & F.array_contains("event_ids", F.col("o_id"))))
-    after = F.col("o_ts") > F.col("end")
-    before = ~after & (F.col("o_type") == "del") & (millis(F.col("o_ts")) >= millis(F.col("start")) - options.seconds * 1000)
-    chars = lambda cond: F.sum(F.when(cond, F.col("o_chars")).otherwise(0)).cast("long")
-    near = near.groupBy("doc_id", "window").agg(chars(after).alias("post_edit_chars"), chars(before).alias("preceding_deleted_chars"))
-    rows = rows.join(near, ["doc_id", "window"], "left").fillna(0, ["post_edit_chars", "preceding_deleted_chars"])
+    rows = rows.join(nearby(rows, events, options.seconds), ["doc_id", "window"])
     seconds = (millis(F.col("end")) - millis(F.col("start"))) / 1000 + F.greatest(F.lit(1.0), F.col("resolution"))
     rows = rows.withColumns({"duration_sec": seconds, "index": F.row_number().over(W.partitionBy("doc_id").orderBy("start", "lo", "window")) - 1})
     return rows.withColumns({

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import key, millis, rounded
-from palimpsest.operators import buckets, classify, comments, flow, integrity, kinds, positions, rules, scores, sessions, snapshots, tamper, targets, versions, windows
+from palimpsest.operators import buckets, classify, comments, containment, flow, integrity, kinds, positions, rules, scores, sessions, snapshots, tamper, targets, versions, windows
 from palimpsest.sources import adapters, docx, docx_edit
 from palimpsest.sources.adapters import table
 
@@ -253,8 +253,7 @@ _WS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 def relocation_matches(spark, sf_dir):
     """Whether what a turn says is among what users said in the conversation, white space aside."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
-    corpus = kinds.corpora(rows.where("role = 'user'"), ["turn"])
-    return rows.join(corpus, "doc_id", "left").select("doc_id", "turn", kinds.in_corpus(F.col("text"), F.col("corpus")).alias("moved"))
+    return containment.with_contained(rows, rows.where("role = 'user'"), "moved", ["doc_id"], ["turn"]).select("doc_id", "turn", "moved")
 
 
 _SUBS = f"""{_REV}, weekly as (select *, cast((ms - 1704067200000) // 604800000 as integer) as week from rev),
@@ -347,13 +346,36 @@ def final_positions(spark, sf_dir):
     return positions.final_positions(segs, paras).select("doc_id", "type", "rev_id", "start_offset", "end_offset", "chars", "final_chars")
 
 
-@query()
+def _edit_places_sql(marks: bool) -> str:
+    """One state of the document for each change: its pieces, those that show, and the paragraphs with one."""
+    mark = "made, gone" if marks else "null, null"
+    return f"""with t as (select conv_id as doc_id, turn, coalesce(text, '') as text, role = 'assistant' as said, 1704067200000 + turn * 60000 as since, turn % 4 = 1 as out from conversations),
+  u as (select *, length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) as n, case when said then since end as made, case when said and out then since + 3600000 end as gone from t),
+  pieces as (select doc_id, turn, 0 as seg, n, made, gone from u union all select doc_id, turn, 1, 0, {mark} from u),
+  changes as (select doc_id, turn, 'ins' as type, 'i' || turn as rev_id, made as ms from u where said union all select doc_id, turn, 'del', 'd' || turn, gone - 1 from u where gone is not null),
+  state as (select c.doc_id, c.type, c.rev_id, c.turn, c.ms, p.turn as para, sum(case when (made is null or made <= ms) and (gone is null or gone > ms) then n else 0 end) as chars, bool_or((made is null or made <= ms) and (gone is null or gone > ms)) as there
+    from changes c join pieces p using (doc_id) group by 1, 2, 3, 4, 5, 6),
+  s as (select doc_id, type, rev_id, coalesce(sum(chars) filter (para < turn), 0) as before, count(*) filter (there and para < turn) as nth, bool_or(there) filter (para = turn) as there, coalesce(sum(chars) filter (para = turn), 0) as own, count(*) filter (there) as total from state group by 1, 2, 3),
+  b as (select *, case when not there and nth = total then 1 else 0 end as back from s)
+  select doc_id, type, rev_id, cast(greatest(0, before + nth - back) as integer) as edit_start, cast(greatest(0, before + nth - back) + case when there then own else 0 end as integer) as edit_end, cast(greatest(0, nth - back) as integer) as edit_start_para, cast(greatest(0, nth - back) as integer) as edit_end_para,
+    not there as edit_start_missing, not there as edit_end_missing from b"""
+
+
+@query(_edit_places_sql(False))
 def edit_positions(spark, sf_dir):
-    """Places at the time of each edit: a state for each event, kept by prefix sums that change; tested against the plain form."""
+    """Places at the time of each edit, in documents all of whose paragraphs exist at all times."""
     segs, paras = adapters.conversation_segments(table(spark, sf_dir, "conversations"))
     return positions.edit_positions(segs, paras)
 
 
+@query(_edit_places_sql(True))
+def edit_positions_in_paragraphs(spark, sf_dir):
+    """Places at the time of each edit, where paragraphs come and go with their text."""
+    segs, paras = adapters.conversation_segments(table(spark, sf_dir, "conversations"))
+    marks = segs.select("doc_id", "para_index", F.col("ins").alias("mark_ins"), F.col("del").alias("mark_del"))
+    return positions.edit_positions(segs, paras.drop("mark_ins", "mark_del").join(marks, ["doc_id", "para_index"]))
+
+
 @query(r"""with p as (select conv_id as doc_id, cast(turn as integer) as para_index, case when role = 'user' then regexp_extract(text, '^([^\n]*)', 1) end as heading from conversations)
   select doc_id, para_index, last_value(heading ignore nulls) over (partition by doc_id order by para_index rows unbounded preceding) as section from p""")
 def asof_section(spark, sf_dir):
@@ -452,13 +474,7 @@ def unit_changes(spark, sf_dir):
   p as (select i.doc_id, i.session, unnest(d.paras) as a, i.paras as bs, i.chars from i join d using (doc_id, session, name)), q as (select doc_id, session, a, unnest(bs) as b, chars from p)
   select doc_id, session, case when a % 10 >= 6 then 't' || a // 10 else 'p' || a end as from_unit, case when b % 10 >= 6 then 't' || b // 10 else 'p' || b end as to_unit, 'move' as kind, cast(sum(chars) as bigint) as chars from q group by 1, 2, 3, 4""")
 def flow_links(spark, sf_dir):
-    return _links(*adapters.segments(_rev(spark, sf_dir)))
-
-
-def _links(segs, paras):
-    parts = flow.session_times(flow.revisions(segs, paras), 6)
-    moved = flow.relocations(segs)
-    return flow.links(flow.touches_of(segs, parts, moved), moved, parts, paras)
+    return _flow(spark, sf_dir)["links"]
 
 
 @query(f"""with {_REPEATED}, lagged as (select *, ms - lag(ms) over (partition by doc_id order by ms, type, rev_id) as gap from c),
@@ -470,7 +486,7 @@ def _links(segs, paras):
 def relocation_links(spark, sf_dir):
     """Links of text that was deleted in one place and inserted in another in a session, where texts repeat, beside marked moves."""
     segs, paras = adapters.segments(_rev(spark, sf_dir))
-    return _links(segs.withColumn("text", adapters.repeated_text(F.col("seg_index"))), paras)
+    return flow.build(segs.withColumn("text", adapters.repeated_text(F.col("seg_index"))), paras, hours=6)["links"]
 
 
 _COMMENTS = """e as (select user_id as key, cast(floor(user_id / 3) as bigint) as doc_id, event_id + 1 as seq, epoch_us(ts) // 1000 as happened, case event_type when 'view' then 'edited' when 'signup' then 'seen' when 'click' then 'resolved' when 'purchase' then 'reopened' else 'removed' end as type, cast(event_id as varchar) as text from events),

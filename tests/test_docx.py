@@ -1,7 +1,7 @@
 import base64
 import itertools
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from files import NO_PART, change, docx, kept_settings, para, run, table, w, written
@@ -16,61 +16,109 @@ def at(text):
     return datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
 
 
-TIMES = ["2024-03-01T08:00:00", "2024-03-01T08:10:00", "2024-03-01T08:20:00", "2024-03-01T08:30:00", "2024-03-02T07:00:00"]
+TIMES = [f"2021-11-{d:02d}T0{d % 7}:{13 * d % 60:02d}:07" for d in (4, 9, 15, 22, 27)]
 T = [t + "Z" for t in TIMES]
 
 
+def invented(rng):
+    """A document of random pieces: (paragraphs, file). A paragraph: (pieces, insertion, deletion of its mark); a piece: (text, insertion, deletion).
+
+    A change is None, or its time: an index of TIMES, or "?" without one. The last paragraph is plain.
+    """
+    when = lambda: rng.choice([0, 1, 2, 3, 4, "?"]) if rng.random() < 0.5 else None
+    stamp = lambda t: None if t == "?" else T[t]
+    paragraphs, body = [], []
+    for _ in range(rng.randrange(2, 9)):
+        pieces, inside = [], []
+        for _ in range(rng.randrange(4)):
+            text, ins, gone = "".join(rng.choice("xyz é😀") for _ in range(rng.randrange(1, 9))), when(), when()
+            made = run(text)
+            if gone is not None:
+                made = change("del", stamp(gone), made)
+            if ins is not None:
+                made = change("ins", stamp(ins), made)
+            pieces.append((text, ins, gone))
+            inside.append(made)
+        kind = rng.choice([None, None, "ins", "del"])
+        mark = rng.randrange(5) if kind else None
+        paragraphs.append((pieces, mark if kind == "ins" else None, mark if kind == "del" else None))
+        body.append(para(*inside, mark=(kind, T[mark]) if kind else None))
+    paragraphs.append(([("tail", None, None)], None, None))
+    return paragraphs, docx(*body, para("tail"))
+
+
+def shows(ins, gone, k):
+    """Whether something is there when the first k of TIMES are over; what has no time always was."""
+    over = lambda t: t == "?" or t < k
+    return (ins is None or over(ins)) and not (gone is not None and over(gone))
+
+
+def lines_at(paragraphs, k):
+    """The text of a version: a paragraph without its mark goes on with the next one."""
+    out = [""]
+    for pieces, ins, gone in paragraphs:
+        out[-1] += "".join(text for text, a, z in pieces if shows(a, z, k))
+        if shows(ins, gone, k):
+            out.append("")
+    return out[:-1]
+
+
 @pytest.fixture(scope="module")
-def history():
-    """A document with each kind of change."""
-    cell = lambda *inside, **more: w("tc", para(*inside, **more))
-    bold = run("Bold", look=[w("b"), change("rPrChange", T[1], w("rPr", w("i")))])
-    went = lambda kind, name: para(w(f"{kind}RangeStart", id=name, name="m"), change(kind, T[4], "Went"), w(f"{kind}RangeEnd", id=name), mark=(kind, T[4]))
-    return docx(
-        para("One ", change("ins", T[0], "two "), change("ins", None, "always "), change("ins", T[0], change("del", T[2], "brief ")), change("del", T[1], "old")),
-        para("Split", mark=("ins", T[1])), para("here"), para(change("del", T[2], "Removed"), mark=("del", T[2])), para("Kept"),
-        w("tbl", w("tr", cell("A")), w("tr", w("trPr", change("ins", T[3])), cell(change("ins", T[3], "B"), mark=("ins", T[3])))),
-        para(bold), went("moveFrom", 1), went("moveTo", 2), para("End"),
-    )
-
-
-VERSIONS = {
-    "2024-03-01T07:59:59": ["One always old", "Splithere", "Removed", "Kept", "A", "Bold", "Went", "End"],
-    "2024-03-01T08:00:00": ["One two always brief old", "Splithere", "Removed", "Kept", "A", "Bold", "Went", "End"],
-    "2024-03-01T08:10:00": ["One two always brief ", "Split", "here", "Removed", "Kept", "A", "Bold", "Went", "End"],
-    "2024-03-01T08:20:00": ["One two always ", "Split", "here", "Kept", "A", "Bold", "Went", "End"],
-    "2024-03-01T08:30:00": ["One two always ", "Split", "here", "Kept", "A", "B", "Bold", "Went", "End"],
-    "2024-03-02T07:00:00": ["One two always ", "Split", "here", "Kept", "A", "B", "Bold", "Went", "End"],
-}
-
-
-def test_versions(spark, history):
-    files = table(spark, [history])
-    points = files.crossJoin(spark.createDataFrame([(int(at(t).timestamp() * 1000), t) for t in VERSIONS], "at_ms long, label string"))
-    made = docx_edit.versions(points)
-    for r in made.collect():
+def histories():
+    rng = random.Random(77)
+    return [invented(rng) for _ in range(25)]
+
+
+def test_versions(spark, histories):
+    files = table(spark, [content for _, content in histories])
+    times = [int(at(TIMES[0]).timestamp() * 1000) - 1, *(int(at(t).timestamp() * 1000) for t in TIMES)]
+    points = files.crossJoin(spark.createDataFrame([(t, str(k)) for k, t in enumerate(times)], "at_ms long, label string"))
+    seen = 0
+    for r in docx_edit.versions(points).collect():
         package = source.Package(bytes(r.content))
         model = source.Model(package.tree("word/document.xml"))
         lines = ["".join(s["text"] or "" for s in model.segments if s["para_index"] == p["para_index"]) for p in model.paragraphs]
-        assert lines == VERSIONS[r.label], r.label
+        assert lines == lines_at(histories[r.doc_id][0], int(r.label)), (r.doc_id, r.label)
         xml = package.text("word/document.xml")
-        assert not any(f"<w:{x}" in xml for x in ("ins ", "del ", "move", "rPrChange", "delText")) and "palimpsest" not in xml
-        assert ("<w:i/>" in xml) == (r.label < "2024-03-01T08:10")
-    segs, paras = source.segments(files), source.paragraphs(files)
-    texts = {r.at_ms: r.text for r in positions.joined_text_at(segs.where("para_index not in (5, 6)"), paras.where("para_index not in (5, 6)"), points.select("doc_id", "at_ms")).collect()}
-    for t, want in VERSIONS.items():
-        assert texts[int(at(t).timestamp() * 1000)].split("\n") == [w for w in want if w not in "AB"], t
+        assert not any(f"<w:{x}" in xml for x in ("ins ", "del ", "move", "delText")) and "palimpsest" not in xml
+        seen += 1
+    assert seen == len(histories) * len(times)
+    texts = {(r.doc_id, r.at_ms): r.text for r in positions.joined_text_at(source.segments(files), source.paragraphs(files), points.select("doc_id", "at_ms")).collect()}
+    for n, (paragraphs, _) in enumerate(histories):
+        for k, t in enumerate(times):
+            assert texts[n, t] == "\n".join(lines_at(paragraphs, k))
 
 
-def test_events_and_stats(spark, history):
-    files = table(spark, [history, b"no zip", docx(para("x"), settings=NO_PART)])
-    events = source.revisions(files).orderBy("doc_id", "seq").collect()
-    assert [(e.type, e.text) for e in events] == [("ins", "two "), ("ins", "brief "), ("del", "old"), ("ins", ""), ("del", "brief "), ("del", ""), ("del", "Removed"), ("ins", ""), ("ins", ""), ("ins", "B")]
-    assert all(a.ts <= b.ts for a, b in zip(events, events[1:], strict=False))
+def test_a_look_is_taken_back(spark):
+    files = table(spark, [docx(para(run("slanted once", look=[w("b"), change("rPrChange", T[2], w("rPr", w("i")))])))])
+    points = files.crossJoin(spark.createDataFrame([(int(at(TIMES[k]).timestamp() * 1000), str(k)) for k in (1, 2)], "at_ms long, label string"))
+    xml = {r.label: source.Package(bytes(r.content)).text("word/document.xml") for r in docx_edit.versions(points).collect()}
+    assert "<w:i/>" in xml["1"] and "<w:b/>" not in xml["1"] and "<w:b/>" in xml["2"] and not any("rPrChange" in x for x in xml.values())
+
+
+def u16(text):
+    return len(text.encode("utf-16-le")) // 2
+
+
+def test_events_and_stats(spark, histories):
+    files = table(spark, [content for _, content in histories] + [b"no zip", docx(para("x"), settings=NO_PART)])
+    events, n = {}, len(histories)
+    for e in source.revisions(files).orderBy("doc_id", "seq").collect():
+        events.setdefault(e.doc_id, []).append(e)
     stats = {r.doc_id: r for r in source.history_problem(source.stats(files)).collect()}
-    assert stats[0].undated == 1 and stats[0].inserted == 11 and stats[0].deleted == 16 and stats[0].track_revisions and stats[0].diagnosis == "ok"
-    assert stats[0].final_chars == len("One two always SplithereKeptABBoldWentEnd") and stats[0].baseline_chars == stats[0].final_chars - 11 + 16  # the moved text left behind is deleted text
-    assert "BadZipFile" in stats[1].error and stats[2].settings_part_found is False and stats[2].diagnosis == "tracking_off"
+    for k, (paragraphs, _) in enumerate(histories):
+        changes = [(kind, text, t) for pieces, _, _ in paragraphs for text, *both in pieces for kind, t in zip(("ins", "del"), both, strict=True) if t is not None]
+        marks = [(kind, "", t) for _, *both in paragraphs for kind, t in zip(("ins", "del"), both, strict=True) if t is not None]
+        dated = [c for c in changes + marks if c[2] != "?"]
+        mine = events.get(k, [])
+        assert sorted((e.type, e.text, e.ts) for e in mine) == sorted((kind, text, at(TIMES[t]).replace(tzinfo=None)) for kind, text, t in dated)
+        assert all(a.ts <= b.ts for a, b in zip(mine, mine[1:], strict=False))
+        inserted, deleted = (sum(u16(text) for kind, text, t in dated if kind == which) for which in ("ins", "del"))
+        final = sum(u16(text) for pieces, _, _ in paragraphs for text, _, gone in pieces if gone is None)
+        r = stats[k]
+        assert (r.undated, r.inserted, r.deleted, r.final_chars) == (len(changes) + len(marks) - len(dated), inserted, deleted, final)
+        assert r.baseline_chars == max(0, final - inserted + deleted) and r.track_revisions
+    assert "BadZipFile" in stats[n].error and stats[n + 1].settings_part_found is False and stats[n + 1].diagnosis == "tracking_off"
 
 
 def test_u16_lengths_and_tabs(spark):
@@ -79,19 +127,23 @@ def test_u16_lengths_and_tabs(spark):
     assert e.chars == 5 and e.text == "😀a\t\n"
 
 
-def test_final_positions(spark, history):
-    files = table(spark, [history])
+def test_final_positions(spark, histories):
+    files = table(spark, [content for _, content in histories])
     segs, paras = source.segments(files), source.paragraphs(files)
-    final = positions.text_at(segs, paras).first().text
+    final = {r.doc_id: r.text for r in positions.text_at(segs, paras).collect()}
     rows = positions.final_positions(segs, paras).collect()
+    inside = lambda r: final[r.doc_id].encode("utf-16-le")[2 * r.start_offset : 2 * r.end_offset].decode("utf-16-le")
     for r in rows:
-        inside = final[r.start_offset : r.end_offset]
-        if r.type == "ins" and r.final_chars and not r.includes_para_mark:
-            assert inside == r.text, r
+        if r.type == "ins" and r.final_chars == r.chars and r.chars:
+            assert inside(r) == r.text, r
         if r.type == "del":
             assert r.start_offset == r.end_offset
-    moved = [r for r in rows if r.move and r.type == "ins" and r.chars][0]
-    assert moved.move_name == "m" and final[moved.start_offset : moved.end_offset] == "Went"
+    assert len(rows) > 100
+    went = lambda kind, number: para(w(f"{kind}RangeStart", id=number, name="away"), change(kind, T[1], "gone by"), w(f"{kind}RangeEnd", id=number), mark=(kind, T[1]))
+    files = table(spark, [docx(para("front"), went("moveFrom", 3), para("middle"), went("moveTo", 4), para("back"))])
+    segs, paras = source.segments(files), source.paragraphs(files)
+    [moved] = [r for r in positions.final_positions(segs, paras).collect() if r.move and r.type == "ins" and r.chars]
+    assert moved.move_name == "away" and positions.text_at(segs, paras).first().text[moved.start_offset : moved.end_offset] == "gone by"
 
 
 def plain_places(rows):
@@ -128,19 +180,35 @@ def plain_places(rows):
     return out
 
 
-def test_edit_places():
+def test_edit_places(spark):
+    """Random pieces of many documents, against a state for each change. The last piece of a paragraph is its mark."""
     rng = random.Random(11)
-    for _ in range(150):
+    want, segs, paras = {}, [], []
+    change_of = lambda rev, ms: None if rev is None else (rev, None if ms is None else datetime.fromtimestamp(ms, timezone.utc), "A", False, None)
+    for doc in range(80):
         rows, dates = [], {}
         for k in range(rng.randrange(1, 14)):
-            r = {"para": k // 3, "n": rng.randrange(4)}
+            mark = k % 4 == 3
+            r = {"para": k // 4, "n": 0 if mark else rng.randrange(4)}
             for kind in ("ins", "del"):
                 rev = rng.choice([None, None, f"r{rng.randrange(5)}"])
                 r[f"{kind}_id"] = rev
-                r[f"{kind}_ms"] = dates.setdefault((kind, rev), rng.choice([None, rng.randrange(1, 6)])) if rev else None
+                ms = dates.setdefault((kind, rev), rng.choice([None, rng.randrange(1, 6)])) if rev else None
+                r[f"{kind}_ms"] = None if ms is None else ms * 1000
+            both = [change_of(r[f"{kind}_id"], None if r[f"{kind}_ms"] is None else r[f"{kind}_ms"] // 1000) for kind in ("ins", "del")]
+            if mark:
+                paras.append((doc, k // 4, None, *both))
+            else:
+                segs.append((doc, k // 4, k % 4, "text", "x" * r["n"], *both))
             rows.append(r)
-        got = {(x["type"], x["rev_id"]): (x["edit_start"], x["edit_end"]) for x in positions.edit_places(rows)}
-        assert got == plain_places(rows)
+        for p in {r["para"] for r in rows} - {x[1] for x in paras if x[0] == doc}:
+            paras.append((doc, p, None, None, None))
+            rows.append({"para": p, "n": 0, "ins_id": None, "ins_ms": None, "del_id": None, "del_ms": None})
+        want |= {(doc, *key): place for key, place in plain_places(rows).items()}
+    kind = "struct<id:string,ts:timestamp,author:string,move:boolean,move_name:string>"
+    found = positions.edit_positions(spark.createDataFrame(segs, f"doc_id long, para_index int, seg_index int, kind string, text string, ins {kind}, del {kind}"), spark.createDataFrame(paras, f"doc_id long, para_index int, table_id int, mark_ins {kind}, mark_del {kind}"))
+    assert {(r.doc_id, r.type, r.rev_id): (r.edit_start, r.edit_end) for r in found.collect()} == want
+    assert len(want) > 100
 
 
 def kept(tracks=True, lock="same", root="00AA0001", rsids=("00AA0002",)):
@@ -177,7 +245,7 @@ def test_tamper(spark):
 
 
 def test_integrity(spark):
-    core = '<x xmlns:dcterms="d"><dcterms:created>2024-03-05T00:00:00Z</dcterms:created><dcterms:modified>2024-03-01T09:00:00Z</dcterms:modified></x>'
+    core = '<x xmlns:dcterms="d"><dcterms:created>2021-11-20T00:00:00Z</dcterms:created><dcterms:modified>2021-11-25T00:00:00Z</dcterms:modified></x>'
     numbered = [change("ins", T[0], "a", number=5), change("ins", T[4], "b", number=3), change("ins", None, "c", by=None, number=5)]
     body = para(*numbered, change("ins", T[2], change("del", T[0], "x", number=10), number=9), run("y", rsid="00EE0001"))
     files = table(spark, [docx(body, settings=kept(), parts={"docProps/core.xml": core, "docProps/app.xml": "<p><Application>App</Application></p>"})])
@@ -254,12 +322,14 @@ def test_submissions(spark):
 
 
 def test_version_points(spark):
-    events = spark.createDataFrame([(1, at(t)) for t in TIMES] + [(1, None)], "doc_id long, ts timestamp")
-    ms = lambda t: int(at(t).timestamp() * 1000)
+    start = datetime(2022, 7, 5, 16, 40, tzinfo=timezone.utc)
+    minutes = [0, 12, 25, 41, 900]
+    events = spark.createDataFrame([(1, start + timedelta(minutes=m)) for m in minutes] + [(1, None)], "doc_id long, ts timestamp")
+    ms = lambda m: int(start.timestamp() * 1000) + m * 60_000
     got = [(r.at_ms, r.label, r.changes) for r in versions.version_points(events, session_hours=1).orderBy("at_ms").collect()]
-    assert got == [(ms(TIMES[0]) - 1, "initial", 0), (ms(TIMES[3]), "session", 4), (ms(TIMES[4]), "session", 5)]
-    got = [(r.at_ms, r.label) for r in versions.version_points(events, every_seconds=900).orderBy("at_ms").collect()]
-    assert got == [(ms(TIMES[0]) - 1, "initial"), (ms("2024-03-01T08:15:00"), "every"), (ms("2024-03-01T08:30:00"), "every"), (ms(TIMES[4]), "every")]
+    assert got == [(ms(0) - 1, "initial", 0), (ms(41), "session", 4), (ms(900), "session", 5)]
+    got = [(r.at_ms, r.label) for r in versions.version_points(events, every_seconds=1200).orderBy("at_ms").collect()]
+    assert got == [(ms(0) - 1, "initial"), (ms(20), "every"), (ms(40), "every"), (ms(60), "every"), (ms(900), "every")]
 
 
 def test_flow(spark):
