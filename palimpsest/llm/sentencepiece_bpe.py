@@ -11,12 +11,13 @@ bitfield holds those places.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -84,6 +85,24 @@ def read_model(processor: SentencePieceProcessor) -> Pieces:
     return Pieces(score, ids, byte_ids, processor.unk_id())
 
 
+def word_pattern(pieces: Iterable[str]) -> str:
+    """A pattern that cuts texts only where no piece reaches across, so that words can be encoded one by one.
+
+    A space begins a word if no piece has one after something else. Letters and signs (ASCII other than letters) are words
+    apart if no piece has both side by side; characters that pieces have beside signs count as signs.
+    """
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+    if any(b == SPACE != a for a, b in pairs):
+        return "(?s:.+)"
+    signs = {c for c in map(chr, range(128)) if not c.isalpha()}
+    while more := {x for a, b in pairs for x, y in ((a, b), (b, a)) if y in signs and x not in signs and x != SPACE}:
+        signs |= more
+    if any(c.isascii() and c.isalpha() for c in signs):
+        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+    some = "".join(map(re.escape, sorted(signs)))
+    return f"{SPACE}*(?:[^{SPACE}{some}]+|[{some}]+)|{SPACE}+"
+
+
 class Encoder:
     """Encodes texts with one model; ``processor`` is the library's, for normalising, ids of special pieces and decoding.
 
@@ -100,12 +119,10 @@ class Encoder:
         for piece, i in self.pieces.ids.items():
             self.automaton.add_word(piece[::-1], i)
         self.automaton.make_automaton()
-        # a word ends before a space that follows something else, if no piece holds that
-        apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces.score)
-        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
+        self.word = re.compile(word_pattern(self.pieces.score))
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
-        self.prefix: dict[int, int] = {}
+        self.prefix = [self.shorter(i) for i in range(self.n)]
 
     def merge(self, text: str) -> list[str]:
         """Merges the characters of a short text, the best score first, the leftmost of equals."""
@@ -123,58 +140,52 @@ class Encoder:
     def string(self, piece: int) -> str:
         return self.text.get(piece) or chr(piece - self.n)
 
-    def key(self, before: int, piece: int) -> int:
-        """One number for a pair; ``before`` is -1 at the start of a word."""
-        return (before + 1) << 22 | piece
-
     def fits(self, before: int, piece: int) -> bool:
-        """Whether the two stay as they are when their characters are merged anew."""
+        """Whether the two stay as they are when their characters are merged anew; ``before`` is -1 at the start of a word."""
         parts = [self.string(piece)] if before < 0 else [self.string(before), self.string(piece)]
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        known = self.pairs[self.key(before, piece)] = self.merge("".join(parts)) == parts
+        known = self.pairs[(before + 1) << 22 | piece] = self.merge("".join(parts)) == parts
         return known
 
     def shorter(self, piece: int) -> int:
         """The longest piece that is a beginning of this one, or its first character; -1 for a single character."""
-        if piece >= self.n or len(self.text[piece]) == 1:
+        text, ids = self.text.get(piece, ""), self.pieces.ids
+        if len(text) < 2:
             return -1
-        found = self.prefix.get(piece)
-        if found is None:
-            text, ids = self.text[piece], self.pieces.ids
-            found = self.prefix[piece] = next((ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in ids), self.n + ord(text[0]))
-        return found
+        return next((ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in ids), self.n + ord(text[0]))
 
     def split(self, word: str) -> list[int]:
         """The pieces of a word, characters that are no piece among them."""
-        n = len(word)
+        n, total = len(word), self.n
         longest = [0] * n
         for end, piece in self.automaton.iter(word[::-1]):
             if not longest[-1 - end]:  # the longest of those that end here comes first; unknown, id 0, is never among them
                 longest[-1 - end] = piece
-        size, pairs = self.size, self.pairs
+        size, pairs, prefix = self.size, self.pairs, self.prefix
         failed, failures = bytearray(n // 8 + 1), False
         out: list[int] = []
         before, at = -1, 0
-        piece = longest[0] or self.n + ord(word[0])
+        piece = longest[0] or total + ord(word[0])
         while at < n:
+            pair = (before + 1) << 22
             while piece >= 0:
-                end = at + (size[piece] if piece < self.n else 1)
-                if not (failures and failed[end >> 3] >> (end & 7) & 1):
-                    known = pairs.get((before + 1) << 22 | piece)
-                    if known or known is None and self.fits(before, piece):
+                known = pairs.get(pair | piece)
+                if known or known is None and self.fits(before, piece):
+                    end = at + (size[piece] if piece < total else 1)
+                    if not (failures and failed[end >> 3] >> (end & 7) & 1):
                         break
-                piece = self.shorter(piece)
+                piece = prefix[piece] if piece < total else -1
             if piece >= 0:
                 out.append(piece)
                 before, at = piece, end
                 if at < n:
-                    piece = longest[at] or self.n + ord(word[at])
+                    piece = longest[at] or total + ord(word[at])
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 failures = True
                 piece = out.pop()
-                at -= size[piece] if piece < self.n else 1
+                at -= size[piece] if piece < total else 1
                 before = out[-1] if out else -1
         return out
 
@@ -243,11 +254,13 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     missing(encoded, "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = encoder(model_path).processor
+        processor = SentencePieceProcessor(model_file=model_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = [processor.decode(ids or []) for ids in part.column(1).to_pylist()]
+                ids = part.column(1).fill_null([])
+                values, ends = ids.flatten().to_numpy(), np.cumsum(pc.list_value_length(ids).to_numpy())
+                texts = [processor.decode(values[a:z].tolist()) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

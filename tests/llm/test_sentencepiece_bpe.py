@@ -55,6 +55,7 @@ def test_goes_back(codec):
     codec.pieces = s.Pieces({"bc": -1.0, "ab": -2.0, "abc": -9.0, "cd": -3.0, "bcd": -4.0}, {"a": 1, "b": 2, "c": 3, "d": 4, "bc": 5, "ab": 6, "abc": 7, "cd": 8, "bcd": 9}, None, 0)
     codec.text = {i: p for p, i in codec.pieces.ids.items()}
     codec.size = [len(codec.text.get(i, " ")) for i in range(codec.n)]
+    codec.prefix = [codec.shorter(i) for i in range(codec.n)]
     codec.automaton = s.ahocorasick.Automaton()
     for p, i in codec.pieces.ids.items():
         codec.automaton.add_word(p[::-1], i)
