@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import key, millis, rounded
-from palimpsest.operators import buckets, classify, comments, containment, flow, integrity, kinds, positions, rules, scores, sessions, snapshots, tamper, targets, versions, windows
-from palimpsest.sources import adapters, docx, docx_edit
+from palimpsest.operators import buckets, classify, comments, containment, flow, integrity, kinds, positions, rules, scores, sessions, snapshots, structure, tamper, targets, versions, windows
+from palimpsest.sources import adapters, docx, docx_edit, nodes
 from palimpsest.sources.adapters import table
+from palimpsest.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -559,6 +560,65 @@ def docx_tamper(spark, sf_dir):
     return tamper.check(facts.withColumn("track_revisions", F.col("doc_id") % 2 == 0)).select("doc_id", "evidence")
 
 
+def _nodes(spark, sf_dir):
+    return stored(nodes.nodes(adapters.structured_files(table(spark, sf_dir, "conversations"))), "nodes")
+
+
+_DOCS = "docs as (select distinct conv_id as doc_id, 3 + conv_id % 15 as n from conversations)"
+_CHAINS = f"""{_DOCS}, st as (select doc_id, n, unnest(range(n)) as k from docs),
+  walk as (select doc_id, n, k as style, k as pos, 0 as far from st union all select doc_id, n, style, case when pos > 0 then pos - 1 else n - 1 end, far + 1 from walk where far < 11 and (pos > 0 or doc_id % 4 = 0)),
+  props as (select *, unnest([case when pos % 5 = 1 then 'pPr/jc' end, case when pos % 7 = 2 then 'pPr/outlineLvl' end, case when pos % 3 = 0 then 'rPr/sz' end, case when pos = 1 then 'rPr/b' end]) as name,
+    unnest(['j' || pos, cast(pos % 11 as varchar), cast(20 + pos as varchar), 'true']) as value from walk),
+  levels as (select doc_id, style, min_by(case when pos % 7 = 2 and pos % 11 < 9 then pos % 11 + 1 else pos % 9 + 1 end, far) as heading_level from walk where far < 10 and ((pos % 7 = 2 and pos % 11 < 9) or pos % 6 = 5) group by 1, 2)"""
+
+
+@query(f"""with recursive {_CHAINS}, r as (select doc_id, style, name, min_by(value, far) as value from props where name is not null group by 1, 2, 3)
+  select r.doc_id, 's' || style as style, name, value, cast(heading_level as integer) as heading_level from r left join levels using (doc_id, style)""")
+def docx_style_chains(spark, sf_dir):
+    """Each style's properties and heading level, with those of the up to eleven styles above; some files' styles are based on each other in a ring."""
+    rows = structure.resolved_styles(structure.styles(_nodes(spark, sf_dir)))
+    return rows.select("doc_id", "style", "heading_level", F.explode("properties").alias("name", "value"))
+
+
+_WORDS = """t as (select conv_id as doc_id, turn, unnest(string_split(coalesce(text, ''), ' ')) as word, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) as j from conversations),
+  p as (select doc_id, word, row_number() over (partition by doc_id order by turn, j) - 1 as place from t),
+  u as (select *, length(word) % 4 as level, case when place % 3 = 0 then 2 else 1 end as num from p)"""
+
+
+@query(f"""with recursive {_WORDS}, o as (select *, row_number() over (partition by doc_id, num order by place) as r from u),
+  walk as (select doc_id, num, r, place, level, list_transform(range(4), lambda k: case when k = level then 1 else 0 end) as c from o where r = 1
+    union all select o.doc_id, o.num, o.r, o.place, o.level, list_transform(c, lambda x, i: case when i - 1 > o.level then 0 when i - 1 = o.level then x + 1 else x end) from walk w join o on o.doc_id = w.doc_id and o.num = w.num and o.r = w.r + 1),
+  s as (select *, list_transform(c[1 : level + 1], lambda x, i: greatest(1, x) + case when num = 2 then case when i = 1 then 4 else 0 end else (i - 1) % 2 end) as n from walk)
+  select doc_id, cast(place as integer) as para_index, cast(level as integer) as level, case when num = 1 then array_to_string(n, '.') else '(' || repeat(chr(cast(97 + (n[level + 1] - 1) % 26 as integer)), cast((n[level + 1] - 1) // 26 + 1 as integer)) || ')' end as label from s""")
+def docx_list_labels(spark, sf_dir):
+    """What the numbers of nested lists come to: figures by levels, or letters."""
+    rows = _nodes(spark, sf_dir)
+    found = structure.labels(structure.paragraphs(rows.where("in_tbl is null")), structure.numbering(rows))
+    return found.select("doc_id", "para_index", "level", "label")
+
+
+@query(f"""with recursive {_CHAINS}, {_WORDS}, r as (select doc_id, style, min_by(value, far) filter (name = 'pPr/jc') as jc, min_by(value, far) filter (name = 'rPr/sz') as sz from props group by 1, 2),
+  w as (select u.*, u.place % (n + 1) as style from u join docs using (doc_id))
+  select w.doc_id, cast(place as integer) as para_index, 's' || style as style, jc, sz, cast(heading_level as integer) as heading_level from w left join r using (doc_id, style) left join levels using (doc_id, style)""")
+def docx_paragraph_looks(spark, sf_dir):
+    """The alignment, size and heading level of each paragraph, by way of its style; some name a style that isn't there."""
+    rows = structure.paragraphs(_nodes(spark, sf_dir).where("in_tbl is null"))
+    at = lambda name: F.try_element_at("properties", F.lit(name))
+    return rows.select("doc_id", "para_index", "style", at("pPr/jc").alias("jc"), at("rPr/sz").alias("sz"), "heading_level")
+
+
+@query("""with t as (select conv_id as doc_id, turn, row_number() over (partition by conv_id order by turn) - 1 as nth from conversations), r as (select *, unnest(range(2 + turn % 4)) as row from t), c as (select *, unnest(range(1 + (row + doc_id) % 4)) as cell from r),
+  s as (select *, case when (row + cell) % 2 = 1 then 1 + (row * 2 + cell + turn) % 3 else 1 end as col_span, cell % 2 = 0 and (row + turn) % 3 <> 0 as goes_on from c),
+  p as (select *, case when row % 3 = 2 then 1 else 0 end + coalesce(sum(col_span) over (partition by doc_id, nth, row order by cell rows between unbounded preceding and 1 preceding), 0) as col from s),
+  h as (select a.*, (select max(b.row) from p b where b.doc_id = a.doc_id and b.nth = a.nth and b.col = a.col and b.row <= a.row and (not b.goes_on or not exists (select 1 from p d where d.doc_id = b.doc_id and d.nth = b.nth and d.col = b.col and d.row = b.row - 1))) as first_row from p a)
+  select doc_id, cast(nth as integer) as nth, cast(row as integer) as row, cast(cell as integer) as cell, cast(col as integer) as col, cast(col_span as integer) as col_span, cast(count(*) over (partition by doc_id, nth, col, first_row) as integer) as row_span, cast(first_row as integer) as first_row from h""")
+def docx_table_cells(spark, sf_dir):
+    """Where the cells of tables are, and how many columns and rows each takes."""
+    rows = structure.cells(_nodes(spark, sf_dir))
+    nth = (F.dense_rank().over(W.partitionBy("doc_id").orderBy("table")) - 1).alias("nth")
+    return rows.select("doc_id", nth, "row", "cell", "col", "col_span", "row_span", "first_row")
+
+
 @query(f"with {_buckets_sql('86400')}, p as (select doc_id, bucket, unnest(['chart:bar:fine:', 'chart:bar:bulk:', 'chart:bar:deleted:', 'chart:line:total:']) as k, unnest([fine, bulk, deleted, total_at_end]) as value from running) select doc_id, bucket, k || bucket as key, value from p where value <> 0 or k = 'chart:line:total:'")
 def figure_targets(spark, sf_dir):
     return targets.bucket_targets(_bucket_rows(spark, sf_dir, "day")).select("doc_id", "bucket", "key", "value")

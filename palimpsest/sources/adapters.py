@@ -107,3 +107,52 @@ def conversation_files(conversations: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["conv_id"]], pa.int64()), "path": [f"{r['conv_id']}.docx"], "content": pa.array([content], pa.binary())})
 
     return turns.mapInArrow(run, "doc_id long, path string, content binary")
+
+
+def structured_file(conv: int, turns: list[tuple]) -> bytes:
+    """A file with styles, lists and tables that follow from the turns (turn, role, text): each word of the texts is a paragraph.
+
+    Styles s0, s1, ... are based on the one before, s0 on the last (a cycle) in each fourth file. A word's style and list go by
+    its place, its list level by its length; each turn ends with a table.
+    """
+    val = lambda tag, value: f'<w:{tag} w:val="{value}"/>'
+    count = 3 + conv % 15
+    styles = []
+    for k in range(count):
+        up = val("basedOn", f"s{k - 1}") if k else val("basedOn", f"s{count - 1}") if conv % 4 == 0 else ""
+        para = (val("jc", f"j{k}") if k % 5 == 1 else "") + (val("outlineLvl", k % 11) if k % 7 == 2 else "")
+        styles.append(f'<w:style w:type="paragraph" w:styleId="s{k}">{val("name", f"heading {k % 9 + 1}" if k % 6 == 5 else f"n{k}")}{up}<w:pPr>{para}</w:pPr><w:rPr>{val("sz", 20 + k) if k % 3 == 0 else ""}{"<w:b/>" if k == 1 else ""}</w:rPr></w:style>')
+    level = lambda k, kind, text, start: f'<w:lvl w:ilvl="{k}">{val("start", start)}{val("numFmt", kind)}{val("lvlText", text)}</w:lvl>'
+    numbers = "".join(level(k, "decimal", ".".join(f"%{j + 1}" for j in range(k + 1)), 1 + k % 2) for k in range(4))
+    letters = "".join(level(k, "lowerLetter", f"(%{k + 1})", 1) for k in range(4))
+    lists = f'<w:abstractNum w:abstractNumId="7">{numbers}</w:abstractNum><w:abstractNum w:abstractNumId="8">{letters}</w:abstractNum><w:num w:numId="1">{val("abstractNumId", 7)}</w:num><w:num w:numId="2">{val("abstractNumId", 8)}<w:lvlOverride w:ilvl="0">{val("startOverride", 5)}</w:lvlOverride></w:num>'
+    body, place = [], 0
+    for turn, _, text in turns:
+        for word in (text or "").split(" "):
+            style, num = f"s{place % (count + 1)}", 1 + (place % 3 == 0)
+            body.append(f'<w:p><w:pPr>{val("pStyle", style)}<w:numPr>{val("ilvl", len(word) % 4)}{val("numId", num)}</w:numPr></w:pPr><w:r><w:t xml:space="preserve">{escape(word)}</w:t></w:r></w:p>')
+            place += 1
+        rows = []
+        for r in range(2 + turn % 4):
+            made = [f'<w:tc><w:tcPr>{val("gridSpan", 1 + (r * 2 + c + turn) % 3) if (r + c) % 2 else ""}{("<w:vMerge/>" if (r + turn) % 3 else val("vMerge", "restart")) if c % 2 == 0 else ""}</w:tcPr></w:tc>' for c in range(1 + (r + conv) % 4)]
+            rows.append(f'<w:tr>{"<w:trPr>" + val("gridBefore", 1) + "</w:trPr>" if r % 3 == 2 else ""}{"".join(made)}</w:tr>')
+        body.append(f"<w:tbl>{''.join(rows)}</w:tbl>")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{''.join(body)}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {NS}>{''.join(styles)}</w:styles>")
+        z.writestr("word/numbering.xml", f"<w:numbering {NS}>{lists}</w:numbering>")
+    return out.getvalue()
+
+
+def structured_files(conversations: DataFrame) -> DataFrame:
+    """doc_id, content: a file with styles, lists and tables for each conversation."""
+    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                content = structured_file(r["conv_id"], [(t["turn"], t["role"], t["text"]) for t in r["turns"]])
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["conv_id"]], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    return turns.mapInArrow(run, "doc_id long, content binary")
