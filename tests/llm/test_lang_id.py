@@ -79,3 +79,9 @@ def test_rare_languages_and_copies(spark):
     rows = [(k, f"w{k % 1000}x language text {k % 1000}", f"l{k % 1000}") for k in range(3000)] + [(7, "again and again", "l7")] * 500
     model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.langs) == 1000
+
+
+def test_signs_and_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog went home", "en"), ("le chat et le chien sont partis", "fr")] * 30)], "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    assert [r[0] for r in model.predict(["½ ² ①", "12 _ 7", "", None])] == ["und"] * 4 and model.predict(["the cat"])[0][0] == "en"
