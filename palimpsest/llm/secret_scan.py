@@ -31,6 +31,10 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=
 SIGNATURES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114), "RS256": (128, 1024), "RS384": (128, 1024), "RS512": (128, 1024), "PS256": (128, 1024), "PS384": (128, 1024), "PS512": (128, 1024)}
 SSH_TYPES = re.compile(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+")
 DEPTH = 12
+#: Where in a run something encoded may begin that touches a word before it: what DER, SSH keys and headers of signed tokens begin with.
+STARTS = re.compile(r"(?:(?<=[/_-])|(?<=0x))(?=M|AAAA|b3BlbnNza|e[yw]|30)")
+#: Characters of a signed token's header, at most, where a word touches it.
+HEADER = 4096
 
 
 def decoded(run: str) -> bytes | None:
@@ -118,6 +122,41 @@ def structure(run: str) -> str | None:
     return None
 
 
+def may_begin(run: str, at: int, end: int) -> bool:
+    """Whether something encoded that fills ``run`` up to ``end`` may begin at ``at``, told from a few characters there."""
+    if run[at] == "e":
+        return at < run.find(".") <= at + HEADER
+    if run[at] in "Ab":
+        return is_ssh_head(decoded(run[at : min(end, at + 92)]) or b"")
+    heads = [(decoded(run[at : at + 8]), (end - at) * 3 // 4)]
+    if run.startswith("30", at) and (end - at) % 2 == 0:
+        heads.append((bytes.fromhex(run[at : at + 12]) if re.match("[0-9a-fA-F]{12}", run[at : at + 12]) else None, (end - at) // 2))
+    return any(head and len(head) == 6 and head[0] == 0x30 and der_size(head) == size for head, size in heads)
+
+
+def der_size(head: bytes) -> int:
+    """Bytes of the element whose first six are given, its head included; 0 if there's no such element."""
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    extra = head[1] & 0x7F
+    return 2 + extra + int.from_bytes(head[2 : 2 + extra], "big") if 1 <= extra <= 4 else 0
+
+
+def is_ssh_head(data: bytes) -> bool:
+    return data.startswith(b"openssh-key-v1\0") or SSH_TYPES.match(data[4:]) is not None
+
+
+def confirmed(run: str) -> tuple[int, str] | None:
+    """Where something encoded begins in a candidate, and its kind: at its start, or else at the first place after a ``/``, ``-``, ``_`` or ``0x``."""
+    if kind := structure(run):
+        return 0, kind
+    end = len(run.rstrip("="))
+    for m in STARTS.finditer(run):
+        if end - m.start() >= 16 and may_begin(run, m.start(), end) and (kind := structure(run[m.start() :])):
+            return m.start(), kind
+    return None
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind's number, end) of the pattern spans, and of those confirmed by structure; code points, end exclusive."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if "=" in text or ":" in text else []
@@ -130,10 +169,14 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             if data and (is_der(data) or is_ssh(data)):
                 more.append((m.start(), 5, m.end()))
                 pems.append((m.start(), m.end()))
+    passed = 0
     for m in RUN.finditer(text):
-        kind = structure(m[0])
-        if kind and not any(a <= m.start() < z for a, z in pems):
-            more.append((m.start(), KINDS.index(kind), m.end()))
+        while passed < len(pems) and pems[passed][1] <= m.start():
+            passed += 1  # both come in order
+        if passed < len(pems) and pems[passed][0] <= m.start():
+            continue
+        if found := confirmed(m[0]):
+            more.append((m.start() + found[0], KINDS.index(found[1]), m.end()))
     return sorted(base), sorted(more)
 
 
@@ -147,8 +190,9 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_confirmed lon
 def scan(docs: DataFrame) -> DataFrame:
     """The secrets of each document: doc_id, counts by kind, base_sha256 (of the pattern spans), spans (all, by start, then kind).
 
-    Whole texts, a row for each row of ``docs``. Null text: as empty. Null doc_id: stays null. Rows that repeat: scanned
-    each. Other columns aren't read. Nothing is shuffled: a task scans the rows that it reads.
+    Whole texts, very long ones too, a row for each row of ``docs``. Null text: as empty, without spans. Null doc_id: stays null.
+    Rows that repeat: scanned each. Spans of one start go by kind. An empty table gives no rows. Other columns aren't read,
+    whatever they are called. Nothing is shuffled: a task scans the rows that it reads.
     """
     missing(docs, "doc_id", "text")
 
@@ -169,7 +213,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
-    """``docs`` with each secret replaced by its kind; of spans that overlap, the union goes under the first one's kind."""
+    """``docs`` with each secret replaced by its kind; of spans that overlap, the union goes under the first one's kind.
+
+    Null texts stay null, empty ones empty; rows that repeat are treated alike, and all columns stay, whatever they are called. Very
+    long texts are as others. An empty table gives none.
+    """
+    missing(docs, "text")
     at = docs.columns.index("text")
     schema = docs.schema
 

@@ -54,6 +54,28 @@ def test_structure_decides():
     assert kinds("the quick brown foxes jumpedoverthelazydogs " * 50) == [] and kinds("0" * 64) == []
 
 
+def test_a_word_may_touch_what_is_encoded():
+    der64 = base64.b64encode(KEY).decode()
+    for before, secret, kind in [("https://h.example/cb/", JWT, "jwt"), ("key-", JWT, "jwt"), ("jwt_", JWT, "jwt"), ("blob/", der64, "der"), ("0x", KEY.hex(), "der"), ("keys/old/", SSH, "ssh"), ("id_", SSH, "ssh")]:
+        text = f"see {before}{secret} there"
+        at = text.index(secret)
+        assert (at, s.KINDS.index(kind), at + len(secret)) in s.find(text)[1], before
+        assert not s.find(f"see {before}{secret[:-4]} there")[1]
+
+
+def test_long_candidates_and_many_blocks_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        for piece in ("ey/", "/MIIB", "/AAAA", "-e", "0x30"):
+            s.find(piece * n)
+        s.find(("-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END PRIVATE KEY-----\n") * (n // 40))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_scan(spark, odd, clashing, empty):
     docs = spark.createDataFrame(list(enumerate(CASES)) + [(99, None), (None, "password=abcdefghijklmnop")], "doc_id long, text string")
     got = {r.doc_id: r for r in s.scan(docs).collect()}
@@ -66,6 +88,11 @@ def test_scan(spark, odd, clashing, empty):
     assert s.scan(odd).count() == s.scan(clashing).count() == odd.count() and s.scan(empty).count() == 0
 
 
+def test_redact_odd_rows(odd, clashing, empty):
+    assert s.redact(odd).where("doc_id = 3").first().text is None and s.redact(odd).where("doc_id = 4").first().text == ""
+    assert s.redact(clashing).columns == clashing.columns and s.redact(clashing).count() == odd.count() and s.redact(empty).count() == 0
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefghijklmnop b", "k"), (2, None, "k")], "doc_id long, text string, kept string")
     assert {r.doc_id: r.text for r in s.redact(docs).collect()} == {1: "a <assign> b", 2: None}
