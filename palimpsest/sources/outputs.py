@@ -42,8 +42,9 @@ def write_summary(rows: DataFrame, path: str) -> None:
 
 
 def archive_name(path: Column, n: Column) -> Column:
-    """A submission's name in the archive: its own and its number."""
-    return F.concat(base_name(path), F.lit("-s"), F.lpad(n.cast("string"), 2, "0"), F.lit(".docx"))
+    """A submission's name in the archive: its own and its number, of two digits or more."""
+    digits = n.cast("string")
+    return F.concat(base_name(path), F.lit("-s"), F.when(n < 10, F.concat(F.lit("0"), digits)).otherwise(digits), F.lit(".docx"))
 
 
 def snapshot_key(path: Column, depth: int = 1) -> Column:
