@@ -71,7 +71,7 @@ def written_files(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("file", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(run, "file string, sha256 string")
 
 
-def _entries(root: str) -> list[str]:
+def entries(root: str) -> list[str]:
     """The tables that the log's entries name, in order. A hole in the numbers raises: an entry was taken away."""
     system, base = _opened(root)
     found = sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(f"{base}/{LOG}", allow_not_found=True)) if f.base_name.isdigit())
@@ -84,7 +84,7 @@ def _entries(root: str) -> list[str]:
     return out
 
 
-def _claim(spark: SparkSession, root: str, number: int, content: str) -> bool:
+def claim(spark: SparkSession, root: str, number: int, content: str) -> bool:
     """Creates the log's entry of this number, if it is free."""
     _, base = _opened(root)
     path, data = f"{base}/{LOG}/{number:012d}", content.encode()
@@ -125,7 +125,7 @@ def _rows(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """The archive's copies, from its log; none if there is no archive yet. A row without key, number or file raises."""
     root = full_uri(spark, root)
-    return _rows(spark, root, _entries(root)).drop("staged")
+    return _rows(spark, root, entries(root)).drop("staged")
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _taken(rows: DataFrame, root: str) -> list[str]:
 def repair(spark: SparkSession, root: str) -> int:
     """Moves what writers that broke off have left without its numbered name; how many copies that were."""
     root = full_uri(spark, root)
-    return _settled(_rows(spark, root, _entries(root)), root)
+    return _settled(_rows(spark, root, entries(root)), root)
 
 
 def add(files: DataFrame, root: str, now: Column | None = None) -> DataFrame:
@@ -188,7 +188,7 @@ def add(files: DataFrame, root: str, now: Column | None = None) -> DataFrame:
     mine = uuid.uuid4().hex
     files = files.withColumn("sha256", F.sha2("content", 256))
     for attempt in range(TRIES):
-        log = _entries(root)
+        log = entries(root)
         known = _rows(spark, root, log)
         gained = archived(files.drop("content"), known.select("key", "n", "sha256"))
         gained = gained.withColumn("file", F.concat("key", F.lit("/"), archive_name(F.concat(F.col("key"), F.lit(".docx")), F.col("n"))))
@@ -202,9 +202,9 @@ def add(files: DataFrame, root: str, now: Column | None = None) -> DataFrame:
             return manifest(spark, root)
         contents = files.withColumn("staged", F.concat(F.lit(f"{mine}/"), F.sha2(F.concat_ws("|", "key", "path", F.col("arrived").cast("string"), "sha256"), 256)))
         written_files(contents.join(rows.select("staged"), "staged").select(F.col("staged").alias("file"), "content"), f"{root}/{STAGED}").write.format("noop").mode("overwrite").save()
-        if (taken := _taken(rows, root)) and len(_entries(root)) == len(log):  # else another writer was first
+        if (taken := _taken(rows, root)) and len(entries(root)) == len(log):  # else another writer was first
             raise FileExistsError(f"{root}/{taken[0]} is there with other content")
-        if not taken and _claim(spark, root, len(log), table):
+        if not taken and claim(spark, root, len(log), table):
             _settled(rows, root)
             return manifest(spark, root)
         time.sleep(WAIT * (int(mine[:4], 16) % 97) / 97)

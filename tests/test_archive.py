@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.sources import archive, outputs
+from palimpsest.streaming import event_log
 
 FILES = "key string, path string, arrived timestamp, content binary"
 
@@ -62,7 +63,7 @@ def test_writers_at_once(spark):
 
 
 def test_a_writer_that_lost_numbers_anew(spark, monkeypatch):
-    root, claim, beaten = folder(), archive._claim, []
+    root, claim, beaten = folder(), archive.claim, []
 
     def late(session, at, number, content):
         if not beaten:
@@ -70,7 +71,7 @@ def test_a_writer_that_lost_numbers_anew(spark, monkeypatch):
             archive.add(files(spark, ("a", 1, "other")), root)
         return claim(session, at, number, content)
 
-    monkeypatch.setattr(archive, "_claim", late)
+    monkeypatch.setattr(archive, "claim", late)
     archive.add(files(spark, ("a", 2, "mine"), ("a", 3, "more")), root)
     assert kept(spark, root) == [("a", 1, "other"), ("a", 2, "mine"), ("a", 3, "more")]
 
@@ -97,3 +98,34 @@ def test_a_hole_in_the_log(spark):
 
 def test_paths_without_a_scheme(spark):
     assert archive.full_uri(spark, "/x/y") == "file:///x/y" and archive.full_uri(spark, "file:///x/y") == "file:///x/y"
+
+
+def logged(spark, root):
+    return sorted((r.record, r.seq, r.text) for r in event_log.read(spark, root).collect())
+
+
+def events(spark, *rows):
+    return spark.createDataFrame(rows, "record string, at long, text string")
+
+
+def test_event_log(spark, monkeypatch):
+    """Numbers go on by record; a batch counts once; one that broke off, or lost against another, leaves no trace and no hole."""
+    root = folder()
+    assert event_log.read(spark, root) is None
+    one, two = events(spark, ("a", 2, "second"), ("a", 1, "first"), ("b", 1, "b1")), events(spark, ("a", 3, "third"), ("c", 9, "c1"))
+    assert event_log.append(one, root, "batch-0", ["at"]) and not event_log.append(one, root, "batch-0", ["at"])
+    with monkeypatch.context() as m:
+        m.setattr(archive, "claim", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            event_log.append(two, root, "batch-1", ["at"])
+    claim, beaten = archive.claim, []
+
+    def late(session, at, number, content):
+        if not beaten:
+            beaten.append(number)
+            event_log.append(events(spark, ("a", 5, "another's")), root, "other-0", ["at"])
+        return claim(session, at, number, content)
+
+    monkeypatch.setattr(archive, "claim", late)
+    assert event_log.append(two, root, "batch-1", ["at"]) and not event_log.append(two, root, "batch-1", ["at"])
+    assert logged(spark, root) == [("a", 1, "first"), ("a", 2, "second"), ("a", 3, "another's"), ("a", 4, "third"), ("b", 1, "b1"), ("c", 1, "c1")]
