@@ -32,6 +32,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "select", "option", "label", "fieldset", "legend", "dialog", "head"}
 GOOD_TAGS = {"article", "main"}
+#: An element is a wrapper if it holds this share of the page's text, or, with a title or the article's own element in it, that one.
+WRAPS, WRAPS_TITLE, TITLES = 0.8, 0.4, {"h1", *GOOD_TAGS}
 #: Words of class, id and role names.
 BAD_WORDS = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|overlay|menu|nav\w*|breadcrumbs?|footer|copyright|masthead|topbar|toolbar|side-?bar|rail|widget|comments?|comment-?list|respond|reply|replies|disqus|related|recommend\w*|share|sharing|social|follow|newsletter|subscribe|signup|login|search|tags?|meta|pagination|pager|alert|hidden|sr-only|complementary|contentinfo|navigation)(?=$|[\s_-])", re.IGNORECASE)
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(article|articlebody|story|post|entry|content|main|body|text)(?=$|[\s_-])", re.IGNORECASE)
@@ -43,19 +45,28 @@ UNIT = 1000
 
 
 class Node:
-    """An open element. said: the sum of what it and those around it say; border: it sets its text apart from what is around."""
+    """An open element. said: the sum of what it and those around it say; border: it sets its text apart from what is around.
 
-    __slots__ = ("border", "depth", "good", "headed", "number", "parent", "said", "tag")
+    Both are known when the page has been read: what an element's names say against its text counts only if it isn't a wrapper.
+    """
+
+    __slots__ = ("border", "depth", "good", "headed", "held", "names", "number", "parent", "said", "tag")
 
-    def __init__(self, number: int, tag: str, judgement: float, parent: Node | None):
-        self.number, self.tag, self.parent = number, tag, parent
+    def __init__(self, number: int, tag: str, names: str, parent: Node | None):
+        self.number, self.tag, self.names, self.parent = number, tag, names, parent
         self.depth = parent.depth + 1 if parent else 0
         self.good = tag in GOOD_TAGS or bool(parent and parent.good)
-        self.headed = tag in ("h1", "h2") or bool(parent and parent.headed)
-        if tag == "header":
+        self.headed, self.held = tag in TITLES, 0
+        self.said, self.border = 0.0, False
+
+    def judge(self, total: int) -> None:
+        """After those around it: ``total`` is the length of the page's text, ``held`` that of the text in it."""
+        wrapper = self.held >= WRAPS * total or self.headed and self.held >= WRAPS_TITLE * total
+        judgement = judged(self.tag, self.names, wrapper)
+        if self.tag == "header":
             judgement -= 1.5 if self.good else 6
-        self.said = (parent.said if parent else 0.0) + judgement
-        self.border = judgement <= -3 or tag in GOOD_TAGS or tag == "header"
+        self.said = (self.parent.said if self.parent else 0.0) + judgement
+        self.border = judgement <= -3 or self.tag in GOOD_TAGS or self.tag == "header"
 
 
 class Block:
@@ -67,8 +78,8 @@ class Block:
         self.text, self.linked, self.tags, self.node = text, linked, tags, node
 
 
-def judged(tag: str, names: str) -> float:
-    """What an element says of the text in it: over 0 content, under 0 boilerplate."""
+def judged(tag: str, names: str, wrapper: bool = False) -> float:
+    """What an element says of the text in it: over 0 content, under 0 boilerplate. A wrapper's names speak of the page's layout."""
     said = 0.0
     if tag in ("html", "body"):
         return said  # their names speak of the whole page
@@ -79,10 +90,10 @@ def judged(tag: str, names: str) -> float:
     if names:
         names = HAS.sub("", names)
         if BAD_WORDS.search(names):
-            said -= 5
+            said -= 0 if wrapper else 5
         elif GOOD_WORDS.search(names):
             said += 1.5
-        if HEADER_WORDS.search(names) and tag not in ("h1", "h2", "h3"):
+        if HEADER_WORDS.search(names) and tag not in ("h1", "h2", "h3") and not wrapper:
             said -= 3
         if re.search(r"display:\s*none|visibility:\s*hidden|(?:^|\s)hidden-attribute(?=$|\s)", names):
             said -= 9
@@ -96,6 +107,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """
     at = done = 0
     last, quotes = page.rfind(">"), True
+    unclosed: set[str] = set()
     while True:
         start = page.find("<", at)
         if start < 0 or start > last:  # without a later ">" nothing is a tag
@@ -135,9 +147,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         at = done = end + 1
         if m[1]:
             yield "close", tag, ""
-        elif tag in RAW:
-            over = RAW[tag].search(page, at)
-            at = done = over.end() if over else len(page)
+        elif tag in RAW and not (tag == "svg" and page[end - 1] == "/"):
+            over = None if tag in unclosed else RAW[tag].search(page, at)
+            if over:
+                at = done = over.end()
+            elif tag in ("script", "style"):
+                at = done = len(page)
+            else:
+                unclosed.add(tag)  # without an end it holds nothing: what follows is the page's
             yield "raw", tag, ""
         else:
             yield "open", tag, page[m.end() : end]
@@ -152,6 +169,7 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order. Scripts, styles, titles, comments and markup give none."""
     found: list[Block] = []
     stack: list[Node] = []
+    nodes: list[Node] = []
     opened: dict[str, int] = {}
     text: list[str] = []
     linked = number = links = tags = 0
@@ -203,8 +221,19 @@ def blocks_of(page: str) -> list[Block]:
                 names = " ".join("hidden-attribute" if a[0].lower() == "hidden" else (a[1] or a[2] or a[3] or "") for a in (x.groups() for x in ATTRIBUTES.finditer(rest)) if a[0].lower() != "aria-hidden")
             number += 1
             opened[tag] = opened.get(tag, 0) + 1
-            stack.append(Node(number, tag, judged(tag, names), stack[-1] if stack else None))
+            stack.append(Node(number, tag, names, stack[-1] if stack else None))
+            nodes.append(stack[-1])
     flush()
+    for block in found:
+        if block.node:
+            block.node.held += len(block.text)
+    for node in reversed(nodes):  # those inside come later
+        if node.parent:
+            node.parent.held += node.held
+            node.parent.headed |= node.headed
+    total = max(1, sum(len(b.text) for b in found))
+    for node in nodes:
+        node.judge(total)
     return found
 
 

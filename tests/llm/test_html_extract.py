@@ -100,3 +100,28 @@ def test_time_grows_with_the_length_alone():
             began = time.perf_counter()
             h.main_text(piece * times + end)
             assert time.perf_counter() - began < 10, piece  # quadratic ones took minutes
+
+
+LONG = "A sentence of an article goes on for a while, and says something about the matter at hand, so that it counts. Another one follows, with some more words about the same thing, until there are two hundred and sixty characters or so of them, as paragraphs have."
+
+
+def test_names_of_wrappers_say_nothing_of_their_text():
+    menu = '<div class="sidebar"><a href="/a">First</a> <a href="/b">Second</a></div>'
+    for name in ("layout sidebar-right", "post-meta-wrapper", "page nav-open", "widget-text", "has-footer modal-open", "comments-enabled"):
+        for before, after in ((f'<div class="{name}">', "</div>"), (f'<article><div class="{name}">', "</div></article>"), (f'<div id="{name}"><div>', "</div></div>")):
+            assert h.main_text(f"<body>{before}<p>{LONG}</p><p>{LONG}</p>{after}{menu}</body>") == f"{LONG} {LONG}", name
+    # what is no wrapper goes as before
+    assert h.main_text(f'<body><article><p>{LONG}</p><p>{LONG}</p></article><div class="comments"><p>{LONG}</p></div></body>') == f"{LONG} {LONG}"
+
+
+def test_drawings_end_where_they_end():
+    page = "<body><article><p>{}</p>{}<p>{}</p></article></body>"
+    for drawing in ('<svg class="x" width="3" />', "<svg/>", "<svg><title>no</title><path d='1'/></svg>", "<svg viewBox='0'><g>", "<svg><path d='1'></g>"):
+        assert h.main_text(page.format(LONG, drawing, LONG)) == f"{LONG} {LONG}", drawing
+    assert h.main_text(page.format(LONG, "<script>no", LONG)) == LONG
+
+
+def test_odd_tables(spark, clashing, empty):
+    pages = lambda docs: docs.selectExpr("doc_id as page_id", "source as url", "text as html", "*")
+    assert h.extract(pages(clashing)).columns == ["page_id", "url", "text", "n_chars"] and h.extract(pages(clashing)).count() == clashing.count()
+    assert h.extract(pages(empty)).count() == 0
