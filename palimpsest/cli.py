@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import buckets, classify, flow, integrity, kinds, positions, rules, scores, sessions, snapshots, tamper, targets, versions
 from palimpsest.sources import archive, docx, docx_edit, outputs
+from palimpsest.sources.scratch import stored
 from palimpsest.streaming.watch import watch_key
 
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86_400}
@@ -115,7 +116,7 @@ def rule_set(o: argparse.Namespace) -> rules.RuleSet:
 def classified(files: DataFrame, o: argparse.Namespace) -> tuple[DataFrame, classify.Result, rules.RuleSet]:
     """Events with kinds and categories, the classifiers' result, and the rules."""
     found = rule_set(o)
-    placed = positions.final_positions(docx.segments(files), docx.paragraphs(files))
+    placed = positions.final_positions(stored(docx.segments(files), "segments"), stored(docx.paragraphs(files), "paragraphs"))
     result = classify.run(classify.built_in(found), classify.Context(placed))
     return classify.apply(docx.revisions(files), result.winners), result, found
 
@@ -133,7 +134,7 @@ def chart(spark: SparkSession, o: argparse.Namespace) -> None:
         buckets.scale(rows).write.mode("overwrite").json(f"{o.out}/buckets")
         notes = spark.createDataFrame(targets.notes_of(Path(o.annotations).read_text()) if o.annotations else [], targets.NOTES)
         more["targets"] = targets.annotated(targets.bucket_targets(rows), notes).select("doc_id", "key", "bucket", "value", "tooltip", "href")
-    placed = positions.final_positions(docx.segments(files), docx.paragraphs(files))
+    placed = positions.final_positions(stored(docx.segments(files), "segments"), stored(docx.paragraphs(files), "paragraphs"))
     windows = rules.with_level(classify.Context(placed).windows(found.window), found)
     facts = docx.facts(files)
     more |= {"integrity": integrity.check(facts, docx.segments(files), F.current_timestamp()), "tamper": tamper.check(facts)}

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import dataclasses
 import logging
+import uuid
+from collections.abc import Callable
 from typing import Protocol
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from palimpsest.operators.rules import PRIORITY, RuleSet, with_level
 from palimpsest.operators.windows import WindowOptions, windows
 
 HIGHLIGHT = ["doc_id", "classifier", "category", "level", "event_ids", "start", "end", "lo", "hi"]
+#: Fixed value: seconds that a classifier from elsewhere may take.
+DEADLINE = 10.0
 log = logging.getLogger(__name__)
 
 
@@ -140,11 +145,35 @@ def winning(highlights: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank", "event_ids")
 
 
-def run(classifiers: list[Classifier], context: Context, *, isolate: bool = False) -> Result:
+def within(spark: SparkSession, seconds: float, work: Callable[[], DataFrame]) -> DataFrame:
+    """What ``work`` gives, if it takes no longer; else its Spark jobs are cancelled and TimeoutError is raised."""
+    tag, out = f"classifier-{uuid.uuid4().hex}", []
+
+    def tagged() -> None:
+        spark.sparkContext.addJobTag(tag)
+        try:
+            out.append(work())
+        except BaseException as e:
+            out.append(e)
+
+    thread = InheritableThread(target=tagged, session=spark)
+    thread.daemon = True  # work that hangs outside of Spark can't be stopped; it is left behind
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobsWithTag(tag)
+        raise TimeoutError(f"took more than {seconds:g} seconds")
+    if isinstance(out[0], BaseException):
+        raise out[0]
+    return out[0]
+
+
+def run(classifiers: list[Classifier], context: Context, *, isolate: bool = False, seconds: float = DEADLINE) -> Result:
     """All classifiers' highlights, in their order, and the winner of each insertion.
 
     With ``isolate``, for classifiers from elsewhere, one that raises gives no highlights and an entry in ``errors``, also if it
-    raises on rows only: its highlights are computed at once, into a checkpoint. One that lacks ``document_text`` sees no texts then.
+    raises on rows only: its highlights are computed at once, into a checkpoint. One that takes more than ``seconds`` gives none
+    either: its jobs are cancelled, and the rest goes on. One that lacks ``document_text`` sees no texts then.
     Categories are the built-in ones but bulk, and those of the classifiers.
     """
     registry = Registry([c for c in BUILT_IN if c.id != "bulk"])
@@ -160,9 +189,8 @@ def run(classifiers: list[Classifier], context: Context, *, isolate: bool = Fals
             registry.register(category)
         try:
             seen = context.redacted() if isolate and not getattr(c, "document_text", False) else context
-            rows = c.classify(seen).select(*HIGHLIGHT).withColumn("nth", F.lit(k))
-            if isolate:
-                rows = rows.checkpoint(eager=True)
+            found_by = lambda c=c, seen=seen, k=k: c.classify(seen).select(*HIGHLIGHT).withColumn("nth", F.lit(k))
+            rows = within(spark, seconds, lambda f=found_by: f().checkpoint(eager=True)) if isolate else found_by()
         except Exception as e:
             if not isolate:
                 raise

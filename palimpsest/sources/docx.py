@@ -472,13 +472,13 @@ def comments_of(package: Package) -> list[dict]:
 def files(spark: SparkSession, path: str, *, most: int | None = None) -> DataFrame:
     """doc_id, path, modified, content of the files below a folder; hidden ones and owner files of open documents are left out.
 
-    doc_id is a hash of the path.
+    doc_id is a hash of the path. ``most``: so many at most, the first by path.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
     base = F.element_at(F.split("path", "/"), -1)
     rows = rows.where(~base.startswith("~$") & ~base.startswith(".") & ~F.col("path").rlike(r"/\.[^/]+/"))
     rows = rows.select(F.xxhash64("path").alias("doc_id"), "path", F.col("modificationTime").alias("modified"), "content")
-    return rows if most is None else rows.limit(most)
+    return rows if most is None else rows.orderBy("path").limit(most)
 
 
 def parsed(rows: DataFrame, schema: T.StructType, parse: Callable[[dict, Package], list[dict]], failed: Callable[[dict, str], list[dict]] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import io
 import json
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -94,3 +95,25 @@ def test_classifiers_from_elsewhere(spark):
     found = classify.run([fails, Foreign(lambda text: text), Foreign(lambda text: text, document_text=True)], classify.Context(events), isolate=True)
     assert "broken" in found.errors["foreign"]
     assert sorted((r.nth, r.category) for r in found.highlights.collect()) == [(1, ""), (2, "secret")]
+
+
+class Hangs(Foreign):
+    def classify(self, context):
+        if self.what == "driver":
+            time.sleep(300)
+        rows = Foreign(lambda text: text).classify(context)
+        slow = F.udf(lambda x: (time.sleep(300), x)[1], "string")
+        return rows.withColumn("category", slow("category"))
+
+
+def test_a_classifier_that_hangs(spark):
+    events = spark.createDataFrame([(1, "ins", "r1", "x", "2024-01-01")], "doc_id long, type string, rev_id string, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for where in ("driver", "task"):
+        began = time.monotonic()
+        found = classify.run([Hangs(where, id="slow"), Foreign(lambda text: text, document_text=True)], classify.Context(events), isolate=True, seconds=15)
+        assert "15 seconds" in found.errors["slow"] and [r.category for r in found.highlights.collect()] == ["x"]
+        assert time.monotonic() - began < 120
+    deadline = time.monotonic() + 60  # the job of the one that hung is cancelled
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < deadline:
+        time.sleep(0.5)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
