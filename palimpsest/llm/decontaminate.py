@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations alone.
 
 Words become templates: numbers, names (words with a capital first letter) and units turn into typed placeholders, other
-words into lower case. Windows of template words of the benchmark are hash-joined with those of the documents, and so are,
+words into lower case. In scripts without spaces between words each letter is a word. Windows of template words of the benchmark are hash-joined with those of the documents, and so are,
 with ``any_case``, windows of the words as they are, in lower case. Along each alignment of a document with an item the
 slots must be consistent: a value of the item stands for one value of the document and the other way round, that of most
 places; windows with another value there don't count. So a question asked again with other numbers and names is found, and
@@ -20,7 +20,11 @@ WINDOW, LITERAL, COVERAGE = 8, 3, 0.5
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: What counts as a unit after a number or by itself.
 UNITS = ["mm", "cm", "km", "mg", "kg", "ml", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "kw", "kwh", "mph", "km/h", "°c", "°f", "%", "$", "€", "£", "¥", "usd", "eur", "gbp", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "centimeter", "centimeters", "inch", "inches", "feet", "miles", "mile", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "liter", "liters", "litre", "litres", "gallon", "gallons", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollar", "dollars", "cents", "euro", "euros", "percent", "degrees"]
-_WORDS = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[%$€£¥]|°[CcFf]"
+#: Scripts that set no space between words: each letter, with its marks, is a word.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+#: Letters and marks of the others. What most texts have comes first in each class, and the scripts are asked last: they are slow.
+_LETTER = rf"[A-Za-zÀ-ÖØ-öø-ɏ[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]]"
+_WORDS = rf"{_LETTER}+(?:['’]{_LETTER}+)*|[0-9\p{{N}}]+(?:[.,][0-9\p{{N}}]+)*|[\u0E00-\x{{10FFFF}}&&[{_UNSPACED}]]\p{{M}}*|[%$€£¥]|°[CcFf]"
 
 
 def words(text: Column) -> Column:
@@ -29,7 +33,8 @@ def words(text: Column) -> Column:
 
 def template(word: Column) -> Column:
     first, low = F.substring(word, 1, 1), F.lower(word)
-    return F.when(first.between("0", "9"), NUMBER).when(low.isin(UNITS), UNIT).when(F.lower(first) != first, NAME).otherwise(low)
+    digit = first.between("0", "9") | (first > "\x7f") & first.rlike(r"\p{N}")
+    return F.when(digit, NUMBER).when(low.isin(UNITS), UNIT).when(F.lower(first) != first, NAME).otherwise(low)
 
 
 def is_slot(word: Column) -> Column:

@@ -130,3 +130,31 @@ def test_renamed_and_renumbered_items_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): (r.covered, r.exact) for r in got} == want
     assert len(planted & want.keys()) >= 0.9 * len(planted)
     assert not {k for k in want if 100 <= k[0] < 200}
+
+
+SCRIPTS = {"han": (0x4E00, 0x5200), "hiragana": (0x3041, 0x3094), "thai": (0x0E01, 0x0E2F), "khmer": (0x1780, 0x17B0), "myanmar": (0x1000, 0x1020), "lao": (0x0E94, 0x0EA0)}
+
+
+def test_scripts_without_spaces(spark):
+    """Items verbatim and with other numbers, in the middle of text without a space: all are found, and nothing else."""
+    rng = random.Random(8)
+    docs, items, want = [], [], set()
+    for letters in SCRIPTS.values():
+        some = lambda n, letters=letters: "".join(chr(rng.randrange(*letters)) for _ in range(n))
+        for _ in range(10):
+            parts = [some(rng.randrange(8, 20)) for _ in range(3)]
+            numbers = [rng.randrange(10, 99) for _ in range(2)]
+            filled = lambda n, parts=parts: f"{parts[0]}{n[0]}{parts[1]}{n[1]}{parts[2]}"
+            k = len(items)
+            items.append((k, filled(numbers)))
+            docs += [(10 * k, some(200) + filled(numbers) + some(100)), (10 * k + 1, some(50) + filled([n + 100 for n in numbers]) + some(300)), (10 * k + 2, some(400)), (10 * k + 3, some(80) + parts[0][:6] + some(80))]
+            want |= {(10 * k, k), (10 * k + 1, k)}
+    got = found(spark, docs, items)
+    assert got.keys() == want and all(r.exact == (doc % 10 == 0) for (doc, _), r in got.items())
+
+
+def test_digits_of_other_scripts(spark):
+    item = "when the train has gone for ٣٤ minutes at a speed of ٨٨ units how far is it then"
+    docs = [(1, f"{FILL} {item}"), (2, f"{FILL} {item.replace(chr(0x663) + chr(0x664), chr(0x968) + chr(0x967))}"), (3, f"{FILL} {item.replace(chr(0x668) * 2, '88')} {FILL}"), (4, FILL)]
+    got = found(spark, docs, [(1, item)])
+    assert got.keys() == {(1, 1), (2, 1), (3, 1)} and got[1, 1].exact and not got[2, 1].exact
