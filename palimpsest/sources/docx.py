@@ -15,10 +15,14 @@ from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from palimpsest.functions.columns import u16_length
+from palimpsest.sources import nodes
+
 BODY = "word/document.xml"
 INSERTED, DELETED = {"ins": False, "moveTo": True}, {"del": False, "moveFrom": True}
 #: Elements whose blocks count as their parent's.
@@ -89,50 +93,6 @@ class Package:
         return ET.fromstring(self.zip.read(part)) if part in self.names else None
 
 
-# changes as events
-
-
-def said(element: ET.Element) -> str:
-    """The text in an element, deleted text too; tabs and breaks are a character each."""
-    out = []
-    for e in element.iter():
-        what = name(e)
-        if what in ("t", "delText"):
-            out.append(e.text or "")
-        elif e is not element and what in ("tab", "br", "cr"):
-            out.append("\t" if what == "tab" else "\n")
-    return "".join(out)
-
-
-def final_length(element: ET.Element) -> int:
-    """UTF-16 units of what isn't deleted; what a move took away counts, as files keep it."""
-    total, stack = 0, [element]
-    while stack:
-        e = stack.pop()
-        what = name(e)
-        if what == "del":
-            continue
-        if what == "t":
-            total += u16(e.text or "")
-        elif what in ("tab", "br", "cr"):
-            total += 1
-        else:
-            stack.extend(e)
-    return total
-
-
-def changes_of(root: ET.Element, part: str) -> tuple[list[tuple], int]:
-    """(type, id, author, date, text, part) of the dated insertions and deletions in document order, and the number of undated ones."""
-    found, undated = [], 0
-    for e in root.iter():
-        if (what := name(e)) in ("ins", "del"):
-            if date := attr(e, "date"):
-                found.append((what, attr(e, "id"), attr(e, "author"), instant(date), said(e), part))
-            else:
-                undated += 1
-    return found, undated
-
-
 def on(settings: ET.Element | None, key: str) -> bool:
     found = child(settings, key)
     return found is not None and (attr(found, "val") or "true").lower() not in ("false", "0", "off")
@@ -502,33 +462,26 @@ def parsed(rows: DataFrame, schema: T.StructType, parse: Callable[[dict, Package
 
 def revisions(rows: DataFrame, parts: list[str] = [BODY]) -> DataFrame:
     """The dated insertions and deletions of the parts, those of a document by time; equal times in document order."""
-
-    def parse(file: dict, package: Package) -> list[dict]:
-        found = [c for part in parts if (root := package.tree(part)) is not None for c in changes_of(root, part)[0]]
-        found.sort(key=lambda c: c[3].timestamp() if c[3] else float("inf"))
-        return [{"path": file["path"], "seq": k, "type": kind, "rev_id": rev, "author": author, "ts": ts, "chars": u16(text), "text": text, "part": part} for k, (kind, rev, author, ts, text, part) in enumerate(found)]
-
-    return parsed(rows, REVISIONS, parse)
+    found = nodes.revisions(nodes.nodes(rows), parts).where("dated").join(rows.select("doc_id", "path"), "doc_id")
+    order = W.partitionBy("doc_id").orderBy(F.col("ts").asc_nulls_last(), F.array_position(F.lit(parts), F.col("part")), "node")
+    found = found.withColumns({"seq": (F.row_number().over(order) - 1).cast("int"), "chars": u16_length(F.col("text"))})
+    return found.select(*REVISIONS.names)
 
 
 def stats(rows: DataFrame, parts: list[str] = [BODY]) -> DataFrame:
     """One row a file: lengths, undated changes, settings, its own id and its content's sha256; ``error`` if it can't be read."""
-    import hashlib
-
-    def parse(file: dict, package: Package) -> list[dict]:
-        inserted = deleted = undated = final = 0
-        for part in parts:
-            if (root := package.tree(part)) is not None:
-                found, more = changes_of(root, part)
-                undated += more
-                final += final_length(root)
-                inserted += sum(u16(c[4]) for c in found if c[0] == "ins")
-                deleted += sum(u16(c[4]) for c in found if c[0] == "del")
-        settings = package.tree("word/settings.xml")
-        own = re.search(r'<(?:\w+:)?docId\b[^>]*?(?:\w+:)?val="\{?([0-9A-Fa-f-]+)\}?"', package.text("word/settings.xml") or "")
-        return [{"path": file["path"], "sha256": hashlib.sha256(file["content"]).hexdigest(), "final_chars": final, "inserted": inserted, "deleted": deleted, "baseline_chars": max(0, final - inserted + deleted), "undated": undated, "settings_part_found": settings is not None, "track_revisions": on(settings, "trackRevisions"), "remove_personal_information": on(settings, "removePersonalInformation"), "remove_date_and_time": on(settings, "removeDateAndTime"), "document_id": own[1].upper() if own else None}]
-
-    return parsed(rows, STATS, parse, lambda file, e: [{"path": file["path"], "error": e}])
+    elements = nodes.nodes(rows)
+    changes = nodes.revisions(elements, parts)
+    chars = lambda kind: F.sum(F.when(F.col("dated") & (F.col("type") == kind), u16_length(F.col("text"))).otherwise(0)).cast("int")
+    sums = changes.groupBy("doc_id").agg(chars("ins").alias("inserted"), chars("del").alias("deleted"), F.count_if(~F.col("dated")).cast("int").alias("undated"))
+    failed = elements.where((F.col("tag") == nodes.ERROR) & (F.col("part").isNull() | F.col("part").isin(*parts, "word/settings.xml"))).groupBy("doc_id").agg(F.min("text").alias("error"))
+    found = rows.select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
+    for more in (sums, nodes.final_lengths(elements, parts), nodes.settings(elements).withColumn("settings_part_found", F.lit(True)), failed):
+        found = found.join(more, "doc_id", "left")
+    found = found.fillna(0, ["inserted", "deleted", "undated", "final_chars"]).fillna(False, ["settings_part_found", "track_revisions", "remove_personal_information", "remove_date_and_time"])
+    found = found.withColumn("baseline_chars", F.greatest(F.lit(0), F.col("final_chars") - F.col("inserted") + F.col("deleted")))
+    told = [F.when(F.col("error").isNull(), F.col(c)).alias(c) if c not in ("doc_id", "path", "error") else F.col(c) for c in STATS.names]
+    return found.select(*told)
 
 
 def segments(rows: DataFrame) -> DataFrame:

@@ -12,19 +12,22 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from palimpsest.functions.columns import u16_length
+
 #: Parts whose elements become rows.
 PARTS = re.compile(r"word/(document|styles|numbering|settings|footnotes|endnotes|comments\w*|header\d*|footer\d*)\.xml")
 #: Elements for which each row says which of them is around it (or is it itself).
-AROUND = ("tbl", "tr", "tc", "p", "r", "style", "abstractNum", "num", "lvl", "docDefaults")
+AROUND = ("tbl", "tr", "tc", "p", "r", "ins", "del", "style", "abstractNum", "num", "lvl", "docDefaults")
 NODES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), *(T.StructField(f"in_{t}", T.LongType()) for t in AROUND),
 ])
-ROWS = 2000
+ROWS, ERROR = 2000, "#error"
 
 
 def local(name: str) -> str:
@@ -66,8 +69,8 @@ def elements(part: io.BufferedIOBase) -> Iterator[tuple]:
 
 def nodes(files: DataFrame) -> DataFrame:
     """A row for each element of the files (doc_id, content): its part, number in the part, parent, depth, tag and attributes without
-    prefixes, text of its own, and the numbers of the elements of AROUND that it is in. Of a part that breaks off, what came before;
-    of a file that can't be read, nothing."""
+    prefixes, text of its own, and the numbers of the elements of AROUND that it is in. Of a part that breaks off, what came before,
+    and a row with the tag ERROR and the reason as text; of a file that can't be read, that row alone, without a part."""
     arrow = to_arrow_schema(NODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,8 @@ def nodes(files: DataFrame) -> DataFrame:
                 try:
                     package = zipfile.ZipFile(io.BytesIO(batch.column(1)[k].as_py() or b""))
                     names = [n for n in package.namelist() if PARTS.fullmatch(n)]
-                except zipfile.BadZipFile:
+                except zipfile.BadZipFile as e:
+                    yield _batch([_failed(doc, None, e)], arrow)
                     continue
                 for name in names:
                     try:
@@ -87,13 +91,57 @@ def nodes(files: DataFrame) -> DataFrame:
                                 if len(rows) >= ROWS:
                                     yield _batch(rows, arrow)
                                     rows.clear()
-                    except (expat.ExpatError, zipfile.BadZipFile):
-                        continue
+                    except (expat.ExpatError, zipfile.BadZipFile) as e:
+                        rows.append(_failed(doc, name, e))
                 if rows:
                     yield _batch(rows, arrow)
 
     return files.select("doc_id", "content").mapInArrow(run, NODES)
 
 
+def _failed(doc: int, part: str | None, e: Exception) -> tuple:
+    return (doc, part, None, None, None, ERROR, None, f"{type(e).__name__}: {e}", *(None,) * len(AROUND))
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def moment(text: Column) -> Column:
+    """A date as files have it, or null if it can't be read; without a zone it is UTC."""
+    plain = F.trim(text)
+    return F.when(plain.rlike(r"(?:[zZ]|[+-]\d\d:?\d\d)$"), plain).otherwise(F.concat(plain, F.lit("Z"))).try_cast("timestamp")
+
+
+def _characters(rows: DataFrame) -> DataFrame:
+    """Text, tabs and breaks with what each is as text."""
+    value = F.when(F.col("tag").isin("t", "delText"), F.coalesce("text", F.lit(""))).when(F.col("tag") == "tab", "\t").otherwise("\n")
+    return rows.where(F.col("tag").isin("t", "delText", "tab", "br", "cr")).withColumn("said", value)
+
+
+def revisions(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """doc_id, part, node, type, rev_id, author, ts, text, dated of the insertions and deletions of the parts, undated ones too.
+
+    A change's text is that of the characters it is nearest to, of its kind: in a deletion within an insertion it is both's.
+    """
+    rows = rows.where(F.col("part").isin(parts))
+    said = _characters(rows).select("doc_id", "part", "node", "said", F.explode(F.array_compact(F.array("in_ins", "in_del"))).alias("change"))
+    texts = said.groupBy("doc_id", "part", "change").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "said"))), lambda x: x["said"]), "").alias("text"))
+    at = F.col("attributes")["date"]
+    changes = rows.where("tag in ('ins', 'del')").select("doc_id", "part", F.col("node").alias("change"), F.col("tag").alias("type"), F.col("attributes")["id"].alias("rev_id"), F.col("attributes")["author"].alias("author"), moment(at).alias("ts"), (F.coalesce(at, F.lit("")) != "").alias("dated"))
+    return changes.join(texts, ["doc_id", "part", "change"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumnRenamed("change", "node")
+
+
+def final_lengths(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """doc_id, final_chars: UTF-16 units of what isn't deleted; what a move took away counts, as files keep it."""
+    left = _characters(rows.where(F.col("part").isin(parts) & F.col("in_del").isNull() & (F.col("tag") != "delText")))
+    return left.groupBy("doc_id").agg(F.sum(u16_length(F.col("said"))).cast("int").alias("final_chars"))
+
+
+def settings(rows: DataFrame) -> DataFrame:
+    """doc_id, track_revisions, remove_personal_information, remove_date_and_time, document_id of the documents with settings."""
+    rows = rows.where("part = 'word/settings.xml'")
+    val = F.col("attributes")["val"]
+    on = lambda tag: F.coalesce(F.min_by(F.when(F.col("tag") == tag, ~F.lower(F.coalesce(val, F.lit("true"))).isin("false", "0", "off")), F.when((F.col("tag") == tag) & (F.col("depth") == 1), F.col("node"))), F.lit(False))
+    own = F.min_by(F.upper(F.regexp_extract(val, r"^\{?([0-9A-Fa-f-]+)\}?$", 1)), F.when((F.col("tag") == "docId") & val.rlike(r"^\{?[0-9A-Fa-f-]+\}?$"), F.col("node")))
+    return rows.groupBy("doc_id").agg(on("trackRevisions").alias("track_revisions"), on("removePersonalInformation").alias("remove_personal_information"), on("removeDateAndTime").alias("remove_date_and_time"), own.alias("document_id"))

@@ -23,7 +23,8 @@ def rows_of(spark, *contents):
 
 def test_nodes(spark):
     rows = rows_of(spark, docx(para("a", "b")), b"no zip", docx(parts={"word/styles.xml": "<w:styles xmlns:w='x'><w:style/><w:broken"}))
-    assert {r.doc_id for r in rows.collect()} == {0, 2}
+    assert [(r.doc_id, r.part, r.text.partition(":")[0]) for r in rows.where("tag = '#error'").orderBy("doc_id").collect()] == [(1, None, "BadZipFile"), (2, "word/styles.xml", "ExpatError")]
+    assert rows.where("doc_id = 1").count() == 1
     body = rows.where("doc_id = 0 and part = 'word/document.xml'").orderBy("node").collect()
     assert [(r.tag, r.parent, r.depth, r.text) for r in body] == [("document", None, 0, None), ("body", 0, 1, None), ("p", 1, 2, None), ("r", 2, 3, None), ("t", 3, 4, "a"), ("r", 2, 3, None), ("t", 5, 4, "b")]
     assert [r.in_p for r in body] == [None, None, 2, 2, 2, 2, 2] and [r.in_r for r in body][3:] == [3, 3, 5, 5]
@@ -74,3 +75,12 @@ def test_cells(spark):
     at = [(r.row, r.cell, r.col, r.col_span, r.row_span, r.first_row) for r in got]
     assert at[:8] == [(0, 0, 0, 2, 2, 0), (0, 1, 2, 1, 1, 0), (1, 0, 0, 2, 2, 0), (1, 1, 2, 1, 3, 1), (2, 0, 1, 1, 1, 2), (2, 1, 2, 1, 3, 1), (3, 0, 0, 2, 1, 3), (3, 1, 2, 1, 3, 1)]
     assert at[8:] == [(0, 0, 0, 1, 1, 0), (0, 1, 1, 2, 1, 0)]
+
+
+def test_changes(spark):
+    """Nested changes, undated ones, tabs and breaks, changes of paragraph marks, dates of all kinds."""
+    when = "2023-05-06T07:08:09+02:00"
+    inner = change("del", "2023-05-06T07:08:09", "gone", number=2)
+    body = [para(change("ins", when, run("a", w("tab"), "b", w("br")), inner, number=1), change("del", None, "?", number=3), change("ins", "no date", "x", number=4), look=[w("tabs", w("tab", val="left"))]), para("plain", mark=("ins", when))]
+    found = nodes.revisions(rows_of(spark, docx(*body)), ["word/document.xml"]).orderBy("node").collect()
+    assert [(r.type, r.rev_id, r.text, r.ts and str(r.ts), r.dated) for r in found] == [("ins", "1", "a\tb\ngone", "2023-05-06 05:08:09", True), ("del", "2", "gone", "2023-05-06 07:08:09", True), ("del", "3", "?", None, False), ("ins", "4", "x", None, True), ("ins", "1001", "", "2023-05-06 05:08:09", True)]
