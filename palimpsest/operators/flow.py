@@ -143,8 +143,12 @@ def heat(touches: DataFrame, ends: DataFrame, bulk_chars: int = BULK_CHARS, high
 
 
 def session_totals(heat_rows: DataFrame) -> DataFrame:
-    """doc_id, session: inserted, deleted, bulk and moved characters."""
-    return heat_rows.groupBy("doc_id", "session").agg(*[F.sum(c).alias(c) for c in ("ins_chars", "del_chars", "bulk_chars", "moved_in")])
+    """doc_id, session: inserted, deleted, bulk and moved characters, and highlight_chars, those of each category."""
+    keys = ["doc_id", "session"]
+    sums = heat_rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("ins_chars", "del_chars", "bulk_chars", "moved_in")])
+    each = heat_rows.select(*keys, F.explode("highlight_chars").alias("category", "chars")).groupBy(*keys, "category").agg(F.sum("chars").alias("chars"))
+    maps = each.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "chars")))).alias("highlight_chars"))
+    return sums.join(maps, keys, "left").withColumn("highlight_chars", F.coalesce("highlight_chars", F.create_map().cast("map<string,bigint>")))
 
 
 def unit_key(table_id: Column, para_index: Column) -> Column:

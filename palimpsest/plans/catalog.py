@@ -454,7 +454,13 @@ def para_heat(spark, sf_dir):
 
 @query(f"with {_HEAT} select doc_id, session, cast(sum(ins_chars) as bigint) as ins_chars, cast(sum(del_chars) as bigint) as del_chars, cast(sum(bulk_chars) as bigint) as bulk_chars, cast(sum(moved_in) as bigint) as moved_in from h group by doc_id, session")
 def flow_totals(spark, sf_dir):
-    return _flow(spark, sf_dir)["totals"]
+    return _flow(spark, sf_dir)["totals"].select("doc_id", "session", "ins_chars", "del_chars", "bulk_chars", "moved_in")
+
+
+@query(f"""with {_HEAT}, b as (select doc_id, session, 'bulk' as category, cast(sum(bulk_chars) as bigint) as chars from h where bulk_chars > 0 group by doc_id, session) select * from b""")
+def flow_highlights(spark, sf_dir):
+    """The highlighted characters of each session by category."""
+    return _flow(spark, sf_dir)["totals"].select("doc_id", "session", F.explode("highlight_chars").alias("category", "chars"))
 
 
 _UNIT = "case when {0} % 10 >= 6 then 't' || {0} // 10 else 'p' || {0} end"
