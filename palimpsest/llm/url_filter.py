@@ -16,6 +16,8 @@ from palimpsest.llm.common import cut, missing, small
 #: Characters of context, at most; counts of pseudo-characters that the shorter context adds; size of the alphabet.
 ORDER, PSEUDO, ALPHABET = 4, 4.0, 128
 MICRO = 1_000_000
+#: Characters of a piece that urls are cut into.
+PIECE = 1000
 #: Millionths in a bin of the calibration's histogram; scores count as at most so many bins from 0.
 BIN, BINS = 10_000, 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,12 +45,24 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def places(urls: DataFrame, *keep: str) -> DataFrame:
+    """keep..., piece, pos: a row for each character of ``url`` but the mark before its first, with the piece of the url that it is in.
+
+    A piece has the ORDER characters before its own, so that what ends at ``pos`` is in it. Looking a place up takes time by the
+    piece's length, not by the url's, and no row holds a whole url.
+    """
+    u = F.concat(F.lit("\u0002"), F.col("url"), F.lit("\u0003"))
+    rows = urls.select(*keep, u.alias("u"), F.explode(F.sequence(F.lit(0), F.floor((F.length("url")) / PIECE).cast("int"))).alias("p"))
+    first = F.lit(2) + F.col("p") * PIECE  # the first character of its own, from 1
+    start = F.greatest(F.lit(1), first - ORDER)
+    rows = rows.select(*keep, F.substring(F.col("u"), start, first - start + PIECE).alias("piece"), (first - start + 1).alias("from"))
+    return rows.select(*keep, "piece", F.explode(F.sequence("from", F.length("piece"))).alias("pos"))
+
+
 def grams(urls: DataFrame, *keep: str) -> DataFrame:
-    """For each character of ``url`` and each order, the n-gram that ends there: keep..., pos, gram."""
-    at = urls.withColumn("u", F.concat(F.lit("\u0002"), F.col("url"), F.lit("\u0003")))
-    at = at.withColumn("pos", F.explode(F.sequence(F.lit(2), F.length("u"))))
-    each = F.array(*[F.when(F.col("pos") > k, F.substring(F.col("u"), F.col("pos") - k, F.lit(k + 1))) for k in range(ORDER + 1)])
-    return at.select(*keep, "pos", F.explode(F.filter(each, lambda g: g.isNotNull())).alias("gram"))
+    """For each character of ``url`` and each order, the n-gram that ends there: keep..., gram."""
+    each = F.array(*[F.when(F.col("pos") > k, F.substring(F.col("piece"), F.col("pos") - k, F.lit(k + 1))) for k in range(ORDER + 1)])
+    return places(urls, *keep).select(*keep, F.explode(F.filter(each, lambda g: g.isNotNull())).alias("gram"))
 
 
 def train(labelled: DataFrame) -> DataFrame:
@@ -83,14 +97,14 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     """
     parts = max(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), urls.sparkSession.sparkContext.defaultParallelism)
     # short rows of which each becomes a hundred: so many partitions, whatever their bytes
-    urls = urls.select("url").repartition(parts, "url").distinct()
-    at = urls.withColumn("u", F.concat(F.lit("\u0002"), F.col("url"), F.lit("\u0003"))).withColumn("pos", F.explode(F.sequence(F.lit(2), F.length("u"))))
-    window = F.substring(F.col("u"), F.greatest(F.col("pos") - ORDER, F.lit(1)), F.least(F.col("pos"), F.lit(ORDER + 1)))
-    at = at.select("url", window.alias("window"))
+    urls = urls.select("url").repartition(parts, "url").distinct().withColumn("id", F.unhex(F.sha2("url", 256)))
+    window = F.substring(F.col("piece"), F.greatest(F.col("pos") - ORDER, F.lit(1)), F.least(F.col("pos"), F.lit(ORDER + 1)))
+    at = places(urls, "id").select("id", window.alias("window"))
     ends = F.array(*[F.when(F.length("window") > k, F.substring(F.col("window"), F.length("window") - k, F.lit(k + 1))) for k in range(ORDER + 1)])
     known = at.select("window").distinct().select("window", F.explode(F.filter(ends, lambda g: g.isNotNull())).alias("gram")).join(small(model), "gram")
     best = cut(known.groupBy("window").agg(F.max_by("micro", F.length("gram")).alias("micro")))
-    return at.join(small(best), "window", "left").groupBy("url").agg(F.floor(F.coalesce(F.sum("micro"), F.lit(0)) / F.count(F.lit(1))).cast("long").alias("score"))
+    means = at.join(small(best), "window", "left").groupBy("id").agg(F.floor(F.coalesce(F.sum("micro"), F.lit(0)) / F.count(F.lit(1))).cast("long").alias("score"))
+    return urls.join(means, "id").select("url", "score")
 
 
 def calibrate(scored: DataFrame) -> int:
@@ -115,8 +129,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score for each row of ``pages``.
 
     Rules see host and path, the models the whole url. Null url, or none with ``://``: host and path are empty and no rule fits;
-    a null url is judged as the empty text. Rows that
-    repeat: each. Null page_id: stays null. An empty table gives none. Other columns aren't read. Where a rule fits, score
+    a null url is judged as the empty text. Very long urls take time in proportion to their length. Rows that repeat: each. Null page_id: stays null. An empty table gives none. Other columns aren't read. Where a rule fits, score
     is null. If rules don't label both classes, what they don't decide is allowed.
     """
     missing(pages, "page_id", "url")

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -105,3 +106,25 @@ def test_queries_and_fragments_count(spark):
     pages = spark.createDataFrame(list(enumerate(asked + good + bad)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in u.judge(pages, rules).collect() if r.page_id < 4}
     assert got == {0: "allow", 1: "block", 2: "allow", 3: "block"}
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, f"https://{'good.org' if k % 2 else 'bad.com'}/{''.join(rng.choice('abcxyz/é😀') for _ in range(rng.randrange(40)))}") for k in range(80)] + [(90, None), (91, ""), (92, "x")]
+    pages = spark.createDataFrame([*rows, *[(100 + k, u and u.replace("good.org", "else.net").replace("bad.com", "other.net")) for k, u in rows]], "page_id long, url string")
+    judged = lambda: sorted(map(repr, map(tuple, u.judge(pages, [("allow", "good.org/"), ("block", "bad.com/")]).collect())))
+    want = judged()
+    for size in (4, 7):
+        monkeypatch.setattr(u, "PIECE", size)
+        assert judged() == want
+
+
+def test_a_url_of_a_million_characters(spark):
+    import time
+
+    rng = random.Random(10)
+    long = "data:text/html;base64," + "".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(1_000_000))
+    pages = spark.createDataFrame([(k, f"https://{'good.org' if k % 2 else 'bad.com'}/page{k}") for k in range(60)] + [(99, long)], "page_id long, url string")
+    began = time.perf_counter()
+    assert u.judge(pages, [("allow", "good.org/"), ("block", "bad.com/")]).count() == 61
+    assert time.perf_counter() - began < 150
