@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import stored
+
 BODY, STYLES, NUMBERING = "word/document.xml", "word/styles.xml", "word/numbering.xml"
+#: What ``nodes.nodes`` has to give for styles alone, for paragraphs and their lists, and for tables: parts, and their tags.
+FOR_STYLES: dict = {STYLES: None}
+FOR_PARAGRAPHS: dict = {BODY: ("p",), STYLES: None, NUMBERING: None}
+FOR_CELLS: dict = {BODY: ("tr", "tc", "gridBefore", "gridSpan", "vMerge")}
 #: Styles of a chain that count, from the style itself on; of those that a heading level is looked for in; list levels.
 CHAIN, HEADING_CHAIN, LEVELS = 12, 10, 9
 
@@ -23,15 +29,8 @@ def _value() -> Column:
 
 
 def _properties(nodes: DataFrame, owner: str) -> DataFrame:
-    """doc_id, owner, properties: of the elements below the pPr and rPr that belong to each ``owner`` directly."""
-    groups = nodes.where(F.col("tag").isin("pPr", "rPr")).select("doc_id", "part", F.col("node").alias("parent"), F.col("tag").alias("group"), F.col("parent").alias("__owner"))
-    found = nodes.join(groups, ["doc_id", "part", "parent"]).where(F.col("__owner") == F.col(owner))
-    found = found.select("doc_id", F.col(owner).alias("owner"), F.concat_ws("/", "group", "tag").alias("name"), _value().alias("value"), "node")
-    # the numbering of a paragraph is one level further down
-    inner = nodes.where(F.col("tag").isin("numId", "ilvl")).select("doc_id", F.col("parent").alias("__of"), F.concat(F.lit("pPr/"), F.col("tag")).alias("name"), _val().alias("value"), "node")
-    lists = found.where("name = 'pPr/numPr'").select("doc_id", "owner", F.col("node").alias("__of")).join(inner, ["doc_id", "__of"]).drop("__of")
-    rows = found.where("name <> 'pPr/numPr'").unionByName(lists).groupBy("doc_id", "owner", "name").agg(F.min_by("value", "node").alias("value"))
-    return rows.groupBy("doc_id", "owner").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("properties"))
+    """doc_id, owner, properties: of the elements below the pPr and rPr that belong to each ``owner`` directly; of equal names the first."""
+    return nodes.where((F.col("tag") == owner) & (F.size("properties") > 0)).select("doc_id", F.col("node").alias("owner"), "properties")
 
 
 def styles(nodes: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def styles(nodes: DataFrame) -> DataFrame:
     head = rows.where("tag = 'style'").select("doc_id", F.col("node").alias("owner"), _val(key="styleId").alias("style"), _val(key="type").alias("type"), F.coalesce(_val(key="default").isin("1", "true"), F.lit(False)).alias("is_default"))
     child = lambda tag: F.min_by(F.when(F.col("tag") == tag, _val()), F.when(F.col("tag") == tag, F.col("node")))
     more = rows.where("tag in ('basedOn', 'name') and parent = in_style").groupBy("doc_id", F.col("parent").alias("owner")).agg(child("basedOn").alias("based_on"), child("name").alias("name"))
-    found = head.where("style is not null").join(more, ["doc_id", "owner"], "left").join(_properties(rows, "in_style"), ["doc_id", "owner"], "left")
+    found = head.where("style is not null").join(more, ["doc_id", "owner"], "left").join(_properties(rows, "style"), ["doc_id", "owner"], "left")
     own = F.coalesce("properties", F.create_map().cast("map<string,string>"))
     outline = F.try_element_at(own, F.lit("pPr/outlineLvl")).try_cast("int")
     level = F.coalesce(F.when(outline.between(0, 8), outline), F.regexp_extract("name", r"(?i)^heading\s*(\d)$", 1).try_cast("int") - 1)
@@ -77,7 +76,7 @@ def numbering(nodes: DataFrame) -> DataFrame:
     pattern = rows.where("tag = 'abstractNum'").select("doc_id", F.col("node").alias("in_abstractNum"), _val(key="abstractNumId").alias("pattern"))
     head = rows.where("tag = 'lvl' and in_abstractNum is not null").select("doc_id", "in_abstractNum", F.col("node").alias("owner"), _val(key="ilvl").cast("int").alias("level"))
     facts = rows.where("in_lvl is not null and parent = in_lvl").groupBy("doc_id", F.col("in_lvl").alias("owner")).agg(value("start").alias("start"), value("numFmt").alias("format"), value("lvlText").alias("template"))
-    levels = head.join(pattern, ["doc_id", "in_abstractNum"]).join(facts, ["doc_id", "owner"], "left").join(_properties(rows, "in_lvl"), ["doc_id", "owner"], "left")
+    levels = head.join(pattern, ["doc_id", "in_abstractNum"]).join(facts, ["doc_id", "owner"], "left").join(_properties(rows, "lvl"), ["doc_id", "owner"], "left")
     lists = rows.where("tag = 'num'").select("doc_id", F.col("node").alias("in_num"), _val(key="numId").alias("num"))
     of = rows.where("tag = 'abstractNumId' and parent = in_num").select("doc_id", "in_num", _val().alias("pattern"))
     over = rows.where("tag = 'lvlOverride'").select("doc_id", "in_num", F.col("node").alias("parent"), _val(key="ilvl").cast("int").alias("level"))
@@ -87,34 +86,50 @@ def numbering(nodes: DataFrame) -> DataFrame:
     return found.select("doc_id", "num", "level", start.alias("start"), F.coalesce("format", F.lit("decimal")).alias("format"), F.coalesce("template", F.lit("")).alias("template"), F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
 
 
+def _looks(nodes: DataFrame) -> DataFrame:
+    """doc_id, para_index, node, style, own, base (the defaults' and the style's properties), style_level, num, level of the body's paragraphs."""
+    none = F.create_map().cast("map<string,string>")
+    merged = lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
+    rows = nodes.where((F.col("part") == BODY) & (F.col("tag") == "p")).select("doc_id", "node", F.coalesce("properties", none).alias("own"))
+    rows = rows.withColumn("para_index", F.row_number().over(W.partitionBy("doc_id").orderBy("node")) - 1)
+    style_rows, defaults = stored(styles(nodes), "styles"), _defaults(nodes)
+    default = style_rows.where("is_default and type = 'paragraph'").groupBy("doc_id").agg(F.min_by("style", "owner").alias("default_style"))
+    chains = resolved_styles(style_rows).join(defaults, "doc_id", "left")
+    base = merged(F.coalesce("defaults", none), F.col("properties"))
+    # what a list needs comes as columns, so that the maps go along only for those who ask for them
+    at = lambda name, of: F.try_element_at(of, F.lit(name))
+    chains = chains.select("doc_id", "style", base.alias("__base"), F.col("heading_level").alias("style_level"), at("pPr/numId", base).alias("__num"), at("pPr/ilvl", base).alias("__level"), F.lit(True).alias("__known"))
+    rows = rows.join(default.join(defaults, "doc_id", "full"), "doc_id", "left")
+    own = lambda name: at(name, F.col("own"))
+    rows = rows.select("doc_id", "para_index", "node", "own", "defaults", F.coalesce(own("pPr/pStyle"), "default_style").alias("style"), own("pPr/numId").alias("__own_num"), own("pPr/ilvl").alias("__own_level"), at("pPr/numId", F.col("defaults")).alias("__any_num"), at("pPr/ilvl", F.col("defaults")).alias("__any_level"))
+    rows = rows.join(chains, ["doc_id", "style"], "left")
+    pick = lambda name: F.coalesce(f"__own_{name}", F.when(F.col("__known"), F.col(f"__{name}")).otherwise(F.col(f"__any_{name}")))
+    num = pick("num")
+    return rows.select(
+        "doc_id", "para_index", "node", "style", "own", F.coalesce("__base", "defaults", none).alias("base"), "style_level",
+        F.when(num != "0", num).alias("num"), F.when(num != "0", F.coalesce(pick("level").try_cast("int"), F.lit(0))).alias("level"),
+    )
+
+
+def listed(nodes: DataFrame) -> DataFrame:
+    """doc_id, para_index, num, level of the body's paragraphs: what ``labels`` needs of ``paragraphs``."""
+    return _looks(nodes).select("doc_id", "para_index", "num", "level")
+
+
 def paragraphs(nodes: DataFrame) -> DataFrame:
     """doc_id, para_index, node, style, properties, heading_level, num, level of the body's paragraphs, in document order.
 
     Properties are those of the document's defaults, then the style's (the default one's without a style), then the list level's,
     then the paragraph's own. A paragraph's own outline level beats its style's; beyond 8 it is none.
     """
-    body = nodes.where(F.col("part") == BODY)
-    own = _properties(body.where("in_p is not null"), "in_p").withColumnRenamed("properties", "own")
-    rows = body.where("tag = 'p'").select("doc_id", F.col("node").alias("owner")).join(own, ["doc_id", "owner"], "left")
     none = F.create_map().cast("map<string,string>")
-    rows = rows.select("doc_id", F.col("owner").alias("node"), F.coalesce("own", none).alias("own"))
-    style_rows = styles(nodes)
-    default = style_rows.where("is_default and type = 'paragraph'").groupBy("doc_id").agg(F.min_by("style", "owner").alias("default_style"))
-    chains = resolved_styles(style_rows).withColumnRenamed("properties", "of_style").withColumnRenamed("heading_level", "style_level")
-    defaults = _defaults(nodes)
-    rows = rows.join(default, "doc_id", "left").join(defaults, "doc_id", "left").withColumn("style", F.coalesce(F.try_element_at("own", F.lit("pPr/pStyle")), "default_style")).join(chains, ["doc_id", "style"], "left")
     merged = lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
-    rows = rows.withColumn("base", merged(F.coalesce("defaults", none), F.coalesce("of_style", none)))
-    pick = lambda name: F.coalesce(F.try_element_at("own", F.lit(name)), F.try_element_at("base", F.lit(name)))
-    num = pick("pPr/numId")
-    rows = rows.withColumns({"num": F.when(num != "0", num), "level": F.when(num != "0", F.coalesce(pick("pPr/ilvl").try_cast("int"), F.lit(0)))})
-    of_list = numbering(nodes).select("doc_id", "num", "level", F.col("properties").alias("of_list"))
-    rows = rows.join(of_list, ["doc_id", "num", "level"], "left")
+    of_list = numbering(nodes).where(F.size("properties") > 0).select("doc_id", "num", "level", F.col("properties").alias("of_list"))
+    rows = _looks(nodes).join(of_list, ["doc_id", "num", "level"], "left")
     outline = F.try_element_at("own", F.lit("pPr/outlineLvl")).try_cast("int")
     level = F.when(outline.isNotNull(), F.when(outline.between(0, 8), outline + 1)).otherwise(F.col("style_level"))
     properties = merged(merged(F.col("base"), F.coalesce("of_list", none)), F.col("own"))
-    index = F.row_number().over(W.partitionBy("doc_id").orderBy("node")) - 1
-    return rows.select("doc_id", index.alias("para_index"), "node", "style", properties.alias("properties"), level.alias("heading_level"), "num", "level")
+    return rows.select("doc_id", "para_index", "node", "style", properties.alias("properties"), level.alias("heading_level"), "num", "level")
 
 
 def _defaults(nodes: DataFrame) -> DataFrame:

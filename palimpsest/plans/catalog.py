@@ -566,8 +566,8 @@ def docx_tamper(spark, sf_dir):
     return tamper.check(facts.withColumn("track_revisions", F.col("doc_id") % 2 == 0)).select("doc_id", "evidence")
 
 
-def _nodes(spark, sf_dir):
-    return stored(nodes.nodes(adapters.structured_files(table(spark, sf_dir, "conversations"))), "nodes")
+def _nodes(spark, sf_dir, wanted):
+    return stored(nodes.nodes(adapters.structured_files(table(spark, sf_dir, "conversations")), wanted), "nodes")
 
 
 _DOCS = "docs as (select distinct conv_id as doc_id, 3 + conv_id % 15 as n from conversations)"
@@ -582,7 +582,7 @@ _CHAINS = f"""{_DOCS}, st as (select doc_id, n, unnest(range(n)) as k from docs)
   select r.doc_id, 's' || style as style, name, value, cast(heading_level as integer) as heading_level from r left join levels using (doc_id, style)""")
 def docx_style_chains(spark, sf_dir):
     """Each style's properties and heading level, with those of the up to eleven styles above; some files' styles are based on each other in a ring."""
-    rows = structure.resolved_styles(structure.styles(_nodes(spark, sf_dir)))
+    rows = structure.resolved_styles(stored(structure.styles(_nodes(spark, sf_dir, structure.FOR_STYLES)), "styles"))
     return rows.select("doc_id", "style", "heading_level", F.explode("properties").alias("name", "value"))
 
 
@@ -598,8 +598,8 @@ _WORDS = """t as (select conv_id as doc_id, turn, unnest(string_split(coalesce(t
   select doc_id, cast(place as integer) as para_index, cast(level as integer) as level, case when num = 1 then array_to_string(n, '.') else '(' || repeat(chr(cast(97 + (n[level + 1] - 1) % 26 as integer)), cast((n[level + 1] - 1) // 26 + 1 as integer)) || ')' end as label from s""")
 def docx_list_labels(spark, sf_dir):
     """What the numbers of nested lists come to: figures by levels, or letters."""
-    rows = _nodes(spark, sf_dir)
-    found = structure.labels(structure.paragraphs(rows.where("in_tbl is null")), structure.numbering(rows))
+    rows = _nodes(spark, sf_dir, structure.FOR_PARAGRAPHS)
+    found = structure.labels(structure.listed(rows.where("in_tbl is null")), structure.numbering(rows))
     return found.select("doc_id", "para_index", "level", "label")
 
 
@@ -608,7 +608,7 @@ def docx_list_labels(spark, sf_dir):
   select w.doc_id, cast(place as integer) as para_index, 's' || style as style, jc, sz, cast(heading_level as integer) as heading_level from w left join r using (doc_id, style) left join levels using (doc_id, style)""")
 def docx_paragraph_looks(spark, sf_dir):
     """The alignment, size and heading level of each paragraph, by way of its style; some name a style that isn't there."""
-    rows = structure.paragraphs(_nodes(spark, sf_dir).where("in_tbl is null"))
+    rows = structure.paragraphs(_nodes(spark, sf_dir, structure.FOR_PARAGRAPHS).where("in_tbl is null"))
     at = lambda name: F.try_element_at("properties", F.lit(name))
     return rows.select("doc_id", "para_index", "style", at("pPr/jc").alias("jc"), at("rPr/sz").alias("sz"), "heading_level")
 
@@ -620,7 +620,7 @@ def docx_paragraph_looks(spark, sf_dir):
   select doc_id, cast(nth as integer) as nth, cast(row as integer) as row, cast(cell as integer) as cell, cast(col as integer) as col, cast(col_span as integer) as col_span, cast(count(*) over (partition by doc_id, nth, col, first_row) as integer) as row_span, cast(first_row as integer) as first_row from h""")
 def docx_table_cells(spark, sf_dir):
     """Where the cells of tables are, and how many columns and rows each takes."""
-    rows = structure.cells(_nodes(spark, sf_dir))
+    rows = structure.cells(_nodes(spark, sf_dir, structure.FOR_CELLS))
     nth = (F.dense_rank().over(W.partitionBy("doc_id").orderBy("table")) - 1).alias("nth")
     return rows.select("doc_id", nth, "row", "cell", "col", "col_span", "row_span", "first_row")
 

@@ -74,6 +74,17 @@ def conversation_segments(conversations: DataFrame) -> tuple[DataFrame, DataFram
     return rows, paras
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks for rows of which each makes much more than it takes, which their bytes don't tell."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turns (turn, role, text) in order, over as many tasks as ``spread`` says: small tables would else be put in one."""
+    rows = conversations.repartition(spread(conversations.sparkSession), "conv_id")
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -98,7 +109,7 @@ def made_file(turns: list[tuple]) -> bytes:
 
 def conversation_files(conversations: DataFrame) -> DataFrame:
     """doc_id, path, content: a word-processor file for each conversation."""
-    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = _turns(conversations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +158,7 @@ def structured_file(conv: int, turns: list[tuple]) -> bytes:
 
 def structured_files(conversations: DataFrame) -> DataFrame:
     """doc_id, content: a file with styles, lists and tables for each conversation."""
-    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = _turns(conversations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,9 +6,10 @@ A task unzips a file and reads its parts as streams; it holds the open elements
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -23,9 +24,11 @@ from palimpsest.functions.columns import u16_length
 PARTS = re.compile(r"word/(document|styles|numbering|settings|footnotes|endnotes|comments\w*|header\d*|footer\d*)\.xml")
 #: Elements for which each row says which of them is around it (or is it itself).
 AROUND = ("tbl", "tr", "tc", "p", "r", "ins", "del", "style", "abstractNum", "num", "lvl", "docDefaults")
+#: Elements whose own pPr and rPr are told with them.
+OWNERS = ("p", "style", "lvl")
 NODES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("tag", T.StringType()),
-    T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), *(T.StructField(f"in_{t}", T.LongType()) for t in AROUND),
+    T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), *(T.StructField(f"in_{t}", T.LongType()) for t in AROUND),
 ])
 ROWS, ERROR = 2000, "#error"
 
@@ -34,28 +37,52 @@ def local(name: str) -> str:
     return name.rpartition(":")[2]
 
 
-def elements(part: io.BufferedIOBase) -> Iterator[tuple]:
-    """(node, parent, depth, tag, attributes, text, what is around) of the elements of one part, when they end; numbers in the order in which they begin."""
+def _shown(attributes: dict) -> str | None:
+    """A property's value: its val, or all attributes as JSON, or ``true`` where there are none."""
+    for k, v in attributes.items():
+        if local(k) == "val":
+            return v
+    text = ",".join(f"{json.dumps(local(k), ensure_ascii=False)}:{json.dumps(v, ensure_ascii=False)}" for k, v in attributes.items())
+    return "{" + text + "}" if text else "true"
+
+
+def elements(part: io.BufferedIOBase, tags: Collection[str] | None = None) -> Iterator[tuple]:
+    """(node, parent, depth, tag, attributes, text, properties, what is around) of the elements of one part, when they end; numbers in
+    the order in which they begin. With ``tags``, those alone are given; the numbers stay."""
     parser, out = expat.ParserCreate(), []
-    stack: list[list] = []
+    # number, tag, what is around, attributes, text, properties; the last three of those that are given
+    stack: list[tuple] = []
     count = 0
+    names: dict[str, tuple] = {}
 
     def start(name: str, attributes: dict) -> None:
         nonlocal count
-        tag = local(name)
-        around = stack[-1][5] if stack else (None,) * len(AROUND)
-        if tag in AROUND:
-            at = AROUND.index(tag)
+        if (known := names.get(name)) is None:
+            tag = local(name)
+            known = names[name] = (tag, AROUND.index(tag) if tag in AROUND else None, tags is None or tag in tags, tag in OWNERS)
+        tag, at, given, owns = known
+        around = stack[-1][2] if stack else (None,) * len(AROUND)
+        if at is not None:
             around = (*around[:at], count, *around[at + 1 :])
-        stack.append([count, stack[-1][0] if stack else None, tag, [(local(k), v) for k, v in attributes.items()], [], around])
+        if len(stack) > 1:
+            group, owner = stack[-1], stack[-2]
+            if owner[5] is not None and group[1] in ("pPr", "rPr"):
+                if tag != "numPr" or group[1] != "pPr":
+                    owner[5].setdefault(f"{group[1]}/{tag}", _shown(attributes))
+            # the numbering of a paragraph is one level further down
+            elif tag in ("numId", "ilvl") and group[1] == "numPr" and owner[1] == "pPr" and len(stack) > 2 and stack[-3][5] is not None:
+                stack[-3][5].setdefault(f"pPr/{tag}", next((v for k, v in attributes.items() if local(k) == "val"), None))
+        stack.append((count, tag, around, attributes if given else None, [] if given else None, {} if owns and given else None))
         count += 1
 
     def end(_: str) -> None:
-        node, parent, tag, attributes, text, around = stack.pop()
-        out.append((node, parent, len(stack), tag, attributes, "".join(text) or None, *around))
+        node, tag, around, attributes, text, properties = stack.pop()
+        if attributes is not None:
+            parent = stack[-1][0] if stack else None
+            out.append((node, parent, len(stack), tag, [(local(k), v) for k, v in attributes.items()], "".join(text) or None, None if properties is None else list(properties.items()), *around))
 
     def data(text: str) -> None:
-        if stack:
+        if stack and stack[-1][4] is not None:
             stack[-1][4].append(text)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
@@ -67,40 +94,42 @@ def elements(part: io.BufferedIOBase) -> Iterator[tuple]:
     yield from out
 
 
-def nodes(files: DataFrame) -> DataFrame:
+def nodes(files: DataFrame, wanted: dict[str, Collection[str] | None] | None = None) -> DataFrame:
     """A row for each element of the files (doc_id, content): its part, number in the part, parent, depth, tag and attributes without
-    prefixes, text of its own, and the numbers of the elements of AROUND that it is in. Of a part that breaks off, what came before,
-    and a row with the tag ERROR and the reason as text; of a file that can't be read, that row alone, without a part."""
+    prefixes, text of its own, properties (of OWNERS: what its own pPr and rPr hold), and the numbers of the elements of AROUND that
+    it is in. Of a part that breaks off, what came before, and a row with the tag ERROR and the reason as text; of a file that can't be
+    read, that row alone, without a part. ``wanted`` names the parts to read, and for each the tags that become rows (None: all)."""
     arrow = to_arrow_schema(NODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                doc, rows = batch.column(0)[k].as_py(), []
+                doc = batch.column(0)[k].as_py()
                 try:
                     package = zipfile.ZipFile(io.BytesIO(batch.column(1)[k].as_py() or b""))
-                    names = [n for n in package.namelist() if PARTS.fullmatch(n)]
+                    names = [n for n in package.namelist() if (PARTS.fullmatch(n) if wanted is None else n in wanted)]
                 except zipfile.BadZipFile as e:
-                    yield _batch([_failed(doc, None, e)], arrow)
+                    rows.append(_failed(doc, None, e))
                     continue
                 for name in names:
                     try:
                         with package.open(name) as part:
-                            for row in elements(part):
+                            for row in elements(part, wanted and wanted[name]):
                                 rows.append((doc, name, *row))
                                 if len(rows) >= ROWS:
                                     yield _batch(rows, arrow)
                                     rows.clear()
                     except (expat.ExpatError, zipfile.BadZipFile) as e:
                         rows.append(_failed(doc, name, e))
-                if rows:
-                    yield _batch(rows, arrow)
+        if rows:
+            yield _batch(rows, arrow)
 
     return files.select("doc_id", "content").mapInArrow(run, NODES)
 
 
 def _failed(doc: int, part: str | None, e: Exception) -> tuple:
-    return (doc, part, None, None, None, ERROR, None, f"{type(e).__name__}: {e}", *(None,) * len(AROUND))
+    return (doc, part, None, None, None, ERROR, None, f"{type(e).__name__}: {e}", None, *(None,) * len(AROUND))
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

@@ -1,7 +1,7 @@
 from files import change, docx, para, run, table, w
 
 from palimpsest.operators import structure
-from palimpsest.sources import nodes
+from palimpsest.sources import adapters, nodes
 
 
 def style(name, *inside, **more):
@@ -84,3 +84,22 @@ def test_changes(spark):
     body = [para(change("ins", when, run("a", w("tab"), "b", w("br")), inner, number=1), change("del", None, "?", number=3), change("ins", "no date", "x", number=4), look=[w("tabs", w("tab", val="left"))]), para("plain", mark=("ins", when))]
     found = nodes.revisions(rows_of(spark, docx(*body)), ["word/document.xml"]).orderBy("node").collect()
     assert [(r.type, r.rev_id, r.text, r.ts and str(r.ts), r.dated) for r in found] == [("ins", "1", "a\tb\ngone", "2023-05-06 05:08:09", True), ("del", "2", "gone", "2023-05-06 07:08:09", True), ("del", "3", "?", None, False), ("ins", "4", "x", None, True), ("ins", "1001", "", "2023-05-06 05:08:09", True)]
+
+
+def test_wanted_elements(spark):
+    """Only the elements that are asked for become rows, with the properties that are theirs alone, first of equal names."""
+    old = w("pPrChange", w("pPr", w("jc", val="right")), id=1)
+    body = [para(run("a", look=[w("sz", val=9)]), look=[w("jc", val="both"), w("jc", val="left"), w("ind", left="7", right='"'), w("numPr", w("numId", val=4)), w("keepNext"), old])]
+    files = table(spark, [docx(*body, parts={"word/styles.xml": w("styles", style("S", w("rPr", w("b"))))})])
+    rows = nodes.nodes(files, structure.FOR_PARAGRAPHS).collect()
+    assert [(r.tag, r.node) for r in rows if r.part == structure.BODY] == [("p", 2)]
+    p, s = [next(r.properties for r in rows if r.tag == tag) for tag in ("p", "style")]
+    assert p == {"pPr/jc": "both", "pPr/ind": '{"left":"7","right":"\\""}', "pPr/keepNext": "true", "pPr/numId": "4", "pPr/pPrChange": '{"id":"1"}'} and s == {"rPr/b": "true"}
+    assert {r.part for r in nodes.nodes(files, structure.FOR_STYLES).collect()} == {structure.STYLES}
+
+
+def test_files_are_made_by_many_tasks(spark):
+    """Small tables give large files: their bytes don't say how many tasks these take."""
+    talks = spark.createDataFrame([(k, 0, "user", "a b") for k in range(64)], "conv_id long, turn int, role string, text string")
+    for made in (adapters.structured_files(talks), adapters.conversation_files(talks)):
+        assert made.rdd.getNumPartitions() >= 16 and made.count() == 64
