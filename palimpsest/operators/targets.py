@@ -8,6 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import excerpt, safe_href
+from palimpsest.sources.adapters import spread
+
+#: Tasks that the parts of one key are dealt to.
+SHARES = 16
 
 
 def bucket_targets(buckets: DataFrame) -> DataFrame:
@@ -46,7 +50,11 @@ def annotated(targets: DataFrame, notes: DataFrame) -> DataFrame:
     """``targets`` with tooltip (those of all notes of a part, a line each) and href (the first safe one). notes: nth, target, tooltip, href."""
     lines = F.transform(F.sort_array(F.collect_list(F.when(F.col("tooltip").isNotNull(), F.struct("nth", "tooltip")))), lambda x: x["tooltip"])
     by_part = notes.withColumn("safe", safe_href(F.col("href"))).groupBy(F.col("target").alias("key")).agg(F.array_join(lines, "\n").alias("tooltip"), F.min_by("safe", F.when(F.col("safe").isNotNull(), F.col("nth"))).alias("href"))
-    return targets.join(by_part, "key", "left")
+    # few keys stand for most parts: each key's parts are dealt to SHARES tasks by a hash, and its notes go to all of these
+    share = F.pmod(F.xxhash64(*[c for c, kind in targets.dtypes if "map<" not in kind]), F.lit(SHARES)).cast("int").alias("__share")
+    parts = targets.select("*", share).repartition(spread(targets.sparkSession), "key", "__share")
+    by_part = by_part.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return parts.join(by_part, ["key", "__share"], "left").drop("__share")
 
 
 NOTES = "nth int, target string, tooltip string, href string"

@@ -177,3 +177,11 @@ def test_targets(spark):
     notes = spark.createDataFrame([(2, "k1", "second", "https://ok.example/x"), (1, "k1", "first", "javascript:x"), (3, "k2", None, None)], "nth int, target string, tooltip string, href string")
     got = {r.key: (r.tooltip, r.href) for r in targets.annotated(spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string"), notes).collect()}
     assert got["k1"] == ("first\nsecond", "https://ok.example/x") and got["k3"] == (None, None)
+
+
+def test_parts_of_one_key_are_dealt_out(spark):
+    """One key stands for most parts: no task has them all, and each has its notes."""
+    parts = spark.range(2000).select(targets.F.col("id").alias("doc_id"), targets.F.concat(targets.F.lit("k"), targets.F.col("id") % 1).alias("key"), targets.F.lit(1).alias("value"))
+    rows = targets.annotated(parts, spark.createDataFrame([(1, "k0", "b", None), (0, "k0", "a", None)], targets.NOTES))
+    sizes = rows.groupBy(targets.F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 1000 and rows.where("tooltip = 'a\nb'").count() == 2000
