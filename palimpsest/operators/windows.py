@@ -17,6 +17,9 @@ from palimpsest.functions.columns import millis
 from palimpsest.operators import dominance
 from palimpsest.operators.containment import with_contained
 
+#: Kinds of what touches a window.
+LATER, DELETED = 0, 1
+
 
 @dataclasses.dataclass(frozen=True)
 class WindowOptions:
@@ -161,22 +164,22 @@ def nearby(rows: DataFrame, events: DataFrame, seconds: float) -> DataFrame:
     one side's places, and time, downwards for what came later. A window's own insertions are in neither.
     """
     pool = events.where(~F.coalesce("move", F.lit(False)) & F.col("ts").isNotNull()).select("doc_id", "type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("chars").cast("long").alias("w"), F.col("start_offset").cast("long").alias("a"), F.col("end_offset").cast("long").alias("z"))
-    sides = lambda lo, hi: F.array(F.struct(F.lit("before").alias("side"), lo.alias("x")), F.struct(F.lit("behind").alias("side"), hi.alias("x")))
+    sides = lambda lo, hi: F.array(F.struct(F.lit(0).alias("side"), lo.alias("x")), F.struct(F.lit(1).alias("side"), hi.alias("x")))
     point = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("t"))
-    kinds = F.filter(F.array(point("later", -F.col("us")), point("deleted", F.col("us"))), lambda p: (p["kind"] == "later") | (F.col("type") == "del"))
+    kinds = F.filter(F.array(point(LATER, -F.col("us")), point(DELETED, F.col("us"))), lambda p: (p["kind"] == LATER) | (F.col("type") == "del"))
     points = pool.select("*", F.inline(kinds)).select("doc_id", "kind", "t", "w", F.inline(sides(F.col("z"), -F.col("a"))))
     us = lambda ts: F.unix_micros(F.col(ts).cast("timestamp"))
     early = F.ceil(millis(F.col("start")) - seconds * 1000).cast("long") * 1000 - 1
     asks = rows.select("doc_id", "window", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.inline(F.array(
-        F.struct(F.lit("later").alias("kind"), (-us("end") - 1).alias("t"), F.lit(1).alias("sign")), F.struct(F.lit("deleted").alias("kind"), us("end").alias("t"), F.lit(1).alias("sign")),
-        F.struct(F.lit("deleted").alias("kind"), early.alias("t"), F.lit(-1).alias("sign")),
+        F.struct(F.lit(LATER).alias("kind"), (-us("end") - 1).alias("t"), F.lit(1).alias("sign")), F.struct(F.lit(DELETED).alias("kind"), us("end").alias("t"), F.lit(1).alias("sign")),
+        F.struct(F.lit(DELETED).alias("kind"), early.alias("t"), F.lit(-1).alias("sign")),
     )))
-    asks = asks.select("doc_id", "kind", F.struct("window", "sign").alias("id"), "t", F.inline(sides(F.col("lo"), -F.col("hi"))))
+    asks = asks.select("doc_id", "kind", (F.col("window") * 2 + (F.col("sign") > 0).cast("int")).alias("id"), "t", F.inline(sides(F.col("lo"), -F.col("hi"))))
     found = dominance.sums(points, asks, ["doc_id", "kind", "side"])
     # both sides say how much there is up to the time; that counts once
-    signed = F.col("id.sign") * (F.when(F.col("side") == "before", F.col("upto")).otherwise(0) - F.col("below"))
+    signed = (F.col("id") % 2 * 2 - 1) * (F.when(F.col("side") == 0, F.col("upto")).otherwise(0) - F.col("below"))
     chars = lambda kind: F.sum(F.when(F.col("kind") == kind, signed).otherwise(0)).cast("long")
-    return found.groupBy("doc_id", F.col("id.window").alias("window")).agg(chars("later").alias("post_edit_chars"), chars("deleted").alias("preceding_deleted_chars"))
+    return found.groupBy("doc_id", F.floor(F.col("id") / 2).cast("int").alias("window")).agg(chars(LATER).alias("post_edit_chars"), chars(DELETED).alias("preceding_deleted_chars"))
 
 
 def windows(events: DataFrame, options: WindowOptions = WindowOptions(by_author=True)) -> DataFrame:

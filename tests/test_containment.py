@@ -85,3 +85,13 @@ def test_dominance(spark):
     got = dominance.sums(spark.createDataFrame(points, "k long, t long, x long, w long"), spark.createDataFrame(asked, "k long, id long, t long, x long"), ["k"])
     upto = lambda d, t: [(x, w) for k, u, x, w in points if k == d and u <= t]
     assert {(r.k, r.id): (r.upto, r.below) for r in got.collect()} == {(d, i): (sum(w for _, w in upto(d, t)), sum(w for y, w in upto(d, t) if y < x)) for d, i, t, x in asked}
+
+
+def test_sums_make_few_rows(spark):
+    """A point goes into one block for each hexadecimal digit of the number of points, not for each binary one."""
+    points = spark.range(200).selectExpr("1 as k", "id as t", "id * 7 % 200 as x", "1L as w")
+    asked = spark.range(200).selectExpr("1 as k", "id", "id as t", "id as x")
+    found = dominance.sums(points, asked, ["k"])
+    want = {(q, q + 1, sum(i * 7 % 200 < q for i in range(q + 1))) for q in range(200)}
+    assert {(r.id, r.upto, r.below) for r in found.collect()} == want
+    assert "sequence(0, (length(hex(" in found._jdf.queryExecution().optimizedPlan().toString()
