@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.columns import MOVED_LEAST, squeezed
+from palimpsest.sources.scratch import stored
 
 #: Units of a window, and of a gram in it.
 QUERY, GRAM = MOVED_LEAST, 10
@@ -97,6 +99,28 @@ def needles(texts: DataFrame, keys: list[str]) -> DataFrame:
     return texts.select(*keys, text_id(F.col("text")).alias("id"), units(F.col("text")).alias("u")).withColumn("n", size(F.col("u"))).where(F.col("n") >= QUERY).dropDuplicates([*keys, "id"])
 
 
+def likely(texts: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, u of the texts that are long enough and whose gram with the smallest hash is in ``index`` (keys, gram).
+
+    That gram is the smallest of its window in whatever contains the text, so none that is contained is lost; of those that
+    aren't, few go on, and these alone are looked for by all of their grams.
+    """
+    rows = texts.select(*keys, units(F.col("text")).alias("u")).where(size(F.col("u")) >= QUERY)
+    schema = T.StructType([*rows.schema.fields, T.StructField("gram", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                u = part.column(part.num_columns - 1).to_pylist()
+                row, _, gram = sampled(np.frombuffer(b"".join(u), ">u2").astype(np.uint64), np.array([len(t) // 2 for t in u]))
+                order = np.lexsort((gram.view(np.uint64), row))
+                least = gram[order[np.searchsorted(row[order], np.arange(len(u)))]]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least)], schema.names)
+
+    return rows.mapInArrow(run, schema).join(index, [*keys, "gram"], "leftsemi").drop("gram")
+
+
 def rarest(index: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, gram, at: of each text's grams the one that ``index`` has least often; none of a text that has one it lacks."""
     often = index.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("often"))
@@ -112,7 +136,10 @@ def contained(texts: DataFrame, corpus: DataFrame, keys: list[str], order: list[
     Both have the keys and ``text``; a match may span texts of the corpus that follow each other by ``order``. Texts under
     QUERY units, null and empty ones are in nothing. Texts that repeat are looked for once.
     """
-    wanted, there = needles(texts, keys), chunks(corpus, keys, order)
+    found = likely(texts, grams(chunks(corpus, keys, order), *keys).select(*keys, "gram"), keys)
+    wanted = found.select(*keys, F.sha2(F.decode("u", "UTF-16BE"), 256).alias("id"), "u", size(F.col("u")).alias("n")).dropDuplicates([*keys, "id"])
+    wanted = stored(wanted, "needles")
+    there = chunks(corpus.join(wanted.select(*keys), keys, "leftsemi"), keys, order)
     index = grams(there, *keys, "chunk").select(*keys, "gram", (F.col("chunk") * CHUNK + F.col("at")).alias("place")).distinct()  # windows overlap, grams may come twice
     start = F.col("place") - F.col("at")
     tried = rarest(index, wanted, keys).join(index, [*keys, "gram"]).select(*keys, "id", start.alias("start")).where("start >= 0")
@@ -131,7 +158,7 @@ def contained(texts: DataFrame, corpus: DataFrame, keys: list[str], order: list[
 def with_contained(rows: DataFrame, corpus: DataFrame, name: str, keys: list[str], order: list[str], *, looked_for: Column | None = None) -> DataFrame:
     """``rows`` with a boolean ``name``: whether the row's text is contained in the corpus of its keys; only rows ``looked_for`` are."""
     asked = rows if looked_for is None else rows.where(looked_for)
-    found = contained(asked, corpus, keys, order).withColumn(name, F.lit(True)).withColumnRenamed("id", "__text_id")
+    found = stored(contained(asked, corpus, keys, order), "contained").withColumn(name, F.lit(True)).withColumnRenamed("id", "__text_id")
     looked_for = F.lit(True) if looked_for is None else looked_for
     marked = rows.withColumn("__text_id", F.when(looked_for, text_id(F.col("text")))).join(found, [*keys, "__text_id"], "left")
     return marked.withColumn(name, F.coalesce(name, F.lit(False))).select(*rows.columns, name)

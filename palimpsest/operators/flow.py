@@ -81,7 +81,7 @@ def touches_of(segments: DataFrame, times: DataFrame, moved: DataFrame) -> DataF
 
 
 def visible_chars(segments: DataFrame, paragraphs: DataFrame, at: DataFrame) -> DataFrame:
-    """doc_id, at_ms, para_index, chars of the paragraphs that are there at each time (doc_id, at_ms).
+    """doc_id, at_ms, para_index, chars of the paragraphs that are there at each time (doc_id, at_ms; with para_index, that one alone).
 
     A paragraph is there if a segment or its mark shows, the table rows around it do too (row_ins, row_del), and its cell
     isn't the continuation of one above (in_merge_continue).
@@ -92,7 +92,7 @@ def visible_chars(segments: DataFrame, paragraphs: DataFrame, at: DataFrame) ->
     spans = spans.unionByName(paragraphs.select(*span(F.col("mark_ins"), F.col("mark_del"), F.lit(0)))).where("to is null or to > from")
     step = lambda t, sign: F.struct(F.col(t).alias("t"), (sign * F.col("n")).alias("chars"), F.lit(sign).alias("pieces"))
     steps = spans.select("doc_id", "para_index", F.inline(F.filter(F.array(step("from", 1), step("to", -1)), lambda x: x["t"].isNotNull())))
-    asked = paragraphs.select("doc_id", "para_index").join(at, "doc_id").select("doc_id", "para_index", F.col("at_ms").alias("t"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("pieces"), F.lit(1).alias("ask"))
+    asked = paragraphs.select("doc_id", "para_index").join(at, ["doc_id", "para_index"] if "para_index" in at.columns else "doc_id").select("doc_id", "para_index", F.col("at_ms").alias("t"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("pieces"), F.lit(1).alias("ask"))
     # what came and went up to each time: one pass over both in order, not a join of segments and times
     upto = W.partitionBy("doc_id", "para_index").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, 0)
     both = steps.withColumn("ask", F.lit(0)).unionByName(asked).withColumns({"chars": F.sum("chars").over(upto), "pieces": F.sum("pieces").over(upto)})
@@ -106,11 +106,11 @@ def visible_chars(segments: DataFrame, paragraphs: DataFrame, at: DataFrame) ->
     return rows.where(~hidden & ~F.coalesce("in_merge_continue", F.lit(False))).select("doc_id", "at_ms", "para_index", "chars")
 
 
-def heat(touches: DataFrame, ends: DataFrame, bulk_chars: int = BULK_CHARS, highlights: DataFrame | None = None) -> DataFrame:
-    """doc_id, session, para_index with the characters that a session inserted, deleted, moved in and out, and green, orange and moved shares.
+def heat_sums(touches: DataFrame, bulk_chars: int = BULK_CHARS, highlights: DataFrame | None = None) -> DataFrame:
+    """doc_id, session, para_index with the characters that a session inserted, deleted, moved in and out, by category and in all.
 
-    ends: doc_id, session, para_index, chars (visible at the session's end). highlights: doc_id, rev_id, category, of the
-    insertions that count as bulk; without it, those of one author and time with ``bulk_chars`` together do.
+    highlights: doc_id, rev_id, category, of the insertions that count as bulk; without it, those of one author and time with
+    ``bulk_chars`` together do.
     """
     group = W.partitionBy("doc_id", "session", F.coalesce("author", F.lit("")), "ts")
     ins, edit = F.col("type") == "ins", ~F.col("move")
@@ -135,11 +135,23 @@ def heat(touches: DataFrame, ends: DataFrame, bulk_chars: int = BULK_CHARS, high
     )
     high = rows.where(is_bulk).groupBy(*keys, "__category").agg(F.sum("chars").cast("long").alias("n"))
     high = high.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__category", "n")))).alias("highlight_chars"))
-    out = out.where("ins_chars > 0 or del_chars > 0 or moved_in > 0 or moved_out > 0").join(high, keys, "left").join(ends.select(*keys, F.col("chars").alias("__visible")), keys, "left")
+    out = out.where("ins_chars > 0 or del_chars > 0 or moved_in > 0 or moved_out > 0").join(high, keys, "left")
+    return out.withColumn("highlight_chars", F.coalesce("highlight_chars", F.create_map().cast("map<string,bigint>")))
+
+
+def shares(sums: DataFrame, ends: DataFrame) -> DataFrame:
+    """``heat_sums`` with green, orange and moved shares. ends: doc_id, session, para_index, chars (visible at the session's end)."""
+    keys = ["doc_id", "session", "para_index"]
+    out = sums.join(ends.select(*keys, F.col("chars").alias("__visible")), keys, "left")
     there = F.coalesce("__visible", F.lit(0))
     share = lambda x: F.when(there > 0, F.least(F.lit(1.0), F.col(x) / there)).otherwise(0.0)
     green = F.when(F.col("fine_chars") > 0, F.least(F.lit(1.0), F.greatest(F.col("fine_chars") / F.greatest(there, F.lit(HEAT_CHARS)), F.col("fine_changes") / HEAT_CHANGES))).otherwise(0.0)
-    return out.withColumns({"green": green, "orange": share("bulk_chars"), "moved": share("moved_in"), "highlight_chars": F.coalesce("highlight_chars", F.create_map().cast("map<string,bigint>"))}).drop("__visible")
+    return out.withColumns({"green": green, "orange": share("bulk_chars"), "moved": share("moved_in")}).drop("__visible")
+
+
+def heat(touches: DataFrame, ends: DataFrame, bulk_chars: int = BULK_CHARS, highlights: DataFrame | None = None) -> DataFrame:
+    """The ``shares`` of the ``heat_sums``."""
+    return shares(heat_sums(touches, bulk_chars, highlights), ends)
 
 
 def session_totals(heat_rows: DataFrame) -> DataFrame:
@@ -241,17 +253,28 @@ class Flow:
     def state(self, which: str) -> DataFrame:
         return self.states.where(F.col(which).isNotNull()).select("doc_id", "session", "para_index", F.col(which).alias("chars"))
 
+    @functools.cached_property
+    def sums(self) -> DataFrame:
+        return stored(heat_sums(self.touches, self.bulk_chars, self.highlights), "sums")
+
     @functools.cached_property
     def heat(self) -> DataFrame:
-        return stored(heat(self.touches, self.state("e"), self.bulk_chars, self.highlights), "heat")
+        """What is visible is asked for the paragraphs that a session touched, unless all are known already."""
+        if "states" in self.__dict__:
+            return stored(shares(self.sums, self.state("e")), "heat")
+        touched = self.sums.select("doc_id", "session", "para_index").join(self.sessions.select("doc_id", "session", millis(F.col("end")).alias("at_ms")), ["doc_id", "session"])
+        touched = stored(touched, "touched")
+        there = visible_chars(self.segments, self.paragraphs, touched.select("doc_id", "para_index", "at_ms"))
+        return stored(shares(self.sums, there.join(touched, ["doc_id", "para_index", "at_ms"])), "heat")
 
     @functools.cached_property
     def totals(self) -> DataFrame:
-        return session_totals(self.heat)
+        return session_totals(self.sums)
 
     @functools.cached_property
     def units(self) -> DataFrame:
-        return units(self.paragraphs, self.state("s"), self.state("e"), self.heat)
+        starts, ends = self.state("s"), self.state("e")
+        return units(self.paragraphs, starts, ends, self.heat)
 
     @functools.cached_property
     def links(self) -> DataFrame:

@@ -95,3 +95,12 @@ def test_sums_make_few_rows(spark):
     want = {(q, q + 1, sum(i * 7 % 200 < q for i in range(q + 1))) for q in range(200)}
     assert {(r.id, r.upto, r.below) for r in found.collect()} == want
     assert "sequence(0, (length(hex(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_cannot_be_contained_goes_early(spark, texts):
+    """A text whose smallest gram the corpus lacks isn't looked for by its other grams."""
+    corpus = spark.createDataFrame(texts[0], SCHEMA)
+    index = containment.grams(containment.chunks(corpus, ["doc_id"], ["seq"]), "doc_id").select("doc_id", "gram")
+    asked = spark.createDataFrame([(0, 0, "never said anywhere in that document"), (0, 1, texts[1][0][:40]), (0, 2, "short")], SCHEMA)
+    left = containment.likely(asked, index, ["doc_id"]).collect()
+    assert [bytes(r.u).decode("utf-16-be") for r in left] == [texts[1][0][:40]]

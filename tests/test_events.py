@@ -185,3 +185,17 @@ def test_parts_of_one_key_are_dealt_out(spark):
     rows = targets.annotated(parts, spark.createDataFrame([(1, "k0", "b", None), (0, "k0", "a", None)], targets.NOTES))
     sizes = rows.groupBy(targets.F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < 1000 and rows.where("tooltip = 'a\nb'").count() == 2000
+
+
+def test_totals_ask_for_nothing_visible(spark):
+    """Totals of sessions are sums of changes: what is visible isn't worked out for them, and for heat only where a session was."""
+    from palimpsest.operators import flow
+    from palimpsest.sources import adapters
+
+    events = spark.createDataFrame([(k, k % 6, f"2024-01-{1 + k % 9:02d} 00:00:00", "error" if k % 4 == 0 else "view", 30.0) for k in range(60)], "event_id long, user_id long, ts string, event_type string, value double")
+    made = flow.build(*adapters.segments(adapters.revisions(events)), hours=6)
+    assert made.totals.count() > 0 and not {"states", "heat"} & set(vars(made))
+    early = sorted(map(repr, made.heat.drop("highlight_chars").collect()))
+    assert "states" not in vars(made)
+    whole = flow.shares(made.sums, made.state("e"))
+    assert early == sorted(map(repr, whole.drop("highlight_chars").select(made.heat.drop("highlight_chars").columns).collect()))
