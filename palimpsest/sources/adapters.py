@@ -85,6 +85,12 @@ def _turns(conversations: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one as Python objects at a time."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -113,7 +119,7 @@ def conversation_files(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 content = made_file([(t["turn"], t["role"], t["text"]) for t in r["turns"]])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["conv_id"]], pa.int64()), "path": [f"{r['conv_id']}.docx"], "content": pa.array([content], pa.binary())})
 
@@ -162,7 +168,7 @@ def structured_files(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 content = structured_file(r["conv_id"], [(t["turn"], t["role"], t["text"]) for t in r["turns"]])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["conv_id"]], pa.int64()), "content": pa.array([content], pa.binary())})
 

@@ -30,6 +30,8 @@ NODES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), *(T.StructField(f"in_{t}", T.LongType()) for t in AROUND),
 ])
+#: What ``revisions`` and ``final_lengths`` look at.
+CHANGES = ("ins", "del", "t", "delText", "tab", "br", "cr")
 ROWS, ERROR = 2000, "#error"
 
 

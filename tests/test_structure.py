@@ -2,6 +2,7 @@ from files import change, docx, para, run, table, w
 
 from palimpsest.operators import structure
 from palimpsest.sources import adapters, nodes
+from palimpsest.sources import docx as read_docx
 
 
 def style(name, *inside, **more):
@@ -103,3 +104,11 @@ def test_files_are_made_by_many_tasks(spark):
     talks = spark.createDataFrame([(k, 0, "user", "a b") for k in range(64)], "conv_id long, turn int, role string, text string")
     for made in (adapters.structured_files(talks), adapters.conversation_files(talks)):
         assert made.rdd.getNumPartitions() >= 16 and made.count() == 64
+
+
+def test_stats_read_files_once(spark):
+    """What the lengths, changes and settings of files come from is parsed once, not once for each."""
+    files = table(spark, [docx(para("a", change("ins", "2024-01-01T00:00:00Z", "xy")))]).withColumn("path", structure.F.lit("p"))
+    found = read_docx.stats(files)
+    assert [(r.final_chars, r.inserted, r.deleted) for r in found.collect()] == [(3, 2, 0)]
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
